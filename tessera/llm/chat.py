@@ -109,7 +109,7 @@ WITH turns AS (
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), placed AS (
-  SELECT *, row_number() OVER w AS at, lag(role) OVER w AS prev FROM turns
+  SELECT *, row_number() OVER w AS pos, lag(role) OVER w AS prev FROM turns
   WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
 ), sized AS (
   SELECT *, length({esc.format("text")})
@@ -118,9 +118,9 @@ WITH turns AS (
   FROM placed
 )
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY at)) AS turns_sha256,
-  length(coalesce(string_agg(text, '' ORDER BY at) FILTER (role = '{TRAINED_ROLE}'), '')) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY at) FILTER (role = '{TRAINED_ROLE}'), '')) AS loss_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+  length(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = '{TRAINED_ROLE}'), '')) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = '{TRAINED_ROLE}'), '')) AS loss_sha256,
   CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id"""
 

@@ -141,6 +141,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, remove: str
     if remove != "spans":
         raise ValueError(remove)
 
+    names = docs.columns
+
     def blank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
 
@@ -152,7 +154,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, remove: str
                     gone, k, raw = set(hit), iter(range(1 << 62)), text.encode()
                     text = word.sub(lambda m: b"" if next(k) in gone else m[0], raw).decode()  # noqa: B023
                 texts.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in docs.columns], docs.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names)
 
     cut = found.withColumn("cut", F.when(is_contaminated(), F.col("hit_words")))
     return put_back(cut.select(*docs.columns, "cut").mapInArrow(blank, docs.schema), columns, moved)
