@@ -21,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +31,7 @@ UP, DOWN = 4, 5  # similarity of UP / DOWN
 SKETCH, SKETCH_PART = 1 << 18, 1 << 12
 LIST_CAP, FIRST_WINDOW, WIDEN = 32, 8, 8
 BUCKETS_PER_PARTITION = 2
-WORD_CACHE = 400_000
-GROUP = 1024
+PART_BYTES = 1 << 22
 NOBODY = -(1 << 63)
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -44,47 +42,86 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORD_CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
-
-
-def shingle_lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, line number, shingles) of each line with WORDS words or more, and the hashes of all their shingles in turn."""
-    of, number, sizes, parts = [], [], [], []
-    get = _hashes.__getitem__
-    for k, text in enumerate(texts):
-        for j, line in enumerate(text.lower().split(b"\n")):
-            words = line.split()
-            if len(words) >= WORDS:
-                of.append(k)
-                number.append(j)
-                sizes.append(len(words))
-                parts += map(get, words)
-    flat, n = np.array(parts, np.uint64), np.array(sizes, np.int64)
-    if not len(n):
-        return *(np.zeros(0, np.int64) for _ in range(3)), flat
-    rolled = np.zeros(len(flat) - WORDS + 1, np.uint64)
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * _M1)
+
+
+def _powers(n: int) -> np.ndarray:
+    out = np.full(n, _M2 | np.uint64(1), np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def word_hashes(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A polynomial hash of random byte values for each word of x, the bytes of all words in turn."""
+    place = np.arange(len(x)) - np.repeat(starts, sizes)
+    return _mix(np.add.reduceat(_BYTES[x] * _powers(int(sizes.max()))[place], starts) + sizes.astype(np.uint64))
+
+
+def shingle_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, line number, shingles) of each line with WORDS words or more, and the hashes of all their shingles in turn.
+
+    Text k is data[offsets[k]:offsets[k + 1]], bytes."""
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
+    data = _LOWER[data]
+    space = _SPACE[data]
+    begins = np.zeros(len(data) + 1, bool)
+    begins[offsets] = True
+    starts = np.flatnonzero(~space & (np.concatenate([[True], space[:-1]]) | begins[:-1]))
+    ends = np.flatnonzero(~space & (np.concatenate([space[1:], [True]]) | begins[1:])) + 1
+    if not len(starts):
+        return none
+    breaks = np.flatnonzero(data == 10)
+    of = np.searchsorted(offsets, starts, "right") - 1
+    number = np.searchsorted(breaks, starts) - np.searchsorted(breaks, offsets)[of]
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(of) != 0) | (np.diff(number) != 0)]))
+    n = np.diff(first, append=len(starts))
+    full = n >= WORDS
+    if not full.any():
+        return none
+    sizes = ends - starts
+    words = word_hashes(data[~space], np.cumsum(sizes) - sizes, sizes)
+    words, first, n = words[np.repeat(full, n)], first[full], n[full]
+    rolled = np.zeros(len(words) - WORDS + 1, np.uint64)
     for k in range(WORDS):
-        rolled = rolled * _M1 + flat[k : len(flat) - WORDS + 1 + k]
-    ends = np.cumsum(n)
-    inside = np.ones(len(flat), bool)
+        rolled = rolled * _M1 + words[k : len(words) - WORDS + 1 + k]
+    inside = np.ones(len(words), bool)
     for k in range(1, WORDS):
-        inside[ends - k] = False
-    return np.array(of), np.array(number), n - WORDS + 1, _mix(rolled[inside[: len(rolled)]])
+        inside[np.cumsum(n) - k] = False
+    return of[first], number[first], n - WORDS + 1, _mix(rolled[inside[: len(rolled)]])
+
+
+def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+
+
+def _parts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(data, offsets, rows, first line numbers) of the texts of a column, PART_BYTES at a time. A longer text
+    comes in parts cut after a line's end."""
+    wide = pa.types.is_large_binary(column.type)
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + PART_BYTES, "right")) - 1)
+        part, at = data[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo]
+        if len(part) <= PART_BYTES:
+            yield part, at, np.arange(lo, hi), np.zeros(hi - lo, np.int64)
+        else:
+            breaks = np.flatnonzero(part == 10) + 1
+            cuts = np.unique([0, *breaks[np.searchsorted(breaks, np.arange(PART_BYTES, len(part), PART_BYTES), "right") - 1], len(part)]) if len(breaks) else [0, len(part)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                yield part[a:b], np.array([0, b - a]), np.array([lo]), np.array([np.searchsorted(breaks, a, "right")])
+        lo = hi
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(SKETCH, np.int64)
     for big in batches:
-        for lo in range(0, big.num_rows, GROUP):
-            shingles = shingle_lines(big.slice(lo, GROUP).column("text").to_pylist())[3]
+        for data, offsets, _, _ in _parts(big.column("text")):
+            shingles = shingle_lines(data, offsets)[3]
             counts += np.bincount((shingles & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
     parts = counts.reshape(-1, SKETCH_PART)
     yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([x.astype("<u4" if x.max() < 1 << 32 else "<u8").tobytes() for x in parts], pa.binary())], ["part", "counts"])
@@ -175,12 +212,13 @@ def _dealt(kind: int, by: np.ndarray, columns: list[np.ndarray], buckets: int) -
     return [(kind, b, _pack([c[edges[b] : edges[b + 1]] for c in columns])) for b in range(buckets) if edges[b] < edges[b + 1]]
 
 
-def _postings(batch: pa.RecordBatch, rank: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
-    doc = batch.column("doc_id").fill_null(NOBODY).to_numpy(zero_copy_only=False)
-    row = batch.column("row").to_numpy(zero_copy_only=False)
-    of, number, sizes, shingles = shingle_lines(batch.column("text").to_pylist())
+def _postings(part: tuple, doc: np.ndarray, row: np.ndarray, rank: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
+    data, offsets, places, lines = part
+    of, number, sizes, shingles = shingle_lines(data, offsets)
     if not len(of):
         return []
+    number = number + lines[of]
+    of = places[of]
     firsts, posts = [], []
     for at, rows, n in token_sets(sizes, shingles, rank):
         cls, check = _set_ids(rows, n)
@@ -227,7 +265,7 @@ def _pass_filters(sa: np.ndarray, ia: np.ndarray, sb: np.ndarray, ib: np.ndarray
     return (DOWN * np.minimum(sa, sb) >= UP * np.maximum(sa, sb)) & (1 + np.minimum(sa - ia, sb - ib) - 1 >= need)
 
 
-def candidates(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+def candidates(blobs: list[bytes], list_cap: int = LIST_CAP) -> Iterator[pa.RecordBatch]:
     token, cls, size, idx = _unpack_columns(blobs, POST_TYPES)
     order = np.lexsort((cls, token))
     token, cls, size, idx = token[order], cls[order], size[order].astype(np.int64), idx[order].astype(np.int64)
@@ -237,7 +275,7 @@ def candidates(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
     lengths = np.diff(starts, append=len(token))
     pairs = []
-    for m in np.unique(lengths[(lengths > 1) & (lengths <= LIST_CAP)]).tolist():
+    for m in np.unique(lengths[(lengths > 1) & (lengths <= list_cap)]).tolist():
         begin = starts[lengths == m]
         i, j = np.triu_indices(m, 1)
         a, b = (begin[:, None] + i).reshape(-1), (begin[:, None] + j).reshape(-1)
@@ -245,34 +283,33 @@ def candidates(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         pairs.append(np.stack([cls[a[ok]], cls[b[ok]]], axis=1))
     if pairs and len(pairs := np.unique(np.concatenate(pairs), axis=0)):
         yield _found(2, pairs[:, 0], pairs[:, 1], 0, 0, 0)
-    for k in np.flatnonzero(lengths > LIST_CAP):
+    for k in np.flatnonzero(lengths > list_cap):
         part = slice(starts[k], starts[k] + lengths[k])
         # members by a hash of token and class; each keeps its size and place for the filters
         member = np.argsort(_mix(cls[part] ^ token[starts[k]]), kind="stable")
         yield _found(3, token[part][member], cls[part][member], size[part][member].astype(np.uint64), idx[part][member].astype(np.uint64), np.arange(lengths[k]))
 
 
-def _reduce(key: tuple, table_: pa.Table) -> Iterator[pa.RecordBatch]:
-    blobs = table_.column("blob").to_pylist()
-    yield from (first_lines if key[0].as_py() == 0 else candidates)(blobs)
-
-
-def _reduce_table(key: tuple, table_: pa.Table) -> pa.Table:
-    parts = list(_reduce(key, table_))
-    empty = pa.schema([("kind", pa.int32()), *((x, pa.int64()) for x in "abde"), ("n", pa.int32())])
-    return pa.Table.from_batches([p.cast(empty) for p in parts], empty)
+def _reduced(key: tuple, dealt: pa.Table, list_cap: int) -> pa.Table:
+    blobs = dealt.column("blob").to_pylist()
+    parts = list(first_lines(blobs) if key[0].as_py() == 0 else candidates(blobs, list_cap))
+    schema = pa.schema([("kind", pa.int32()), *((x, pa.int64()) for x in "abde"), ("n", pa.int32())])
+    return pa.Table.from_batches([p.cast(schema) for p in parts], schema)
 
 
 def _line_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Token sets of the wanted lines (array lines) of texts, by class (array classes)."""
+    """Token sets of the wanted lines of texts, by class and place."""
     for big in batches:
         for lo in range(0, big.num_rows, 256):
-            batch, names, sets = big.slice(lo, 256), [], []
+            batch, names, found = big.slice(lo, 256), [], []
             for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
-                lines = text.lower().split(b"\n")
+                lines = text.split(b"\n")
                 for w in wanted:
                     names.append((w["a"], w["d"], w["e"], w["n"]))
-                    sets.append(np.unique(shingle_lines([lines[w["n"]]])[3]).astype("<u8").tobytes())
+                    found.append(lines[w["n"]])
+            _, _, sizes, shingles = shingle_lines(*_joined(found))
+            ends = np.cumsum(sizes).tolist()
+            sets = [np.unique(shingles[a:b]).astype("<u8").tobytes() for a, b in zip([0, *ends[:-1]], ends)]
             columns = [pa.array([x[k] for x in names], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sets, pa.binary())], ["a", "d", "e", "n", "tokens"])
 
@@ -300,7 +337,7 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(side("x"), "x").join(side("y"), "y").mapInArrow(_verify, "a long").distinct()
 
 
-def similar_lines(docs: DataFrame) -> DataFrame:
+def similar_lines(docs: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
     """(doc_id, row, line): lines that go. row is the hash of the text, which tells rows of one doc_id apart."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), text_bytes().alias("text"))
@@ -309,11 +346,16 @@ def similar_lines(docs: DataFrame) -> DataFrame:
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for lo in range(0, big.num_rows, 4 * GROUP):
-                out = _postings(big.slice(lo, 4 * GROUP), rank.value, buckets)
+            doc = big.column("doc_id").fill_null(NOBODY).to_numpy(zero_copy_only=False)
+            row = big.column("row").to_numpy(zero_copy_only=False)
+            for part in _parts(big.column("text")):
+                out = _postings(part, doc, row, rank.value, buckets)
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["kind", "bucket", "blob"])
 
-    found = materialize(rows.mapInArrow(posted, POSTED).groupBy("kind", "bucket").applyInArrow(_reduce_table, FOUND), "lines")
+    def reduced(key: tuple, dealt: pa.Table) -> pa.Table:
+        return _reduced(key, dealt, list_cap)
+
+    found = materialize(rows.mapInArrow(posted, POSTED).groupBy("kind", "bucket").applyInArrow(reduced, FOUND), "lines")
     firsts, pairs = found.where("kind = 0"), found.where("kind = 2").select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
     long_lists = found.where("kind = 3").select(F.col("a").alias("token"), F.col("b").alias("cls"), F.col("d").alias("size"), F.col("e").alias("idx"), F.col("n").alias("k"))
     wanted = pairs.select(F.col("x").alias("a")).union(pairs.select("y")).union(long_lists.select("cls")).distinct()

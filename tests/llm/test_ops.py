@@ -323,13 +323,20 @@ def line_docs():
 
 
 @pytest.mark.parametrize("cap", [2, 1000])
-def test_lines_any_list_length(spark, monkeypatch, cap):
-    monkeypatch.setattr(lines, "LIST_CAP", cap)
+def test_lines_any_list_length(spark, cap):
     data = line_docs()
-    found = lines.similar_lines(spark.createDataFrame(data, "doc_id long, text string"))
+    found = lines.similar_lines(spark.createDataFrame(data, "doc_id long, text string"), cap)
     assert {(r.doc_id, r.line) for r in found.collect()} == brute_lines(data)
 
 
+def test_long_texts_come_in_parts(monkeypatch):
+    texts = ["\n".join(f"line {i} of text {k} with some more words" for i in range(n)).encode() for k, n in enumerate((3, 0, 200, 5))]
+    whole = [np.concatenate(x) for x in zip(*[lines.shingle_lines(d, o) for d, o, _, _ in lines._parts(pa.array(texts))])]
+    monkeypatch.setattr(lines, "PART_BYTES", 300)
+    cut = [(rows_[of], at + first[of], n, s) for d, o, rows_, first in lines._parts(pa.array([b"", *texts]).slice(1)) for of, at, n, s in [lines.shingle_lines(d, o)]]
+    assert all((a == np.concatenate(b)).all() for a, b in zip(whole, zip(*cut))) and len(cut) > 10
+
+
 def test_lines_on_documents(spark, folder, docs):
     one = {i: (i, t) for i, t in docs if i is not None and i not in (900005, 900006)}
     found = [r for r in rows(spark, "op5_lines", folder) if r.doc_id in one]
