@@ -372,7 +372,7 @@ def similar_lines(docs: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
     while longest and lo <= longest:
         open_ = long_lists.join(gone.withColumnRenamed("a", "cls"), "cls", "left_anti")
         x = long_lists.where(F.col("k").between(lo, lo + width - 1)).toDF("token", "x", "x_size", "x_idx", "x_k")
-        y = open_.toDF("token", "y", "y_size", "y_idx", "y_k")
+        y = open_.select(*long_lists.columns).toDF("token", "y", "y_size", "y_idx", "y_k")
         need = F.ceil(F.lit(UP) * (F.col("x_size") + F.col("y_size")) / F.lit(UP + DOWN))
         fits = (F.lit(DOWN) * F.least("x_size", "y_size") >= F.lit(UP) * F.greatest("x_size", "y_size")) & (
             F.least(F.col("x_size") - F.col("x_idx"), F.col("y_size") - F.col("y_idx")) >= need
