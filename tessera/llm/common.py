@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +63,22 @@ def set_aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, s
 def put_back(df: DataFrame, columns: list[str], moved: dict[str, str]) -> DataFrame:
     """The columns of df as they were called before set_aside()."""
     return df.select(*[F.col(f"`{moved[c]}`").alias(c) if c in moved else F.col(f"`{c}`") for c in columns])
+
+
+GROUP_BYTES = 1 << 20
+
+
+def groups(keys: list, texts: pa.Array) -> Iterator[tuple[list, list[bytes]]]:
+    """Keys and texts in groups of GROUP_BYTES or a little more."""
+    some: list = []
+    held = 0
+    own: list = []
+    for key, text in zip(keys, texts):
+        own.append(key)
+        some.append(text.as_py())
+        held += len(some[-1])
+        if held >= GROUP_BYTES:
+            yield own, some
+            own, some, held = [], [], 0
+    if own:
+        yield own, some

@@ -29,14 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, table
+from tessera.llm.chunks import IdTable
+from tessera.llm.common import groups, materialize, table, text_bytes
 
 MAGIC, BLOCK, HEADER = b"PFR1", 128, struct.Struct("<4sIQI")
 PERCENTILES = (50, 75, 90, 97, 100)
-SEGMENT_IDS = 1 << 19
+SEGMENT_IDS = 1 << 20
 END_ID = 2
-CACHE = 300_000
-GROUP = 256
 JOINED = 2000
 
 
@@ -44,6 +43,32 @@ def _bit_length(x: np.ndarray) -> np.ndarray:
     return np.frexp(x.astype(np.float64))[1].astype(np.int64)  # exact below 2**53
 
 
+def _packed(values: np.ndarray, w: int) -> np.ndarray:
+    """The low w bits of values (BLOCK, k), block by block as rows of bytes."""
+    values = values.astype(np.uint64) & np.uint64((1 << w) - 1)
+    out = np.zeros((2 * w, values.shape[1]), np.uint64)
+    for j in range(BLOCK):
+        word, shift = divmod(j * w, 64)
+        out[word] |= values[j] << np.uint64(shift)
+        if shift + w > 64:
+            out[word + 1] |= values[j] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(out.T).astype("<u8").view(np.uint8)
+
+
+def _unpacked(rows: np.ndarray, w: int) -> np.ndarray:
+    """Undoes _packed()."""
+    words = np.ascontiguousarray(np.ascontiguousarray(rows).view("<u8").T)
+    out = np.empty((BLOCK, len(rows)), np.uint32)
+    mask = np.uint64((1 << w) - 1)
+    for j in range(BLOCK):
+        word, shift = divmod(j * w, 64)
+        value = words[word] >> np.uint64(shift)
+        if shift + w > 64:
+            value |= words[word + 1] << np.uint64(64 - shift)
+        out[j] = value & mask
+    return out
+
+
 def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(offsets of the blocks and their end, bytes) for ids (uint32)."""
     n = -(-len(ids) // BLOCK)
@@ -56,9 +81,10 @@ def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     diff = rows - low[:, None]
     places = [-(-p * BLOCK // 100) - 1 for p in PERCENTILES]
     candidates = _bit_length(np.sort(diff, axis=1)[:, places])  # n x percentiles
-    over = np.stack([(diff >= (np.uint64(1) << candidates[:, k].astype(np.uint64))[:, None]).sum(axis=1) for k in range(len(places))], axis=1)
+    most = ((np.uint64(1) << candidates.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
+    over = np.stack([np.count_nonzero(diff > most[:, k, None], axis=1) for k in range(len(places))], axis=1)
     best = np.argmin(candidates * (BLOCK // 8) + 5 * over, axis=1)
-    width, exceptions = candidates[np.arange(n), best], over[np.arange(n), best]
+    width, exceptions, most = (x[np.arange(n), best] for x in (candidates, over, most))
     body = width * (BLOCK // 8)
     offsets = np.concatenate([[0], np.cumsum(6 + body + 5 * exceptions)])
     out = np.zeros(offsets[-1], np.uint8)
@@ -66,10 +92,9 @@ def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out[offsets[:-1, None] + np.arange(6)] = head
     for w in np.unique(width[width > 0]).tolist():
         at = np.flatnonzero(width == w)
-        bits = np.unpackbits(diff[at].astype("<u4").view(np.uint8).reshape(len(at), BLOCK, 4), axis=2, bitorder="little")[:, :, :w]
-        packed = np.packbits(bits.reshape(len(at), -1), axis=1, bitorder="little")
+        packed = _packed(np.ascontiguousarray(diff[at].T), w)
         out[offsets[at, None] + 6 + np.arange(packed.shape[1])] = packed
-    block, place = np.nonzero(diff >= (np.uint64(1) << width.astype(np.uint64))[:, None])
+    block, place = np.nonzero(diff > most[:, None])
     nth = np.arange(len(block)) - np.repeat(np.cumsum(exceptions) - exceptions, exceptions)
     begin = offsets[block] + 6 + body[block]
     out[begin + nth] = place
@@ -89,10 +114,7 @@ def decode_blocks(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     diff = np.zeros((n, BLOCK), np.uint32)
     for w in np.unique(width[width > 0]).tolist():
         at = np.flatnonzero(width == w)
-        bits = np.unpackbits(data[offsets[at, None] + 6 + np.arange(w * BLOCK // 8)], axis=1, bitorder="little").reshape(len(at), BLOCK, w)
-        whole = np.zeros((len(at), BLOCK, 32), np.uint8)
-        whole[:, :, :w] = bits
-        diff[at] = np.packbits(whole, axis=2, bitorder="little").view("<u4")[:, :, 0]
+        diff[at] = _unpacked(data[offsets[at, None] + 6 + np.arange(w * BLOCK // 8)], w).T
     block = np.repeat(np.arange(n), exceptions)
     nth = np.arange(len(block)) - np.repeat(np.cumsum(exceptions) - exceptions, exceptions)
     begin = offsets[block] + 6 + width[block] * (BLOCK // 8)
@@ -101,10 +123,12 @@ def decode_blocks(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     return (diff + low[:, None]).reshape(-1)
 
 
-def write_segment(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
+def write_segment(doc_ids: list[int | None], ids: list[np.ndarray], sizes: list[int] | None = None) -> bytes:
+    """ids: of the documents in turn; sizes: how many each document has, by default those of one array each."""
+    sizes = [len(x) for x in ids] if sizes is None else sizes
     flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
     offsets, data = encode_blocks(flat)
-    ends = np.cumsum([len(x) for x in ids]) if ids else np.zeros(0)
+    ends = np.cumsum(sizes)
     docs = np.array([(x or 0, x is not None, e) for x, e in zip(doc_ids, ends)], np.dtype([("id", "<i8"), ("there", "u1"), ("end", "<u8")]))
     return b"".join([HEADER.pack(MAGIC, len(docs), len(flat), len(offsets) - 1), docs.tobytes(), offsets.astype("<u8").tobytes(), data.tobytes()])
 
@@ -129,15 +153,25 @@ class Segment:
 
 
 _spaced = re.compile(r"\s ")
-_boundary = re.compile(r"(?<=\S) ")
+_letters = re.compile(r"( ?[^\W\d_]+)([!-/:-@\[-`{-~](?:.|\n)*)")
 
 
-class Encoder:
-    """Ids of texts by the tokenizers library, with the ids of frequent chunks kept.
+def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where chunks begin: at texts and at spaces that follow a character other than white space.
 
-    Its pre-tokenizer always begins a new piece at a space that follows a character other than white
-    space, and merges never cross pieces, so such chunks can be encoded one by one.
-    """
+    The pre-tokenizer always begins a new piece at such a space, and merges never cross pieces, so chunks can be
+    encoded one by one. Whatever might be white space beyond ASCII counts as such."""
+    before = np.concatenate([np.zeros(3, np.uint8), data])  # data[i - 1] is before[i + 2]
+    last, second, third = before[2:-1], before[1:-2], before[:-3]
+    doubtful = (second == 0xC2) & ((last == 0x85) | (last == 0xA0)) | (third == 0xE2) & ((second == 0x80) | (second == 0x81)) | (third == 0xE1) & (second == 0x9A) | (third == 0xE3) & (second == 0x80)
+    begins = (data == 32) & (last > 32) & ~((last >= 0x80) & doubtful)
+    begins = np.append(begins, False)
+    begins[offsets] = True
+    return np.flatnonzero(begins[:-1])
+
+
+class Encoder:
+    """Ids of texts by the tokenizers library; those of frequent chunks are kept."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -148,43 +182,43 @@ class Encoder:
         self.id_bytes = np.zeros(self.tokenizer.get_vocab_size() + 1, np.int64)
         for piece, i in self.tokenizer.get_vocab().items():
             self.id_bytes[i] = len(piece)
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-
-    def chunks(self, text: str) -> list[str]:
-        parts = _boundary.split(text) if _spaced.search(text) else text.split(" ")
-        return [parts[0], *map(" ".__add__, parts[1:])]
-
-    def learn(self, wanted: set[str]) -> None:
-        if len(self.known) > CACHE:
-            self.known, self.before = {}, self.known
-        found = {c: self.before[c] for c in wanted if c in self.before}
-        self.known.update(found)
-        new = [c for c in wanted if c not in self.known]
-        plain = [c for c in new if c[:1] == " " and not c[-1].isspace() and "<|" not in c]
-        for lo in range(0, len(plain), JOINED):
-            self.learn_joined(plain[lo : lo + JOINED])
-        rest = [c for c in new if c not in self.known]
-        for chunk, x in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.known[chunk] = np.array(x.ids, "<u4").tobytes()
-
-    def learn_joined(self, chunks: list[str]) -> None:
-        """Encodes chunks as one text, which is faster, and cuts its ids where the chunks end in bytes."""
-        (found,) = self.tokenizer.encode_batch_fast(["".join(chunks)], add_special_tokens=False)
-        ids = np.array(found.ids, "<u4")
-        ends = np.cumsum([len(c.encode()) for c in chunks])
-        covered = np.cumsum(self.id_bytes[ids])
-        at = np.searchsorted(covered, ends)
-        if covered[-1] != ends[-1] or (covered[at] != ends).any():
-            return
-        raw, at = ids.tobytes(), (4 * (at + 1)).tolist()
-        self.known.update(zip(chunks, map(raw.__getitem__, map(slice, [0, *at[:-1]], at))))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """By text its ids, as little-endian unsigned 32-bit integers."""
-        split = [self.chunks(t) for t in texts]
-        self.learn(set().union(*split) - self.known.keys())
-        return [b"".join(map(self.known.__getitem__, x)) for x in split]
+        self.table = IdTable(self.search)
+
+    def search(self, chunks: list[str]) -> list[tuple[bytes]]:
+        # letters and what follows them, from an ASCII character on, are always pieces of their own
+        split = [m.groups() if (m := _letters.fullmatch(c)) else (c, "") for c in chunks]
+        heads, tails = list({a for a, _ in split}), list({b for _, b in split})
+        known = self.encode_each([h for h in heads if h[0] == " " and not h[-1].isspace() and "<|" not in h])
+        rest = [h for h in heads if h not in known] + tails
+        known.update(zip(rest, self.plainly(rest)))
+        return [(known[a] + known[b],) if b else (known[a],) for a, b in split]
+
+    def plainly(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_each(self, chunks: list[str]) -> dict[str, bytes]:
+        """Encodes chunks JOINED at a time as one text, which is faster, and cuts its ids where chunks end in bytes."""
+        out: dict[str, bytes] = {}
+        for lo in range(0, len(chunks), JOINED):
+            part = chunks[lo : lo + JOINED]
+            (found,) = self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            ends = np.cumsum([len(c.encode()) for c in part])
+            covered = np.cumsum(self.id_bytes[ids])
+            at = np.searchsorted(covered, ends)
+            if covered[-1] == ends[-1] and (covered[at] == ends).all():
+                raw, cut = ids.tobytes(), (4 * (at + 1)).tolist()
+                out.update(zip(part, (raw[a:b] for a, b in zip([0, *cut[:-1]], cut))))
+        return out
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """By text its ids."""
+        data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+        starts = chunk_starts(data, offsets)
+        at = self.table.places(data, starts)
+        ids, ends = self.table.gather(at), np.concatenate([[0], np.cumsum(self.table.size[at])])
+        cut = ends[np.searchsorted(starts, offsets)].tolist()
+        return [ids[a:b] for a, b in zip(cut[:-1], cut[1:])]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -206,29 +240,29 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID
     Rows without doc_id come first; rows with one doc_id follow the order of their texts. A null text
     counts as empty and has the end id only.
     """
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], np.uint32)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, part, seq, start = encoder(tokenizer_path), TaskContext.get().partitionId(), 0, 0
-        names, ids, held = [], [], 0
+        names, ids, sizes, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (seq, pa.int32()), (start, pa.int64()), (held, pa.int64()), (write_segment(names, ids), pa.binary()))], ["part", "seq", "start", "n_ids", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (seq, pa.int32()), (start, pa.int64()), (held, pa.int64()), (write_segment(names, ids, sizes), pa.binary()))], ["part", "seq", "start", "n_ids", "payload"])
 
-        for big in batches:
-            for lo in range(0, big.num_rows, GROUP):
-                batch = big.slice(lo, GROUP)
-                for doc_id, x in zip(batch.column("doc_id").to_pylist(), tool.encode(batch.column("text").to_pylist())):
+        for batch in batches:
+            for some, texts in groups(batch.column("doc_id").to_pylist(), batch.column("text")):
+                for doc_id, x in zip(some, tool.encode(texts)):
                     names.append(doc_id)
-                    ids.append(np.frombuffer(x + end, "<u4"))
-                    held += len(ids[-1])
+                    ids += [x, end]
+                    sizes.append(len(x) + 1)
+                    held += len(x) + 1
                     if held >= SEGMENT_IDS:
                         yield flush()
-                        seq, start, names, ids, held = seq + 1, start + held, [], [], 0
+                        seq, start, names, ids, sizes, held = seq + 1, start + held, [], [], [], 0
         if names:
             yield flush()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return materialize(ordered.mapInArrow(encoded, FILES), "tokens")
 
 
