@@ -7,7 +7,7 @@ character that looks like the piece mark, is spelled in byte pieces, so decoding
 
 Forward Viterbi scores of all nodes are exact heuristics for A-star from the end to the start: hypotheses
 leave the queue by score and the first N that arrive are the N best. No piece of the model has the mark after
-another character, so the lattice of a text is cut where a mark follows one (`cut` is checked at loading).
+another character (checked at loading), so the lattice of a text is cut where a mark follows one.
 Each chunk is searched on its own and kept by worker; the N best of a text use only its N - 1 chunks
 with the smallest loss to their second-best segmentation, and a queue over these combines their lists.
 """
@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import heapq
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,49 +23,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.chunks import IdTable
+from tessera.llm.common import groups, table
 
 MARK, HIDDEN_MARK, UNMARKED = "▁", "\0", float("-inf")
 N_BEST = 4
-CACHE, CACHE_CHARS = 600_000, 20_000_000
-_chunk = re.compile(r" +[^ ]*|[^ ]+")
+TABLE_BITS = 20
+LISTS, LISTED_CHARS = 20_000, 32
+
+
+def _load(path: str) -> tuple[list[bytes], dict[str, tuple[bytes, float] | None], list[bytes], float]:
+    """(what each id decodes to, pieces with their ids as they are stored and scores, ids of byte pieces, their score)."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    size = model.get_piece_size()
+    norm = math.log(sum(1 / (r + 1) for r in range(size)))
+    spelled, edge, byte_id = [b""] * size, {}, [b""] * 256
+    for i in range(size):
+        name = model.id_to_piece(i)
+        if model.is_byte(i):
+            byte_id[int(name[3:5], 16)] = i.to_bytes(4, "little")
+            spelled[i] = bytes([int(name[3:5], 16)])
+        elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
+            if MARK in name.lstrip(MARK):
+                raise ValueError("a piece has the mark after another character")
+            edge[name] = (i.to_bytes(4, "little"), -math.log(1 - model.get_score(i)) - norm)
+            spelled[i] = name.replace(MARK, " ").encode()
+    return spelled, edge, byte_id, -math.log(size + 1) - norm
 
 
 class Pieces:
     def __init__(self, path: str) -> None:
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        size = model.get_piece_size()
-        norm = math.log(sum(1 / (r + 1) for r in range(size)))
-        self.spelled: list[bytes] = [b""] * size  # by id, what it decodes to
-        self.edge: dict[str, tuple[tuple[int, ...], float] | None] = {}
-        self.byte_id = [0] * 256
-        for i in range(size):
-            name = model.id_to_piece(i)
-            if model.is_byte(i):
-                self.byte_id[int(name[3:5], 16)] = i
-                self.spelled[i] = bytes([int(name[3:5], 16)])
-            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                if MARK in name.lstrip(MARK):
-                    raise ValueError("a piece has the mark after another character")
-                self.edge[name] = ((i,), -math.log(1 - model.get_score(i)) - norm)
-                self.spelled[i] = name.replace(MARK, " ").encode()
-        self.byte_score = -math.log(size + 1) - norm
+        self.spelled, self.edge, self.byte_id, self.byte_score = _load(path)
         for name in list(self.edge):  # None: begins a piece, but is none
             for k in range(1, len(name)):
                 self.edge.setdefault(name[:k], None)
-        self.forget()
+        self.ending = {name: found for name, found in self.edge.items() if found}  # None: ends a piece, but is none
+        for name in list(self.ending):
+            for k in range(1, len(name)):
+                self.ending.setdefault(name[k:], None)
+        self.table = IdTable(self.found, 2, TABLE_BITS)
+        self.lists: dict[tuple[str, int], list] = {}
 
-    def forget(self) -> None:
-        self.held = 0
-        self.place: dict[str, int] = {}
-        self.ids: list[bytes] = []
-        self.score, self.loss = np.zeros(CACHE), np.zeros(CACHE)
+    def found(self, chunks: list[str]) -> list[tuple[bytes, float, float]]:
+        """(ids, score, loss of the second-best) of chunks that begin with a space."""
+        known = {key: rest for key, *rest in self.first_two([c[1:] for c in chunks])}
+        return [tuple(known[c[1:]]) for c in chunks]
 
     # lattice of one chunk
 
-    def lattice(self, key: str) -> tuple[int, list[list[tuple[int, float, tuple[int, ...]]]], list[float]]:
+    def lattice(self, key: str) -> tuple[int, list[list[tuple[int, float, bytes]]], list[float]]:
         """(length, by end node the edges (start, score, ids), forward Viterbi scores) of the chunk " " + key."""
         body = key.lstrip(" ")
         s = MARK * (1 + len(key) - len(body)) + body.replace(MARK, HIDDEN_MARK)
@@ -89,93 +96,120 @@ class Pieces:
             if not get(c):
                 raw = (MARK if c == HIDDEN_MARK and body[i - n] == MARK else c).encode()
                 score = len(raw) * self.byte_score
-                into[i + 1].append((i, score, tuple(self.byte_id[b] for b in raw)))
+                into[i + 1].append((i, score, b"".join(self.byte_id[b] for b in raw)))
                 best[i + 1] = max(best[i + 1], at + score)
         return n, into, best
 
     def n_best(self, key: str, n_best: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n_best segmentations of a chunk by A-star from its end; ties by the later hypothesis."""
+        """The n_best segmentations of a chunk, kept for frequent ones."""
+        found = self.lists.get((key, n_best))
+        if found is None:
+            if len(self.lists) > LISTS:
+                self.lists.clear()
+            found = self.search(key, n_best)
+            if len(key) < LISTED_CHARS:
+                self.lists[key, n_best] = found
+        return found
+
+    def search(self, key: str, n_best: int) -> list[tuple[float, tuple[int, ...]]]:
+        """A-star from the end of a chunk; among ties the later hypothesis goes first."""
         n, into, best = self.lattice(key)
         queue: list = [(-best[n], 0, n, 0.0, None)]
         made, out = 0, []
         while queue and len(out) < n_best:
             _, _, node, done, path = heapq.heappop(queue)
             if node == 0:
-                ids: list[int] = []
+                ids = []
                 while path:
-                    ids += path[0]
+                    ids.append(path[0])
                     path = path[1]
-                out.append((done, tuple(ids)))
+                out.append((done, tuple(np.frombuffer(b"".join(ids), "<u4").tolist())))
                 continue
             for start, score, ids in into[node]:
                 made -= 1
                 heapq.heappush(queue, (-(best[start] + done + score), made, start, done + score, (ids, path)))
         return out
 
-    def first_two(self, key: str) -> tuple[bytes, float, float]:
-        """(ids, score, loss of the second-best) of a chunk, from forward and backward scores."""
-        n, into, best = self.lattice(key)
-        path, on, node = [], set(), n
-        while node:
-            for k, (start, score, ids) in enumerate(into[node]):
-                if best[start] + score == best[node]:
+    def first_two(self, keys: list[str]) -> Iterator[tuple[str, bytes, float, float]]:
+        """(chunk, its ids, score, loss of the second-best): forward Viterbi with the two best scores of each node.
+
+        Chunks are taken in order, so that each begins with the nodes that it shares with the one before."""
+        best, second, came, spelled = [0.0], [UNMARKED], [0], [b""]
+        get, before = self.ending.get, ""
+        for key in sorted(keys):
+            body = key.lstrip(" ")
+            raw = " " * (1 + len(key) - len(body)) + body
+            s = MARK * (len(raw) - len(body)) + body.replace(MARK, HIDDEN_MARK)
+            n, same = len(s), 0
+            for x, y in zip(raw, before):
+                if x != y:
                     break
-            on.add((node, k))
-            path.append(ids)
-            node = start
-        back = [UNMARKED] * (n + 1)
-        back[n], second = 0.0, UNMARKED
-        for end in range(n, 0, -1):
-            for k, (start, score, _) in enumerate(into[end]):
-                after = back[end] + score
-                if after > back[start]:
-                    back[start] = after
-                if best[start] + after > second and (end, k) not in on:
-                    second = best[start] + after
-        flat = [i for ids in reversed(path) for i in ids]
-        return np.array(flat, "<u4").tobytes(), best[n], best[n] - second
+                same += 1
+            before = raw
+            del best[same + 1 :], second[same + 1 :], came[same + 1 :], spelled[same + 1 :]
+            for j in range(same + 1, n + 1):
+                top, next_, start, text, i = UNMARKED, UNMARKED, j, b"", j
+                while i:
+                    i -= 1
+                    found = get(s[i:j], 0)
+                    if found:
+                        ids, score = found
+                        value = best[i] + score
+                        if value > top:
+                            other = second[i] + score
+                            next_ = top if top > other else other
+                            top, start, text = value, i, ids
+                        elif value > next_:
+                            next_ = value
+                    elif found == 0:
+                        break
+                if not get(s[j - 1]):
+                    code = raw[j - 1].encode()
+                    score, value = len(code) * self.byte_score, best[j - 1] + len(code) * self.byte_score
+                    if value > top:
+                        next_ = max(top, second[j - 1] + score)
+                        top, start, text = value, j - 1, b"".join(self.byte_id[b] for b in code)
+                    else:
+                        next_ = max(next_, value)
+                best.append(top)
+                second.append(next_)
+                came.append(start)
+                spelled.append(text)
+            path, node = [], n
+            while node:
+                path.append(spelled[node])
+                node = came[node]
+            path.reverse()
+            yield key, b"".join(path), best[n], best[n] - second[n]
 
     # whole texts
 
-    def chunks(self, text: str) -> list[str]:
-        """Chunks of " " + text without their first space."""
-        if "  " in text or text[:1] == " " or text[-1:] == " ":
-            return [c[1:] for c in _chunk.findall(" " + text)]
-        return text.split(" ") if text else []
-
-    def learn(self, wanted: set[str], all_of: set[str]) -> None:
-        """Searches the chunks that aren't kept; when too many are, keeps only all_of this batch."""
-        if len(self.ids) + len(wanted) > CACHE or self.held > CACHE_CHARS:
-            self.forget()
-            wanted = all_of
-            if len(wanted) > CACHE:
-                self.score, self.loss = np.zeros(len(wanted)), np.zeros(len(wanted))
-        for key in wanted:
-            if key not in self.place:
-                ids, score, loss = self.first_two(key)
-                k = self.place[key] = len(self.ids)
-                self.ids.append(ids)
-                self.score[k], self.loss[k] = score, loss
-                self.held += len(key)
-
-    def encode(self, texts: list[str], n_best: int = N_BEST) -> list[tuple[bytes, list[tuple[float, list[tuple[int, tuple[int, ...]]]]]]]:
-        """By text: ids of the best segmentation, and the N best as (score, [(chunk, its ids), ...] where they differ from the best)."""
-        split = [self.chunks(t) for t in texts]
-        all_of = set().union(*split)
-        self.learn(all_of - self.place.keys(), all_of)
+    def encode(self, texts: list[bytes], n_best: int = N_BEST) -> list[tuple[np.ndarray, list[tuple[float, list[tuple[int, tuple[int, ...]]]]]]]:
+        """By text: ids of the best segmentation, and the N best as (score, [(chunk, its ids), ...] where they differ from the best).
+
+        A chunk is a run of spaces with what follows it up to the next; a text that isn't empty gets a space in front."""
+        marked = [b" " + t if t else t for t in texts]
+        data, offsets = np.frombuffer(b"".join(marked), np.uint8), np.cumsum([0, *map(len, marked)])
+        begins = np.append((data == 32) & (np.concatenate([[0], data[:-1]]) != 32), False)
+        begins[offsets] = True
+        starts = np.flatnonzero(begins[:-1])
+        at = self.table.places(data, starts)
+        ids, ends = self.table.gather(at), np.concatenate([[0], np.cumsum(self.table.size[at])])
+        score, loss = self.table.numbers[at].T
+        bounds, stops = np.searchsorted(starts, offsets).tolist(), np.append(starts[1:], len(data))
         out = []
-        for keys in split:
-            at = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))
-            best = float(self.score[at].sum())
-            out.append((b"".join(map(self.ids.__getitem__, at.tolist())), self.combined(keys, best, self.loss[at], n_best)))
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            key = lambda k, lo=lo: data[starts[lo + k] + 1 : stops[lo + k]].tobytes().decode()
+            out.append((ids[ends[lo] : ends[hi]], self.combined(key, float(score[lo:hi].sum()), loss[lo:hi], n_best)))
         return out
 
-    def combined(self, keys: list[str], best: float, loss: np.ndarray, n_best: int) -> list[tuple[float, list]]:
-        if n_best <= 1 or not keys:
+    def combined(self, key, best: float, loss: np.ndarray, n_best: int) -> list[tuple[float, list]]:  # noqa: ANN001
+        """The N best of a text from its chunks key(0), key(1), ..., their losses, and the score of the best."""
+        if n_best <= 1 or not len(loss):
             return [(best, [])]
-        few = min(n_best - 1, len(keys))
+        few = min(n_best - 1, len(loss))
         near = np.sort(np.argpartition(loss, few - 1)[:few])
-        lists = [[(x, ids) for x, ids in self.n_best(keys[k], n_best)] for k in near.tolist()]
+        lists = [self.n_best(key(k), n_best) for k in near.tolist()]
         first = (0,) * few
         queue, seen, out = [(0.0, first)], {first}, []
         while queue and len(out) < n_best:
@@ -189,10 +223,22 @@ class Pieces:
         return out
 
     def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.spelled.__getitem__, ids.tolist())).decode()[1:]
+        return decoded_text(self.spelled, ids)
+
+
+def decoded_text(spelled: list[bytes], ids: np.ndarray) -> str:
+    return b"".join(map(spelled.__getitem__, ids.tolist())).decode()[1:]
 
 
 _models: dict[str, Pieces] = {}
+_spellings: dict[str, list[bytes]] = {}
+
+
+def spellings(path: str) -> list[bytes]:
+    """What each id decodes to; a worker that only decodes keeps no lattice."""
+    if path not in _spellings:
+        _spellings[path] = _load(path)[0]
+    return _spellings[path]
 
 
 def pieces(path: str) -> Pieces:
@@ -210,13 +256,14 @@ def default_path() -> str:
 CHANGE = "array<struct<score:double,changes:array<struct<chunk:int,ids:array<int>>>>>"
 
 
-def encode_pieces(docs: DataFrame, path: str, n_best: int = N_BEST) -> DataFrame:
+def encode_pieces(docs: DataFrame, path: str, n_best: int = N_BEST, decode: bool = False) -> DataFrame:
     """docs with columns ids (binary, little-endian unsigned 32-bit), n_tokens and nbest in place of any columns of these names.
 
     nbest holds the scores of the N best segmentations and the chunks where each differs from the best.
-    A null or empty text has no tokens and the score 0. Ties go to the segmentation found first.
+    A null or empty text has no tokens and the score 0. Ties go to the segmentation found first. With decode, decoded has
+    what decode_pieces() makes of the ids, in the same pass over the texts.
     """
-    added = {"ids": "binary", "n_tokens": "long", "nbest": CHANGE}
+    added = {"ids": "binary", "n_tokens": "long", "nbest": CHANGE} | ({"decoded": "string"} if decode else {})
     kept = docs.drop(*added)
     change = pa.list_(pa.struct([("chunk", pa.int32()), ("ids", pa.list_(pa.int32()))]))
     kind = pa.list_(pa.struct([("score", pa.float64()), ("changes", change)]))
@@ -224,12 +271,16 @@ def encode_pieces(docs: DataFrame, path: str, n_best: int = N_BEST) -> DataFrame
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for big in batches:
-            for lo in range(0, big.num_rows, 128):
-                batch = big.slice(lo, 128)
-                found = model.encode([x or "" for x in batch.column("text").to_pylist()], n_best)
-                ids = [x for x, _ in found]
+            lo = 0
+            for own, texts in groups(list(range(big.num_rows)), big.column("text").cast(pa.binary()).fill_null(b"")):
+                batch = big.slice(lo, len(own))
+                lo += len(own)
+                found = model.encode(texts, n_best)
+                ids = [x.astype("<u4").tobytes() for x, _ in found]
                 best = [[{"score": s, "changes": [{"chunk": c, "ids": list(i)} for c, i in changes]} for s, changes in x] for _, x in found]
                 columns = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(best, kind)]
+                if decode:
+                    columns.append(pa.array([model.decode(np.frombuffer(x, "<u4")) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *added])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema]
@@ -240,11 +291,11 @@ def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
     """encoded with the column decoded, from ids alone."""
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pieces(path)
+        spelled = spellings(path)
         for big in batches:
             for lo in range(0, big.num_rows, 512):
                 batch = big.slice(lo, 512)
-                texts = [None if x is None else model.decode(np.frombuffer(x, "<u4")) for x in batch.column("ids").to_pylist()]
+                texts = [None if x is None else decoded_text(spelled, np.frombuffer(x, "<u4")) for x in batch.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != "decoded"]
@@ -255,7 +306,7 @@ def op6_pieces(spark: SparkSession, sf_dir: str, path: str | None = None) -> Dat
     """Encodes all documents, decodes what came out, and compares it with the text."""
     path = path or default_path()
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = decode_pieces(encode_pieces(docs, path), path)
+    found = encode_pieces(docs, path, decode=True)
     return found.select(
         "doc_id",
         "n_tokens",

@@ -228,12 +228,13 @@ def test_token_files(spark, folder, docs):
     assert [tuple(r) for r in found] == wanted
 
 
-@pytest.mark.parametrize("text", ["", "  a   b", "a\n b", "a\n \n b ", "x<|endoftext|> y", "it's  ok\r\n  z  q", " \t ", "a\x1c b", "é à  ü"])
+@pytest.mark.parametrize("text", ["", "  a   b", "a\n b", "a\n \n b ", "x<|endoftext|> y", "it's  ok\r\n  z  q", " \t ", "a\x1c b", "é à  ü", "it's we'll don't' x've, end.\nNext a.b;c² d²e, <|endoftext|>x y<|z", "日本, ok... $$$ a%%%", "a\u3000 b\u00a0 c\u2003 d\u0085 e à ,f　 g"])
 def test_encoder_cuts_like_the_library(text):
     import public_tokenizers
 
     tool = pfor.encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    assert tool.encode([text]) == [np.array(tool.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+    for texts in ([text], ["", text, "x", text + text]):
+        assert [x.tolist() for x in tool.encode([t.encode() for t in texts])] == [tool.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 4000])
@@ -365,7 +366,7 @@ def every_path(model, key):
             yield 0.0, ()
         for start, score, ids in into[end]:
             for s, p in paths(start):
-                yield s + score, p + ids
+                yield s + score, p + tuple(np.frombuffer(ids, "<u4").tolist())
 
     return sorted(paths(n), reverse=True)
 
@@ -377,7 +378,8 @@ def test_n_best_of_a_chunk(key):
     found = model.n_best(key, 5)
     assert [s for s, _ in found] == pytest.approx([s for s, _ in brute[:5]])
     assert len({p for _, p in found}) == len(found)
-    ids, best, loss = model.first_two(key)
+    _, ids, best, loss = {x[0]: x for x in model.first_two([key, "hell", "▁y", "日", "\x00▁", "hello there"])}[key]
+    assert tuple(np.frombuffer(ids, "<u4")) in {p for s, p in found if s == pytest.approx(best)}
     assert best == pytest.approx(brute[0][0]) and (len(brute) == 1 or loss == pytest.approx(brute[0][0] - brute[1][0]))
 
 
@@ -385,13 +387,28 @@ def test_n_best_of_a_text():
     model = pieces.Pieces(pieces.default_path())
     text = "ab cde ab"
     brute = [(sum(s for s, _ in p)) for p in __import__("itertools").product(*[every_path(model, k) for k in text.split(" ")])]
-    ((ids, best),) = model.encode([text], 6)
+    ((ids, best),) = model.encode([text.encode()], 6)
     assert [s for s, _ in best] == pytest.approx(sorted(brute, reverse=True)[:6])
 
 
+def test_kept_chunks_may_go(monkeypatch):
+    monkeypatch.setattr(pieces, "TABLE_BITS", 7)
+    model = pieces.Pieces(pieces.default_path())
+    monkeypatch.setattr(pieces, "TABLE_BITS", 12)
+    fresh = pieces.Pieces(pieces.default_path())
+    plain = lambda found: [(x.tolist(), best) for x, best in found]
+    for k in range(30):
+        text = " ".join(f"word{i % 37} the {i * k}" for i in range(k, k + 12 + 60 * (k == 20))).encode()
+        assert plain(model.encode([text, b"", text[::-1], b"  a "])) == plain(fresh.encode([text, b"", text[::-1], b"  a "]))
+        fresh.table.clear()
+
+
 def test_pieces_round_trip(spark, folder, docs):
     found = rows(spark, "op6_pieces", folder)
     assert len(found) == len(docs) and all(r.round_trip for r in found)
+    path = pieces.default_path()
+    encoded = pieces.encode_pieces(spark.read.parquet(f"{folder}/documents.parquet"), path).select("text", "ids")
+    assert all(r.decoded == (r.text or "") for r in pieces.decode_pieces(encoded, path).collect())
     assert all(list(r.nbest_scores) == sorted(r.nbest_scores, reverse=True) for r in found)
 
 
