@@ -16,7 +16,7 @@ from tessera.llm.common import materialize, table
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.language import keep_identified, train_on_folds
 from tessera.llm.lines import dedup_lines
-from tessera.llm.pieces import decode_pieces, default_path, encode_pieces
+from tessera.llm.pieces import default_path, encode_pieces
 from tessera.llm.simhash import simhash_dedup
 
 
@@ -39,8 +39,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = ["ids", "n_tokens", "decoded"]
-    path = default_path()
-    found = decode_pieces(encode_pieces(docs, path), path)
+    found = encode_pieces(docs, default_path(), decode=True)
     others = [c for c in docs.columns if c.lower() not in (*own, "text", "nbest")]
     return found.select(*others, F.col("decoded").alias("text"), "n_tokens", "ids")
 
