@@ -25,8 +25,10 @@ FOLDS, HELD_OUT_FOLD = 4, 2
 KEPT = 20_000
 SWITCH = 6.0  # nats
 SCRIPT_SHARE = 0.001  # of a language's training letters, to count a script as its own
-COUNTER_CAP, CACHE, LANES = 200_000, 400_000, 128
+COUNTER_CAP, CACHE = 200_000, 400_000
+GRID, LANES, LEAST_LANES = 1 << 20, 512, 16
 MIN_SCORE = 0.5
+PUNCTUATION = ".,;:!?()[]{}\"'|-*#%&$0123456789"
 
 # fixed values: blocks of scripts, by first code point
 SCRIPTS = [
@@ -45,35 +47,38 @@ _starts = [s for s, _ in SCRIPTS]
 
 def script_of(word: str) -> str:
     """The script of most letters; the first such on a tie."""
+    if max(word) < "\u0370":
+        return "latin"
     seen = Counter(SCRIPTS[bisect_right(_starts, ord(c)) - 1][1] for c in word)
     return max(seen, key=seen.__getitem__)
 
 
 def letters(token: str) -> str:
-    return "".join(filter(str.isalpha, token))
-
-
-def trigrams(word: str) -> list[str]:
-    s = f"^{word}$"
-    return [s[i : i + 3] for i in range(len(s) - 2)]
+    if not token.isalpha():
+        token = token.strip(PUNCTUATION)
+        if not token.isalpha():
+            return "".join(filter(str.isalpha, token))
+    return token
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: dict[str, Counter] = defaultdict(Counter)
 
     def flush() -> pa.RecordBatch:
-        grams: Counter = Counter()
+        names, found, sizes = [], [], []
         for lang, counts in words.items():
-            merged: Counter = Counter()
+            grams: dict[str, int] = defaultdict(int)
             for token, n in counts.items():
                 if word := letters(token):
-                    merged[word] += n
-            for word, n in merged.items():
-                grams[lang, f"!{script_of(word)}"] += n * len(word)
-                for g in trigrams(word):
-                    grams[lang, g] += n
+                    grams["!" + script_of(word)] += n * len(word)
+                    s = f"^{word}$"
+                    for i in range(len(word)):
+                        grams[s[i : i + 3]] += n
+            names += [lang] * len(grams)
+            found += grams
+            sizes += grams.values()
         words.clear()
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in grams], pa.string()), pa.array([g for _, g in grams], pa.string()), pa.array(grams.values(), pa.int64())], ["lang", "gram", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.string()), pa.array(sizes, pa.int64())], ["lang", "gram", "n"])
 
     for batch in batches:
         for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist()):
@@ -90,62 +95,78 @@ class Model:
     def __init__(self, rows: list[tuple[str, str, int, int]]) -> None:
         """rows: (lang, trigram or "!script", count, all trigrams of lang)."""
         self.langs = sorted({r[0] for r in rows})
-        place = {x: k for k, x in enumerate(self.langs)}
+        at = {x: k for k, x in enumerate(self.langs)}
         totals = np.ones(len(self.langs))
         scripts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(self.langs)))
         for lang, gram, n, total in rows:
-            totals[place[lang]] = total
+            totals[at[lang]] = total
             if gram[0] == "!" and len(gram) > 3:
-                scripts[gram[1:]][place[lang]] = n
+                scripts[gram[1:]][at[lang]] = n
         all_letters = sum(scripts.values(), np.zeros(len(self.langs)))
         self.scripts = {s: n > SCRIPT_SHARE * np.maximum(all_letters, 1) for s, n in scripts.items()}
         self.floor = -np.log(totals + KEPT)
         counts: dict[str, np.ndarray] = {}
         for lang, gram, n, _ in rows:
             if not (gram[0] == "!" and len(gram) > 3):
-                counts.setdefault(gram, np.zeros(len(self.langs)))[place[lang]] = n
-        self.grams = {g: np.log(n + 1) + self.floor for g, n in counts.items()}
+                counts.setdefault(gram, np.zeros(len(self.langs)))[at[lang]] = n
+        self.place = {g: k + 1 for k, g in enumerate(counts)}
+        self.grams = np.log(np.array([np.zeros(len(self.langs)), *counts.values()]) + 1) + self.floor  # row 0: any other trigram
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {}
+        self.known: dict[str, int] = {}
         self.scores = np.zeros((1024, len(self.langs)), np.float32)
         self.size = np.zeros(1024, np.int32)
 
-    def word_scores(self, word: str) -> np.ndarray:
-        out = sum((self.grams.get(g, self.floor) for g in trigrams(word)), np.zeros(len(self.langs)))
-        fits = self.scripts.get(script_of(word))
-        if fits is None or not fits.any():
-            return np.zeros(len(self.langs))  # no language of training uses the script: no evidence
-        out = np.where(fits, out, out.min() - 10.0)
-        return out - out.max()
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """By word, which has letters, its scores; 0 for the best language."""
+        get, rows = self.place.get, []
+        for word in words:
+            s = f"^{word}$"
+            rows += [get(s[i : i + 3], 0) for i in range(len(word))]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        out = np.add.reduceat(self.grams[rows], np.cumsum(sizes) - sizes)
+        # a script of no language is no evidence
+        every = np.ones(len(self.langs), bool)
+        masks = [self.scripts.get(script_of(w)) for w in words]
+        blind = np.array([m is None or not m.any() for m in masks])
+        fits = np.array([every if m is None else m for m in masks])
+        out = np.where(fits, out, out.min(axis=1, keepdims=True) - 10.0)
+        out -= out.max(axis=1, keepdims=True)
+        out[blind] = 0
+        return out
 
     def learn(self, wanted: set[str], batch: set[str]) -> None:
-        if len(self.place) > CACHE:
+        if len(self.known) > CACHE:
             self.forget()
             wanted = batch
-        need = len(self.place) + len(wanted)
+        need = len(self.known) + len(wanted)
         if need > len(self.size):
             more = max(need, 2 * len(self.size)) - len(self.size)
             self.scores = np.concatenate([self.scores, np.zeros((more, len(self.langs)), np.float32)])
             self.size = np.concatenate([self.size, np.zeros(more, np.int32)])
-        for token in wanted:
-            k = self.place[token] = len(self.place)
-            word = letters(token)
-            self.size[k] = len(word)
-            if word and self.langs:
-                self.scores[k] = self.word_scores(word)
+        new = list(wanted)
+        words = list(map(letters, new))
+        first = len(self.known)
+        self.known.update(zip(new, range(first, first + len(new))))
+        self.size[first : first + len(new)] = list(map(len, words))
+        full = [k for k, w in enumerate(words) if w]
+        if full and self.langs:
+            self.scores[first + np.array(full)] = self.word_scores([words[k] for k in full])
 
     def label(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """By text (language of each token, letters of each token); tokens are runs without white space."""
         split = [t.lower().split() for t in texts]
         batch = set().union(*split)
-        self.learn(batch - self.place.keys(), batch)
-        ids = [np.fromiter(map(self.place.__getitem__, x), np.int32, len(x)) for x in split]
+        self.learn(batch - self.known.keys(), batch)
+        ids = [np.fromiter(map(self.known.__getitem__, x), np.int32, len(x)) for x in split]
         out: list = [None] * len(texts)
         order = np.argsort([-len(x) for x in ids], kind="stable")
-        for lo in range(0, len(order), LANES):
-            lane = order[lo : lo + LANES]
+        lo = 0
+        while lo < len(order):
+            # long texts go in fewer at a time, which bounds the grid
+            lane = order[lo : lo + max(LEAST_LANES, min(LANES, GRID // max(1, len(ids[order[lo]]))))]
+            lo += len(lane)
             for k, path in zip(lane, viterbi([self.scores[ids[k]] for k in lane])):
                 out[k] = (path, self.size[ids[k]])
         return out
@@ -219,13 +240,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     A null text, or one without a letter, is "und" with score 0. Only the text decides.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.grams, model.floor, model.scripts))
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.place, model.grams, model.scripts))
     kept = docs.drop(*PREDICTED)
     span = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int32())]))
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model([])
-        own.langs, own.grams, own.floor, own.scripts = shared.value
+        own.langs, own.place, own.grams, own.scripts = shared.value
         own.forget()
         for big in batches:
             for lo in range(0, big.num_rows, 2 * LANES):
