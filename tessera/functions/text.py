@@ -191,9 +191,12 @@ def bleu(candidate: Column, reference: Column, n: int = 1) -> Column:
 
     split = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda t: t != "")
     a, b, logs, first = split(candidate), split(reference), F.lit(0.0), None
+    def common(x: Column, y: Column) -> Column:
+        return F.aggregate(F.array_distinct(x), F.lit(0), lambda s, g: s + F.least(F.size(F.filter(x, lambda t: t == g)), F.size(F.filter(y, lambda t: t == g))))
+
     for k in range(1, n + 1):
         x, y = grams(a, k), grams(b, k)
-        hits = F.aggregate(F.array_distinct(x), F.lit(0), lambda s, g, x=x, y=y: s + F.least(F.size(F.filter(x, lambda t: t == g)), F.size(F.filter(y, lambda t: t == g))))
+        hits = common(x, y)
         first = hits if first is None else first
         logs = logs + F.log(F.greatest(hits.cast("double"), F.lit(0.1)) / F.greatest(F.size(x), F.lit(1)))
     short = F.when(F.size(a) > F.size(b), 0.0).otherwise(1 - F.size(b) / F.greatest(F.size(a), F.lit(1)))
