@@ -33,7 +33,7 @@ def sample_by_rate(df: DataFrame, key: str, stratum: str, rates: dict[str, float
     """Of each stratum max(1, int(n * rate)) rows, none of an empty one."""
     rate = F.coalesce(*[F.when(F.col(stratum) == k, F.lit(r)) for k, r in rates.items()], F.lit(0.0))
     sizes = df.groupBy(stratum).agg(F.count("*").alias("_size")).withColumn("_take", F.greatest(F.lit(1), F.floor(F.col("_size") * rate)))
-    return hash_rank(df, key, [stratum], seed).join(F.broadcast(sizes.limit(10_000)), stratum).where("rank <= _take").drop("_size", "_take", "rank")
+    return hash_rank(df, key, [stratum], seed).join(sizes, stratum).where("rank <= _take").drop("_size", "_take", "rank")
 
 
 def ratio_counts(available: dict[str, int], ratios: dict[str, float]) -> dict[str, int]:

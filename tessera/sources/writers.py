@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MODES = {"mode": "overwrite"}
+MOST_ROWS = 1000
 
 
 def json_lines(df: DataFrame, path: str, by: str | None = None) -> None:
@@ -39,7 +39,10 @@ def read_detections(spark, path: str) -> DataFrame:  # noqa: ANN001
 
 def _rows(metrics: DataFrame) -> tuple[list[str], list[list[str]]]:
     show = lambda v: "-" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
-    return metrics.columns, [[show(v) for v in r] for r in metrics.limit(1000).collect()]
+    rows = metrics.limit(MOST_ROWS + 1).collect()
+    if len(rows) > MOST_ROWS:
+        raise ValueError(f"a report holds {MOST_ROWS} rows at most; write larger tables as files")
+    return metrics.columns, [[show(v) for v in r] for r in rows]
 
 
 def markdown(metrics: DataFrame, title: str) -> str:
