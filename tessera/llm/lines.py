@@ -365,7 +365,7 @@ def similar_lines(docs: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
     texts = rows.select(key.alias("d"), F.col("row").alias("e"), "text").join(by_row, ["d", "e"]).select("text", "wanted")
     sets = materialize(texts.mapInArrow(_line_sets, "a long, d long, e long, n int, tokens binary").dropDuplicates(["a", "d", "e", "n"]), "sets")
 
-    gone = materialize(_similar(pairs, sets), "similar")
+    gone = materialize(_similar(pairs, sets), "similar")  # each round adds the classes it found, and rewrites none
     longest = long_lists.agg(F.max("k")).first()[0] or 0
     lo, width = 0, FIRST_WINDOW
     # members that no comparison has removed yet meet the next window of their lists
@@ -378,10 +378,10 @@ def similar_lines(docs: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
             F.least(F.col("x_size") - F.col("x_idx"), F.col("y_size") - F.col("y_idx")) >= need
         )
         met = x.join(y, "token").where((F.col("x") != F.col("y")) & fits).select("x", "y").distinct()
-        gone = materialize(gone.union(_similar(met, sets)).distinct(), "similar")
+        gone = gone.union(materialize(_similar(met, sets), "similar"))
         lo, width = lo + width, width * WIDEN
 
-    removed = found.where("kind = 1").select("d", "e", "n").union(places.join(gone, "a").select("d", "e", "n"))
+    removed = found.where("kind = 1").select("d", "e", "n").union(places.join(gone.distinct(), "a").select("d", "e", "n"))
     return removed.select(F.when(F.col("d") != F.lit(NOBODY).cast("long"), F.col("d")).alias("doc_id"), F.col("e").alias("row"), F.col("n").alias("line"))
 
 
