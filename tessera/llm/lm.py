@@ -8,9 +8,10 @@ smoothed share of that class's training tokens, (c + 1) / (N_k + V_k + 1), with
 words. The probabilities of all words and one unseen word per tail class add up to one.
 
 Weights are learned with truncated backpropagation (windows of WINDOW tokens, the state carried from
-window to window) on SAMPLE_DOCS training texts, the smallest by a hash of the row. That is the bound of
-the sample; word counts, class totals and scores cover all rows. When scoring, the state is carried
-across windows to the end of each document.
+window to window). The driver only begins them, on SAMPLE_DOCS training texts; then every training row is
+learned from, in ROUNDS rounds: each row belongs to one round, the tasks of a round learn from their rows
+of it, from the same weights, and what they learned is averaged by their tokens. A text of any length goes
+through its lane window by window. When scoring, the state is carried across windows to the end of each document.
 
 The TOP most frequent words are broadcast (a bound of a few megabytes). Other words of a document are
 joined with the counts on the word, so nothing that grows with the corpus reaches one task or the driver.
@@ -18,6 +19,7 @@ joined with the counts on the word, so nothing that grows with the corpus reache
 
 from __future__ import annotations
 
+import copy
 import math
 import zlib
 from collections import Counter
@@ -37,6 +39,7 @@ HEAD, CLASS_WORDS, TAIL, TOP = 4096, 64, 32, 1 << 18
 HEAD_CLASSES = HEAD // CLASS_WORDS
 HIDDEN, WINDOW, STREAMS, EPOCHS, RATE = 32, 24, 48, 4, 0.01
 SAMPLE_DOCS, SAMPLE_BYTES = 1500, 1 << 16
+ROUNDS, ROUND_RATE, STEP_TOKENS, WEIGHT_PARTS, TASKS_PER_CORE = 4, 0.002, 4096, 64, 2
 COUNTER_CAP = 200_000
 LANES, SCORED_WINDOW = 256, 32
 FOLDS, HELD_OUT_FOLD = 7, 2
@@ -94,6 +97,20 @@ class Lookup(dict):
         return -1 - tail_class(word)
 
 
+class ModelIds(dict):
+    """Word to its id in the network: its place in the head, or HEAD and its tail class."""
+
+    def __missing__(self, word: bytes) -> int:
+        return HEAD + tail_class(word)
+
+    def of(self, text: bytes) -> np.ndarray:
+        """Ids of a text and its end."""
+        words = text.lower().split()
+        out = np.zeros(len(words) + 1, np.int32)
+        out[:-1] = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        return out
+
+
 def vocabulary(counts: DataFrame) -> Vocabulary:
     by_tail = {r.tail: (r.n, r.d) for r in counts.where(F.col("word") != F.lit(END)).groupBy("tail").agg(F.sum("c").alias("n"), F.count("*").alias("d")).collect()}
     ends = counts.where(F.col("word") == F.lit(END)).agg(F.sum("c")).first()[0] or 0
@@ -214,24 +231,33 @@ def output_gradients(w: dict, states: np.ndarray, y: np.ndarray) -> tuple[dict,
     p /= len(y)
     grads = {"class": states.T @ p, "class_bias": p.sum(axis=0), "states": p @ w["class"].T}
     grads |= {k: np.zeros_like(w[k]) for k in ("word", "word_bias")}
+    by_class, targets, up = states[order], y[order] % CLASS_WORDS, np.zeros_like(states)
     for k in np.flatnonzero(np.diff(starts)).tolist():
-        at = order[starts[k] : starts[k + 1]]
-        s, target, rows = states[at], y[at] % CLASS_WORDS, np.arange(starts[k + 1] - starts[k])
+        at = slice(starts[k], starts[k + 1])
+        s, target, rows = by_class[at], targets[at], np.arange(starts[k + 1] - starts[k])
         q = _softmax(s @ w["word"][k] + w["word_bias"][k])
         loss -= np.log(np.maximum(q[rows, target], 1e-30)).sum()
         q[rows, target] -= 1
         q /= len(y)
         grads["word"][k], grads["word_bias"][k] = s.T @ q, q.sum(axis=0)
-        grads["states"][at] += q @ w["word"][k].T
+        up[at] = q @ w["word"][k].T
+    grads["states"][order] += up
     return grads, float(loss) / len(y)
 
 
-def window_gradients(w: dict, x: np.ndarray, y: np.ndarray, h: np.ndarray, keep: np.ndarray) -> tuple[dict, np.ndarray, float]:
-    """Gradients of the mean loss over a window, backpropagated to its start; the last state; the loss."""
+def window_gradients(w: dict, x: np.ndarray, y: np.ndarray, h: np.ndarray, keep: np.ndarray, there: np.ndarray | None = None) -> tuple[dict, np.ndarray, float]:
+    """Gradients of the mean loss over a window, backpropagated to its start; the last state; the loss.
+
+    there (T, B): which places hold a token, all if None."""
     tape: list = []
     states, last = run_states(w, x, h, keep, tape)
-    g, loss = output_gradients(w, states.reshape(-1, HIDDEN), y.reshape(-1))
-    up = g.pop("states").reshape(states.shape)
+    if there is None:
+        g, loss = output_gradients(w, states.reshape(-1, HIDDEN), y.reshape(-1))
+        up = g.pop("states").reshape(states.shape)
+    else:
+        g, loss = output_gradients(w, states[there], y[there])
+        up = np.zeros_like(states)
+        up[there] = g.pop("states")
     g["u"], drive = np.zeros_like(w["u"]), np.empty((*x.shape, 3 * HIDDEN), np.float32)
     dh = np.zeros_like(h)
     for t in range(len(x) - 1, -1, -1):
@@ -240,22 +266,44 @@ def window_gradients(w: dict, x: np.ndarray, y: np.ndarray, h: np.ndarray, keep:
         dn = dh * (1 - z) * (1 - n * n)
         dz = dh * (before - n) * z * (1 - z)
         dr = dn * pull[:, 2 * HIDDEN :] * r * (1 - r)
-        drive[t] = np.concatenate([dz, dr, dn], axis=1)
-        dpull = np.concatenate([dz, dr, dn * r], axis=1)
+        into = drive[t]
+        into[:, :HIDDEN], into[:, HIDDEN : 2 * HIDDEN], into[:, 2 * HIDDEN :] = dz, dr, dn
+        dpull = into.copy()
+        dpull[:, 2 * HIDDEN :] *= r
         g["u"] += before.T @ dpull
         dh = (dh * z + dpull @ w["u"].T) * keep[t][:, None]
     g["x"] = np.zeros_like(w["x"])
-    np.add.at(g["x"], x.reshape(-1), drive.reshape(-1, 3 * HIDDEN))
+    order = np.argsort(x.reshape(-1), kind="stable")
+    ids, starts = np.unique(x.reshape(-1)[order], return_index=True)
+    g["x"][ids] = np.add.reduceat(drive.reshape(-1, 3 * HIDDEN)[order], starts, axis=0)
     return g, last, loss
 
 
-def train(w: dict, texts: list[np.ndarray]) -> list[float]:
+class Adam:
+    """Moments of the gradients, and steps along them."""
+
+    def __init__(self, w: dict) -> None:
+        self.first = {k: np.zeros_like(a) for k, a in w.items()}
+        self.second = {k: np.zeros_like(a) for k, a in w.items()}
+        self.steps = 0
+
+    def step(self, w: dict, g: dict, rate: float) -> None:
+        norm = math.sqrt(sum(float((a * a).sum()) for a in g.values()))
+        self.steps += 1
+        rate *= math.sqrt(1 - 0.999**self.steps) / (1 - 0.9**self.steps)
+        for k, a in g.items():
+            a *= min(1.0, 1.0 / (norm + 1e-9))
+            self.first[k] += 0.1 * (a - self.first[k])
+            self.second[k] += 0.001 * (a * a - self.second[k])
+            w[k] -= rate * self.first[k] / (np.sqrt(self.second[k]) + 1e-8)
+
+
+def train(w: dict, texts: list[np.ndarray], adam: Adam | None = None) -> list[float]:
     """Learns in place from texts, arrays of ids that end with the end's. The mean loss by epoch."""
     if not texts:
         return []
-    first = {k: np.zeros_like(a) for k, a in w.items()}
-    second = {k: np.zeros_like(a) for k, a in w.items()}
-    step, losses = 0, []
+    adam = adam or Adam(w)
+    losses = []
     for epoch in range(EPOCHS):
         order = np.random.default_rng(epoch).permutation(len(texts))
         line = np.concatenate([texts[i] for i in order])
@@ -270,18 +318,47 @@ def train(w: dict, texts: list[np.ndarray]) -> list[float]:
             part = slice(lo, lo + WINDOW)
             g, h, loss = window_gradients(w, x[part], y[part], h, keep[part])
             total.append(loss)
-            norm = math.sqrt(sum(float((a * a).sum()) for a in g.values()))
-            step += 1
-            rate = RATE * (1 - 0.9 * step / (EPOCHS * len(windows) + 1)) * math.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            for k, a in g.items():
-                a *= min(1.0, 1.0 / (norm + 1e-9))
-                first[k] += 0.1 * (a - first[k])
-                second[k] += 0.001 * (a * a - second[k])
-                w[k] -= rate * first[k] / (np.sqrt(second[k]) + 1e-8)
+            adam.step(w, g, RATE * (1 - 0.9 * (adam.steps + 1) / (EPOCHS * len(windows) + 1)))
         losses.append(float(np.mean(total)))
     return losses
 
 
+def train_stream(w: dict, adam: Adam, texts: Iterator[np.ndarray], rate: float) -> int:
+    """Learns in place from each token of texts once, LANES texts side by side; the number of tokens.
+
+    A lane takes the next text when its own ends; windows are summed up to STEP_TOKENS tokens a step."""
+    rests, last = [np.zeros(0, np.int32)] * LANES, np.zeros(LANES, np.int32)
+    h, total, held, summed = np.zeros((LANES, HIDDEN), np.float32), 0, 0, {}
+    while True:
+        y, n = np.zeros((WINDOW, len(rests)), np.int32), np.zeros(len(rests), np.int64)
+        for j, rest in enumerate(rests):
+            while n[j] < WINDOW and (len(rest) or (rest := next(texts, None)) is not None):
+                part = rest[: WINDOW - n[j]]
+                y[n[j] : n[j] + len(part), j] = part
+                n[j] += len(part)
+                rest = rest[len(part) :]
+            rests[j] = np.zeros(0, np.int32) if rest is None else rest
+        active = np.flatnonzero(n)
+        if len(active):
+            y, n, last, h, rests = y[: n.max(), active], n[active], last[active], h[active], [rests[j] for j in active]
+            x = np.concatenate([last[None], y[:-1]])
+            last = y[-1]
+            there = np.arange(len(y))[:, None] < n
+            g, h, _ = window_gradients(w, x, y, h, (x != 0).astype(np.float32), None if there.all() else there)
+            new = int(n.sum())
+            total, held = total + new, held + new
+            for k, a in g.items():  # the mean over all tokens held
+                if k in summed:
+                    summed[k] += (a - summed[k]) * np.float32(new / held)
+                else:
+                    summed[k] = a
+        if held and (held >= STEP_TOKENS or not len(active)):
+            adam.step(w, summed, rate)
+            held, summed = 0, {}
+        if not len(active):
+            return total
+
+
 def score_texts(w: dict, texts: list[np.ndarray]) -> np.ndarray:
     """Sum of log p (natural) over each text of ids, the state carried through the whole text."""
     total = np.zeros(len(texts))
@@ -354,8 +431,10 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     counts = materialize(word_counts(training.select("text")), "words")
     v = vocabulary(counts)
     weights = new_weights(v)
-    lookup = Lookup(zip(v.words, range(len(v.words))))
-    train(weights, [np.append(_model_ids(v, lookup, t), 0) for t in _sample(training)])
+    adam = Adam(weights)
+    ids = ModelIds(zip(v.words[:HEAD], range(HEAD)))
+    train(weights, [ids.of(t) for t in _sample(training)], adam)
+    weights = train_rounds(training, ids, weights, adam)
     shared = spark.sparkContext.broadcast((v, weights))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,11 +466,42 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     )
 
 
-def _model_ids(v: Vocabulary, lookup: Lookup, text: bytes) -> np.ndarray:
-    at = np.array([lookup[x] for x in text.lower().split()], np.int32)
-    out = HEAD - 1 - at
-    out[at >= 0] = v.model_id[at[at >= 0]]
-    return out
+def _sum_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    totals: dict[int, tuple] = {}
+    for batch in batches:
+        for part, n, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "n", "w"))):
+            tokens, total = totals.get(part, (0, 0.0))
+            totals[part] = (tokens + n, total + n * np.frombuffer(raw, "<f4").astype(np.float64))
+    if totals:
+        means = [(total / n).astype("<f4").tobytes() for n, total in totals.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(totals, pa.int32()), pa.array([n for n, _ in totals.values()], pa.int64()), pa.array(means, pa.binary())], ["part", "n", "w"])
+
+
+def train_rounds(training: DataFrame, ids: ModelIds, w: dict, adam: Adam) -> dict[str, np.ndarray]:
+    """Weights learned from all rows of training (doc_id, text), beginning with w and the moments of adam.
+
+    A task sends the weights in WEIGHT_PARTS parts that are averaged apart, so the driver gets one set of weights a round."""
+    spark = training.sparkSession
+    turn = F.floor(key_crc() / FOLDS) % ROUNDS
+    tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    schema = "part int, n long, w binary"
+    for r in range(ROUNDS):
+        shared, rate = spark.sparkContext.broadcast((ids, w, adam)), ROUND_RATE * (1 - r / ROUNDS)
+
+        def learned(batches: Iterator[pa.RecordBatch], shared=shared, rate=rate) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            ids, w, adam = copy.deepcopy(shared.value)
+            n = train_stream(w, adam, (ids.of(t.as_py()) for b in batches for t in b.column("text")), rate)
+            if n:
+                parts = np.array_split(np.concatenate([a.reshape(-1) for a in w.values()]), WEIGHT_PARTS)
+                yield pa.RecordBatch.from_arrays([pa.array(range(WEIGHT_PARTS), pa.int32()), pa.array([n] * WEIGHT_PARTS, pa.int64()), pa.array([p.astype("<f4").tobytes() for p in parts], pa.binary())], ["part", "n", "w"])
+
+        sent = training.where(turn == r).select("text").coalesce(tasks).mapInArrow(learned, schema)
+        means = sorted(sent.repartition("part").mapInArrow(_sum_weights, schema).collect())
+        if means:
+            flat = np.concatenate([np.frombuffer(bytes(m.w), "<f4") for m in means])
+            ends = np.cumsum([a.size for a in w.values()])
+            w = {k: x.reshape(a.shape).copy() for (k, a), x in zip(w.items(), np.split(flat, ends[:-1]))}
+    return w
 
 
 def _sample(training: DataFrame) -> list[bytes]:

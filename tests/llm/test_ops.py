@@ -210,6 +210,35 @@ def test_lm_state_is_carried_across_windows():
         assert s == pytest.approx(float(lm.log_probs(w, states[:, 0], t).sum()), rel=1e-4)
 
 
+def test_lm_stream_takes_every_token():
+    w = lm.new_weights(small_model())
+    rng = np.random.default_rng(6)
+    texts = [np.append(rng.integers(1, 4100, n), 0).astype(np.int32) for n in (*rng.integers(0, 60, 400), 3000)]
+    before = lm.score_texts(w, texts).sum()
+    assert lm.train_stream(w, lm.Adam(w), iter(texts), 0.002) == sum(map(len, texts))
+    assert lm.score_texts(w, texts).sum() > before
+
+
+def test_lm_gradients_of_some_places():
+    w = lm.new_weights(small_model())
+    rng = np.random.default_rng(8)
+    x, y = rng.integers(1, 4100, (5, 2)), rng.integers(1, 4100, (5, 2))
+    h, keep, there = np.zeros((2, lm.HIDDEN), np.float32), np.ones((5, 2), np.float32), np.ones((5, 2), bool)
+    there[2:, 1] = False
+    both = lm.window_gradients(w, x, y, h, keep, there)[0]
+    alone = [lm.window_gradients(w, x[:n, k : k + 1], y[:n, k : k + 1], h[:1], keep[:n, :1])[0] for n, k in ((5, 0), (2, 1))]
+    assert all(np.allclose(both[k], (5 * alone[0][k] + 2 * alone[1][k]) / 7, atol=1e-5) for k in both)
+
+
+def test_lm_learns_from_texts_beyond_the_sample(spark):
+    text = " ".join(f"word{i % 37}" for i in range(12_000))
+    assert len(text) > lm.SAMPLE_BYTES
+    df = spark.createDataFrame([(i, text) for i in range(12)], "doc_id long, text string")
+    v = lm.vocabulary(lm.word_counts(df.where("crc32(cast(string(doc_id) as binary)) % 7 <> 2").select(F.col("text").cast("binary").alias("text"))))
+    untrained = lm.score_batch(lm.Lookup(zip(v.words, range(len(v.words)))), v, lm.new_weights(v), [text.encode()])["model"][0]
+    assert all(r.score > untrained + 100 for r in lm.lm_scores(df).collect())
+
+
 # Token files
 
 
