@@ -38,7 +38,7 @@ ASSIGN_CHARS, ACCESS_CHARS = 12, 18
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 JWT = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
-WRAPPED = re.compile(r"(?:[A-Za-z0-9+/]{60,80}\r?\n)+[A-Za-z0-9+/]{4,}={0,2}")
+WRAPPED = re.compile(r"(?:[A-Za-z0-9+/]{60,80}\r?\n)+[A-Za-z0-9+/]{2,}={0,2}")
 HEX_RUN = re.compile(r"(?:[0-9a-f]{2}){24,}|(?:[0-9A-F]{2}){24,}")
 SSH_NAMES = (b"ssh-rsa", b"ssh-ed25519", b"ssh-dss", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 MIN_KEY_BYTES, DEPTH, MAX_NESTING = 24, 2, 16
@@ -151,14 +151,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def structural_spans(text: str) -> list[tuple[int, int, int]]:
     """Spans of candidates whose structure is confirmed."""
     out = set()
-    for m in JWT.finditer(text) if "." in text and ("ey" in text or "ew" in text) else ():  # {" or { and white space
-        if is_jwt(m[0]):
+    m = JWT.search(text) if "." in text and ("ey" in text or "ew" in text) else None  # {" or { and white space
+    while m:
+        if found := is_jwt(m[0]):
             out.add((m.start(), 3, m.end()))
+        m = JWT.search(text, m.end() if found else text.index(".", m.start()) + 1)  # a token may begin at the next segment
     taken = []
     for m in WRAPPED.finditer(text) if "\n" in text else ():
-        if kind := confirmed(_b64(m[0])):
-            out.add((m.start(), KINDS.index(kind), m.end()))
-            taken.append((m.start(), m.end()))
+        # the last line may be the text that follows
+        for end in (m.end(), m.start() + len(m[0][: m[0].rindex("\n")].rstrip("\r"))):
+            if kind := confirmed(_b64(text[m.start() : end])):
+                out.add((m.start(), KINDS.index(kind), end))
+                taken.append((m.start(), end))
+                break
     for pattern, decode in ((HEX_RUN, bytes.fromhex), (BASE64, _b64)):
         for m in pattern.finditer(text):
             if any(a <= m.start() and m.end() <= b for a, b in taken):

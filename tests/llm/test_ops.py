@@ -489,6 +489,21 @@ def test_wrapped_key():
     assert body
 
 
+@pytest.mark.parametrize("more", range(48))
+@pytest.mark.parametrize("after", ["\n-----END PRIVATE KEY-----", "\nof it\n"])
+def test_wrapped_keys_of_any_length(more, after):
+    key = der(0x30, der(0x02, b"\0") + der(0x04, bytes(range(140 + more))))
+    body = base64.b64encode(key).decode()
+    wrapped = "\n".join(body[i : i + 64] for i in range(0, len(body), 64))
+    assert secrets.structural_spans(f"here\n{wrapped}{after}") == [(5, secrets.KINDS.index("der"), 5 + len(wrapped))]
+
+
+@pytest.mark.parametrize("before", ["session_token.", "a.session_token.", "one.session_token.two_segments."])
+def test_jwt_after_other_segments(before):
+    assert (len(before), secrets.KINDS.index("jwt"), len(before) + len(JWT)) in secrets.structural_spans(f"{before}{JWT} {JWT}")
+    assert len(secrets.structural_spans(f"{before}{JWT} {JWT}")) == 2
+
+
 @pytest.mark.parametrize("token", [base64.b64encode(KEY[:-3]).decode(), base64.b64encode(bytes(range(60))).decode(), "ab" * 40, "a.b.c", "x" * 80, "eyJhbGciOiJI.eyJ.x"])
 def test_no_structure_no_report(token):
     assert secrets.structural_spans(f"see {token} here") == []
