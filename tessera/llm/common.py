@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,20 +20,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where the setting is missing (tests on one machine) a temporary folder takes its place.
+    Only where the setting is missing and all of Spark runs in one process (tests) a temporary folder takes its place.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tessera-')}")
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):  # noqa: ANN202
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def work_path(spark: SparkSession, label: str) -> str:
-    return f"{work_dir(spark)}/tessera-{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder. What is written there goes when the application ends."""
+    path = f"{work_dir(spark)}/tessera-{label}-{uuid.uuid4().hex}"
+    files, at = _file_system(spark, path)
+    files.deleteOnExit(at)
+    return path
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table of a materialized df that nothing will read again."""
+    for path in {os.path.dirname(f) for f in df.inputFiles()}:
+        if os.path.basename(path).startswith("tessera-"):
+            files, at = _file_system(df.sparkSession, path)
+            files.delete(at, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -6,7 +6,8 @@ positional bytes has posting lists of one 256th of the corpus; pairs drawn from
 square of the input. The index here posts each fingerprint under eight *triples* of positional bytes
 (COVER): of any five positions out of eight, one triple of COVER is contained whole, so no pair is
 lost. In a list, the shared positional bytes of a pair are tallied, pairs below five are dropped,
-and the rest are verified by their differing bits.
+and the rest are verified by their differing bits. (Three differing bits or fewer imply five shared bytes, so the
+tally is a cheap first test that spares most pairs the second; it decides no pair alone.)
 
 Lists above LIST_CAP members are not capped: their members are posted again under all sets of five
 positions that the triple stands for (40 shared bits), and lists that are still large once more under
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, table, text_bytes
+from tessera.llm.common import discard, materialize, put_back, set_aside, table, text_bytes
 
 SEED = 42
 WORDS_IN_SHINGLE = 3
@@ -37,6 +38,7 @@ MAX_BITS = 3
 MIN_SHARED = 8 - MAX_BITS
 LIST_CAP = 256
 CHUNK = 1 << 15
+HOT_SHARE = 2048  # a fingerprint with one row in so many is hot; there are HOT_SHARE of them at most
 
 
 def _mask(positions: tuple[int, ...], width: int = 8) -> int:
@@ -80,6 +82,12 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], ["doc_id", "fp"])
 
 
+def _keyed_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [_signed(fingerprint((x or "").encode())) for x in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_text"), pa.array(found, pa.int64())], ["doc_id", "_text", "fp"])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
@@ -163,7 +171,8 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         large = both.join(_min_neighbour(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         small = large.join(_min_neighbour(large), "u")
         stars = small.select("v", "m").union(small.select("u", "m")).toDF("a", "b").where("a != b").distinct()
-        edges = materialize(stars.select(F.col("a").alias("u"), F.col("b").alias("v")), "stars")
+        before, edges = edges, materialize(stars.select(F.col("a").alias("u"), F.col("b").alias("v")), "stars")
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit(0xFFFFFFFF)))).first()
         if now == state:
             return edges.select("u", F.col("v").alias("root"))
@@ -171,37 +180,61 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"components have not settled in {max_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (the smallest doc_id that links reach).
+def _labelled(prints: DataFrame) -> DataFrame:
+    """prints (doc_id, fp, ...) with the root (a fingerprint) and the component_id of their fingerprints.
 
-    A null text counts as empty; texts without words have fingerprint zero and link like any other.
-    Repeated rows come back repeated; a row without doc_id gets the component of its fingerprint, null if
-    no member has one. Columns besides doc_id and text are ignored.
+    Rows of hot fingerprints get it from a broadcast of HOT_SHARE rows at most, so that no task gathers them.
     """
-    prints = materialize(fingerprints(docs), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     roots = components(links(nodes.select("fp")))
     labelled = nodes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = labelled.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    labels = materialize(labelled.join(least, "root").select("fp", "root", "component_id", "n"), "labels")
+    rows = labels.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(labels.where(F.col("n") * HOT_SHARE >= rows).select("fp", F.struct("root", "component_id").alias("_hot")))
+    tagged = prints.join(hot, "fp", "left")
+    done = tagged.where("_hot is not null").select(*prints.columns, "_hot.*")
+    rest = tagged.where("_hot is null").select(*prints.columns).join(labels.drop("n"), "fp")
+    return done.unionByName(rest)
 
 
-def simhash_dedup(docs: DataFrame) -> DataFrame:
-    """docs with one document of each near-duplicate group: the one whose doc_id is the component's id.
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, fp, component_id (the smallest doc_id that links reach).
 
-    Rows without doc_id can't be told apart and stay. Of several rows with the keeping doc_id and one
-    text, one stays.
+    A null text counts as empty; texts without words have fingerprint zero and link like any other.
+    Repeated rows come back repeated; a row without doc_id gets the component of its fingerprint, null if
+    no member has one. Columns besides doc_id and text are ignored. An empty table gives an empty one.
     """
-    groups = near_duplicates(docs)
-    gone = groups.where("doc_id is not null and component_id is not null and doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return kept.dropDuplicates(["doc_id", "text"]) if _repeats(groups) else kept
+    return _labelled(materialize(fingerprints(docs), "fingerprints")).select("doc_id", "fp", "component_id")
 
 
-def _repeats(groups: DataFrame) -> bool:
-    n = groups.agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d")).first()
-    return n.n != n.d
+def simhash_dedup(docs: DataFrame) -> DataFrame:
+    """docs with one document of each near-duplicate group: one whose doc_id is the component's id.
+
+    Rows without doc_id can't be told apart and stay, whatever their texts. A row goes by its own text: of rows with
+    one doc_id and texts of several groups, each is judged by its group. Where several rows have the keeping
+    doc_id, the one with the smallest hash of its text stays, and of rows alike in both the one with the
+    smallest hash of all columns, whole.
+    """
+    keyed, moved = set_aside(docs, ["_id", "_text", "_row"])
+    own = F.struct(*[F.col(f"`{c}`") for c in keyed.columns])
+    key = keyed.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text"), "text")
+    prints = key.mapInArrow(_keyed_fingerprints, "doc_id long, _text long, fp long")
+    found = _labelled(materialize(prints, "fingerprints")).where("doc_id is not null and component_id is not null")
+    rows = found.groupBy(F.col("doc_id").alias("_id"), "_text").agg(F.first("root").alias("root"), F.first("component_id").alias("c"), F.count("*").alias("n"))
+    # of the texts with the keeping doc_id of a group one stays
+    keeping = rows.where("_id = c")
+    chosen = keeping.groupBy("root").agg(F.min("_text").alias("chosen"))
+    judged = keeping.join(chosen, "root").select("_id", "_text", "n", (F.col("_text") == F.col("chosen")).alias("stays"))
+    judged = judged.union(rows.where("_id != c").select("_id", "_text", "n", F.lit(False)))
+    out = materialize(judged.where("not stays or n > 1").select("_id", "_text", "stays"), "judged")
+    keyed = keyed.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_text", F.xxhash64("text"))
+    kept = keyed.join(out.select("_id", "_text"), ["_id", "_text"], "left_anti").select(*keyed.drop("_id", "_text").columns)
+    again = out.where("stays")
+    if not again.isEmpty():
+        once = keyed.join(again, ["_id", "_text"], "left_semi").groupBy("_id", "_text").agg(F.min_by(own, F.xxhash64(own)).alias("_row"))
+        kept = kept.union(once.select("_row.*"))
+    return put_back(kept, docs.columns, moved)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

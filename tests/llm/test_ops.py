@@ -138,6 +138,24 @@ def test_simhash_dedup_keeps_one(spark, folder, docs):
     assert ids[900006] == 2 if groups[900006] == 900006 else True
 
 
+def test_simhash_dedup_judges_rows_by_their_own_text(spark):
+    a, c, d, e = "one two three four five six", "seven eight nine ten eleven twelve", "red green blue white black", "up down left right"
+    data = [(1, a, "p"), (2, a, "p"), (2, d, "p"), (5, a, "p"), (5, c, "p"), (7, c, "p"), (None, a, "p"), (None, a, "p"), (None, None, "p"), (8, e, "p"), (8, e, "q"), (8, e, "q"), (9, None, "p"), (9, "", "p"), (10, " ", "p")]
+    for part in (data, data[::-1]):
+        found = simhash.simhash_dedup(spark.createDataFrame(part, "doc_id long, text string, _text string").repartition(3)).collect()
+        kept = Counter((r.doc_id, r.text) for r in found)
+        assert kept.pop((9, None), 0) + kept.pop((9, ""), 0) == 1
+        assert kept == {(1, a): 1, (2, d): 1, (5, c): 1, (8, e): 1, (None, a): 2, (None, None): 1}
+        assert {r["_text"] for r in found} <= {"p", "q"}
+
+
+def test_simhash_hot_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_SHARE", 4)
+    data = [(i, "the same words in each of these") for i in range(5, 60)] + [(i, f"text {i} of its {i * i} own") for i in range(60, 90)] + [(None, "the same words in each of these")]
+    found = simhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.component_id) for r in found) == Counter((i, 5 if i is None or i < 60 else i) for i, _ in data)
+
+
 # Language model
 
 
