@@ -1,22 +1,27 @@
 """Line deduplication: an exact set-similarity join of lines.
 
-A line's tokens are its five-word shingles, A-Z lower-cased, as a set; lines of fewer than WORDS words
-carry no evidence and always stay. A line goes if an earlier line (by doc_id, then line number) has
-a Jaccard similarity of 4/5 or more with it, whether or not that line stays itself.
+A line's tokens are its five-word shingles, A-Z lower-cased, as a set; a line of fewer than WORDS words has one
+token, all its words, so that it goes if it repeats. Lines without words stay. A line goes if an earlier line (by
+doc_id, then line number) has a Jaccard similarity of 4/5 or more with it, whether or not that line stays itself.
 
 * Tokens are ordered by rarity: a sketch of SKETCH counters, summed over all lines, gives each token a
   frequency (its bucket's), hashes break ties. Any such order is exact; a good one keeps frequent tokens out of prefixes.
-* Lines with equal token sets are one class; its first line stands for it, the others go.
+* Lines with equal token sets are one class; its first line stands for it, the others go. Each part of the input
+  sends a class's first line only, so a line that occurs everywhere is gathered once a part.
 * Prefix filter: similar sets share a token among their n - ceil(4n/5) + 1 rarest. Postings of those tokens are dealt
   by token as packed arrays, and posting lists give candidate pairs that pass the length and the positional filter.
+  Sets of up to ALONE tokens are similar to equal sets only and post nothing.
+* Postings and first lines are dealt to buckets of about BUCKET_BYTES, as many as the input needs.
 * A list of up to LIST_CAP classes yields its pairs. A longer one yields its members: they are compared with 8 of
   the list, those still unmatched with the next 64, then 512, and so on to the end of the list, so no pair that
   could remove a line is left out, and a group of n similar lines costs about n comparisons instead of n squared.
+  Members are dealt by token, by band of lengths and by SPREAD members of a list, so no task gathers a long list.
 * Candidates are verified by the Jaccard similarity of their token sets; the later of a pair goes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,14 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, put_back, set_aside, table, text_bytes
+from tessera.llm.common import discard, materialize, put_back, set_aside, table, text_bytes
 
 WORDS = 5
 UP, DOWN = 4, 5  # similarity of UP / DOWN
 SKETCH, SKETCH_PART = 1 << 18, 1 << 12
-LIST_CAP, FIRST_WINDOW, WIDEN = 32, 8, 8
-BUCKETS_PER_PARTITION = 2
-PART_BYTES = 1 << 22
+FIRST_TYPES, POST_TYPES, GONE_TYPES = ["<u8", "<u8", "<i8", "<i8", "<i4"], ["<u8", "<u8", "<u4", "<u4"], ["<i8", "<i8", "<i4"]
+FIRST_BYTES, POST_BYTES = (sum(np.dtype(d).itemsize for d in x) for x in (FIRST_TYPES, POST_TYPES))
+ALONE = 3
+LIST_CAP, FIRST_WINDOW, WIDEN, SPREAD = 32, 8, 8, 4096
+BAND = 1.26  # above DOWN / UP, so similar sets are in the same or in adjacent bands
+BUCKETS_PER_PARTITION, BUCKET_BYTES, TASK_BYTES = 2, 1 << 24, 1 << 26
+PART_BYTES, BLOCK = 1 << 22, 1 << 17
 NOBODY = -(1 << 63)
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -42,54 +51,84 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * _M1)
+#: A random value for each byte, A-Z as a-z.
+_BYTES = _mix(np.array([c + 33 if 65 <= c <= 90 else c + 1 for c in range(256)], np.uint64) * _M1)
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, _M2 | np.uint64(1), np.uint64)
+def _powers(base: np.uint64) -> np.ndarray:
+    out = np.full(BLOCK + 1, base, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
-def word_hashes(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A polynomial hash of random byte values for each word of x, the bytes of all words in turn."""
-    place = np.arange(len(x)) - np.repeat(starts, sizes)
-    return _mix(np.add.reduceat(_BYTES[x] * _powers(int(sizes.max()))[place], starts) + sizes.astype(np.uint64))
+_BASE = _M2 | np.uint64(1)
+_POWER, _INVERSE = _powers(_BASE), _powers(np.uint64(pow(int(_BASE), -1, 1 << 64)))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A polynomial hash of random byte values for each word data[starts[i]:ends[i]].
+
+    Values are summed up over a block at a time; a word's sum is the difference at its ends, shifted back to place 0."""
+    begin, end = np.empty(len(starts), np.uint64), np.empty(len(ends), np.uint64)
+    before, up, down = np.zeros(1, np.uint64), np.ones(1, np.uint64), np.ones(1, np.uint64)
+    shifts = []
+    edges = np.arange(0, len(data) + BLOCK, BLOCK)
+    at_start, at_end = np.searchsorted(starts, edges), np.searchsorted(ends, edges, "right")
+    total = np.zeros(BLOCK + 1, np.uint64)
+    for k, lo in enumerate(edges[:-1].tolist()):
+        values = _BYTES.take(data[lo : lo + BLOCK])
+        values *= _POWER[: len(values)]
+        np.cumsum(values, out=total[1 : len(values) + 1])
+        s, e = slice(at_start[k], at_start[k + 1]), slice(at_end[k], at_end[k + 1])
+        place = starts[s] - lo
+        begin[s] = total[place] * up + before
+        end[e] = total[ends[e] - lo] * up + before
+        shifts.append(_INVERSE[place] * down)
+        before = before + total[len(values)] * up
+        up, down = up * _POWER[BLOCK], down * _INVERSE[BLOCK]
+    end -= begin
+    end *= np.concatenate(shifts)
+    end += (ends - starts).astype(np.uint64)
+    return _mix(end)
 
 
 def shingle_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, line number, shingles) of each line with WORDS words or more, and the hashes of all their shingles in turn.
-
-    Text k is data[offsets[k]:offsets[k + 1]], bytes."""
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
-    data = _LOWER[data]
-    space = _SPACE[data]
-    begins = np.zeros(len(data) + 1, bool)
-    begins[offsets] = True
-    starts = np.flatnonzero(~space & (np.concatenate([[True], space[:-1]]) | begins[:-1]))
-    ends = np.flatnonzero(~space & (np.concatenate([space[1:], [True]]) | begins[1:])) + 1
+    """(text, line number, shingles) of each line with words, and the hashes of all their shingles in turn.
+
+    Text k is data[offsets[k]:offsets[k + 1]], bytes. A line of fewer than WORDS words is one shingle."""
+    space = data - np.uint8(9) < 5
+    space |= data == 32
+    edge = np.ones(len(data) + 1, bool)
+    np.not_equal(space[1:], space[:-1], out=edge[1:-1])
+    edge[offsets] = True
+    edge = np.flatnonzero(edge)  # of runs of words or of spaces
+    is_word = ~space[edge[:-1]] if len(data) else np.zeros(0, bool)
+    starts, ends = edge[:-1][is_word], edge[1:][is_word]
     if not len(starts):
-        return none
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
     breaks = np.flatnonzero(data == 10)
-    of = np.searchsorted(offsets, starts, "right") - 1
-    number = np.searchsorted(breaks, starts) - np.searchsorted(breaks, offsets)[of]
-    first = np.flatnonzero(np.concatenate([[True], (np.diff(of) != 0) | (np.diff(number) != 0)]))
+    lines = np.sort(np.concatenate([offsets[:-1], breaks + 1]))
+    first = np.searchsorted(starts, lines)
     n = np.diff(first, append=len(starts))
-    full = n >= WORDS
-    if not full.any():
-        return none
-    sizes = ends - starts
-    words = word_hashes(data[~space], np.cumsum(sizes) - sizes, sizes)
-    words, first, n = words[np.repeat(full, n)], first[full], n[full]
-    rolled = np.zeros(len(words) - WORDS + 1, np.uint64)
-    for k in range(WORDS):
-        rolled = rolled * _M1 + words[k : len(words) - WORDS + 1 + k]
+    full = np.flatnonzero(n)  # of lines that begin at one place only the last, of the last text there, can have words
+    first, n, of = first[full], n[full], np.searchsorted(offsets, lines[full], "right") - 1
+    number = full - of - np.searchsorted(breaks, offsets[of])
+    words = word_hashes(data, starts, ends)
+    rolled = np.zeros(len(words), np.uint64)
+    if len(words) >= WORDS:
+        whole = rolled[: len(words) - WORDS + 1]
+        for k in range(WORDS):
+            whole *= _M1
+            whole += words[k : k + len(whole)]
     inside = np.ones(len(words), bool)
     for k in range(1, WORDS):
-        inside[np.cumsum(n) - k] = False
-    return of[first], number[first], n - WORDS + 1, _mix(rolled[inside[: len(rolled)]])
+        inside[(first + n)[n > k] - k] = False
+        at = first[n == k]
+        rolled[at] = 0
+        for j in range(k):
+            rolled[at] = rolled[at] * _M1 + words[at + j]
+        rolled[at] ^= _mix(np.full(len(at), k, np.uint64))
+    return of, number, np.maximum(n - WORDS + 1, 1), _mix(rolled[inside])
 
 
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -117,13 +156,20 @@ def _parts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
         lo = hi
 
 
+def _prefix(n: np.ndarray) -> np.ndarray:
+    """Of sets of n tokens the number of those that are posted."""
+    return np.where(n > ALONE, n - -(-UP * n // DOWN) + 1, 0)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(SKETCH, np.int64)
+    """By part of the sketch its counts; in a further part the bytes of first lines and postings, at most."""
+    counts, held = np.zeros(SKETCH, np.int64), 0
     for big in batches:
         for data, offsets, _, _ in _parts(big.column("text")):
-            shingles = shingle_lines(data, offsets)[3]
+            _, _, sizes, shingles = shingle_lines(data, offsets)
             counts += np.bincount((shingles & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-    parts = counts.reshape(-1, SKETCH_PART)
+            held += FIRST_BYTES * len(sizes) + POST_BYTES * int(_prefix(sizes).sum())
+    parts = [*counts.reshape(-1, SKETCH_PART), np.array([held] + [0] * (SKETCH_PART - 1))]
     yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([x.astype("<u4" if x.max() < 1 << 32 else "<u8").tobytes() for x in parts], pa.binary())], ["part", "counts"])
 
 
@@ -140,14 +186,15 @@ def _sum_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(totals, pa.int32()), pa.array([x.astype("<u8").tobytes() for x in totals.values()], pa.binary())], ["part", "counts"])
 
 
-def rarity(texts: DataFrame) -> np.ndarray:
-    """By sketch bucket a 16-bit rank of its frequency. The sketch has a fixed size, so the driver can hold it."""
+def rarity(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """By sketch bucket a 16-bit rank of its frequency, and the bytes to be dealt. The sketch has a fixed size, so the
+    driver can hold it."""
     schema = "part int, counts binary"
     parts = texts.mapInArrow(_sketch, schema).repartition("part").mapInArrow(_sum_sketches, schema).collect()
-    counts = np.zeros(SKETCH, np.int64)
+    counts = np.zeros(SKETCH + SKETCH_PART, np.int64)
     for r in parts:
         counts[r.part * SKETCH_PART : (r.part + 1) * SKETCH_PART] += _unpack(bytes(r["counts"]))
-    return np.minimum(np.log2(counts + 1.0) * 1024, 65535).astype(np.uint64)
+    return np.minimum(np.log2(counts[:SKETCH] + 1.0) * 1024, 65535).astype(np.uint64), int(counts[SKETCH])
 
 
 def token_sets(sizes: np.ndarray, shingles: np.ndarray, rank: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -181,7 +228,7 @@ def _set_ids(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _mix(one + n.astype(np.uint64)), _mix(two ^ _M3)
 
 
-FIRSTS = np.dtype([("cls", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("line", "<i4")])
+GONE = 2  # kinds of what is dealt: first lines, postings and lines that go
 POSTED = "kind int, bucket int, blob binary"
 
 
@@ -201,9 +248,6 @@ def _unpack_columns(blobs: list[bytes], dtypes: list[str]) -> list[np.ndarray]:
     return [np.concatenate(x) for x in out]
 
 
-FIRST_TYPES, POST_TYPES = ["<u8", "<u8", "<i8", "<i8", "<i4"], ["<u8", "<u8", "<u4", "<u4"]
-
-
 def _dealt(kind: int, by: np.ndarray, columns: list[np.ndarray], buckets: int) -> list[tuple[int, int, bytes]]:
     bucket = (by % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
@@ -223,18 +267,38 @@ def _postings(part: tuple, doc: np.ndarray, row: np.ndarray, rank: np.ndarray, b
     for at, rows, n in token_sets(sizes, shingles, rank):
         cls, check = _set_ids(rows, n)
         firsts.append((cls, check, doc[of[at]], row[of[at]], number[at].astype("<i4")))
-        _, one = np.unique(cls, return_index=True)
-        rows, n, cls = rows[one], n[one], cls[one]
-        prefix = n - -(-UP * n // DOWN) + 1
-        there = np.arange(prefix.max()) < prefix[:, None]
-        k, idx = np.nonzero(there)
-        posts.append((rows[k, idx], cls[k], n[k].astype("<u4"), idx.astype("<u4")))
-    first, post = ([np.concatenate(c) for c in zip(*x)] for x in (firsts, posts))
-    return _dealt(0, first[0] >> np.uint64(7), list(first), buckets) + _dealt(1, _mix(post[0]), list(post), buckets)
+        prefix = _prefix(n)
+        if prefix.any():
+            _, one = np.unique(cls, return_index=True)
+            rows, n, cls, prefix = rows[one], n[one], cls[one], prefix[one]
+            k, idx = np.nonzero(np.arange(prefix.max()) < prefix[:, None])
+            posts.append((rows[k, idx], cls[k], n[k].astype("<u4"), idx.astype("<u4")))
+    first, gone = _split_firsts([np.concatenate(c) for c in zip(*firsts)])
+    out = _dealt(0, first[0] >> np.uint64(7), first, buckets)
+    if len(gone[0]):
+        out += _dealt(GONE, _mix(gone[0].view(np.uint64)), gone, buckets)
+    if posts:
+        post = [np.concatenate(c) for c in zip(*posts)]
+        out += _dealt(1, _mix(post[0]), post, buckets)
+    return out
+
+
+def _split_firsts(columns: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Lines (cls, check, doc, row, line): those of them that are the first of their class, and (doc, row, line) of the others."""
+    cls, check, doc, row, line = columns
+    order = np.lexsort((line, row, doc, check, cls))
+    cls, check, doc, row, line = (x[order] for x in (cls, check, doc, row, line))
+    new = np.ones(len(cls), bool)
+    new[1:] = (cls[1:] != cls[:-1]) | (check[1:] != check[:-1])
+    group = np.flatnonzero(new)[np.cumsum(new) - 1]
+    # repeated rows are the same document: their lines don't repeat each other
+    other = (doc != doc[group]) | (row != row[group]) | (line != line[group])
+    return [x[new] for x in (cls, check, doc, row, line)], [x[other] for x in (doc, row, line)]
 
 
 #: kind 0: a (cls, check) = (a, b) begins at document d, row hash e, line n; 1: line n of document d, row hash e, repeats an
-#: earlier line; 2: a candidate pair of classes (a, b); 3: class b is member n of the long list of token a.
+#: earlier line; 2: a candidate pair of classes (a, b); 3: class b, with size and place of the token in d, is member n of the
+#: long list of token a, which has e members.
 FOUND = "kind int, a long, b long, d long, e long, n int"
 
 
@@ -246,17 +310,14 @@ def _found(kind: int, a, b, d, e, n) -> pa.RecordBatch:  # noqa: ANN001
 
 
 def first_lines(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-    cls, check, doc, row, line = _unpack_columns(blobs, FIRST_TYPES)
-    order = np.lexsort((line, row, doc, check, cls))
-    cls, check, doc, row, line = (x[order] for x in (cls, check, doc, row, line))
-    new = np.ones(len(cls), bool)
-    new[1:] = (cls[1:] != cls[:-1]) | (check[1:] != check[:-1])
-    group = np.flatnonzero(new)[np.cumsum(new) - 1]
-    # repeated rows are the same document: their lines don't repeat each other
-    same = (doc == doc[group]) & (row == row[group]) & (line == line[group])
-    yield _found(0, cls[new], check[new], doc[new], row[new], line[new])
-    if (~same).any():
-        yield _found(1, 0, 0, doc[~same], row[~same], line[~same])
+    (cls, check, doc, row, line), gone = _split_firsts(_unpack_columns(blobs, FIRST_TYPES))
+    yield _found(0, cls, check, doc, row, line)
+    if len(gone[0]):
+        yield _found(1, 0, 0, *gone)
+
+
+def repeats(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    yield _found(1, 0, 0, *_unpack_columns(blobs, GONE_TYPES))
 
 
 def _pass_filters(sa: np.ndarray, ia: np.ndarray, sb: np.ndarray, ib: np.ndarray) -> np.ndarray:
@@ -287,12 +348,13 @@ def candidates(blobs: list[bytes], list_cap: int = LIST_CAP) -> Iterator[pa.Reco
         part = slice(starts[k], starts[k] + lengths[k])
         # members by a hash of token and class; each keeps its size and place for the filters
         member = np.argsort(_mix(cls[part] ^ token[starts[k]]), kind="stable")
-        yield _found(3, token[part][member], cls[part][member], size[part][member].astype(np.uint64), idx[part][member].astype(np.uint64), np.arange(lengths[k]))
+        yield _found(3, token[part][member], cls[part][member], size[part][member] << 32 | idx[part][member], np.full(lengths[k], lengths[k]), np.arange(lengths[k]))
 
 
 def _reduced(key: tuple, dealt: pa.Table, list_cap: int) -> pa.Table:
     blobs = dealt.column("blob").to_pylist()
-    parts = list(first_lines(blobs) if key[0].as_py() == 0 else candidates(blobs, list_cap))
+    kind = key[0].as_py()
+    parts = list(candidates(blobs, list_cap) if kind == 1 else first_lines(blobs) if kind == 0 else repeats(blobs))
     schema = pa.schema([("kind", pa.int32()), *((x, pa.int64()) for x in "abde"), ("n", pa.int32())])
     return pa.Table.from_batches([p.cast(schema) for p in parts], schema)
 
@@ -341,8 +403,9 @@ def similar_lines(docs: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
     """(doc_id, row, line): lines that go. row is the hash of the text, which tells rows of one doc_id apart."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), text_bytes().alias("text"))
-    rank = spark.sparkContext.broadcast(rarity(rows.select("text")))
-    buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rank, held = rarity(rows.select("text"))
+    rank, partitions = spark.sparkContext.broadcast(rank), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(BUCKETS_PER_PARTITION * partitions, -(-held // BUCKET_BYTES))
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -355,9 +418,14 @@ def similar_lines(docs: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
     def reduced(key: tuple, dealt: pa.Table) -> pa.Table:
         return _reduced(key, dealt, list_cap)
 
-    found = materialize(rows.mapInArrow(posted, POSTED).groupBy("kind", "bucket").applyInArrow(reduced, FOUND), "lines")
+    dealt = rows.mapInArrow(posted, POSTED)
+    if held > partitions * TASK_BYTES:
+        dealt = dealt.repartition(held // TASK_BYTES, "kind", "bucket")
+    found = materialize(dealt.groupBy("kind", "bucket").applyInArrow(reduced, FOUND), "lines")
     firsts, pairs = found.where("kind = 0"), found.where("kind = 2").select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
-    long_lists = found.where("kind = 3").select(F.col("a").alias("token"), F.col("b").alias("cls"), F.col("d").alias("size"), F.col("e").alias("idx"), F.col("n").alias("k"))
+    long_lists = found.where("kind = 3").select(
+        F.col("a").alias("token"), F.col("b").alias("cls"), F.shiftright("d", 32).alias("size"), F.col("d").bitwiseAND(F.lit(0xFFFFFFFF)).alias("idx"), F.col("n").alias("k"), F.ceil(F.col("e") / SPREAD).alias("spread")
+    )
     wanted = pairs.select(F.col("x").alias("a")).union(pairs.select("y")).union(long_lists.select("cls")).distinct()
     places = firsts.join(wanted, "a").select("a", "d", "e", "n")
     by_row = places.groupBy("d", "e").agg(F.collect_list(F.struct("a", "d", "e", "n")).alias("wanted"))
@@ -371,15 +439,18 @@ def similar_lines(docs: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
     # members that no comparison has removed yet meet the next window of their lists
     while longest and lo <= longest:
         open_ = long_lists.join(gone.withColumnRenamed("a", "cls"), "cls", "left_anti")
-        x = long_lists.where(F.col("k").between(lo, lo + width - 1)).toDF("token", "x", "x_size", "x_idx", "x_k")
-        y = open_.select(*long_lists.columns).toDF("token", "y", "y_size", "y_idx", "y_k")
+        band = F.floor(F.log(F.col("size").cast("double")) / math.log(BAND)).alias("band")
+        x = long_lists.where(F.col("k").between(lo, lo + width - 1)).select("token", F.col("cls").alias("x"), F.col("size").alias("x_size"), F.col("idx").alias("x_idx"), F.explode(F.sequence(F.lit(0), F.col("spread") - 1)).alias("salt"), band)
+        x = x.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+        y = open_.select("token", F.col("cls").alias("y"), F.col("size").alias("y_size"), F.col("idx").alias("y_idx"), F.pmod(F.xxhash64("cls"), F.col("spread")).alias("salt"), band)
         need = F.ceil(F.lit(UP) * (F.col("x_size") + F.col("y_size")) / F.lit(UP + DOWN))
         fits = (F.lit(DOWN) * F.least("x_size", "y_size") >= F.lit(UP) * F.greatest("x_size", "y_size")) & (
             F.least(F.col("x_size") - F.col("x_idx"), F.col("y_size") - F.col("y_idx")) >= need
         )
-        met = x.join(y, "token").where((F.col("x") != F.col("y")) & fits).select("x", "y").distinct()
+        met = x.join(y, ["token", "salt", "band"]).where((F.col("x") != F.col("y")) & fits).select("x", "y").distinct()
         gone = gone.union(materialize(_similar(met, sets), "similar"))
         lo, width = lo + width, width * WIDEN
+    discard(sets)
 
     removed = found.where("kind = 1").select("d", "e", "n").union(places.join(gone.distinct(), "a").select("d", "e", "n"))
     return removed.select(F.when(F.col("d") != F.lit(NOBODY).cast("long"), F.col("d")).alias("doc_id"), F.col("e").alias("row"), F.col("n").alias("line"))
@@ -395,7 +466,7 @@ def _with_removed(docs: DataFrame, removed: DataFrame, row: str = "_row") -> Dat
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs without later similar lines: texts lose those lines, rows and other columns stay.
 
-    A null or empty text has no lines to lose. Repeated rows lose the same lines; of rows with one
+    Lines of one to four words go if all their words repeat. A null or empty text has no lines to lose. Repeated rows lose the same lines; of rows with one
     doc_id, the one with the smaller hash of its text counts as earlier; rows without doc_id come first.
     """
     removed = similar_lines(docs.select("doc_id", "text"))

@@ -8,8 +8,10 @@ characters are candidates that are reported only if what they decode to has the
   key (an INTEGER or an algorithm SEQUENCE with an object identifier) and holds key material,
 * ssh: the "openssh-key-v1" container, or length-prefixed fields of which the first names a known algorithm.
 
-A decoded run that is itself base64 or hex text is decoded again, DEPTH times at most.
-Offsets are code points, ends exclusive.
+A decoded run that is itself base64 or hex text is decoded again, DEPTH times in all; keys encoded more
+often, or nested deeper than MAX_NESTING, aren't confirmed. A candidate is a whole run: what is glued to
+further characters of its alphabet isn't one. Offsets are code points, ends exclusive. Time and memory grow
+in proportion to a text's length.
 """
 
 from __future__ import annotations
@@ -36,9 +38,10 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_CHARS, ACCESS_CHARS = 12, 18
 
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-JWT = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+# runs are matched from their first character on and given back nowhere, so a run of any length is read once
+JWT = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]*+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
-WRAPPED = re.compile(r"(?:[A-Za-z0-9+/]{60,80}\r?\n)+[A-Za-z0-9+/]{2,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{60,80}\r?\n)+[A-Za-z0-9+/]{2,}={0,2}")
 HEX_RUN = re.compile(r"(?:[0-9a-f]{2}){24,}|(?:[0-9A-F]{2}){24,}")
 SSH_NAMES = (b"ssh-rsa", b"ssh-ed25519", b"ssh-dss", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 MIN_KEY_BYTES, DEPTH, MAX_NESTING = 24, 2, 16
@@ -165,12 +168,15 @@ def structural_spans(text: str) -> list[tuple[int, int, int]]:
                 taken.append((m.start(), end))
                 break
     for pattern, decode in ((HEX_RUN, bytes.fromhex), (BASE64, _b64)):
+        new, at, reach = [], 0, 0  # reach: the furthest end of what was taken up to here
         for m in pattern.finditer(text):
-            if any(a <= m.start() and m.end() <= b for a, b in taken):
-                continue
-            if kind := confirmed(decode(m[0])):
+            while at < len(taken) and taken[at][0] <= m.start():
+                reach = max(reach, taken[at][1])
+                at += 1
+            if m.end() > reach and (kind := confirmed(decode(m[0]))):
                 out.add((m.start(), KINDS.index(kind), m.end()))
-                taken.append((m.start(), m.end()))
+                new.append((m.start(), m.end()))
+        taken = sorted(taken + new)
     return sorted(out)
 
 
@@ -196,7 +202,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def secret_spans(docs: DataFrame) -> DataFrame:
     """One row per document (doc_id, text): counts of the base kinds, its digest, and all spans.
 
-    A null text counts as empty and has none. Repeated rows come back repeated.
+    A null text counts as empty and has none. Repeated rows come back repeated. Spans with one start are ordered
+    as KINDS. Other columns are ignored, whatever their names; an empty table gives an empty one.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, OUT)
 

@@ -335,22 +335,20 @@ def test_hysteresis_and_tensors():
 
 
 def brute_lines(docs):
-    key = lambda d: (d[0] is not None, d[0] or 0)
     sets = []
     for k, (i, t) in enumerate(docs):
+        h = simhash._signed(xxhash.xxh64_intdigest(t.encode(), 42)) if t is not None else 42
         for n, line in enumerate((t or "").encode().lower().split(b"\n")):
-            w = line.split()
-            if len(w) >= 5:
-                sets.append((i, k, n, frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4))))
+            if w := line.split():
+                shingles = frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4)))
+                sets.append(((i is not None, i or 0, h, n), k, n, shingles))
+    by_set = {}
+    for at, _, _, s in sets:
+        by_set[s] = min(at, by_set.get(s, at))
     gone = set()
-    for i, k, n, s in sets:
-        for j, m, o, r in sets:
-            if (key((j,)), o if j == i and docs[m] == docs[k] else -1) >= (key((i,)), n if j == i and docs[m] == docs[k] else 0):
-                continue
-            if j == i and docs[m] != docs[k]:
-                continue
-            if 5 * len(s & r) >= 4 * len(s | r):
-                gone.add((k, n))
+    for at, k, n, s in sets:
+        if any(o < at and 5 * min(len(s), len(r)) >= 4 * max(len(s), len(r)) and 5 * len(s & r) >= 4 * len(s | r) for r, o in by_set.items()):
+            gone.add((k, n))
     return gone
 
 
@@ -381,18 +379,38 @@ def test_long_texts_come_in_parts(monkeypatch):
     texts = ["\n".join(f"line {i} of text {k} with some more words" for i in range(n)).encode() for k, n in enumerate((3, 0, 200, 5))]
     whole = [np.concatenate(x) for x in zip(*[lines.shingle_lines(d, o) for d, o, _, _ in lines._parts(pa.array(texts))])]
     monkeypatch.setattr(lines, "PART_BYTES", 300)
+    monkeypatch.setattr(lines, "BLOCK", 64)
     cut = [(rows_[of], at + first[of], n, s) for d, o, rows_, first in lines._parts(pa.array([b"", *texts]).slice(1)) for of, at, n, s in [lines.shingle_lines(d, o)]]
     assert all((a == np.concatenate(b)).all() for a, b in zip(whole, zip(*cut))) and len(cut) > 10
 
 
+@pytest.mark.parametrize("texts", [["a b\nc d e f g h", "", "", "i j", "\n", "x\n", "\n\nZ  z\tq w e\n r"], [""], ["\n"], ["a"], [" ", "B c"]])
+def test_shingles_of_lines(texts):
+    raw = [t.encode() for t in texts]
+    of, number, n, hashes = lines.shingle_lines(*lines._joined(raw))
+    wanted = [(k, m, [w[j : j + 5] for j in range(max(1, len(w) - 4))]) for k, t in enumerate(texts) for m, x in enumerate(t.lower().split("\n")) if (w := x.split())]
+    assert [(k, m, len(x)) for k, m, x in wanted] == list(zip(of.tolist(), number.tolist(), n.tolist()))
+    alone = [lines.shingle_lines(*lines._joined([" ".join(s).encode()]))[3].tolist() for _, _, x in wanted for s in x]
+    assert [h for x in alone for h in x] == hashes.tolist() and len(set(hashes.tolist())) == len({tuple(s) for _, _, x in wanted for s in x})
+
+
 def test_lines_on_documents(spark, folder, docs):
-    one = {i: (i, t) for i, t in docs if i is not None and i not in (900005, 900006)}
-    found = [r for r in rows(spark, "op5_lines", folder) if r.doc_id in one]
-    data = list(one.values())
-    wanted = brute_lines([*data, *[d for d in docs if d[0] is None]])
-    got = {(r.doc_id, n) for r in found for n in r.removed_lines}
-    assert got == {(data[k][0], n) for k, n in wanted if k < len(data)}
-    assert all(r.n_lines == (one[r.doc_id][1] or "").count("\n") + 1 and r.n_removed == len(r.removed_lines) for r in found)
+    found = rows(spark, "op5_lines", folder)
+    gone = brute_lines(docs)
+    wanted = Counter((i, (t or "").count("\n") + 1, tuple(n for k, n in sorted(gone) if k == at)) for at, (i, t) in enumerate(docs))
+    assert Counter((r.doc_id, r.n_lines, tuple(r.removed_lines)) for r in found) == wanted
+    assert all(r.n_removed == len(r.removed_lines) for r in found) and any(len(docs[k][1].split("\n")[n].split()) < 5 for k, n in gone)
+
+
+@pytest.mark.parametrize("buckets", [1, 64])
+def test_lines_dealt_by_size(spark, monkeypatch, buckets):
+    """Small buckets, a list dealt to many tasks, and lines that every part of the input has."""
+    monkeypatch.setattr(lines, "BUCKET_BYTES", 1 << 20 if buckets == 1 else 1 << 12)
+    monkeypatch.setattr(lines, "TASK_BYTES", 1 << 14)
+    monkeypatch.setattr(lines, "SPREAD", 16)
+    data = line_docs()
+    found = lines.similar_lines(spark.createDataFrame(data, "doc_id long, text string").repartition(7), 4)
+    assert {(r.doc_id, r.line) for r in found.collect()} == brute_lines(data)
 
 
 def test_dedup_lines_keeps_rows_and_columns(spark, folder, docs):
@@ -400,6 +418,9 @@ def test_dedup_lines_keeps_rows_and_columns(spark, folder, docs):
     found = kept.collect()
     assert len(found) == len(docs) and all(r["_gone"] == 1 and r.score == "x" for r in found)
     assert [r.text for r in found if r.doc_id == 900006 and r.text[0] == "t"] == ["the same words in a row again and again"] * 2
+    gone = brute_lines(docs)
+    wanted = Counter((i, t if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (k, n) not in gone)) for k, (i, t) in enumerate(docs))
+    assert Counter((r.doc_id, r.text) for r in found) == wanted
 
 
 # Pieces
