@@ -4,6 +4,7 @@ import base64
 import hashlib
 import json
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -636,6 +637,95 @@ def test_spans_of_mixed_text(spark):
     assert second.lang_pred in ("de", "en")
 
 
+def brute_word_scores(counts, totals, scripts, word):
+    grams = [f"^{word}$"[i : i + 3] for i in range(len(word))]
+    fit = {x for x in totals if scripts[x].get(language.script_of(word), 0) > language.SCRIPT_SHARE * sum(scripts[x].values())}
+    all_ = {x: sum(math.log((counts[x][g] + 1) / (totals[x] + language.KEPT)) for g in grams) for x in totals}
+    least = min(all_.values()) - 10
+    found = {x: all_[x] if x in fit else least for x in totals}
+    return {x: s - max(found.values()) if fit else 0 for x, s in found.items()}
+
+
+@pytest.mark.parametrize("grams", [language.GRAMS, 5])
+def test_word_scores(spark, monkeypatch, grams):
+    monkeypatch.setattr(language, "GRAMS", grams)
+    data = [("The cat's hat, the bat", "en"), ("die Katze und der Hut", "de"), ("кот и шляпа", "ru"), ("that was then", "en")]
+    model = language.train(spark.createDataFrame(data, "text string, lang string"))
+    counts, scripts = {x: Counter() for x in ("de", "en", "ru")}, {x: Counter() for x in ("de", "en", "ru")}
+    for t, lang in data:
+        for token in t.lower().split():
+            w = "".join(c for c in token if c.isalpha())
+            scripts[lang][language.script_of(w)] += len(w)
+            counts[lang].update(f"^{w}$"[i : i + 3] for i in range(len(w)))
+    totals = {x: sum(c.values()) for x, c in counts.items()}
+    words = ["the", "katze", "кот", "zzz", "日本", "thatthecat" * 50]
+    found, blind = model.word_scores(words)
+    assert blind.tolist() == [False, False, False, False, True, False]
+    for w, s in zip(words, found):
+        assert s.tolist() == pytest.approx([brute_word_scores(counts, totals, scripts, w)[x] for x in model.langs])
+
+
+def test_rare_trigrams_share_buckets(spark, monkeypatch):
+    monkeypatch.setattr(language, "KEPT", 3)
+    model = language.train(spark.createDataFrame([("aa aa aa ab xy", "en"), ("qq", "de")], "text string, lang string"))
+    en = model.langs.index("en")
+    floor = -math.log(10 + 3)
+    assert model.tail and model.grams[model._rows("^aa$", 0, 2), en].tolist() == pytest.approx([math.log(4) + floor] * 2)
+    # of ab and xy one trigram is kept, each other one has the mean of its bucket, 1
+    assert model.grams[model._rows("^ab$", 0, 2) + model._rows("^xy$", 0, 2), en].tolist() == pytest.approx([math.log(2) + floor] * 4)
+
+
+def test_long_texts_have_the_best_path(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    model = language.train(spark.createDataFrame([("the that with from have", "en"), ("und nicht auch werden", "de"), ("avec dans pour une", "fr")], "text string, lang string"))
+    words = "the that und auch avec une 12 日本 from werden pour".split()
+    text = " ".join(words[(i // 40 + rng.integers(0, 3)) % len(words)] for i in range(5000))
+    ((whole, sizes, blind),) = model.label([text])
+    monkeypatch.setattr(language, "LONG", 1500)
+    monkeypatch.setattr(language, "SEGMENT", 16)
+    ((path, again, unseen),) = model.label([text])
+    assert (again == sizes).all() and unseen == blind > 0
+    (ids,) = model.ids([text])
+    value = lambda p: float(model.scores[ids, p].astype(float).sum()) - language.SWITCH * (np.diff(p) != 0).sum()
+    assert value(path) == pytest.approx(value(whole), rel=1e-6)
+
+
+def test_letters_without_a_language(spark):
+    model = language.train(spark.createDataFrame([("the that with", "en"), ("und nicht auch", "de"), ("avec dans pour", "fr")], "text string, lang string"))
+    docs = spark.createDataFrame([("the that with und nicht auch avec dans pour", 1), ("Другой язык без примеров", 2), ("123", 3), (None, 4)], "text string, explained int")
+    assert [r.explained for r in language.keep_identified(docs, model).collect()] == [1]
+
+
+# Long texts: an unbroken run, a single line, and many words
+
+
+def peak_of(script):
+    import subprocess
+    import sys
+
+    code = f"import sys, time, resource\nsys.path.insert(0, {os.getcwd()!r})\n{script}\nprint(time.perf_counter() - began, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) / 1024)"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert not out.returncode, out.stderr
+    return map(float, out.stdout.split()[-2:])
+
+
+TEXTS = {"run": "'aB3' * 1_700_000", "line": "' '.join(f'word{i % 9973}' for i in range(700_000))", "words": "'\\n'.join(' '.join(f'w{i % 977}' for i in range(k, k + 20)) for k in range(100_000))"}
+TOOLS = {
+    "secrets": "from tessera.llm import secrets; f = lambda: (secrets.base_spans(text), secrets.structural_spans(text))",
+    "lines": "import numpy as np; from tessera.llm import lines; f = lambda: [lines._postings((raw, np.array([0, len(raw)]), np.array([0]), np.array([0])), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(lines.SKETCH, np.uint64), 8)]",
+    "language": "from tessera.llm import language as l; m = l.Model([(x, '!latin', 9, 99) for x in 'abcd'] + [(x, g, 3, 99) for x, g in zip('abcd', ('^wo', 'ord', 'aB3', 'w1$'))]); f = lambda: m.label([text])",
+    "simhash": "from tessera.llm import simhash; f = lambda: simhash.fingerprint(text.encode())",
+    "decontaminate": "from tessera.llm import decontaminate as d; b = d.Block([(1, b'word1 word2 word3 word4 word5')]); f = lambda: b.hits(d.words(text.encode()))",
+}
+
+
+@pytest.mark.parametrize("kind", TEXTS)
+@pytest.mark.parametrize("tool", TOOLS)
+def test_very_long_texts(kind, tool):
+    seconds, mb = peak_of(f"import numpy as np\ntext = {TEXTS[kind]}\nraw = np.frombuffer(text.encode(), np.uint8)\n{TOOLS[tool]}\nbase = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\nbegan = time.perf_counter()\nf()")
+    assert seconds < 10 and mb < 500
+
+
 # Pipeline
 
 
