@@ -1,26 +1,30 @@
 """Benchmark decontamination by a broadcast hash set of normalised n-grams.
 
-A window is N consecutive words of a test item; an item with fewer words, but not none, is one window. The
-hashes of all windows are broadcast in blocks of at most BLOCK_WINDOWS windows, which bounds what a
-worker holds whatever the size of the benchmark: each block is one more pass over the documents in the same stage,
-without a shuffle. A document's windows are hashed with a rolling polynomial over word ids of the
-block's vocabulary, looked up in the sorted hash set, and verified word by word.
+A window is N consecutive words of a test item; an item with fewer words, but not none, is one window. Windows
+come in blocks of at most BLOCK_WINDOWS, long items cut into pieces. A benchmark of one block is broadcast and documents
+are scanned in one pass without a shuffle. Of a larger one each block is a pass of its own: a task holds one
+block, writes the few documents that it hits, and the hits of all blocks are joined to the documents by a digest of
+the text, which decides the hits. The driver builds one block at a time, and PASSES blocks are broadcast at a time.
+A document's windows are hashed with a rolling polynomial over word ids of the block's vocabulary, looked up in the
+sorted hash set, and verified word by word.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import put_back, set_aside, table, text_bytes
+from tessera.llm.common import materialize, put_back, set_aside, table, text_bytes
 
 N = 13
 BLOCK_WINDOWS = 1 << 20
+PASSES = 16  # blocks whose passes are one job
 SHARE = 20  # contaminated: at least one word in SHARE is hit
 _words = bytes((c + 32 if 65 <= c <= 90 else c) if c >= 128 or 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 else 32 for c in range(256))
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -42,12 +46,14 @@ def _rolling(ids: np.ndarray, n: int) -> np.ndarray:
 class Block:
     """The windows of some items: by window length a sorted hash set, and the windows by hash."""
 
-    def __init__(self, items: list[tuple[int | None, bytes]], n: int = N) -> None:
+    def __init__(self, items: list[tuple[int | None, bytes | list[bytes]]], n: int = N) -> None:
+        """items: (item_id, text or words). An item may come in pieces that overlap by n - 1 words."""
         self.vocabulary: dict[bytes, int] = {}
         self.windows: dict[int, dict[int, list[tuple[tuple[int, ...], int]]]] = {}
         self.items = [i for i, _ in items]
         for k, (_, text) in enumerate(items):
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)], np.uint64)
+            found = text if isinstance(text, list) else words(text)
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in found], np.uint64)
             if len(ids):
                 size = min(n, len(ids))
                 by_hash = self.windows.setdefault(size, {})
@@ -80,19 +86,54 @@ class Block:
         return np.flatnonzero(np.cumsum(hit[:-1]) > 0), found
 
 
-def _blocks(benchmark: DataFrame, n: int) -> list[Block]:
-    """Blocks of the benchmark, which is the stated query set: read row by row, never as one result."""
-    spark, blocks, items, held = benchmark.sparkSession, [], [], 0
+def _blocks(benchmark: DataFrame, n: int) -> Iterator[Block]:
+    """Blocks of the benchmark, which is the stated query set: read row by row, one block at a time."""
+    items: list[tuple[int | None, list[bytes]]] = []
+    held = 0
     for row in benchmark.select(F.col("item_id").cast("long"), text_bytes()).toLocalIterator():
-        items.append((row[0], bytes(row[1])))
-        held += len(items[-1][1]) // 2
-        if held >= BLOCK_WINDOWS:
-            blocks.append(spark.sparkContext.broadcast(Block(items, n)))
-            items, held = [], 0
-    return [*blocks, spark.sparkContext.broadcast(Block(items, n))] if items else blocks
+        found = words(bytes(row[1]))
+        for at in range(0, max(1, len(found) - n + 1) if found else 0, BLOCK_WINDOWS):
+            piece = found[at : at + BLOCK_WINDOWS + n - 1]
+            size = max(1, len(piece) - n + 1)
+            if held + size > BLOCK_WINDOWS and items:
+                yield Block(items, n)
+                items, held = [], 0
+            items.append((row[0], piece))
+            held += size
+    if items:
+        yield Block(items, n)
 
 
 HITS = {"n_words": "long", "hit_words": "array<int>", "hit_items": "array<long>"}
+HIT_TYPES = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+
+
+def _scanned(block, every: bool):  # noqa: ANN001, ANN202
+    """Adds the columns HITS of one block, a broadcast or None, to rows with a text; without `every`, to rows with hits only and
+    without their texts."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = block.value if block else None
+        for big in batches:
+            for lo in range(0, big.num_rows, 512):
+                batch, rows, kept = big.slice(lo, 512), [], []
+                for k, text in enumerate(batch.column("text")):
+                    text = text.as_py()
+                    document = words(text.encode()) if text else []
+                    hit, found = tool.hits(document) if tool else ((), ())
+                    if every or len(hit):
+                        kept.append(k)
+                        rows.append((len(document), np.asarray(hit, np.int32), sorted({tool.items[i] for i in found} - {None})))
+                columns = [pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 3, HIT_TYPES)]
+                if not every:
+                    batch = batch.drop_columns("text").take(pa.array(kept, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *HITS])
+
+    return scan
+
+
+def _fields(df: DataFrame) -> str:
+    return ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema], *[f"{k} {v}" for k, v in HITS.items()]])
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
@@ -102,25 +143,41 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFra
     A null text has no words; items without words are never hit; a null item_id is left out of
     hit_items. Repeated rows come back repeated. Without items nothing is hit.
     """
+    spark, kept = docs.sparkSession, docs.drop(*HITS)
     blocks = _blocks(benchmark, n)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools = [b.value for b in blocks]
-        for big in batches:
-            for lo in range(0, big.num_rows, 512):
-                batch, rows = big.slice(lo, 512), []
-                for text in batch.column("text").to_pylist():
-                    document = words(text.encode()) if text else []
-                    found = [b.hits(document) for b in tools]
-                    hit = np.unique(np.concatenate([h for h, _ in found])) if found else np.zeros(0, np.int64)
-                    items = {b.items[k] for b, (_, ks) in zip(tools, found) for k in ks} - {None}
-                    rows.append((len(document), hit.astype(np.int32), sorted(items)))
-                columns = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())))]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *HITS])
-
-    kept = docs.drop(*HITS)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema]
-    return kept.mapInArrow(scan, ", ".join([*fields, *[f"{k} {v}" for k, v in HITS.items()]]))
+    first, second = next(blocks, None), next(blocks, None)
+    if second is None:
+        return kept.mapInArrow(_scanned(first and spark.sparkContext.broadcast(first), True), _fields(kept))
+
+    # hits are those of the text, so equal texts are searched once a task and joined once
+    key = [F.xxhash64("text").alias("_text"), F.hash("text").alias("_check"), F.length("text").alias("_length")]
+    names = ["_text", "_check", "_length"]
+    texts = kept.where("text is not null").select(*key, "text")
+    found, pending, passes = None, [], chain([first, second], blocks)
+    del first, second
+    for block in passes:
+        pending.append(spark.sparkContext.broadcast(block))
+        del block
+        if len(pending) == PASSES:
+            found, pending = _passes(found, texts, pending), []
+    if pending:
+        found = _passes(found, texts, pending)
+    joined = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    hits = found.groupBy(*names).agg(joined("hit_words"), joined("hit_items"))
+    keyed, moved = set_aside(kept, names)
+    counted = keyed.mapInArrow(_scanned(None, True), _fields(keyed)).drop("hit_words", "hit_items")
+    none = lambda c: F.coalesce(c, F.array().cast(HITS[c])).alias(c)
+    rows = counted.select("*", *key).join(hits, names, "left").select(*[c for c in counted.columns if c != "n_words"], "n_words", none("hit_words"), none("hit_items"))
+    return rows.withColumnsRenamed({v: k for k, v in moved.items()})
+
+
+def _passes(found: DataFrame | None, texts: DataFrame, blocks: list) -> DataFrame:
+    """found and the hits of blocks, written, by block and text."""
+    scans = [texts.mapInArrow(_scanned(b, False), _fields(texts.drop("text"))).dropDuplicates(texts.drop("text").columns) for b in blocks]
+    hits = materialize(reduce(DataFrame.union, scans), "hits")
+    for b in blocks:
+        b.destroy()
+    return hits if found is None else found.union(hits)
 
 
 def is_contaminated() -> F.Column:

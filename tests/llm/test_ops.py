@@ -578,6 +578,29 @@ def test_decontamination(spark, folder, docs, monkeypatch, block):
     assert any(r[5] for r in found)
 
 
+def test_blocks_hold_all_windows(spark, monkeypatch):
+    """A long item in pieces, and what a block takes: tasks hold one, the driver builds one at a time."""
+    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", 50)
+    long = [b"w%d" % (i % 400) for i in range(700)]
+    items = [(1, b" ".join(long).decode()), (2, "a b c"), (None, None), (3, " ".join(f"v{i}" for i in range(62)))]
+    blocks = list(decontaminate._blocks(spark.createDataFrame(items, "item_id long, text string"), 13))
+    assert max(sum(len(x) for x in b.windows.values()) for b in blocks) <= 50 and len(blocks) > 10
+    held = lambda b, size: {tuple(names[i] for i in w) for names in [{v: k for k, v in b.vocabulary.items()}] for x in b.windows.get(size, {}).values() for w, _ in x}
+    assert set().union(*(held(b, 13) for b in blocks)) >= {tuple(long[i : i + 13]) for i in range(688)}
+    docs = [(1, " ".join(f"w{i % 400}" for i in range(90, 300)), "x"), (2, "A b, c", "y"), (2, "A b, c", "y"), (3, None, "z"), (4, " ".join(f"v{i}" for i in range(30, 50)) + " other" * 500, "u")]
+    found = decontaminate.benchmark_hits(spark.createDataFrame(docs, "doc_id long, text string, _check string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = Counter((r.doc_id, r["_check"], r.n_words, len(r.hit_words), tuple(r.hit_items)) for r in found.collect())
+    assert got == {(1, "x", 210, 210, (1,)): 1, (2, "y", 3, 3, (2,)): 2, (3, "z", 0, 0, ()): 1, (4, "u", 520, 20, (3,)): 1}
+
+
+def test_empty_benchmark(spark, folder, tmp_path):
+    for name in ("documents", "benchmark"):
+        t = pq.read_table(f"{folder}/{name}.parquet")
+        pq.write_table(t if name == "documents" else t.slice(0, 0), tmp_path / f"{name}.parquet")
+    found = rows(spark, "op8_decontaminate", str(tmp_path))
+    assert len(found) == pq.read_metadata(f"{folder}/documents.parquet").num_rows and not any(r.contaminated or r.n_hit for r in found)
+
+
 def test_short_items_and_spans(spark):
     docs = spark.createDataFrame([(1, "Say Hello, World! to me", 5), (2, "hello", 6), (3, None, 7)], "doc_id long, text string, n_words int")
     bench = spark.createDataFrame([(1, "hello world"), (2, "..."), (None, "to me"), (4, None)], "item_id long, text string")
