@@ -9,6 +9,9 @@ from the stored file:
 * hysteresis segmentation of the frame energies: a span opens above mean + RISE deviations and closes below
   mean - FALL deviations.
 
+Features are stored as well: a table of Arrow streams, each a column of fixed-shape tensors with the time span of each
+patch and the energy spans, and read back.
+
 All steps run over blocks of a few patches, so memory doesn't grow with the length of a text beyond the
 text itself and one energy a frame.
 """
@@ -139,6 +142,41 @@ def tensor_ipc(tensors: np.ndarray, found: list[tuple[float, float]]) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def from_tensor_ipc(data: bytes) -> tuple[np.ndarray, np.ndarray, list[tuple[float, float]]]:
+    """(tensors, (start, end) of each patch, energy spans) of a stream by tensor_ipc()."""
+    read = pa.ipc.open_stream(data).read_all()
+    kind = read.schema.field("mel").type
+    tensors = np.concatenate([c.storage.flatten().to_numpy() for c in read["mel"].chunks]).reshape(-1, *kind.shape)
+    times = np.stack([read["start"].to_numpy(), read["end"].to_numpy()], axis=1)
+    marked = read.schema.metadata[b"spans"].decode()
+    return tensors, times, [tuple(map(float, x.split("-"))) for x in marked.split(";")] if marked else []
+
+
+def digest(tensors: np.ndarray, found: list[tuple[float, float]]) -> str:
+    """Number of patches and spans, and a SHA-256 of the tensors' values and the spans."""
+    raw = np.ascontiguousarray(tensors, "<f2").tobytes() + ";".join(f"{a:.6f}-{b:.6f}" for a, b in found).encode()
+    return f"{len(tensors)}:{len(found)}:{hashlib.sha256(raw).hexdigest()}"
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for big in batches:
+        for lo in range(0, big.num_rows, 256):
+            batch, found = big.slice(lo, 256), []
+            for x in batch.column("tensors"):
+                tensors, _, spans_ = from_tensor_ipc(x.as_py())
+                found.append(digest(tensors, spans_))
+            names = [n for n in batch.schema.names if n != "tensors"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found, pa.string())], [*names, "feature"])
+
+
+def store_features(media: DataFrame) -> DataFrame:
+    """Writes media_features() to the shared folder and returns the table as read back."""
+    found = media_features(media)
+    path = work_path(media.sparkSession, "features")
+    found.write.option("compression", "zstd").parquet(path)
+    return media.sparkSession.read.schema(found.schema).parquet(path)
+
+
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for big in batches:
         for lo in range(0, big.num_rows, 512):
@@ -180,8 +218,9 @@ def media_features(media: DataFrame) -> DataFrame:
 def op4_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stores all documents as audio and computes features from what is read back.
 
-    Rows with null doc_id keep it; a null text is 64 samples of value 0. Equal texts have equal values.
+    Rows with null doc_id keep it; a null text is 64 samples of value 0. Equal texts have equal values, and repeated rows
+    come back repeated. Other columns are ignored; an empty table gives an empty one.
     """
-    found = media_features(store_media(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    feature = F.concat_ws(":", F.size("spans").cast("string"), F.length("tensors").cast("string"), F.sha2("tensors", 256))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    stored = store_features(store_media(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+    return stored.drop("spans").mapInArrow(_digests, f"{schema}, feature string")

@@ -323,6 +323,54 @@ def test_resampling_is_the_direct_sum():
         assert y[m] == pytest.approx(direct, abs=1e-4)
 
 
+def brute_features(raw):
+    """Log-mel patches and energy spans from the formulas, in double precision."""
+    x = (np.frombuffer(raw + bytes(64 if not raw else -len(raw) % 64), np.uint8).astype(float) - 128) / 128
+    total = max(1, -(-(len(x) * 5 // 8) // 128))
+    patches = -(-total // 32)
+    half = audio.TAPS * 5 // 2
+    t = np.arange(-half, half)
+    h = np.sinc(t / 8) * np.hamming(len(t)) * 5 / 8
+    wave = np.zeros(patches * 32 * 128 + 256)
+    up = np.zeros(len(x) * 5)
+    up[::5] = x
+    full = np.convolve(up, h)[half::8]
+    n = min(len(full), len(wave))
+    wave[:n] = full[:n]
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(256) / 255)
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(129), np.arange(256)) / 256)
+    mel = lambda f: 2595 * math.log10(1 + f / 700)
+    top = 2500.0
+    edges = [700 * (10 ** (mel(top) * i / 17 / 2595) - 1) / top * 128 for i in range(18)]
+    bands = np.array([[max(0, min((k - a) / (b - a), (c - k) / (c - b))) for a, b, c in zip(edges, edges[1:], edges[2:])] for k in range(129)])
+    power = np.array([np.abs(turn @ (wave[i * 128 : i * 128 + 256] * window)) ** 2 for i in range(patches * 32)])
+    energy, on, spans = np.log(power.sum(axis=1) + 1e-6)[:total], False, []
+    high, low = energy.mean() + 0.5 * energy.std(), energy.mean() - 0.25 * energy.std()
+    for i, e in enumerate([*energy, -math.inf]):
+        if not on and e > high:
+            on, since = True, i
+        elif on and (e < low or i == total):
+            on = False
+            spans.append((since * 128 / 5000, i * 128 / 5000))
+    return np.log(power @ bands + 1e-6).reshape(-1, 32, 16), spans
+
+
+def test_stored_features(spark, folder, docs):
+    stored = audio.store_features(audio.store_media(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")))
+    back = {r.media_sha256: bytes(r.tensors) for r in stored.select("media_sha256", "tensors").collect()}
+    feature = {r.media_sha256: r.feature for r in rows(spark, "op4_audio", folder)}
+    some = sorted({t or "" for _, t in docs}, key=len)
+    for text in [*some[:40], *some[60:-1:9]]:
+        name = hashlib.sha256(audio.to_wav(text.encode())).hexdigest()
+        tensors, times, spans = audio.from_tensor_ipc(back[name])
+        wanted, marked = brute_features(text.encode())
+        assert tensors.shape == wanted.shape and np.allclose(tensors, wanted, atol=0.05, rtol=0.01)
+        assert np.allclose(times, [(i * 0.8192, (i + 1) * 0.8192) for i in range(len(tensors))])
+        assert np.allclose(np.reshape(spans, (-1, 2)), np.reshape(marked, (-1, 2)), atol=1e-6)
+        raw = tensors.astype("<f2").tobytes() + ";".join(f"{a:.6f}-{b:.6f}" for a, b in spans).encode()
+        assert feature[name] == f"{len(tensors)}:{len(spans)}:{hashlib.sha256(raw).hexdigest()}"
+
+
 def test_hysteresis_and_tensors():
     energy = np.array([0, 0, 5, 3, 3, 0, 3, 5, 5], float)
     assert audio.spans(energy, 1.0) == [(2.0, 5.0), (7.0, 9.0)]
