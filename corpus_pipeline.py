@@ -1,6 +1,6 @@
 """A training corpus from `documents`: five stages, each written as Parquet and read again as the next one's input.
 
-1. language ID: documents without a language, or without one for half of their letters, go.
+1. language ID: documents without a language, or with most letters in scripts of no known language, go.
 2. line dedup: lines that repeat an earlier line, exactly or nearly, go; documents stay, emptied ones too.
 3. SimHash near-dedup: of each group of near-duplicates, emptied documents among them, the one with the smallest doc_id stays.
 4. benchmark decontamination: documents of which a twentieth of the words lies in benchmark windows go.
