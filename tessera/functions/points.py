@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# fixed values: the format of point tags
 POINT = r"<point x='([\d.]+)' y='([\d.]+)'>"
 LABELLED = POINT + r"([^<]+)</point>"
 

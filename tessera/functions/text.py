@@ -17,6 +17,7 @@ QUESTION_TYPES = {
     "what": ["what is", "what are"],
 }
 QA_TYPES = ("phase", "step", "instrument", "position", "yes_no", "operation_note")
+# fixed values: words of small numbers, and a published scale of agreement
 NUMBER_WORDS = ("None", "One", "Two", "Three", "Four", "Five")
 KAPPA_BANDS = [(0.0, "Poor"), (0.2, "Slight"), (0.4, "Fair"), (0.6, "Moderate"), (0.8, "Substantial")]
 
@@ -149,7 +150,15 @@ def number_word(n: Column) -> Column:
 
 def pick(options: list[str], key: Column, seed: str = "") -> Column:
     """One of options by a hash of key."""
-    return F.element_at(F.array(*map(F.lit, options)), (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(len(options))) + 1).cast("int"))
+    at = F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(seed))), 1, 8), 16, 10).cast("long") % len(options)
+    return F.get(F.array(*map(F.lit, options)), at.cast("int"))
+
+
+def fill(template: Column, values: dict[str, Column]) -> Column:
+    """The template with each {name} replaced."""
+    for name, value in values.items():
+        template = F.replace(template, F.lit("{" + name + "}"), value)
+    return template
 
 
 def annotation_id(video: Column, label: Column, timestamps: Column) -> Column:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.points import all_tags, first_by_timestamp, point_tag
-from tessera.functions.text import english_list, number_word
-from tessera.operators.sampling import coin, draw, qa_slots
-
-QA = "array<struct<question:string,answer:string,question_type:string>>"
+from tessera.functions.text import english_list, fill, number_word, pick
+from tessera.operators.sampling import choice, coin, draw, qa_slots
 
 
 def flat_points(annotations: DataFrame, confidence: float = 0.5, digits: int | None = 1) -> DataFrame:
@@ -41,30 +41,59 @@ def normal_instruments(kind: str, column: str) -> Column:
     raise ValueError(kind)
 
 
-def _qa(question: Column | str, answer: Column, kind: str) -> Column:
-    q = F.lit(question) if isinstance(question, str) else question
-    return F.struct(q.alias("question"), answer.cast("string").alias("answer"), F.lit(kind).alias("question_type"))
+#: Templates by kind of question; {x} is what the question is about.
+QUESTIONS = {
+    "phase": ["Which surgical phase is this?", "What phase is the operation in?"],
+    "step": ["Which surgical step is this?", "What step is under way?"],
+    "instrument_what": ["Which instruments are visible?", "What instruments can be seen?"],
+    "instrument_count": ["How many instruments are visible?", "What is the number of instruments?"],
+    "instrument_position": ["Where is the {x}?", "In which position is the {x}?"],
+    "instrument_yesno": ["Is the {x} visible?", "Can the {x} be seen?"],
+    "phase_yesno": ["Is this the phase {x}?", "Is {x} the phase of this frame?"],
+    "step_yesno": ["Is this the step {x}?", "Is {x} under way?"],
+    "operation_note": ["What is noted about the operation?", "What does the note say?"],
+}
+
+
+def _qa(kind: str, answer: Column, templates: dict[str, list[str]], about: Column | None = None) -> Column:
+    question = pick(templates[kind], F.col("frame_id"), kind)
+    question = question if about is None else fill(question, {"x": about})
+    return F.struct(question.alias("question"), answer.cast("string").alias("answer"), F.lit(kind).alias("question_type"))
+
+
+def _yes_no(kind: str, here: Column, options: list[str], templates: dict[str, list[str]]) -> Column:
+    """By a coin what is here, or another option; what is here if there is no other."""
+    other = choice(F.array_remove(F.array(*map(F.lit, options)), here), F.col("frame_id"), f"{kind} other")
+    yes = coin(F.col("frame_id"), kind) | other.isNull()
+    return F.when(F.coalesce(here, F.lit("")) != "", F.when(yes, _qa(kind, F.lit("Yes"), templates, here)).otherwise(_qa(kind, F.lit("No"), templates, other)))
 
 
-def frame_questions(frames: DataFrame, steps: list[str], instruments: list[str], slots: int | None = None) -> DataFrame:
+def frame_questions(frames: DataFrame, phases: list[str], steps: list[str], instruments: list[str], templates: dict[str, list[str]] = QUESTIONS, slots: int | None = None) -> DataFrame:
     """Questions of frames (frame_id, phase, step, instruments, operation_note), one row each.
 
-    Yes/no questions ask for what is there or, by a coin on the frame, for something that isn't. With slots, kinds get
-    their allotment in a fixed order."""
-    seen = F.transform(F.filter("instruments", lambda i: F.lower(i.presence) != "not visible"), lambda i: i["name"])
-    absent = F.array_except(F.array(*map(F.lit, instruments)), seen)
-    heads = coin(F.col("frame_id"), "yes")
-    one_of = lambda options: F.get(options, F.pmod(F.xxhash64("frame_id"), F.greatest(F.size(options), F.lit(1))).cast("int"))
-    other_step = one_of(F.array_remove(F.array(*map(F.lit, steps)), F.col("step")))
+    Instruments that aren't "Not visible" count as seen (F6). A position is asked of one seen instrument that has one. Yes/no
+    questions ask for what is there or, by a coin of each kind on the frame, for something that isn't. Templates and choices are
+    drawn by hashes of the frame. With slots, kinds get their allotment in a fixed order; without, each kind has one (G2)."""
+    frame, has = F.col("frame_id"), lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    seen = F.filter("instruments", lambda i: F.lower(F.coalesce(i.presence, F.lit(""))) != "not visible")
+    names = F.transform(seen, lambda i: i["name"])
+    placed = choice(F.filter(seen, lambda i: F.coalesce(i.position, F.lit("")) != ""), frame, "position")
+    present = F.array_sort(F.array_distinct(F.transform(names, F.lower)))
+    absent = F.array_except(F.array(*[F.lit(x) for x in sorted({x.lower() for x in instruments})]), present)
+    there, missing = choice(present, frame, "present"), choice(absent, frame, "absent")
+    yes = coin(frame, "instrument_yesno") & there.isNotNull() | missing.isNull()
+    asked = F.initcap(F.when(yes, there).otherwise(missing))
+    qa = lambda kind, answer, about=None: _qa(kind, answer, templates, about)
     kinds = {
-        "phase": F.when(F.col("phase").isNotNull(), _qa("Which surgical phase is this?", F.col("phase"), "phase")),
-        "step": F.when(F.col("step").isNotNull(), _qa("Which surgical step is this?", F.col("step"), "step")),
-        "instrument_what": F.when(F.size(seen) > 0, _qa("Which instruments are visible?", english_list(seen), "instrument_what")),
-        "instrument_count": _qa("How many instruments are visible?", number_word(F.size(seen)), "instrument_count"),
-        "instrument_position": F.when(F.size(seen) > 0, _qa(F.concat(F.lit("Where is the "), F.get(seen, F.lit(0)), F.lit("?")), F.get("instruments", F.lit(0)).position, "instrument_position")),
-        "instrument_yesno": F.when(heads & (F.size(seen) > 0) | (F.size(absent) == 0), _qa(F.concat(F.lit("Is the "), one_of(seen), F.lit(" visible?")), F.lit("Yes"), "instrument_yesno")).otherwise(_qa(F.concat(F.lit("Is the "), one_of(absent), F.lit(" visible?")), F.lit("No"), "instrument_yesno")),
-        "step_yesno": F.when(F.col("step").isNotNull(), F.when(heads, _qa(F.concat(F.lit("Is this "), F.col("step"), F.lit("?")), F.lit("Yes"), "step_yesno")).otherwise(_qa(F.concat(F.lit("Is this "), other_step, F.lit("?")), F.lit("No"), "step_yesno"))),
-        "operation_note": F.when(F.col("operation_note").isNotNull(), _qa("What is noted about the operation?", F.col("operation_note"), "operation_note")),
+        "phase": F.when(has("phase"), qa("phase", F.col("phase"))),
+        "step": F.when(has("step"), qa("step", F.col("step"))),
+        "instrument_what": F.when(F.size("instruments") > 0, qa("instrument_what", F.when(F.size(names) == 0, "No instruments visible").otherwise(english_list(names)))),
+        "instrument_count": qa("instrument_count", number_word(F.size(names))),
+        "instrument_position": F.when(placed.isNotNull(), qa("instrument_position", placed.position, placed["name"])),
+        "instrument_yesno": F.when(asked.isNotNull(), qa("instrument_yesno", F.when(yes, "Yes").otherwise("No"), asked)),
+        "phase_yesno": _yes_no("phase_yesno", F.col("phase"), phases, templates),
+        "step_yesno": _yes_no("step_yesno", F.col("step"), steps, templates),
+        "operation_note": F.when(has("operation_note"), qa("operation_note", F.col("operation_note"))),
     }
     if slots is not None:
         allotted = qa_slots(list(kinds), slots)
@@ -112,12 +141,14 @@ def sft_rows(df: DataFrame) -> DataFrame:
 
 
 def dpo_rows(df: DataFrame, labels: list[str], constant: str) -> DataFrame:
-    """The rejected answer names another of labels where the answer has one; else it is constant."""
-    text = F.col("answer")
-    present = F.get(F.filter(F.array(*map(F.lit, labels)), lambda x: F.lower(text).contains(F.lower(x))), F.lit(0))
-    others = F.filter(F.array(*map(F.lit, labels)), lambda x: x != present)
-    wrong = F.get(others, F.pmod(F.xxhash64("prompt"), F.greatest(F.size(others), F.lit(1))).cast("int"))
-    rejected = F.when(present.isNotNull() & wrong.isNotNull(), F.replace(text, present, wrong)).otherwise(constant)
+    """The rejected answer names another of labels in place of the first of them that the answer has, as a word
+    and whatever its case; without one it is constant."""
+    text, rejected = F.col("answer"), F.lit(constant)
+    for label in reversed(labels):
+        others = F.array(*[F.lit(x) for x in labels if x.lower() != label.lower()])
+        word = r"(?iu)(?<![\p{L}\p{N}_])" + re.escape(label) + r"(?![\p{L}\p{N}_])"
+        wrong = choice(others, F.col("prompt"), "wrong")
+        rejected = F.when(text.rlike(word) & wrong.isNotNull(), F.regexp_replace(text, F.lit(word), wrong)).otherwise(rejected)
     return df.select("prompt", text.alias("chosen"), rejected.alias("rejected"), F.array("image").alias("images"))
 
 

@@ -13,6 +13,20 @@ def draw(key: Column, seed: str = "42") -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(seed)))
 
 
+def choice(options: Column, key: Column, seed: str) -> Column:
+    """One of an array of options by a hash of key, null of an empty one."""
+    at = F.conv(F.substring(draw(key, seed), 1, 8), 16, 10).cast("long") % F.greatest(F.size(options), F.lit(1))
+    return F.get(options, at.cast("int"))
+
+
+def _on(a: str, b: str, keys: list[str]) -> Column:
+    """Equality of keys, null keys being equal."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
+    return out
+
+
 def hash_rank(df: DataFrame, key: str, groups: list[str], seed: str = "42", name: str = "rank") -> DataFrame:
     """df with the rank (from 1) of each row by hash within its group.
 
@@ -24,16 +38,17 @@ def hash_rank(df: DataFrame, key: str, groups: list[str], seed: str = "42", name
     own = F.row_number().over(Window.partitionBy(*groups, "_r").orderBy("_h", key))
     keys = [*groups, "_r"]
     left, right = rows.alias("a"), sizes.withColumn("_before", before).drop("_n").alias("b")
-    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    joined = left.join(right, on).select("a.*", "b._before")
+    joined = left.join(right, _on("a", "b", keys)).select("a.*", "b._before")
     return joined.withColumn(name, own + F.col("_before")).drop("_h", "_r", "_before")
 
 
 def sample_by_rate(df: DataFrame, key: str, stratum: str, rates: dict[str, float], seed: str = "42") -> DataFrame:
-    """Of each stratum max(1, int(n * rate)) rows, none of an empty one."""
+    """Of each stratum max(1, int(n * rate)) rows, none of an empty one. A stratum without a rate gives one row; null is
+    a stratum like any other."""
     rate = F.coalesce(*[F.when(F.col(stratum) == k, F.lit(r)) for k, r in rates.items()], F.lit(0.0))
     sizes = df.groupBy(stratum).agg(F.count("*").alias("_size")).withColumn("_take", F.greatest(F.lit(1), F.floor(F.col("_size") * rate)))
-    return hash_rank(df, key, [stratum], seed).join(sizes, stratum).where("rank <= _take").drop("_size", "_take", "rank")
+    ranked = hash_rank(df, key, [stratum], seed).alias("a").join(sizes.alias("b"), _on("a", "b", [stratum]))
+    return ranked.where("rank <= _take").select("a.*").drop("rank")
 
 
 def ratio_counts(available: dict[str, int], ratios: dict[str, float]) -> dict[str, int]:
@@ -64,13 +79,13 @@ def split_of_rank(rank: Column, n: Column, shares: tuple[float, float, float]) -
 
 
 def group_split(df: DataFrame, group: str, shares: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: str = "42") -> DataFrame:
-    """Df with a split that no group shares with another."""
+    """Df with a split that no group shares with another. Rows without a group are a group."""
     if abs(sum(shares) - 1) > 1e-6:
         raise ValueError("shares must add up to 1")
     groups = df.select(group).distinct()
     n = groups.agg(F.count("*").alias("_n"))
     split = hash_rank(groups, group, [], seed).join(F.broadcast(n)).select(group, split_of_rank(F.col("rank"), F.col("_n"), shares).alias("split"))
-    return df.join(split, group)
+    return df.alias("a").join(split.alias("b"), _on("a", "b", [group])).select("a.*", "b.split")
 
 
 def row_split(df: DataFrame, key: str, shares: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: str = "42") -> DataFrame:
@@ -103,6 +118,16 @@ def qa_slots(kinds: list[str], slots: int = 8) -> dict[str, int]:
     return {k: each + (i < more) for i, k in enumerate(kinds)}
 
 
+def integrity_sample(df: DataFrame, key: str, n: int = 100, seed: str = "42") -> DataFrame:
+    """N rows by hash."""
+    return df.orderBy(draw(F.col(key), seed), key).limit(n)
+
+
+def fixed_split(df: DataFrame, group: str, validation: list) -> DataFrame:
+    """The listed groups to validation, all others to train."""
+    return df.withColumn("split", F.when(F.col(group).isin(*validation), "validation").otherwise("train"))
+
+
 def uniform_places(n: int, k: int) -> list[int]:
     """int(linspace(0, n - 1, k))."""
     return [i * (n - 1) // (k - 1) for i in range(k)] if k > 1 else [0] * k

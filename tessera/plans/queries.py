@@ -301,9 +301,9 @@ def validate_rules(spark, d):
     return stats.rules(load(spark, d, "documents"), [("no_text", "error", F.coalesce(F.col("text"), F.lit("")) == ""), ("short", "warning", F.col("n_chars") < 300), ("bad_lang", "error", ~F.col("lang").isin("en", "fr"))])
 
 
-@query("SELECT conv_id, list_sort(list(DISTINCT role)) AS splits FROM conversations WHERE turn % 3 = 0 GROUP BY 1 HAVING count(DISTINCT role) > 1")
+@query("SELECT conv_id, list_sort(list(DISTINCT role)) AS splits FROM conversations GROUP BY 1 HAVING count(DISTINCT role) > 1")
 def split_leakage(spark, d):
-    return matching.leaks(load(spark, d, "conversations").where("turn % 3 = 0").withColumnRenamed("role", "split"), "conv_id")
+    return matching.leaks(load(spark, d, "conversations").withColumnRenamed("role", "split"), "conv_id")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -471,18 +471,75 @@ def messages_sft(spark, d):
     return both.select("conv_id", "turn", m[0].content.alias("user_text"), m[1].content.alias("assistant_text"))
 
 
-@query()
+def _choice(options: str, key: str, seed: str) -> str:
+    """sampling.choice() in SQL, place from 1."""
+    return f"(('0x' || substr(md5({key}::VARCHAR || '{seed}'), 1, 8))::BIGINT % greatest(len({options}), 1) + 1)::INT"
+
+
+def _swapped(label: str, wrong: str) -> str:
+    once = lambda text: f"regexp_replace({text}, '(^|[^\\p{{L}}\\p{{N}}_]){label}($|[^\\p{{L}}\\p{{N}}_])', '\\1' || {wrong} || '\\2', 'gi')"
+    return once(once("nt"))  # twice: a match takes the character that the next one needs
+
+
+def _others(label: str) -> str:
+    options = [x for x in ("the", "der", "les") if x != label]
+    return f"{options}[{_choice(str(options), 'text', 'wrong')}]"
+
+
+@query(
+    """WITH t AS (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT text AS prompt, nt AS chosen, CASE """
+    + " ".join(f"WHEN regexp_matches(nt, '(^|[^\\p{{L}}\\p{{N}}_]){x}($|[^\\p{{L}}\\p{{N}}_])', 'i') THEN {_swapped(x, _others(x))}" for x in ("the", "der", "les"))
+    + " ELSE 'I can''t tell.' END AS rejected FROM t WHERE role = 'user' AND nr = 'assistant'"
+)
 def preference_rows(spark, d):
     pairs_ = turn_pairs(spark, d).where("answer is not null").withColumn("image", F.concat_ws("/", "conv_id", "turn"))
     return generate.dpo_rows(pairs_, ["the", "der", "les"], "I can't tell.").select("prompt", "chosen", "rejected")
 
 
-@query()
+LEVELS, SOURCES = ["low", "mid", "high"], ["click", "view", "purchase", "error", "search"]
+
+
+def _asked(kind: str, answer: str, about: str = "''") -> str:
+    options = str(generate.QUESTIONS[kind])
+    return f"{{'question': replace({options}[{_choice(options, 'frame_id', kind)}], '{{x}}', {about}), 'answer': {answer}, 'question_type': '{kind}'}}"
+
+
+def _coin(seed: str) -> str:
+    return f"('0x' || substr(md5(frame_id || '{seed}'), 1, 1))::INT % 2 = 0"
+
+
+def _asked_yes_no(kind: str, here: str) -> str:
+    others = f"list_filter({LEVELS}, lambda x: x <> {here})"
+    other = f"({others})[{_choice(others, 'frame_id', f'{kind} other')}]"
+    return f"CASE WHEN {_coin(kind)} THEN {_asked(kind, chr(39) + 'Yes' + chr(39), here)} ELSE {_asked(kind, chr(39) + 'No' + chr(39), other)} END"
+
+
+FRAME_QUESTIONS_SQL = f"""WITH {POINTS_SQL}, f AS (SELECT user_id || '_' || day AS frame_id, min(label) AS phase, max(label) AS step, CASE WHEN count(*) > 2 THEN 'busy' END AS note,
+  list_sort(list(DISTINCT {{'name': source, 'presence': CASE WHEN y < 20 THEN 'Not visible' ELSE 'Visible' END, 'position': CASE label WHEN 'low' THEN '' ELSE label END}})) AS instruments FROM points GROUP BY user_id, day),
+g AS (SELECT *, list_filter(instruments, lambda i: lower(i.presence) <> 'not visible') AS seen FROM f),
+h AS (SELECT *, list_transform(seen, lambda i: i.name) AS names, list_filter(seen, lambda i: i.position <> '') AS placed, list_sort(list_distinct(list_transform(seen, lambda i: i.name))) AS present FROM g),
+k AS (SELECT *, list_filter({sorted(SOURCES)}, lambda x: NOT list_contains(present, x)) AS absent FROM h),
+m AS (SELECT *, placed[{_choice("placed", "frame_id", "position")}] AS one, present[{_choice("present", "frame_id", "present")}] AS there, absent[{_choice("absent", "frame_id", "absent")}] AS missing FROM k),
+n AS (SELECT *, ({_coin("instrument_yesno")} AND there IS NOT NULL) OR missing IS NULL AS yes FROM m),
+o AS (SELECT *, upper(substr(CASE WHEN yes THEN there ELSE missing END, 1, 1)) || substr(CASE WHEN yes THEN there ELSE missing END, 2) AS asked FROM n),
+q AS (SELECT frame_id, list_filter([{_asked("phase", "phase")}, {_asked("step", "step")},
+  {_asked("instrument_what", "CASE len(names) WHEN 0 THEN 'No instruments visible' WHEN 1 THEN names[1] ELSE array_to_string(names[1:-2], ', ') || ' and ' || names[-1] END")},
+  {_asked("instrument_count", "CASE WHEN len(names) <= 5 THEN ['None', 'One', 'Two', 'Three', 'Four', 'Five'][len(names)::INT + 1] ELSE len(names)::VARCHAR END")},
+  CASE WHEN one IS NOT NULL THEN {_asked("instrument_position", "one.position", "one.name")} END,
+  {_asked("instrument_yesno", "CASE WHEN yes THEN 'Yes' ELSE 'No' END", "asked")},
+  {_asked_yes_no("phase_yesno", "phase")}, {_asked_yes_no("step_yesno", "step")}, CASE WHEN note IS NOT NULL THEN {_asked("operation_note", "note")} END], lambda x: x IS NOT NULL) AS qs FROM o),
+r AS (SELECT frame_id, unnest(qs) AS qa, (generate_subscripts(qs, 1) - 1)::INT AS place FROM q),
+s AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY md5(frame_id || '_' || place || '42')) AS rk FROM r)
+SELECT frame_id, place, qa.question AS question, qa.answer AS answer, qa.question_type AS question_type FROM s WHERE rk <= 8"""
+
+
+@query(FRAME_QUESTIONS_SQL)
 def frame_questions(spark, d):
-    inst = F.array_sort(F.collect_set(F.struct(F.col("source").alias("name"), F.lit("Visible").alias("presence"), F.col("label").alias("position"))))
-    frames = points(spark, d).groupBy("user_id", "day").agg(inst.alias("instruments"), F.min("label").alias("phase"), F.max("label").alias("step"))
-    frames = frames.select(F.concat_ws("_", "user_id", "day").alias("frame_id"), "phase", "step", "instruments", F.lit(None).cast("string").alias("operation_note"))
-    return generate.cap_per_frame(generate.frame_questions(frames, ["low", "mid", "high"], ["click", "view", "purchase", "error", "search"]))
+    inst = F.struct(F.col("source").alias("name"), F.when(F.col("y") < 20, "Not visible").otherwise("Visible").alias("presence"), F.when(F.col("label") == "low", "").otherwise(F.col("label")).alias("position"))
+    frames = points(spark, d).groupBy("user_id", "day").agg(F.array_sort(F.collect_set(inst)).alias("instruments"), F.min("label").alias("phase"), F.max("label").alias("step"), F.when(F.count("*") > 2, "busy").alias("operation_note"))
+    frames = frames.withColumn("frame_id", F.concat_ws("_", "user_id", "day"))
+    return generate.cap_per_frame(generate.frame_questions(frames, LEVELS, LEVELS, SOURCES))
 
 
 @query(f"""WITH {POINTS_SQL}, l AS (SELECT user_id, label, count(*) AS n FROM points GROUP BY ALL HAVING count(*) >= 3), r AS (SELECT p.user_id, p.label, day, ord, row_number() OVER (PARTITION BY p.user_id, p.label ORDER BY md5(ord::VARCHAR)) AS rk FROM points p)
