@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.plans import queries as plans
+from tessera.plans import reports  # noqa: F401  registers its queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

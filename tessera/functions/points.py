@@ -37,8 +37,9 @@ def distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
 def zone_point(zone_no: Column, centres: dict[int, tuple[float, float]], key: Column, seed: str = "") -> Column:
     """A zone's centre, moved by up to 10 either way and held within 5..95, one decimal; (50, 50) without a zone.
 
-    The move is drawn from a hash of key, so it is the same on every run."""
-    draw = lambda axis: F.pmod(F.xxhash64(key, F.lit(f"{seed}{axis}")), F.lit(20001)) / 1000 - 10
+    The move, a number of tenths, is drawn from a hash of key, so it is the same on every run."""
+    number = lambda axis: F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(f"{seed}{axis}"))), 1, 8), 16, 10).cast("long")
+    draw = lambda axis: (number(axis) % 201 - 100) / 10
     moved = lambda c, axis: F.bround(F.least(F.lit(95.0), F.greatest(F.lit(5.0), F.lit(c) + draw(axis))), 1)
     out = None
     for z, (x, y) in centres.items():
@@ -104,6 +105,13 @@ def point_box(x: Column, y: Column, half: float = 0.05) -> Column:
     return F.struct(low(x).alias("x1"), low(y).alias("y1"), high(x).alias("x2"), high(y).alias("y2"))
 
 
+def pointed_in_text(text: Column, half: float = 0.05, confidence: float = 0.5) -> Column:
+    """The points of the JSON between the first { and the last }, as (label, confidence, box); unreadable text has none."""
+    found = json_in_text(text, "braces").annotations
+    one = lambda a: F.struct(a.label.alias("label"), F.coalesce(a.confidence, F.lit(confidence)).alias("confidence"), point_box(a.x, a.y, half).alias("box"))
+    return F.coalesce(F.transform(F.filter(found, lambda a: a.x.isNotNull() & a.y.isNotNull()), one), F.array().cast("array<struct<label:string,confidence:double,box:struct<x1:double,y1:double,x2:double,y2:double>>>"))
+
+
 ANNOTATIONS = "struct<annotations:array<struct<label:string,x:double,y:double,confidence:double,category:string>>>"
 
 

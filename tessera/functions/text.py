@@ -109,6 +109,28 @@ def label_index(label: Column, labels: list[str]) -> Column:
     return F.coalesce(F.array_position(F.array(*[F.lit(x.lower()) for x in labels]), F.lower(label)), F.lit(0)).cast("int")
 
 
+def answer_index(answer: Column, answers: list[str]) -> Column:
+    """The place of an answer, -1 if it isn't one of them."""
+    return F.coalesce(F.array_position(F.array(*map(F.lit, answers)), answer) - 1, F.lit(-1)).cast("int")
+
+
+def first_of(df, fields: dict[str, list[str]]) -> list[Column]:  # noqa: ANN001
+    """P20: for each field the first of its names that df has and that isn't null."""
+    there = lambda names: [F.col(f"`{n}`") for n in names if n in df.columns]
+    return [F.coalesce(*there(names), F.lit(None)).alias(field) for field, names in fields.items()]
+
+
+def resolved_path(df, files, patterns: list[str], path: str = "image_path", names: tuple[str, ...] = ("video_id", "frame_id")):  # noqa: ANN001, ANN201
+    """P25: df with `resolved`: its own path if it has one, else the first of patterns ({video_id}/{frame_id}.png, say) that is among files
+    (path), else the first pattern. One join, with a pattern's place as priority."""
+    own = F.col(path) if path in df.columns else F.lit(None).cast("string")
+    of = lambda p: fill(F.lit(p), {n: F.col(n).cast("string") for n in names})
+    keyed = df.withColumn("_key", F.struct(*names))
+    tried = keyed.select("_key", F.posexplode(F.array(*map(of, patterns))).alias("_i", "path")).distinct()
+    best = tried.join(files.select("path").distinct(), "path", "left_semi").groupBy("_key").agg(F.min_by("path", "_i").alias("_found"))
+    return keyed.join(best, "_key", "left").withColumn("resolved", F.coalesce(F.nullif(own, F.lit("")), "_found", of(patterns[0]))).drop("_key", "_found")
+
+
 def char_ids(text: Column, size: int = 30522, length: int = 128) -> Column:
     """Code points modulo size, filled with zeros to length."""
     ids = F.transform(F.split(F.substring(text, 1, length), ""), lambda c: F.ascii(c) % size)
@@ -192,6 +214,34 @@ def chat_text(messages: Column) -> Column:
     return F.array_join(F.transform(messages, lambda m: F.concat(F.initcap(m.role), F.lit(": "), m.content)), "\n")
 
 
+def rouge_l(df, candidate: str, reference: str, name: str = "rouge_l", stem=None):  # noqa: ANN001, ANN201
+    """Df with the ROUGE-L F1 of two texts: twice their longest common subsequence of words (a-z and 0-9) over the sum of their lengths,
+    0 without words. stem: a function applied to each word, none by default."""
+    import re
+
+    import pyarrow as pa
+
+    def words(text: str | None) -> list[str]:
+        found = re.findall(r"[a-z0-9]+", (text or "").lower())
+        return [stem(w) for w in found] if stem else found
+
+    def score(a: list[str], b: list[str]) -> float:
+        row = [0] * (len(b) + 1)
+        for x in a:
+            diagonal = 0
+            for j, y in enumerate(b, 1):
+                diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
+        return 2 * row[-1] / (len(a) + len(b)) if a and b else 0.0
+
+    def scored(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            out = [score(words(x), words(y)) for x, y in zip(batch.column(candidate).to_pylist(), batch.column(reference).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, name])
+
+    kept = df.drop(name)
+    return kept.mapInArrow(scored, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema], f"{name} double"]))
+
+
 def bleu(candidate: Column, reference: Column, n: int = 1) -> Column:
     """Sentence BLEU up to n-grams, with an epsilon of 0.1 for orders without a match; 0 without any common word."""
     def grams(words: Column, k: int) -> Column:

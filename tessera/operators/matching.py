@@ -13,6 +13,12 @@ def first_per_key(df: DataFrame, keys: list[str], ord_: str = "ord") -> DataFram
     return best.select(*keys, *[F.col("_best")[c].alias(c) for c in rest])
 
 
+def last_per_key(df: DataFrame, keys: list[str], ord_: str = "ord") -> DataFrame:
+    """Later rows replace earlier ones."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(ord_)).alias("_r")).select(*keys, "_r.*")
+
+
 def pairwise_overlap(points: DataFrame, a: str, b: str, keys: list[str], columns: list[str]) -> DataFrame:
     """First rows of two sources side by side, on common keys; columns get the suffixes _a and _b. One pass
     over the rows: a conditional aggregation by key in place of a self-join."""

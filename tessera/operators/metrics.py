@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.points import distance, first_point, has_point, zone
+from tessera.operators.stats import percentiles
 
 
 def confusion_matrix(df: DataFrame, labels: list[str], truth: str = "truth", predicted: str = "predicted") -> DataFrame:
@@ -56,9 +57,8 @@ def pointing_metrics(df: DataFrame, truth: str = "truth", predicted: str = "pred
         share(F.col("d") <= 15).alias("accuracy_15"),
         none(F.count_if(F.col("same") & F.col("d").isNotNull()) / F.nullif(F.count_if("tag"), F.lit(0))).alias("quadrant_accuracy"),
         none(F.avg("d")).alias("mean_distance"),
-        none(F.median("d")).alias("median_distance"),
         none(F.stddev_pop("d")).alias("std_distance"),
-    )
+    ).join(percentiles(rows, "d", [], {"median_distance": 0.5}).drop("n"), how="left").withColumn("median_distance", none(F.col("median_distance")))
 
 
 def multilabel_metrics(df: DataFrame, truth: str = "truth", predicted: str = "predicted") -> DataFrame:

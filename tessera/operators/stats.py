@@ -12,6 +12,34 @@ def annotation_statistics(points: DataFrame, confidence: str = "confidence") ->
     return points.agg(F.count("*").alias("n"), F.avg(c).alias("avg_confidence"), F.min(c).alias("min_confidence"), F.max(c).alias("max_confidence"))
 
 
+def frame_confidence(points: DataFrame, by: list[str], default: float = 0.5, ord_: str = "ord") -> DataFrame:
+    """By frame the number of annotations, their mean confidence (default where it lacks) and the label of the first."""
+    return points.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.coalesce(F.col("confidence"), F.lit(default))).alias("confidence"), F.min_by("label", ord_).alias("primary_label"))
+
+
+def qa_checks(pairs: DataFrame, types: list[str], most: int = 10) -> DataFrame:
+    """(check, severity, failed, n_rows, examples) of question rows (frame_id, question, answer, question_type), in one pass.
+
+    Examples are frame ids, `most` of them; the counts aren't capped."""
+    empty = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
+    checks = {
+        "missing_field": ("error", empty("frame_id") | empty("question") | F.col("answer").isNull()),
+        "no_question_mark": ("warning", ~empty("question") & ~F.trim("question").endswith("?")),
+        "empty_answer": ("error", F.col("answer").isNotNull() & empty("answer")),
+        "bad_type": ("warning", ~F.coalesce(F.col("question_type").isin(*types), F.lit(False))),
+    }
+    rows = pairs.select("frame_id", F.explode(F.array(*[F.struct(F.lit(k).alias("check"), F.lit(s).alias("severity"), c.alias("bad")) for k, (s, c) in checks.items()])).alias("r")).select("frame_id", "r.*")
+    # the least ids: a sketch of fixed size for each check, however many rows fail
+    found = rows.groupBy("check", "severity").agg(F.count_if("bad").alias("failed"), F.count("*").alias("n_rows"))
+    least = rows.where("bad and frame_id is not null").select("check", "frame_id").distinct().withColumn("_k", F.row_number().over(Window.partitionBy("check").orderBy("frame_id"))).where(F.col("_k") <= most)
+    return found.join(least.groupBy("check").agg(F.array_sort(F.collect_list("frame_id")).alias("examples")), "check", "left").withColumn("examples", F.coalesce("examples", F.array().cast("array<string>")))
+
+
+def qa_totals(pairs: DataFrame) -> DataFrame:
+    """(n, frames, per_frame)."""
+    return pairs.agg(F.count("*").alias("n"), F.count_distinct("frame_id").alias("frames")).withColumn("per_frame", F.coalesce(F.try_divide("n", "frames"), F.lit(0.0)))
+
+
 def top_labels(points: DataFrame, label: str = "label", k: int = 20, ord_: str = "ord") -> DataFrame:
     """The k most frequent labels, ties by first occurrence, with their rank."""
     counts = points.groupBy(label).agg(F.count("*").alias("n"), F.min(ord_).alias("first")).orderBy(F.desc("n"), "first").limit(k)
@@ -39,10 +67,45 @@ def dataset_statistics(df: DataFrame, split: str, video: str, frame: str, kind:
     return a.join(b, F.col(f"a.{split}").eqNullSafe(F.col(f"b.{split}"))).select(f"a.{split}", "n", "videos", "frames", (F.col("n") / F.col("frames")).alias("rows_per_frame"), "mode")
 
 
+RANGES = 1024
+
+
+def percentiles(df: DataFrame, value: str, by: list[str], shares: dict[str, float]) -> DataFrame:
+    """Exact percentiles with linear interpolation: (*by, n, and one column each), nulls left out.
+
+    Values are counted, dealt to RANGES equal ranges of each group and ranked within these, so no buffer or task holds
+    the values of a group."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    ends = counts.groupBy(*by).agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.sum("_c").alias("n"))
+    a, b = counts.alias("a"), ends.alias("b")
+    same = F.lit(True)
+    for k in by:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    keys = [F.col(f"a.{k}").alias(k) for k in by]
+    place = F.when(F.col("_b") > F.col("_a"), F.least(F.floor((F.col("_v") - F.col("_a")) / (F.col("_b") - F.col("_a")) * RANGES), F.lit(RANGES - 1))).otherwise(0)
+    rows = a.join(b, same).select(*keys, "_v", "_c", "n", place.alias("_r"))
+    sizes = rows.groupBy(*by, "_r").agg(F.sum("_c").alias("_k"))
+    before = F.coalesce(F.sum("_k").over(Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.sum("_c").over(Window.partitionBy(*by, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    c, d = rows.withColumn("_in", within).alias("a"), sizes.withColumn("_before", before).alias("b")
+    for k in by + ["_r"]:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    ranked = c.join(d, same).select(*keys, "_v", "n", (F.col("_in") + F.col("_before")).alias("_upto"))
+    at = {k: (F.col("n") - 1) * F.lit(float(q)) for k, q in shares.items()}
+    found = ranked.groupBy(*by, "n").agg(*[F.min(F.when(F.col("_upto") > edge(at[k]), F.col("_v"))).alias(f"_{name}_{k}") for k in shares for name, edge in (("lo", F.floor), ("hi", F.ceil))])
+    mid = lambda k: F.col(f"_lo_{k}") + (F.col(f"_hi_{k}") - F.col(f"_lo_{k}")) * (at[k] - F.floor(at[k]))
+    return found.select(*by, "n", *[mid(k).alias(k) for k in shares])
+
+
 def blur_distribution(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Exact percentiles with linear interpolation."""
-    q = {f"p{p}": F.percentile(value, F.lit(p / 100)) for p in (25, 50, 75, 90)}
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), *[c.alias(k) for k, c in q.items()], q["p25"].alias("suggested"))
+    q = percentiles(df, value, by, {f"p{p}": p / 100 for p in (25, 50, 75, 90)}).drop("n").withColumn("suggested", F.col("p25"))
+    sums = df.groupBy(*by).agg(F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    a, b = sums.alias("a"), q.alias("b")
+    same = F.lit(True)
+    for k in by:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    return a.join(b, same, "left").select("a.*", *[f"b.{c}" for c in q.columns if c not in by])
 
 
 def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
@@ -83,9 +146,11 @@ def pooled(vectors: DataFrame, by: str, vector: str, how: str = "mean", ord_: st
 
 def timelines(points: DataFrame, by: list[str], time: str, least: int = 3, keep: int = 5, ord_: str = "ord") -> DataFrame:
     """Times of each label's timeline of at least `least` rows, in order; `keep` of them by hash."""
-    lists = points.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(time, ord_))).alias("rows")).where(F.size("rows") >= least)
-    drawn = F.slice(F.array_sort(F.transform("rows", lambda r: F.struct(F.md5(r[ord_].cast("string")).alias("h"), r[time].alias("t"), r[ord_].alias("o")))), 1, keep)
-    return lists.select(*by, F.size("rows").cast("long").alias("n"), F.transform(F.array_sort(F.transform(drawn, lambda r: F.struct(r.t.alias("t"), r.o.alias("o")))), lambda r: r.t).alias("times"))
+    n = points.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    drawn = F.row_number().over(Window.partitionBy(*by).orderBy(F.md5(F.col(ord_).cast("string")), ord_))
+    kept = points.withColumn("_k", drawn).where(F.col("_k") <= keep)
+    rows = kept.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(ord_).alias("o")))).alias("_rows"))
+    return rows.join(n, by).select(*by, "n", F.transform("_rows", lambda r: r.t).alias("times"))
 
 
 # Validation: rules are rows (check, severity, failed), so that more can be joined on with union.

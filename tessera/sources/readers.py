@@ -6,6 +6,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.filters import confident
+from tessera.operators.generate import flat_points
+from tessera.operators.matching import last_per_key
+
 ANNOTATION = (
     "video_id string, question string, label string, count int, two_fps_timestamps array<double>, points array<array<struct<x:double,y:double>>>, "
     "category string, confidence double, video_source string, annotator string"
@@ -37,6 +41,18 @@ def annotations(spark: SparkSession, *paths: str, category: str | None = None) -
     return df.where(F.col("category") == category) if category else df
 
 
+def first_points(annotations_: DataFrame) -> DataFrame:
+    """Of each annotation its first time and the first point of that time's list; rows without either go."""
+    at = lambda c: F.get(c, F.lit(0))
+    rows = annotations_.select("video_id", "category", "label", at("two_fps_timestamps").alias("ts"), at(at("points")).alias("p"), "confidence", "ord")
+    return rows.where("ts is not null and p is not null").select("video_id", "category", "label", "ts", "p.x", "p.y", "confidence", "ord")
+
+
+def confident_points(annotations_: DataFrame, least: float = 0.7, fps: int = 2) -> DataFrame:
+    """S3: flat points of sure annotations by (video_id, frame)."""
+    return flat_points(annotations_.where(confident(F.col("confidence"), least)), digits=None).withColumn("frame", (F.col("ts") * fps).cast("int"))
+
+
 def ground_truth(spark: SparkSession, glob: str, kind: str) -> DataFrame:
     """CSV files of a video each, "steps" or "instruments"; the video is the number in the file name, empty strings are null."""
     schema = {"steps": STEPS, "instruments": INSTRUMENTS}[kind]
@@ -45,17 +61,11 @@ def ground_truth(spark: SparkSession, glob: str, kind: str) -> DataFrame:
     return df.select(*[F.nullif(F.col(f.name), F.lit("")).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f.name) for f in df.schema])
 
 
-def last_per_key(df: DataFrame, keys: list[str], ord_: str = "ord") -> DataFrame:
-    """Later rows replace earlier ones."""
-    rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), ord_).alias("_r")).select(*keys, "_r.*")
-
-
 def frame_annotations(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """JSON files of four shapes ({"frames": {id: ..}}, {"annotations": [..]}, {id: ..} or [..]) as rows (frame_id, body variant).
 
     Files that can't be parsed give one row with corrupt set; the last of several rows of a frame counts."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.json").text(path).select("value", F.col("_metadata.file_path").alias("file"))
     root = files.withColumn("root", F.try_parse_json("value"))
     text = F.to_json
     rows = root.withColumns({"list": F.coalesce(F.try_variant_get("root", "$.annotations", "array<variant>"), F.try_variant_get("root", "$.data", "array<variant>"), F.try_variant_get("root", "$", "array<variant>")), "named": F.coalesce(F.try_variant_get("root", "$.frames", "map<string,variant>"), F.try_variant_get("root", "$", "map<string,variant>"))})
@@ -78,10 +88,58 @@ def qa_pairs(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.explode(rows).alias("r")).select("r.*")
 
 
+def documents_of(spark: SparkSession, folder: str) -> DataFrame:
+    """The JSON files of a folder as frame_annotations(), and the rows of its CSV files, as rows (frame_id, body, corrupt, file)."""
+    out = frame_annotations(spark, folder)
+    tables = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").format("binaryFile").load(folder).select("path").limit(1)
+    if tables.isEmpty():
+        return out
+    rows = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(folder)
+    name = F.coalesce(*[F.col(c) for c in ("frame_id", "id") if c in rows.columns], F.lit(None).cast("string"))
+    return out.unionByName(rows.select(name.alias("frame_id"), F.to_json(F.struct(*rows.columns)).alias("body"), F.lit(False).alias("corrupt"), F.col("_metadata.file_path").alias("file")))
+
+
+def unprocessed(df: DataFrame, done: DataFrame, key: str, most: int | None = None, ord_: str = "ord") -> DataFrame:
+    """Rows whose key isn't among done, the first `most` of them by ord."""
+    rows = df.join(done.select(key), key, "left_anti").select(*df.columns)
+    return rows if most is None else rows.orderBy(ord_).limit(most)
+
+
+def zip_entries(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".mp4", ".avi", ".mov")) -> DataFrame:
+    """(archive, name, content) of the entries of zip archives with these suffixes; a broken archive has none."""
+    import io
+    import zipfile
+
+    import pyarrow as pa
+
+    def entries(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            for archive, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                        for name in sorted(z.namelist()):
+                            if name.lower().endswith(suffixes):
+                                yield pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([name]), pa.array([z.read(name)], pa.binary())], ["archive", "name", "content"])
+                except zipfile.BadZipFile:
+                    continue
+
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content").mapInArrow(entries, "archive string, name string, content binary")
+
+
 def split_dataset(spark: SparkSession, folder: str) -> DataFrame:
-    """Parquet files, the split from the file's name (or the folder split=..)."""
-    df = spark.read.parquet(folder)
-    return df if "split" in df.columns else df.withColumn("split", F.regexp_extract(F.col("_metadata.file_name"), r"^([A-Za-z]+)", 1))
+    """Parquet files, the split from the file's name (or the folder split=..). Files without rows add none; files named "data" only
+    are one split, train."""
+    df = spark.read.option("recursiveFileLookup", True).parquet(folder) if not _partitioned(spark, folder) else spark.read.parquet(folder)
+    if "split" not in df.columns:
+        df = df.withColumn("split", F.regexp_extract(F.col("_metadata.file_name"), r"^([A-Za-z]+)", 1))
+        df = df.withColumn("split", F.when(F.col("split").isin("data", "part"), "train").otherwise(F.col("split")))
+    return df
+
+
+def _partitioned(spark: SparkSession, folder: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return any(x.getPath().getName().startswith("split=") for x in files.listStatus(at))
 
 
 def stored_vectors(spark: SparkSession, path: str) -> DataFrame:
@@ -117,9 +175,20 @@ def decoded(frames_: DataFrame, decode, schema: str) -> DataFrame:  # noqa: ANN0
     return frames_.mapInArrow(decode, schema)
 
 
-def image_bytes(image: str = "image") -> F.Column:
-    """Of a struct with bytes."""
-    return F.col(f"{image}.bytes")
+def image_bytes(df: DataFrame, image: str = "image") -> F.Column:
+    """The bytes of an image column of any of four forms: binary, a struct with bytes, a struct whose image has bytes, base64 text."""
+    kind, c = df.schema[image].dataType.simpleString(), F.col(image)
+    if kind == "binary":
+        return c
+    if kind == "string":
+        return F.try_to_binary(F.regexp_replace(c, "^data:[^,]*,", ""), F.lit("base64"))
+    if kind.startswith("struct<"):
+        inner = {f.name: f.dataType.simpleString() for f in df.schema[image].dataType}
+        if inner.get("bytes") == "binary":
+            return c["bytes"]
+        if "image" in inner and "bytes:binary" in inner["image"]:
+            return c["image"]["bytes"]
+    raise ValueError(f"no image in a column of type {kind}")
 
 
 def sample_annotations(spark: SparkSession, phases: list[str], n: int = 10) -> DataFrame:

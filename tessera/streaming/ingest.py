@@ -47,6 +47,18 @@ def windowed_counts(df: DataFrame, time: str, by: str, width: str = "1 hour", de
     return df.withWatermark(time, delay).groupBy(F.window(time, width).alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), by, "n")
 
 
+def hooked(df: DataFrame, *hooks: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Maps and filters in turn; each takes and returns a DataFrame, so they stay in the plan."""
+    for hook in hooks:
+        df = df.transform(hook)
+    return df
+
+
+def with_columns_of(df: DataFrame, registry: dict[str, Callable[[DataFrame], Column]]) -> DataFrame:
+    """A column for each registered function (rewards, predictions): f(df) gives its expression."""
+    return df.withColumns({name: f(df) for name, f in registry.items()})
+
+
 class Progress(StreamingQueryListener):
     """ST7: rows and rate of the batches so far."""
 
