@@ -20,15 +20,49 @@ def mix(x: np.ndarray) -> np.ndarray:
 _FIRST, _SECOND = mix(np.arange(1, 257, dtype=np.uint64) * _M1), mix(np.arange(1, 257, dtype=np.uint64) * _M3)
 
 
+BLOCK = 1 << 16
+
+
+def _powers(base: np.uint64) -> np.ndarray:
+    out = np.full(BLOCK + 1, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_BASE = _M2 | np.uint64(1)
+_POWER, _INVERSE = _powers(_BASE), _powers(np.uint64(pow(int(_BASE), -1, 1 << 64)))
+
+
+def prefix_sums(data: np.ndarray, table: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """At each of places, ascending, the sum of table[data[i]] times the i-th power of the base over the bytes before it.
+
+    The bytes are taken BLOCK at a time, which bounds what is held beside them."""
+    out, total = np.empty(len(places), np.uint64), np.zeros(BLOCK + 1, np.uint64)
+    edges = np.arange(0, len(data) + BLOCK + 1, BLOCK)
+    cut = np.searchsorted(places, edges).tolist()
+    before, up = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+    for k, lo in enumerate(edges[:-1].tolist()):
+        values = table.take(data[lo : lo + BLOCK])
+        values *= _POWER[: len(values)]
+        np.cumsum(values, out=total[1 : len(values) + 1])
+        out[cut[k] : cut[k + 1]] = total[places[cut[k] : cut[k + 1]] - lo] * up + before
+        before = before + total[len(values)] * up
+        up = up * _POWER[BLOCK]
+    return out
+
+
+def shifts_back(places: np.ndarray) -> np.ndarray:
+    """What moves a sum that begins at each of places to place 0."""
+    blocks = np.full(int(places[-1]) // BLOCK + 1, _INVERSE[BLOCK], np.uint64)
+    blocks[0] = 1
+    return _INVERSE[places % BLOCK] * np.multiply.accumulate(blocks)[places // BLOCK]
+
+
 def hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of each chunk of data; chunks begin at starts and fill data."""
-    sizes = np.diff(starts, append=len(data))
-    place = np.arange(len(data)) - np.repeat(starts, sizes)
-    powers = np.full(int(sizes.max()), _M2 | np.uint64(1), np.uint64)
-    powers[0] = 1
-    powers = np.multiply.accumulate(powers)[place]
-    n = sizes.astype(np.uint64)
-    one, two = (mix(np.add.reduceat(table[data] * powers, starts) ^ n * _M1) for table in (_FIRST, _SECOND))
+    edges = np.append(starts, len(data))
+    n, back = np.diff(edges).astype(np.uint64) * _M1, shifts_back(starts)
+    one, two = (mix(np.diff(prefix_sums(data, table, edges)) * back ^ n) for table in (_FIRST, _SECOND))
     return np.maximum(one, np.uint64(1)), two
 
 

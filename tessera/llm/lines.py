@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.chunks import _M1, _M3, prefix_sums, shifts_back
+from tessera.llm.chunks import mix as _mix
 from tessera.llm.common import discard, materialize, put_back, set_aside, table, text_bytes
 
 WORDS = 5
@@ -40,56 +42,22 @@ ALONE = 3
 LIST_CAP, FIRST_WINDOW, WIDEN, SPREAD = 32, 8, 8, 4096
 BAND = 1.26  # above DOWN / UP, so similar sets are in the same or in adjacent bands
 BUCKETS_PER_PARTITION, BUCKET_BYTES, TASK_BYTES = 2, 1 << 24, 1 << 26
-PART_BYTES, BLOCK = 1 << 22, 1 << 17
+PART_BYTES = 1 << 22
 NOBODY = -(1 << 63)
-_M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M2
-    x = (x ^ (x >> np.uint64(27))) * _M3
-    return x ^ (x >> np.uint64(31))
 
 
 #: A random value for each byte, A-Z as a-z.
 _BYTES = _mix(np.array([c + 33 if 65 <= c <= 90 else c + 1 for c in range(256)], np.uint64) * _M1)
 
 
-def _powers(base: np.uint64) -> np.ndarray:
-    out = np.full(BLOCK + 1, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_BASE = _M2 | np.uint64(1)
-_POWER, _INVERSE = _powers(_BASE), _powers(np.uint64(pow(int(_BASE), -1, 1 << 64)))
-
-
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A polynomial hash of random byte values for each word data[starts[i]:ends[i]].
-
-    Values are summed up over a block at a time; a word's sum is the difference at its ends, shifted back to place 0."""
-    begin, end = np.empty(len(starts), np.uint64), np.empty(len(ends), np.uint64)
-    before, up, down = np.zeros(1, np.uint64), np.ones(1, np.uint64), np.ones(1, np.uint64)
-    shifts = []
-    edges = np.arange(0, len(data) + BLOCK, BLOCK)
-    at_start, at_end = np.searchsorted(starts, edges), np.searchsorted(ends, edges, "right")
-    total = np.zeros(BLOCK + 1, np.uint64)
-    for k, lo in enumerate(edges[:-1].tolist()):
-        values = _BYTES.take(data[lo : lo + BLOCK])
-        values *= _POWER[: len(values)]
-        np.cumsum(values, out=total[1 : len(values) + 1])
-        s, e = slice(at_start[k], at_start[k + 1]), slice(at_end[k], at_end[k + 1])
-        place = starts[s] - lo
-        begin[s] = total[place] * up + before
-        end[e] = total[ends[e] - lo] * up + before
-        shifts.append(_INVERSE[place] * down)
-        before = before + total[len(values)] * up
-        up, down = up * _POWER[BLOCK], down * _INVERSE[BLOCK]
-    end -= begin
-    end *= np.concatenate(shifts)
-    end += (ends - starts).astype(np.uint64)
-    return _mix(end)
+    """A polynomial hash of random byte values for each word data[starts[i]:ends[i]]."""
+    edges = np.stack([starts, ends], axis=1).reshape(-1)
+    sums = prefix_sums(data, _BYTES, edges)
+    out = sums[1::2] - sums[::2]
+    out *= shifts_back(starts)
+    out += (ends - starts).astype(np.uint64)
+    return _mix(out)
 
 
 def shingle_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

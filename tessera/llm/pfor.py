@@ -17,6 +17,7 @@ lost task is written again. `part` and `seq` order them; `start` counts the ids
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -152,7 +153,8 @@ class Segment:
         return decode_blocks(self.offsets[first : last + 1], self.data)[lo - first * BLOCK : hi - first * BLOCK]
 
 
-_spaced = re.compile(r"\s ")
+LONG = 1 << 16
+_joint = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 _letters = re.compile(r"( ?[^\W\d_]+)([!-/:-@\[-`{-~](?:.|\n)*)")
 
 
@@ -171,13 +173,19 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library; those of frequent chunks are kept."""
+    """Ids of texts by the tokenizers library; those of frequent chunks are kept.
+
+    Chunks and the cuts within them rest on the byte-level pre-tokenizer; with any other, texts are encoded whole. A
+    run of letters alone, or of digits, is one piece to the library, which then holds some 200 bytes a character of it."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        kind = json.loads(self.tokenizer.to_str())
+        before = kind["pre_tokenizer"] or {}
+        self.cuts = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and kind["normalizer"] is None
         # a byte-level vocabulary writes each byte as one character
         self.id_bytes = np.zeros(self.tokenizer.get_vocab_size() + 1, np.int64)
         for piece, i in self.tokenizer.get_vocab().items():
@@ -185,6 +193,11 @@ class Encoder:
         self.table = IdTable(self.search)
 
     def search(self, chunks: list[str]) -> list[tuple[bytes]]:
+        long = {c: self.in_parts(c) for c in set(chunks) if len(c) > LONG}
+        if long:
+            rest = [c for c in chunks if c not in long]
+            found = long | dict(zip(rest, self.search(rest)))
+            return [found[c] for c in chunks]
         # letters and what follows them, from an ASCII character on, are always pieces of their own
         split = [m.groups() if (m := _letters.fullmatch(c)) else (c, "") for c in chunks]
         heads, tails = list({a for a, _ in split}), list({b for _, b in split})
@@ -193,6 +206,16 @@ class Encoder:
         known.update(zip(rest, self.plainly(rest)))
         return [(known[a] + known[b],) if b else (known[a],) for a, b in split]
 
+    def in_parts(self, chunk: str) -> tuple[bytes]:
+        """A long chunk, cut between letters and digits, which are always pieces of their own; one part of about LONG at a time."""
+        out, lo = [], 0
+        while lo < len(chunk):
+            cut = _joint.search(chunk, lo + LONG)
+            hi = cut.start() if cut else len(chunk)
+            out += self.plainly([chunk[lo:hi]])
+            lo = hi
+        return (b"".join(out),)
+
     def plainly(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -213,6 +236,8 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """By text its ids."""
+        if not self.cuts:
+            return [np.frombuffer(x, "<u4") for x in self.plainly([t.decode() for t in texts])]
         data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
         starts = chunk_starts(data, offsets)
         at = self.table.places(data, starts)

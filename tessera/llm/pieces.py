@@ -6,7 +6,8 @@ rank that the model gives a piece, which makes it a unigram model over pieces. A
 character that looks like the piece mark, is spelled in byte pieces, so decoding gives the text back exactly.
 
 Forward Viterbi scores of all nodes are exact heuristics for A-star from the end to the start: hypotheses
-leave the queue by score and the first N that arrive are the N best. No piece of the model has the mark after
+leave the queue by score and the first N that arrive are the N best. The best path itself is that of the forward
+pass, so A-star runs only on chunks that an alternative can come from. No piece of the model has the mark after
 another character (checked at loading), so the lattice of a text is cut where a mark follows one.
 Each chunk is searched on its own and kept by worker; the N best of a text use only its N - 1 chunks
 with the smallest loss to their second-best segmentation, and a queue over these combines their lists.
@@ -16,7 +17,9 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from array import array
+from bisect import insort
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ from tessera.llm.common import groups, table
 MARK, HIDDEN_MARK, UNMARKED = "▁", "\0", float("-inf")
 N_BEST = 4
 TABLE_BITS = 20
-LISTS, LISTED_CHARS = 20_000, 32
+LISTS, LISTED_CHARS, LONG = 20_000, 32, 1 << 16
 
 
 def _load(path: str) -> tuple[list[bytes], dict[str, tuple[bytes, float] | None], list[bytes], float]:
@@ -55,16 +58,14 @@ def _load(path: str) -> tuple[list[bytes], dict[str, tuple[bytes, float] | None]
 
 class Pieces:
     def __init__(self, path: str) -> None:
-        self.spelled, self.edge, self.byte_id, self.byte_score = _load(path)
-        for name in list(self.edge):  # None: begins a piece, but is none
-            for k in range(1, len(name)):
-                self.edge.setdefault(name[:k], None)
-        self.ending = {name: found for name, found in self.edge.items() if found}  # None: ends a piece, but is none
-        for name in list(self.ending):
+        self.spelled, edge, self.byte_id, self.byte_score = _load(path)
+        self.ending = dict(edge)  # None: ends a piece, but is none
+        for name in list(edge):
             for k in range(1, len(name)):
                 self.ending.setdefault(name[k:], None)
         self.table = IdTable(self.found, 2, TABLE_BITS)
         self.lists: dict[tuple[str, int], list] = {}
+        self.last: tuple[str | None, Sequence[float]] = (None, [])
 
     def found(self, chunks: list[str]) -> list[tuple[bytes, float, float]]:
         """(ids, score, loss of the second-best) of chunks that begin with a space."""
@@ -73,32 +74,37 @@ class Pieces:
 
     # lattice of one chunk
 
-    def lattice(self, key: str) -> tuple[int, list[list[tuple[int, float, bytes]]], list[float]]:
-        """(length, by end node the edges (start, score, ids), forward Viterbi scores) of the chunk " " + key."""
+    def spaced(self, key: str) -> tuple[str, str]:
+        """The chunk " " + key, and the same with marks."""
         body = key.lstrip(" ")
-        s = MARK * (1 + len(key) - len(body)) + body.replace(MARK, HIDDEN_MARK)
-        n = len(s)
-        into: list[list] = [[] for _ in range(n + 1)]
-        best = [UNMARKED] * (n + 1)
-        best[0] = 0.0
-        get = self.edge.get
-        for i in range(n):
-            at, c = best[i], s[i]
-            for j in range(i + 1, n + 1):
-                found = get(s[i:j], 0)
-                if found:
-                    ids, score = found
-                    into[j].append((i, score, ids))
-                    if at + score > best[j]:
-                        best[j] = at + score
-                elif found == 0:
-                    break
-            if not get(c):
-                raw = (MARK if c == HIDDEN_MARK and body[i - n] == MARK else c).encode()
-                score = len(raw) * self.byte_score
-                into[i + 1].append((i, score, b"".join(self.byte_id[b] for b in raw)))
-                best[i + 1] = max(best[i + 1], at + score)
-        return n, into, best
+        raw = " " * (1 + len(key) - len(body)) + body
+        return raw, MARK * (len(raw) - len(body)) + body.replace(MARK, HIDDEN_MARK)
+
+    def in_bytes(self, c: str) -> bytes:
+        return b"".join(self.byte_id[b] for b in c.encode())
+
+    def edges(self, raw: str, s: str, j: int) -> Iterator[tuple[int, float, bytes]]:
+        """(start, score, ids) of the edges that end at node j of a chunk."""
+        get, i = self.ending.get, j
+        while i:
+            i -= 1
+            found = get(s[i:j], 0)
+            if found:
+                yield i, found[1], found[0]
+            elif found == 0:
+                break
+        if not get(s[j - 1]):
+            yield j - 1, len(raw[j - 1].encode()) * self.byte_score, self.in_bytes(raw[j - 1])
+
+    def forward(self, key: str) -> Sequence[float]:
+        """Forward Viterbi scores of all nodes."""
+        if self.last[0] == key:  # of a long chunk, which first_two() has just seen
+            return self.last[1]
+        raw, s = self.spaced(key)
+        best = [0.0]
+        for j in range(1, len(s) + 1):
+            best.append(max(best[i] + score for i, score, _ in self.edges(raw, s, j)))
+        return best
 
     def n_best(self, key: str, n_best: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n_best segmentations of a chunk, kept for frequent ones."""
@@ -112,12 +118,16 @@ class Pieces:
         return found
 
     def search(self, key: str, n_best: int) -> list[tuple[float, tuple[int, ...]]]:
-        """A-star from the end of a chunk; among ties the later hypothesis goes first."""
-        n, into, best = self.lattice(key)
-        queue: list = [(-best[n], 0, n, 0.0, None)]
+        """A-star from the end of a chunk; among ties the later hypothesis goes first.
+
+        Heuristics are exact, so each hypothesis leads to a path with its score, and no path belongs to two: a queue
+        of as many hypotheses as paths are still wanted loses none of the best."""
+        raw, s = self.spaced(key)
+        best = self.forward(key)
+        queue: list = [(-best[len(s)], 0, len(s), 0.0, None)]
         made, out = 0, []
-        while queue and len(out) < n_best:
-            _, _, node, done, path = heapq.heappop(queue)
+        while queue:
+            _, _, node, done, path = queue.pop(0)
             if node == 0:
                 ids = []
                 while path:
@@ -125,61 +135,65 @@ class Pieces:
                     path = path[1]
                 out.append((done, tuple(np.frombuffer(b"".join(ids), "<u4").tolist())))
                 continue
-            for start, score, ids in into[node]:
+            for start, score, ids in self.edges(raw, s, node):
                 made -= 1
-                heapq.heappush(queue, (-(best[start] + done + score), made, start, done + score, (ids, path)))
+                insort(queue, (-(best[start] + done + score), made, start, done + score, (ids, path)))
+            del queue[n_best - len(out) :]
         return out
 
     def first_two(self, keys: list[str]) -> Iterator[tuple[str, bytes, float, float]]:
         """(chunk, its ids, score, loss of the second-best): forward Viterbi with the two best scores of each node.
 
-        Chunks are taken in order, so that each begins with the nodes that it shares with the one before."""
-        best, second, came, spelled = [0.0], [UNMARKED], [0], [b""]
+        Chunks are taken in order, so that each begins with the nodes that it shares with the one before. Scores and
+        back-pointers of long chunks are packed."""
+        packed = any(len(k) > LONG for k in keys)
+        best, second, came = (array("d", [0.0]), array("d", [UNMARKED]), array("i", [0])) if packed else ([0.0], [UNMARKED], [0])
         get, before = self.ending.get, ""
         for key in sorted(keys):
-            body = key.lstrip(" ")
-            raw = " " * (1 + len(key) - len(body)) + body
-            s = MARK * (len(raw) - len(body)) + body.replace(MARK, HIDDEN_MARK)
+            raw, s = self.spaced(key)
             n, same = len(s), 0
             for x, y in zip(raw, before):
                 if x != y:
                     break
                 same += 1
             before = raw
-            del best[same + 1 :], second[same + 1 :], came[same + 1 :], spelled[same + 1 :]
+            del best[same + 1 :], second[same + 1 :], came[same + 1 :]
             for j in range(same + 1, n + 1):
-                top, next_, start, text, i = UNMARKED, UNMARKED, j, b"", j
+                top, next_, start, i = UNMARKED, UNMARKED, j, j
                 while i:
                     i -= 1
                     found = get(s[i:j], 0)
                     if found:
-                        ids, score = found
+                        score = found[1]
                         value = best[i] + score
                         if value > top:
                             other = second[i] + score
                             next_ = top if top > other else other
-                            top, start, text = value, i, ids
+                            top, start = value, i
                         elif value > next_:
                             next_ = value
                     elif found == 0:
                         break
                 if not get(s[j - 1]):
-                    code = raw[j - 1].encode()
-                    score, value = len(code) * self.byte_score, best[j - 1] + len(code) * self.byte_score
+                    score = len(raw[j - 1].encode()) * self.byte_score
+                    value = best[j - 1] + score
                     if value > top:
                         next_ = max(top, second[j - 1] + score)
-                        top, start, text = value, j - 1, b"".join(self.byte_id[b] for b in code)
+                        top, start = value, j - 1
                     else:
                         next_ = max(next_, value)
                 best.append(top)
                 second.append(next_)
                 came.append(start)
-                spelled.append(text)
             path, node = [], n
             while node:
-                path.append(spelled[node])
-                node = came[node]
+                start = came[node]
+                found = get(s[start:node])
+                path.append(found[0] if found else self.in_bytes(raw[start]))
+                node = start
             path.reverse()
+            if n > LONG:
+                self.last = (key, best[:])
             yield key, b"".join(path), best[n], best[n] - second[n]
 
     # whole texts

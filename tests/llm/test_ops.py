@@ -18,7 +18,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import audio, chat, decontaminate, language, lines, lm, pfor, pieces, secrets, simhash
+from tessera.llm import audio, chat, chunks, decontaminate, language, lines, lm, pfor, pieces, secrets, simhash
 from tessera.llm.queries import queries
 
 SF = "/root/testdata/sf0.001"
@@ -285,6 +285,33 @@ def test_encoder_cuts_like_the_library(text):
         assert [x.tolist() for x in tool.encode([t.encode() for t in texts])] == [tool.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_long_chunks_are_cut_between_letters_and_digits(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(pfor, "LONG", 8)
+    tool = pfor.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(tool, "table", pfor.IdTable(tool.search))
+    for text in ("aB3" * 40, "it's2 x" + "can't9'll8<|endoftext|>7a" * 3, "é1à2ü3" * 9, "1234567890" * 4, "a" * 30):
+        assert tool.encode([text.encode()])[0].tolist() == tool.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_take_whole_texts():
+    import public_tokenizers
+
+    tool = pfor.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Some Words  here", "", "it's 3rd"]
+    assert not tool.cuts and [x.tolist() for x in tool.encode([t.encode() for t in texts])] == [tool.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("block", [8, 1 << 16])
+def test_hashes_of_chunks_do_not_depend_on_place(monkeypatch, block):
+    monkeypatch.setattr(chunks, "BLOCK", block)
+    parts = [b"a", b" and", b"a", b"x" * 40, b" and", b"x" * 41, b"zz", b"a"]
+    data, starts = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts[:-1])])
+    for found in chunks.hashes(data, starts):
+        assert len(set(found.tolist())) == len(set(parts)) and len(dict(zip(parts, found.tolist()))) == len(set(zip(parts, found.tolist())))
+
+
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 4000])
 @pytest.mark.parametrize("most", [1, 2, 255, 1 << 16, (1 << 32) - 1])
 def test_blocks_round_trip(n, most):
@@ -428,7 +455,7 @@ def test_long_texts_come_in_parts(monkeypatch):
     texts = ["\n".join(f"line {i} of text {k} with some more words" for i in range(n)).encode() for k, n in enumerate((3, 0, 200, 5))]
     whole = [np.concatenate(x) for x in zip(*[lines.shingle_lines(d, o) for d, o, _, _ in lines._parts(pa.array(texts))])]
     monkeypatch.setattr(lines, "PART_BYTES", 300)
-    monkeypatch.setattr(lines, "BLOCK", 64)
+    monkeypatch.setattr(chunks, "BLOCK", 64)
     cut = [(rows_[of], at + first[of], n, s) for d, o, rows_, first in lines._parts(pa.array([b"", *texts]).slice(1)) for of, at, n, s in [lines.shingle_lines(d, o)]]
     assert all((a == np.concatenate(b)).all() for a, b in zip(whole, zip(*cut))) and len(cut) > 10
 
@@ -476,12 +503,13 @@ def test_dedup_lines_keeps_rows_and_columns(spark, folder, docs):
 
 
 def every_path(model, key):
-    n, into, _ = model.lattice(key)
+    raw, marked = model.spaced(key)
+    n = len(marked)
 
     def paths(end):
         if not end:
             yield 0.0, ()
-        for start, score, ids in into[end]:
+        for start, score, ids in model.edges(raw, marked, end) if end else ():
             for s, p in paths(start):
                 yield s + score, p + tuple(np.frombuffer(ids, "<u4").tolist())
 
@@ -500,6 +528,14 @@ def test_n_best_of_a_chunk(key):
     assert best == pytest.approx(brute[0][0]) and (len(brute) == 1 or loss == pytest.approx(brute[0][0] - brute[1][0]))
 
 
+def test_n_best_of_a_long_chunk(monkeypatch):
+    model, key = pieces.Pieces(pieces.default_path()), "the" * 200 + "日" + "ab" * 100
+    wanted = model.encode([key.encode()])
+    monkeypatch.setattr(pieces, "LONG", 50)
+    again = pieces.Pieces(pieces.default_path()).encode([key.encode()])
+    assert again[0][0].tolist() == wanted[0][0].tolist() and again[0][1] == wanted[0][1] and len(wanted[0][1]) == 4
+
+
 def test_n_best_of_a_text():
     model = pieces.Pieces(pieces.default_path())
     text = "ab cde ab"
@@ -785,6 +821,8 @@ TOOLS = {
     "secrets": "from tessera.llm import secrets; f = lambda: (secrets.base_spans(text), secrets.structural_spans(text))",
     "lines": "import numpy as np; from tessera.llm import lines; f = lambda: [lines._postings((raw, np.array([0, len(raw)]), np.array([0]), np.array([0])), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(lines.SKETCH, np.uint64), 8)]",
     "language": "from tessera.llm import language as l; m = l.Model([(x, '!latin', 9, 99) for x in 'abcd'] + [(x, g, 3, 99) for x, g in zip('abcd', ('^wo', 'ord', 'aB3', 'w1$'))]); f = lambda: m.label([text])",
+    "tokens": "import public_tokenizers; from tessera.llm import pfor; e = pfor.encoder(public_tokenizers.path('byte_bpe_50k.json')); f = lambda: e.encode([text.encode()])",
+    "pieces": "from tessera.llm import pieces; m = pieces.Pieces(pieces.default_path()); f = lambda: m.encode([text.encode()])",
     "simhash": "from tessera.llm import simhash; f = lambda: simhash.fingerprint(text.encode())",
     "decontaminate": "from tessera.llm import decontaminate as d; b = d.Block([(1, b'word1 word2 word3 word4 word5')]); f = lambda: b.hits(d.words(text.encode()))",
 }
@@ -794,7 +832,7 @@ TOOLS = {
 @pytest.mark.parametrize("tool", TOOLS)
 def test_very_long_texts(kind, tool):
     seconds, mb = peak_of(f"import numpy as np\ntext = {TEXTS[kind]}\nraw = np.frombuffer(text.encode(), np.uint8)\n{TOOLS[tool]}\nbase = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\nbegan = time.perf_counter()\nf()")
-    assert seconds < 10 and mb < 500
+    assert seconds < (25 if tool == "pieces" else 10) and mb < 500  # its lattice is walked character by character
 
 
 # Pipeline
