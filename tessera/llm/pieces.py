@@ -65,7 +65,7 @@ class Pieces:
                 self.ending.setdefault(name[k:], None)
         self.table = IdTable(self.found, 2, TABLE_BITS)
         self.lists: dict[tuple[str, int], list] = {}
-        self.last: tuple[str | None, Sequence[float]] = (None, [])
+        self.last: tuple[str | None, Sequence[float], Sequence[int]] = (None, [], [])
 
     def found(self, chunks: list[str]) -> list[tuple[bytes, float, float]]:
         """(ids, score, loss of the second-best) of chunks that begin with a space."""
@@ -96,15 +96,17 @@ class Pieces:
         if not get(s[j - 1]):
             yield j - 1, len(raw[j - 1].encode()) * self.byte_score, self.in_bytes(raw[j - 1])
 
-    def forward(self, key: str) -> Sequence[float]:
-        """Forward Viterbi scores of all nodes."""
+    def forward(self, key: str) -> tuple[Sequence[float], Sequence[int]]:
+        """Forward Viterbi scores of all nodes, and where their best edges start."""
         if self.last[0] == key:  # of a long chunk, which first_two() has just seen
-            return self.last[1]
+            return self.last[1:]
         raw, s = self.spaced(key)
-        best = [0.0]
+        best, came = [0.0], [0]
         for j in range(1, len(s) + 1):
-            best.append(max(best[i] + score for i, score, _ in self.edges(raw, s, j)))
-        return best
+            score, i = max((best[i] + score, i) for i, score, _ in self.edges(raw, s, j))
+            best.append(score)
+            came.append(i)
+        return best, came
 
     def n_best(self, key: str, n_best: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n_best segmentations of a chunk, kept for frequent ones."""
@@ -117,30 +119,42 @@ class Pieces:
                 self.lists[key, n_best] = found
         return found
 
-    def search(self, key: str, n_best: int) -> list[tuple[float, tuple[int, ...]]]:
+    def search(self, key: str, n_best: int) -> list[tuple[float, Sequence[int]]]:
         """A-star from the end of a chunk; among ties the later hypothesis goes first.
 
         Heuristics are exact, so each hypothesis leads to a path with its score, and no path belongs to two: a queue
         of as many hypotheses as paths are still wanted loses none of the best."""
         raw, s = self.spaced(key)
-        best = self.forward(key)
+        best, came = self.forward(key)
+        # a path is known by its edges that aren't the best ones of their nodes: (node, start, path before)
         queue: list = [(-best[len(s)], 0, len(s), 0.0, None)]
         made, out = 0, []
         while queue:
             _, _, node, done, path = queue.pop(0)
             if node == 0:
-                ids = []
-                while path:
-                    ids.append(path[0])
-                    path = path[1]
-                out.append((done, tuple(np.frombuffer(b"".join(ids), "<u4").tolist())))
+                out.append((done, self.spelled_out(raw, s, came, path)))
                 continue
-            for start, score, ids in self.edges(raw, s, node):
+            for start, score, _ in self.edges(raw, s, node):
                 made -= 1
-                insort(queue, (-(best[start] + done + score), made, start, done + score, (ids, path)))
+                insort(queue, (-(best[start] + done + score), made, start, done + score, path if start == came[node] else (node, start, path)))
             del queue[n_best - len(out) :]
         return out
 
+    def spelled_out(self, raw: str, s: str, came: Sequence[int], path: tuple | None) -> Sequence[int]:
+        """The ids of the path that takes the best edges but for those of path."""
+        other, ids, node = {}, [], len(s)
+        while path:
+            other[path[0]] = path[1]
+            path = path[2]
+        while node:
+            start = other.get(node, came[node])
+            found = self.ending.get(s[start:node])
+            ids.append(found[0] if found else self.in_bytes(raw[start]))
+            node = start
+        ids.reverse()
+        found = np.frombuffer(b"".join(ids), "<u4")
+        return found if len(found) > LONG else tuple(found.tolist())
+
     def first_two(self, keys: list[str]) -> Iterator[tuple[str, bytes, float, float]]:
         """(chunk, its ids, score, loss of the second-best): forward Viterbi with the two best scores of each node.
 
@@ -193,7 +207,7 @@ class Pieces:
                 node = start
             path.reverse()
             if n > LONG:
-                self.last = (key, best[:])
+                self.last = (key, best[:], came[:])
             yield key, b"".join(path), best[n], best[n] - second[n]
 
     # whole texts
