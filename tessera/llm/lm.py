@@ -42,6 +42,7 @@ SAMPLE_DOCS, SAMPLE_BYTES = 1500, 1 << 16
 ROUNDS, ROUND_RATE, STEP_TOKENS, WEIGHT_PARTS, TASKS_PER_CORE = 4, 0.002, 4096, 64, 2
 COUNTER_CAP = 200_000
 LANES, SCORED_WINDOW = 256, 32
+OUT_ROWS = 1024  # of class logits at a time, which stay in a core's cache
 FOLDS, HELD_OUT_FOLD = 7, 2
 NEVER = np.float32(-1e9)
 
@@ -158,9 +159,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
+    """Softmax by rows, in place. Rows are summed by a product with ones, which is faster than along short rows."""
+    peak = x.max()
+    if peak > 60:  # else no sum overflows
+        x -= x.max(axis=1, keepdims=True)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    x *= np.reciprocal(np.maximum(x @ np.ones(x.shape[1], x.dtype), 1e-30))[:, None]
     return x
 
 
@@ -196,7 +200,7 @@ def _picked(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
         logits -= peak
         at = at - peak
     np.exp(logits, out=logits)
-    return at - np.log(np.maximum(logits.sum(axis=1), 1e-30))
+    return at - np.log(np.maximum(logits @ np.ones(logits.shape[1], logits.dtype), 1e-30))
 
 
 def _by_class(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,9 +213,12 @@ def _by_class(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def log_probs(w: dict, states: np.ndarray, y: np.ndarray) -> np.ndarray:
     """log p of the classes and head words y (n) after states (n, HIDDEN); of tail words the class only."""
     cls, order, starts = _by_class(y)
-    logits = states @ w["class"]
-    logits += w["class_bias"]
-    out = _picked(logits, cls)
+    out = np.empty(len(y), states.dtype)
+    for lo in range(0, len(y), OUT_ROWS):
+        at = slice(lo, lo + OUT_ROWS)
+        logits = states[at] @ w["class"]
+        logits += w["class_bias"]
+        out[at] = _picked(logits, cls[at])
     for k in range(HEAD_CLASSES):
         if starts[k] < starts[k + 1]:
             at = order[starts[k] : starts[k + 1]]
@@ -225,22 +232,36 @@ def output_gradients(w: dict, states: np.ndarray, y: np.ndarray) -> tuple[dict,
     """Gradients of the mean loss at y after states, "states" among them, and the loss."""
     cls, order, starts = _by_class(y)
     rows, loss = np.arange(len(y)), 0.0
-    p = _softmax(states @ w["class"] + w["class_bias"])
-    loss -= np.log(np.maximum(p[rows, cls], 1e-30)).sum()
-    p[rows, cls] -= 1
-    p /= len(y)
-    grads = {"class": states.T @ p, "class_bias": p.sum(axis=0), "states": p @ w["class"].T}
-    grads |= {k: np.zeros_like(w[k]) for k in ("word", "word_bias")}
+    share, ones = states.dtype.type(1 / len(y)), np.ones(len(y), states.dtype)
+    grads = {k: np.zeros_like(w[k]) for k in ("class", "class_bias", "word", "word_bias")}
+    grads["states"] = np.empty_like(states)
+    for lo in range(0, len(y), OUT_ROWS):
+        at = slice(lo, lo + OUT_ROWS)
+        s, target = states[at], cls[at]
+        p = s @ w["class"]
+        p += w["class_bias"]
+        _softmax(p)
+        picked = p[rows[: len(p)], target]
+        loss -= np.log(np.maximum(picked, 1e-30)).sum()
+        p[rows[: len(p)], target] = picked - 1
+        p *= share
+        grads["class"] += s.T @ p
+        grads["class_bias"] += ones[: len(p)] @ p
+        np.matmul(p, w["class"].T, out=grads["states"][at])
     by_class, targets, up = states[order], y[order] % CLASS_WORDS, np.zeros_like(states)
     for k in np.flatnonzero(np.diff(starts)).tolist():
         at = slice(starts[k], starts[k + 1])
         s, target, rows = by_class[at], targets[at], np.arange(starts[k + 1] - starts[k])
-        q = _softmax(s @ w["word"][k] + w["word_bias"][k])
-        loss -= np.log(np.maximum(q[rows, target], 1e-30)).sum()
-        q[rows, target] -= 1
-        q /= len(y)
-        grads["word"][k], grads["word_bias"][k] = s.T @ q, q.sum(axis=0)
-        up[at] = q @ w["word"][k].T
+        q = s @ w["word"][k]
+        q += w["word_bias"][k]
+        _softmax(q)
+        picked = q[rows, target]
+        loss -= np.log(np.maximum(picked, 1e-30)).sum()
+        q[rows, target] = picked - 1
+        q *= share
+        np.matmul(s.T, q, out=grads["word"][k])
+        np.matmul(ones[: len(q)], q, out=grads["word_bias"][k])
+        np.matmul(q, w["word"][k].T, out=up[at])
     grads["states"][order] += up
     return grads, float(loss) / len(y)
 
@@ -259,19 +280,28 @@ def window_gradients(w: dict, x: np.ndarray, y: np.ndarray, h: np.ndarray, keep:
         up = np.zeros_like(states)
         up[there] = g.pop("states")
     g["u"], drive = np.zeros_like(w["u"]), np.empty((*x.shape, 3 * HIDDEN), np.float32)
-    dh = np.zeros_like(h)
+    dh, whole = np.zeros_like(h), keep.all(axis=1)
     for t in range(len(x) - 1, -1, -1):
         before, pull, z, r, n = tape[t]
-        dh = dh + up[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (before - n) * z * (1 - z)
-        dr = dn * pull[:, 2 * HIDDEN :] * r * (1 - r)
-        into = drive[t]
-        into[:, :HIDDEN], into[:, HIDDEN : 2 * HIDDEN], into[:, 2 * HIDDEN :] = dz, dr, dn
+        dh += up[t]
+        into, open_ = drive[t], 1 - z
+        dz, dr, dn = into[:, :HIDDEN], into[:, HIDDEN : 2 * HIDDEN], into[:, 2 * HIDDEN :]
+        np.multiply(dh, open_, out=dn)
+        dn *= 1 - n * n
+        np.subtract(before, n, out=dz)
+        open_ *= z
+        dz *= open_
+        dz *= dh
+        np.multiply(dn, pull[:, 2 * HIDDEN :], out=dr)
+        dr *= r
+        dr *= 1 - r
         dpull = into.copy()
         dpull[:, 2 * HIDDEN :] *= r
         g["u"] += before.T @ dpull
-        dh = (dh * z + dpull @ w["u"].T) * keep[t][:, None]
+        dh *= z
+        dh += dpull @ w["u"].T
+        if t and not whole[t]:
+            dh *= keep[t][:, None]
     g["x"] = np.zeros_like(w["x"])
     order = np.argsort(x.reshape(-1), kind="stable")
     ids, starts = np.unique(x.reshape(-1)[order], return_index=True)
@@ -288,14 +318,25 @@ class Adam:
         self.steps = 0
 
     def step(self, w: dict, g: dict, rate: float) -> None:
-        norm = math.sqrt(sum(float((a * a).sum()) for a in g.values()))
+        norm = math.sqrt(sum(float(np.vdot(a, a)) for a in g.values()))
         self.steps += 1
         rate *= math.sqrt(1 - 0.999**self.steps) / (1 - 0.9**self.steps)
+        scale = min(1.0, 1.0 / (norm + 1e-9))
         for k, a in g.items():
-            a *= min(1.0, 1.0 / (norm + 1e-9))
-            self.first[k] += 0.1 * (a - self.first[k])
-            self.second[k] += 0.001 * (a * a - self.second[k])
-            w[k] -= rate * self.first[k] / (np.sqrt(self.second[k]) + 1e-8)
+            first, second = self.first[k], self.second[k]
+            if scale < 1:
+                a *= a.dtype.type(scale)
+            first *= 0.9
+            first += 0.1 * a
+            a *= a
+            a *= 0.001
+            second *= 0.999
+            second += a
+            step = np.sqrt(second, out=a)  # the gradient isn't needed any more
+            step += 1e-8
+            np.divide(first, step, out=step)
+            step *= rate
+            w[k] -= step
 
 
 def train(w: dict, texts: list[np.ndarray], adam: Adam | None = None) -> list[float]:
