@@ -255,7 +255,13 @@ def extract_points(spark, d):
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.size("p") > 0).alias("tagged"), F.sum(F.get("p", F.lit(0)).x).alias("sum_x"))
 
 
-@query()
+REWARDS_SQL = f"""WITH {TAGS_SQL}, r AS (SELECT t.ord, t.source, p.label, t.x, t.y, t.text || ' seen by a ' || t.source AS s, t.text LIKE '<point%' AS tagged, abs(t.y - t.y * 9 // 10) < 0.1 AS near FROM t JOIN points p USING (ord)),
+w AS (SELECT *, len(list_filter(string_split_regex(s, '\\s+'), lambda x: x <> '')) AS n FROM r),
+c AS (SELECT ord, (tagged AND near)::INT::DOUBLE AS pointing, 1.0::DOUBLE AS phase, 0.5::DOUBLE AS step, 1.0::DOUBLE AS instrument, (tagged::INT + CASE WHEN n BETWEEN 10 AND 200 THEN 1 WHEN n < 5 OR n > 500 THEN 0 ELSE 0.5 END)::DOUBLE / 2 AS format FROM w)
+SELECT *, round(0.3 * pointing + 0.2 * phase + 0.2 * step + 0.2 * instrument + 0.1 * format, 6)::DOUBLE AS total FROM c"""
+
+
+@query(REWARDS_SQL)
 def rewards(spark, d):
     rows = tags(spark, d).select("ord", F.concat(F.col("predicted"), F.lit(" seen by a "), "source").alias("text"), F.array(F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "label")).alias("points"), "source")
     parts = RW.rewards(F.col("text"), F.col("points"), F.col("source"), F.lit(""), F.array("source"))
