@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.points import distance, first_point, has_point, zone
-from tessera.operators.stats import percentiles
+from tessera.operators.stats import computed_once, percentiles
 
 
 def confusion_matrix(df: DataFrame, labels: list[str], truth: str = "truth", predicted: str = "predicted") -> DataFrame:
     """A8d: (truth, predicted, n, share) for all pairs of labels; share is of the row, with 1e-10 in the denominator."""
-    names = df.sparkSession.createDataFrame([(x,) for x in labels], "label string")
-    grid = names.select(F.col("label").alias("truth")).crossJoin(names.select(F.col("label").alias("predicted")))
+    names = F.array(*map(F.lit, labels))
+    grid = df.sparkSession.range(1).select(F.explode(names).alias("truth")).select("truth", F.explode(names).alias("predicted"))
     counts = df.groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
     full = grid.join(counts, ["truth", "predicted"], "left").fillna(0, ["n"])
     rows = full.groupBy("truth").agg(F.sum("n").alias("row"))
@@ -33,7 +33,7 @@ def per_class(df: DataFrame, truth: str = "truth", predicted: str = "predicted")
 
 def class_report(df: DataFrame, labels: list[str], truth: str = "truth", predicted: str = "predicted") -> DataFrame:
     """per_class over the fixed list; labels without rows have zeros."""
-    names = df.sparkSession.createDataFrame([(x,) for x in labels], "label string")
+    names = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, labels))).alias("label"))
     found = per_class(df, truth, predicted)
     return names.join(found, "label", "left").fillna(0).select(*found.columns)
 
@@ -46,7 +46,7 @@ def macro_report(df: DataFrame, truth: str = "truth", predicted: str = "predicte
 
 def pointing_metrics(df: DataFrame, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
     """Shares are of the rows whose truth has a point; zone agreement is of those whose prediction has one too."""
-    both = df.select(first_point(F.col(truth)).alias("g"), first_point(F.col(predicted)).alias("p"), has_point(F.col(predicted)).alias("tag")).where("g is not null")
+    both = computed_once(df, first_point(F.col(truth)).alias("g"), first_point(F.col(predicted)).alias("p"), has_point(F.col(predicted)).alias("tag")).where("g is not null")
     rows = both.withColumns({"d": distance(F.col("g.x"), F.col("g.y"), F.col("p.x"), F.col("p.y")), "same": zone(F.col("g.x"), F.col("g.y"), "quadrant") == zone(F.col("p.x"), F.col("p.y"), "quadrant")})
     share = lambda c: F.coalesce(F.count_if(c) / F.count("*"), F.lit(0.0))
     none = lambda c: F.coalesce(c, F.lit(0.0))

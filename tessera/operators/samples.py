@@ -11,6 +11,7 @@ from tessera.operators.filters import NO_PRIMARY, second_instrument, visible_ins
 from tessera.operators.generate import messages, route_task
 from tessera.operators.matching import last_per_key
 from tessera.operators.sampling import draw, every_nth
+from tessera.operators.stats import computed_once
 
 #: Templates of questions; {x} is what is asked for.
 POINT_QUESTIONS = ["Point to the {x}.", "Where is the {x}?", "Show the {x} in this image."]
@@ -60,8 +61,9 @@ def description_samples(rows: DataFrame, centres: dict[int, tuple[float, float]]
         F.when(named("str_instrument2") & second_instrument(F.col("str_instrument2"), strict=False), F.concat(F.lit(SECONDARY_PLAIN), _tag(place("pos_instrument2", "second"), second))),
         F.when(named("str_step"), F.concat(F.lit(STEP), F.translate("str_step", "_", " "))),
     ))
-    chat = messages(F.concat(F.lit(IMAGE), _asked(DESCRIBE_QUESTIONS, key, "describe")), F.array_join(parts, "\n"))
-    return rows.where(F.size(parts) > 0).select("video", "int_time", F.col("str_step").alias("step"), chat.alias("messages"))
+    found = computed_once(rows, F.col("video"), F.col("int_time"), F.col("str_step").alias("step"), _asked(DESCRIBE_QUESTIONS, key, "describe").alias("_q"), parts.alias("_parts"))
+    chat = messages(F.concat(F.lit(IMAGE), F.col("_q")), F.array_join("_parts", "\n"))
+    return found.where(F.size("_parts") > 0).select("video", "int_time", "step", chat.alias("messages"))
 
 
 def tracking_samples(points: DataFrame, by: str = "video_id", time: str = "ts", least: int = 3, keep: int = 5) -> DataFrame:

@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def computed_once(df: DataFrame, *columns: Column) -> DataFrame:
+    """df.select(columns), with costly expressions evaluated once a row: a generator of one row stands between them and
+    what uses them, which the optimizer would else merge, repeating them wherever they occur."""
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def annotation_statistics(points: DataFrame, confidence: str = "confidence") -> DataFrame:
     """A missing confidence counts as 0."""
     c = F.coalesce(F.col(confidence), F.lit(0.0))
@@ -184,7 +190,8 @@ def split_ratio_check(df: DataFrame, wanted: dict[str, float], within: float = 0
 
 def class_coverage(df: DataFrame, kinds: dict[str, int], kind: str = "kind", label: str = "label") -> DataFrame:
     """Distinct labels of each kind against the number wanted."""
-    wanted = df.sparkSession.createDataFrame(list(kinds.items()), f"{kind} string, wanted int")
+    pairs = F.array(*[F.struct(F.lit(k).alias(kind), F.lit(n).cast("int").alias("wanted")) for k, n in kinds.items()])
+    wanted = df.sparkSession.range(1).select(F.inline(pairs))
     found = df.groupBy(kind).agg(F.count_distinct(label).alias("found"))
     return wanted.join(found, kind, "left").select(kind, "wanted", F.coalesce("found", F.lit(0)).alias("found"), (F.coalesce("found", F.lit(0)) == F.col("wanted")).alias("ok"))
 

@@ -12,7 +12,7 @@ from tessera.operators.agreement import category_overlap, cohens_kappa, fleiss_k
 from tessera.operators.filters import enough_overlap, visible_instrument
 from tessera.operators.matching import first_per_key, pairwise_overlap
 from tessera.operators.metrics import per_class
-from tessera.operators.stats import percentiles
+from tessera.operators.stats import computed_once, percentiles
 
 PAIR_KEYS, RATER_KEYS = 5, 3
 
@@ -79,7 +79,7 @@ def point_matches(text: Column, truth: Column) -> Column:
 def pointing_scores(df: DataFrame, reach: float = 0.1, text: str = "predicted", truth: str = "points") -> DataFrame:
     """A10: one row: counts, precision (of predicted points), recall (of true ones; one may be matched often, so it can exceed 1),
     F1, and mean and median distance of the matches."""
-    rows = df.select(F.size(labelled_points(F.col(text))).alias("p"), F.coalesce(F.size(truth), F.lit(0)).alias("g"), point_matches(F.col(text), F.col(truth)).alias("m"))
+    rows = computed_once(df, F.size(labelled_points(F.col(text))).alias("p"), F.coalesce(F.size(truth), F.lit(0)).alias("g"), point_matches(F.col(text), F.col(truth)).alias("m"))
     totals = rows.agg(F.count("*").alias("n"), F.sum("p").alias("predicted"), F.sum("g").alias("actual"), F.sum(F.size(F.filter("m", lambda x: x.d < reach))).alias("correct"))
     d = rows.select(F.explode("m").alias("m")).select(F.col("m.d").alias("d"))
     centre = percentiles(d, "d", [], {"median_distance": 0.5})
