@@ -8,7 +8,7 @@ smoothed share of that class's training tokens, (c + 1) / (N_k + V_k + 1), with
 words. The probabilities of all words and one unseen word per tail class add up to one.
 
 Weights are learned with truncated backpropagation (windows of WINDOW tokens, the state carried from
-window to window). The driver only begins them, on SAMPLE_DOCS training texts; then every training row is
+window to window). One task begins them, on SAMPLE_DOCS training texts; then every training row is
 learned from, in ROUNDS rounds: each row belongs to one round, the tasks of a round learn from their rows
 of it, from the same weights, and what they learned is averaged by their tokens. A text of any length goes
 through its lane window by window. When scoring, the state is carried across windows to the end of each document.
@@ -471,10 +471,8 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     training = docs.where("not held_out")
     counts = materialize(word_counts(training.select("text")), "words")
     v = vocabulary(counts)
-    weights = new_weights(v)
-    adam = Adam(weights)
     ids = ModelIds(zip(v.words[:HEAD], range(HEAD)))
-    train(weights, [ids.of(t) for t in _sample(training)], adam)
+    weights, adam = begin(training, ids, new_weights(v))
     weights = train_rounds(training, ids, weights, adam)
     shared = spark.sparkContext.broadcast((v, weights))
 
@@ -539,20 +537,40 @@ def train_rounds(training: DataFrame, ids: ModelIds, w: dict, adam: Adam) -> dic
         sent = training.where(turn == r).select("text").coalesce(tasks).mapInArrow(learned, schema)
         means = sorted(sent.repartition("part").mapInArrow(_sum_weights, schema).collect())
         if means:
-            flat = np.concatenate([np.frombuffer(bytes(m.w), "<f4") for m in means])
-            ends = np.cumsum([a.size for a in w.values()])
-            w = {k: x.reshape(a.shape).copy() for (k, a), x in zip(w.items(), np.split(flat, ends[:-1]))}
+            w = _unflattened(b"".join(bytes(m.w) for m in means), w)
     return w
 
 
-def _sample(training: DataFrame) -> list[bytes]:
-    """SAMPLE_DOCS training texts of at most SAMPLE_BYTES, the smallest by a hash of the row."""
+def begin(training: DataFrame, ids: ModelIds, w: dict) -> tuple[dict, Adam]:
+    """Weights and moments that one task learns from _sample(), whatever the size of training, so a lost executor only
+    repeats it."""
+    shared = training.sparkSession.sparkContext.broadcast((ids, w))
+
+    def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, w = copy.deepcopy(shared.value)
+        adam = Adam(w)
+        train(w, [ids.of(t.as_py()) for b in batches for t in b.column("text")], adam)
+        blobs = [np.concatenate([a.reshape(-1) for a in x.values()]).astype("<f4").tobytes() for x in (w, adam.first, adam.second)]
+        yield pa.RecordBatch.from_arrays([pa.array([0, 1, 2], pa.int32()), pa.array([adam.steps] * 3, pa.int64()), pa.array(blobs, pa.binary())], ["part", "steps", "w"])
+
+    rows = sorted(_sample(training).coalesce(1).mapInArrow(begun, "part int, steps long, w binary").collect())
+    adam = Adam(w)
+    if rows:
+        w, adam.first, adam.second = (_unflattened(bytes(r.w), w) for r in rows)
+        adam.steps = rows[0].steps
+    return w, adam
+
+
+def _unflattened(raw: bytes, like: dict) -> dict[str, np.ndarray]:
+    ends = np.cumsum([a.size for a in like.values()])
+    return {k: x.reshape(a.shape).copy() for (k, a), x in zip(like.items(), np.split(np.frombuffer(raw, "<f4"), ends[:-1]))}
+
+
+def _sample(training: DataFrame) -> DataFrame:
+    """(text): SAMPLE_DOCS training texts of at most SAMPLE_BYTES, the smallest by a hash of the row, in its order."""
     rows = training.where(F.length("text") <= SAMPLE_BYTES).withColumn("h", F.xxhash64("doc_id", "text"))
     least = rows.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
-    if least is None:
-        return []
-    chosen = rows.where(F.col("h") <= F.lit(least)).orderBy("h", "doc_id").limit(SAMPLE_DOCS).select("text").collect()
-    return [bytes(r.text) for r in chosen]
+    return rows.where(F.col("h") <= F.lit(least)).orderBy("h", "doc_id").limit(SAMPLE_DOCS).select("text")
 
 
 def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
