@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, text_bytes, work_path
+from tessera.llm.common import documents, text_bytes, work_path
 
 RATE, PAD = 8000, 64
 UP, DOWN, TAPS = 5, 8, 12
@@ -221,6 +221,6 @@ def op4_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     Rows with null doc_id keep it; a null text is 64 samples of value 0. Equal texts have equal values, and repeated rows
     come back repeated. Other columns are ignored; an empty table gives an empty one.
     """
-    stored = store_features(store_media(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    stored = store_features(store_media(documents(spark, sf_dir).select("doc_id", "text")))
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
     return stored.drop("spans").mapInArrow(_digests, f"{schema}, feature string")

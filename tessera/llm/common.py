@@ -34,6 +34,13 @@ def work_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of documents. Where its files give fewer tasks than there are cores, rows are dealt anew: the work on a text
+    takes far longer than its shuffle. Large tables have more tasks than cores and stay as they are."""
+    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def _file_system(spark: SparkSession, path: str):  # noqa: ANN202
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, put_back, set_aside, table, text_bytes
+from tessera.llm.common import documents, materialize, put_back, set_aside, table, text_bytes
 
 N = 13
 BLOCK_WINDOWS = 1 << 20
@@ -219,7 +219,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, remove: str
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contamination of all documents by the benchmark's windows of 13 words."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = benchmark_hits(docs, table(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("hit_items", lambda x: x.cast("string"))), ",")
     return found.select(

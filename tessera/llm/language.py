@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import key_crc, materialize, put_back, set_aside, table
+from tessera.llm.common import documents, key_crc, materialize, put_back, set_aside
 
 UNDETERMINED = "und"
 FOLDS, HELD_OUT_FOLD = 4, 2
@@ -421,7 +421,7 @@ def keep_identified(docs: DataFrame, model: Model, min_explained: float = MIN_EX
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents by a model learned from the other folds."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     model = train_on_folds(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (key_crc() % FOLDS == HELD_OUT_FOLD).alias("held_out"), "text")
     return identify(rows, model).select("doc_id", "held_out", "lang_pred", "score")

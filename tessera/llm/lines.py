@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.chunks import _M1, _M3, prefix_sums, shifts_back
 from tessera.llm.chunks import mix as _mix
-from tessera.llm.common import discard, materialize, put_back, set_aside, table, text_bytes
+from tessera.llm.common import discard, documents, materialize, put_back, set_aside, text_bytes
 
 WORDS = 5
 UP, DOWN = 4, 5  # similarity of UP / DOWN
@@ -449,7 +449,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of all documents that repeat an earlier line, exactly or nearly."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     removed = similar_lines(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_row"), F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
     found = _with_removed(rows, removed)

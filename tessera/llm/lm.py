@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import key_crc, materialize, table, text_bytes
+from tessera.llm.common import documents, key_crc, materialize, text_bytes
 
 END = b"\n"  # can't be a word
 HEAD, CLASS_WORDS, TAIL, TOP = 4096, 64, 32, 1 << 18
@@ -575,4 +575,4 @@ def _sample(training: DataFrame) -> DataFrame:
 
 def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model and a base learned from the other folds."""
-    return lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lm_scores(documents(spark, sf_dir).select("doc_id", "text"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.chunks import IdTable
-from tessera.llm.common import groups, materialize, table, text_bytes
+from tessera.llm.common import documents, groups, materialize, text_bytes
 
 MAGIC, BLOCK, HEADER = b"PFR1", 128, struct.Struct("<4sIQI")
 PERCENTILES = (50, 75, 90, 97, 100)
@@ -318,4 +318,4 @@ def op3_token_ids(spark: SparkSession, sf_dir: str, tokenizer_path: str | None =
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
-    return read_token_files(write_token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path))
+    return read_token_files(write_token_files(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path))

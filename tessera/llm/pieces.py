@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.chunks import IdTable
-from tessera.llm.common import groups, table
+from tessera.llm.common import documents, groups
 
 MARK, HIDDEN_MARK, UNMARKED = "▁", "\0", float("-inf")
 N_BEST = 4
@@ -333,7 +333,7 @@ def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
 def op6_pieces(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Encodes all documents, decodes what came out, and compares it with the text."""
     path = path or default_path()
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = encode_pieces(docs, path, decode=True)
     return found.select(
         "doc_id",

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import documents
 
 KINDS = ("assign", "access", "hex", "jwt", "der", "ssh")
 BASE = KINDS[:3]
@@ -210,4 +210,4 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents."""
-    return secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return secret_spans(documents(spark, sf_dir).select("doc_id", "text"))

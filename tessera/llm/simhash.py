@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, materialize, put_back, set_aside, table, text_bytes
+from tessera.llm.common import discard, documents, materialize, put_back, set_aside, text_bytes
 
 SEED = 42
 WORDS_IN_SHINGLE = 3
@@ -239,5 +239,5 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
-    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
