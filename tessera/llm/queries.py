@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat
+from tessera.llm import audit, chat
 from tessera.llm.audio import op4_audio
+from tessera.llm.audit import op11_audit
 from tessera.llm.chat import op9_chat
 from tessera.llm.decontaminate import op8_decontaminate
 from tessera.llm.language import op10_language
@@ -31,8 +32,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": op8_decontaminate,
         "op9_chat": op9_chat,
         "op10_language": op10_language,
+        "op11_audit": op11_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat": chat.SQL}
+    return {"op9_chat": chat.SQL, "op11_audit": audit.SQL}
