@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import audit, chat
+from tessera.llm import audit, chat, negatives
 from tessera.llm.audio import op4_audio
 from tessera.llm.audit import op11_audit
 from tessera.llm.chat import op9_chat
@@ -14,6 +14,7 @@ from tessera.llm.decontaminate import op8_decontaminate
 from tessera.llm.language import op10_language
 from tessera.llm.lines import op5_lines
 from tessera.llm.lm import op2_lm
+from tessera.llm.negatives import op12_negatives
 from tessera.llm.pfor import op3_token_ids
 from tessera.llm.pieces import op6_pieces
 from tessera.llm.secrets import op7_secrets
@@ -33,8 +34,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_chat": op9_chat,
         "op10_language": op10_language,
         "op11_audit": op11_audit,
+        "op12_negatives": op12_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat": chat.SQL, "op11_audit": audit.SQL}
+    return {"op9_chat": chat.SQL, "op11_audit": audit.SQL, "op12_negatives": negatives.SQL}
