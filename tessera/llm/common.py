@@ -34,11 +34,16 @@ def work_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df; where its files give fewer tasks than there are cores, rows are dealt anew: the work on a text takes far longer than
+    its shuffle. Large tables have more tasks than cores and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table of documents. Where its files give fewer tasks than there are cores, rows are dealt anew: the work on a text
-    takes far longer than its shuffle. Large tables have more tasks than cores and stay as they are."""
-    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    """The table of documents, dealt() to all cores."""
+    return dealt(table(spark, sf_dir, "documents"))
 
 
 def _file_system(spark: SparkSession, path: str):  # noqa: ANN202
@@ -46,6 +51,12 @@ def _file_system(spark: SparkSession, path: str):  # noqa: ANN202
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def full_uri(spark: SparkSession, path: str) -> str:
+    """The path with scheme and authority, by which a task finds it without Spark's configuration."""
+    files, at = _file_system(spark, path)
+    return re.sub("^file:/+", "file:///", files.makeQualified(at).toString())
+
+
 def work_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder. What is written there goes when the application ends."""
     path = f"{work_dir(spark)}/tessera-{label}-{uuid.uuid4().hex}"

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import audit, chat, negatives
+from tessera.llm import audit, chat, negatives, warc
 from tessera.llm.audio import op4_audio
 from tessera.llm.audit import op11_audit
 from tessera.llm.chat import op9_chat
@@ -19,6 +19,7 @@ from tessera.llm.pfor import op3_token_ids
 from tessera.llm.pieces import op6_pieces
 from tessera.llm.secrets import op7_secrets
 from tessera.llm.simhash import op1_simhash
+from tessera.llm.warc import op13_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -35,8 +36,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_language": op10_language,
         "op11_audit": op11_audit,
         "op12_negatives": op12_negatives,
+        "op13_warc": op13_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat": chat.SQL, "op11_audit": audit.SQL, "op12_negatives": negatives.SQL}
+    return {"op9_chat": chat.SQL, "op11_audit": audit.SQL, "op12_negatives": negatives.SQL, "op13_warc": warc.SQL}

@@ -57,7 +57,7 @@ def folder(tmp_path_factory):
 @pytest.fixture(scope="module")
 def empty(tmp_path_factory):
     path = tmp_path_factory.mktemp("empty")
-    for name in ("documents", "benchmark", "conversations"):
+    for name in ("documents", "benchmark", "conversations", "labels", "embeddings", "pages"):
         pq.write_table(pq.read_table(f"{SF}/{name}.parquet").slice(0, 0), path / f"{name}.parquet")
     return str(path)
 
