@@ -6,8 +6,10 @@ doc_id, then line number) has a Jaccard similarity of 4/5 or more with it, wheth
 
 * Tokens are ordered by rarity: a sketch of SKETCH counters, summed over all lines, gives each token a
   frequency (its bucket's), hashes break ties. Any such order is exact; a good one keeps frequent tokens out of prefixes.
-* Lines with equal token sets are one class; its first line stands for it, the others go. Each part of the input
-  sends a class's first line only, so a line that occurs everywhere is gathered once a part.
+  A token is its 64-bit shingle hash with the bucket's bits exchanged for the bucket's place in that order, so none is lost.
+* Lines with equal token sets are one class; its first line stands for it, the others go. Sets are equal if two
+  hashes of 64 bits agree, which rest on two unrelated hashes of the words: a polynomial of their bytes, and a chain of mixed groups of eight bytes.
+  Each part of the input sends a class's first line only, so a line that occurs everywhere is gathered once a part.
 * Prefix filter: similar sets share a token among their n - ceil(4n/5) + 1 rarest. Postings of those tokens are dealt
   by token as packed arrays, and posting lists give candidate pairs that pass the length and the positional filter.
   Sets of up to ALONE tokens are similar to equal sets only and post nothing.
@@ -16,7 +18,7 @@ doc_id, then line number) has a Jaccard similarity of 4/5 or more with it, wheth
   the list, those still unmatched with the next 64, then 512, and so on to the end of the list, so no pair that
   could remove a line is left out, and a group of n similar lines costs about n comparisons instead of n squared.
   Members are dealt by token, by band of lengths and by SPREAD members of a list, so no task gathers a long list.
-* Candidates are verified by the Jaccard similarity of their token sets; the later of a pair goes.
+* Candidates are verified by the Jaccard similarity of their token sets; the later of a pair goes, by its place.
 """
 
 from __future__ import annotations
@@ -29,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.chunks import _M1, _M3, prefix_sums, shifts_back
+from tessera.llm.chunks import _M1, _M2, _M3, prefix_sums, shifts_back
 from tessera.llm.chunks import mix as _mix
 from tessera.llm.common import discard, documents, materialize, put_back, set_aside, text_bytes
 
 WORDS = 5
 UP, DOWN = 4, 5  # similarity of UP / DOWN
-SKETCH, SKETCH_PART = 1 << 18, 1 << 12
+SKETCH_BITS = 18
+SKETCH, SKETCH_PART = 1 << SKETCH_BITS, 1 << 12
 FIRST_TYPES, POST_TYPES, GONE_TYPES = ["<u8", "<u8", "<i8", "<i8", "<i4"], ["<u8", "<u8", "<u4", "<u4"], ["<i8", "<i8", "<i4"]
 FIRST_BYTES, POST_BYTES = (sum(np.dtype(d).itemsize for d in x) for x in (FIRST_TYPES, POST_TYPES))
 ALONE = 3
@@ -43,6 +46,7 @@ LIST_CAP, FIRST_WINDOW, WIDEN, SPREAD = 32, 8, 8, 4096
 BAND = 1.26  # above DOWN / UP, so similar sets are in the same or in adjacent bands
 BUCKETS_PER_PARTITION, BUCKET_BYTES, TASK_BYTES = 2, 1 << 24, 1 << 26
 PART_BYTES = 1 << 22
+LONG_WORD = 256
 NOBODY = -(1 << 63)
 
 
@@ -60,8 +64,51 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return _mix(out)
 
 
-def shingle_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, line number, shingles) of each line with words, and the hashes of all their shingles in turn.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def word_checks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A second hash of each word, A-Z lower-cased: groups of eight bytes, mixed one after the other. The groups of words over
+    LONG_WORD bytes are mixed with their places instead, all at once."""
+    raw = np.concatenate([_LOWER[data], np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", raw, 0, (1,))  # the eight bytes from each place on
+    n = ends - starts
+    out, open_, at = n.astype(np.uint64) * _M3, np.flatnonzero(n <= LONG_WORD), 0
+    while len(open_):
+        rest = n[open_] - at
+        group = eight[starts[open_] + at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (64 - 8 * np.minimum(rest, 8)).astype(np.uint64))
+        out[open_] = _mix(out[open_] ^ group) + _M1
+        at += 8
+        open_ = open_[rest > 8]
+    for k in np.flatnonzero(n > LONG_WORD).tolist():
+        word = np.zeros(-(-n[k] // 8) * 8, np.uint8)
+        word[: n[k]] = raw[starts[k] : ends[k]]
+        groups = word.view("<u8")
+        out[k] = _mix(out[k] ^ _mix(groups ^ _mix(np.arange(1, len(groups) + 1, dtype=np.uint64) * _M1)).sum(dtype=np.uint64))
+    return out
+
+
+def _shingled(words: np.ndarray, first: np.ndarray, n: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of WORDS words, or of the whole of a shorter line, of lines that begin at first and have n words."""
+    rolled = np.zeros(len(words), np.uint64)
+    if len(words) >= WORDS:
+        whole = rolled[: len(words) - WORDS + 1]
+        for k in range(WORDS):
+            whole *= _M1
+            whole += words[k : k + len(whole)]
+    for k in range(1, WORDS):
+        at = first[n == k]
+        rolled[at] = 0
+        for j in range(k):
+            rolled[at] = rolled[at] * _M1 + words[at + j]
+        rolled[at] ^= _mix(np.full(len(at), k, np.uint64))
+    return _mix(rolled[inside])
+
+
+def shingle_lines(data: np.ndarray, offsets: np.ndarray, check: bool = False) -> tuple[np.ndarray, ...]:
+    """(text, line number, shingles) of each line with words, and the hashes of all their shingles in turn; with `check`
+    their second hashes too.
 
     Text k is data[offsets[k]:offsets[k + 1]], bytes. A line of fewer than WORDS words is one shingle."""
     space = data - np.uint8(9) < 5
@@ -73,7 +120,7 @@ def shingle_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     is_word = ~space[edge[:-1]] if len(data) else np.zeros(0, bool)
     starts, ends = edge[:-1][is_word], edge[1:][is_word]
     if not len(starts):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64)[: 5 if check else 4])
     breaks = np.flatnonzero(data == 10)
     lines = np.sort(np.concatenate([offsets[:-1], breaks + 1]))
     first = np.searchsorted(starts, lines)
@@ -81,22 +128,11 @@ def shingle_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     full = np.flatnonzero(n)  # of lines that begin at one place only the last, of the last text there, can have words
     first, n, of = first[full], n[full], np.searchsorted(offsets, lines[full], "right") - 1
     number = full - of - np.searchsorted(breaks, offsets[of])
-    words = word_hashes(data, starts, ends)
-    rolled = np.zeros(len(words), np.uint64)
-    if len(words) >= WORDS:
-        whole = rolled[: len(words) - WORDS + 1]
-        for k in range(WORDS):
-            whole *= _M1
-            whole += words[k : k + len(whole)]
-    inside = np.ones(len(words), bool)
+    inside = np.ones(len(starts), bool)
     for k in range(1, WORDS):
         inside[(first + n)[n > k] - k] = False
-        at = first[n == k]
-        rolled[at] = 0
-        for j in range(k):
-            rolled[at] = rolled[at] * _M1 + words[at + j]
-        rolled[at] ^= _mix(np.full(len(at), k, np.uint64))
-    return of, number, np.maximum(n - WORDS + 1, 1), _mix(rolled[inside])
+    found = (of, number, np.maximum(n - WORDS + 1, 1), _shingled(word_hashes(data, starts, ends), first, n, inside))
+    return (*found, _shingled(word_checks(data, starts, ends), first, n, inside)) if check else found
 
 
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -155,22 +191,30 @@ def _sum_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def rarity(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """By sketch bucket a 16-bit rank of its frequency, and the bytes to be dealt. The sketch has a fixed size, so the
-    driver can hold it."""
+    """By sketch bucket its place in ascending order of frequency, and the bytes to be dealt. The sketch has a fixed size, so
+    the driver can hold it."""
     schema = "part int, counts binary"
     parts = texts.mapInArrow(_sketch, schema).repartition("part").mapInArrow(_sum_sketches, schema).collect()
     counts = np.zeros(SKETCH + SKETCH_PART, np.int64)
     for r in parts:
         counts[r.part * SKETCH_PART : (r.part + 1) * SKETCH_PART] += _unpack(bytes(r["counts"]))
-    return np.minimum(np.log2(counts[:SKETCH] + 1.0) * 1024, 65535).astype(np.uint64), int(counts[SKETCH])
+    return places_of(counts[:SKETCH]), int(counts[SKETCH])
 
 
-def token_sets(sizes: np.ndarray, shingles: np.ndarray, rank: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(places of some lines, their tokens by rarity in rows filled with the largest integer, their numbers of tokens).
+def places_of(counts: np.ndarray) -> np.ndarray:
+    out = np.empty(SKETCH, np.uint32)
+    out[np.argsort(counts, kind="stable")] = np.arange(SKETCH, dtype=np.uint32)
+    return out
+
 
-    A token is the rank of its frequency above 48 bits of its hash."""
-    tokens = (rank[(shingles & np.uint64(SKETCH - 1)).astype(np.int64)] << np.uint64(48)) | (shingles >> np.uint64(16))
+def token_sets(sizes: np.ndarray, shingles: np.ndarray, checks: np.ndarray, rank: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(places of some lines, their tokens by rarity in rows filled with the largest integer, their numbers of tokens, sums of
+    the second hashes of those)."""
+    bits = np.uint64(SKETCH_BITS)
+    tokens = (rank[(shingles & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64) << (np.uint64(64) - bits)) | (shingles >> bits)
     starts = np.cumsum(sizes) - sizes
+    checks = _mix(checks ^ _M2)
+    sums = np.add.reduceat(checks, starts) if len(starts) else checks
     fill = np.uint64(0xFFFFFFFFFFFFFFFF)
     width = np.where(sizes <= 256, -(-sizes // 16) * 16, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
     for w in np.unique(width).tolist():
@@ -179,21 +223,28 @@ def token_sets(sizes: np.ndarray, shingles: np.ndarray, rank: np.ndarray) -> Ite
             at = same[lo : lo + max(1, (1 << 20) // w)]
             rows = np.full((len(at), w), fill)
             there = np.arange(w) < sizes[at, None]
-            rows[there] = tokens[(starts[at, None] + np.arange(w))[there]]
-            rows.sort(axis=1)
+            cells = (starts[at, None] + np.arange(w))[there]
+            rows[there] = tokens[cells]
+            raw, rows = rows, np.sort(rows, axis=1)
             again = rows[:, 1:] == rows[:, :-1]
-            if (again & (rows[:, 1:] != fill)).any():
+            again &= rows[:, 1:] != fill
+            sum_ = sums[at]
+            if len(double := np.flatnonzero(again.any(axis=1))):  # lines with a shingle twice, which counts once
+                theirs = np.zeros(rows.shape, np.uint64)
+                theirs[there] = checks[cells]
+                theirs = np.take_along_axis(theirs[double], np.argsort(raw[double], axis=1, kind="stable"), axis=1)
+                theirs[:, 1:][again[double]] = 0
+                sum_[double] = theirs.sum(axis=1, dtype=np.uint64)
                 rows[:, 1:][again] = fill
-                rows.sort(axis=1)
-            yield at, rows, (rows != fill).sum(axis=1)
+                rows[double] = np.sort(rows[double], axis=1)
+            yield at, rows, (rows != fill).sum(axis=1), sum_
 
 
-def _set_ids(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each row's token set."""
+def _set_ids(rows: np.ndarray, n: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each row's token set, one of the tokens and one of their second hashes."""
     there = np.arange(rows.shape[1]) < n[:, None]
     one = np.where(there, _mix(rows), 0).sum(axis=1, dtype=np.uint64)
-    two = np.where(there, _mix(rows ^ _M1), 0).sum(axis=1, dtype=np.uint64)
-    return _mix(one + n.astype(np.uint64)), _mix(two ^ _M3)
+    return _mix(one + n.astype(np.uint64)), _mix(sums ^ n.astype(np.uint64) * _M3)
 
 
 GONE = 2  # kinds of what is dealt: first lines, postings and lines that go
@@ -226,14 +277,14 @@ def _dealt(kind: int, by: np.ndarray, columns: list[np.ndarray], buckets: int) -
 
 def _postings(part: tuple, doc: np.ndarray, row: np.ndarray, rank: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
     data, offsets, places, lines = part
-    of, number, sizes, shingles = shingle_lines(data, offsets)
+    of, number, sizes, shingles, checks = shingle_lines(data, offsets, True)
     if not len(of):
         return []
     number = number + lines[of]
     of = places[of]
     firsts, posts = [], []
-    for at, rows, n in token_sets(sizes, shingles, rank):
-        cls, check = _set_ids(rows, n)
+    for at, rows, n, sums in token_sets(sizes, shingles, checks, rank):
+        cls, check = _set_ids(rows, n, sums)
         firsts.append((cls, check, doc[of[at]], row[of[at]], number[at].astype("<i4")))
         prefix = _prefix(n)
         if prefix.any():
@@ -344,8 +395,12 @@ def _line_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sets, pa.binary())], ["a", "d", "e", "n", "tokens"])
 
 
+PLACE = "a long, d long, e long, n int"
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows with two lines (x, y) the later's class where the lines are similar."""
+    """Of rows with two lines (x, y) the later's class and place where the lines are similar."""
+    kind = pa.struct([("a", pa.int64()), ("d", pa.int64()), ("e", pa.int64()), ("n", pa.int32())])
     for batch in batches:
         gone = []
         kept: tuple = (None, None)
@@ -356,15 +411,15 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             other = np.frombuffer(y_tokens, "<u8").tolist()
             shared = sum(map(kept[1].__contains__, other))
             if DOWN * shared >= UP * (len(kept[1]) + len(other) - shared):
-                gone.append(y if tuple(x_at.values()) < tuple(y_at.values()) else x)
-        yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], ["a"])
+                gone.append({"a": y, **y_at} if tuple(x_at.values()) < tuple(y_at.values()) else {"a": x, **x_at})
+        yield pa.RecordBatch.from_struct_array(pa.array(gone, kind))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Classes (a) that go because of pairs (x, y)."""
+    """PLACE of the lines that go because of pairs (x, y)."""
     at = F.struct("d", "e", "n")
     side = lambda s: sets.select(F.col("a").alias(s), F.col("tokens").alias(f"{s}_tokens"), at.alias(f"{s}_at"))
-    return pairs.join(side("x"), "x").join(side("y"), "y").mapInArrow(_verify, "a long").distinct()
+    return pairs.join(side("x"), "x").join(side("y"), "y").mapInArrow(_verify, PLACE).distinct()
 
 
 def similar_lines(docs: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
@@ -406,7 +461,7 @@ def similar_lines(docs: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
     lo, width = 0, FIRST_WINDOW
     # members that no comparison has removed yet meet the next window of their lists
     while longest and lo <= longest:
-        open_ = long_lists.join(gone.withColumnRenamed("a", "cls"), "cls", "left_anti")
+        open_ = long_lists.join(gone.select(F.col("a").alias("cls")), "cls", "left_anti")
         band = F.floor(F.log(F.col("size").cast("double")) / math.log(BAND)).alias("band")
         x = long_lists.where(F.col("k").between(lo, lo + width - 1)).select("token", F.col("cls").alias("x"), F.col("size").alias("x_size"), F.col("idx").alias("x_idx"), F.explode(F.sequence(F.lit(0), F.col("spread") - 1)).alias("salt"), band)
         x = x.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
@@ -420,7 +475,7 @@ def similar_lines(docs: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
         lo, width = lo + width, width * WIDEN
     discard(sets)
 
-    removed = found.where("kind = 1").select("d", "e", "n").union(places.join(gone.distinct(), "a").select("d", "e", "n"))
+    removed = found.where("kind = 1").select("d", "e", "n").union(gone.select("d", "e", "n"))
     return removed.select(F.when(F.col("d") != F.lit(NOBODY).cast("long"), F.col("d")).alias("doc_id"), F.col("e").alias("row"), F.col("n").alias("line"))
 
 
@@ -442,7 +497,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     docs, moved = set_aside(docs, ["_row", "_gone", "_doc", "_hash"])
     rows = _with_removed(docs.withColumn("_row", F.xxhash64("text")), removed)
     lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.array_contains("_gone", i))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone"), lambda i: F.element_at(lines, i + 1))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return put_back(rows.withColumn("text", text), columns, moved)
 

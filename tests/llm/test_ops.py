@@ -478,6 +478,53 @@ def test_lines_on_documents(spark, folder, docs):
     assert all(r.n_removed == len(r.removed_lines) for r in found) and any(len(docs[k][1].split("\n")[n].split()) < 5 for k, n in gone)
 
 
+def test_short_lines_that_share_48_bits_of_a_hash(spark):
+    """The first shingle hashes of these two lines agree in their upper 48 bits."""
+    docs = [(1, "17716342\nend one"), (2, "18925140\nend two"), (3, "17716342\nEND one")]
+    found = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found == {1: docs[0][1], 2: docs[1][1], 3: ""}
+
+
+def test_sets_with_one_first_hash_differ_by_the_second(monkeypatch):
+    texts = [b"a b", b"c d", b"A  b", b"one two three four five one two three four five", b"one two three four five one two three four five\t", b"longer-than-eight x longer-than-eight"]
+    monkeypatch.setattr(lines, "word_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    of, number, n, first, second = lines.shingle_lines(*lines._joined(texts), True)
+    ids = {}
+    for at, rows_, sizes, sums in lines.token_sets(n, first, second, lines.places_of(np.zeros(lines.SKETCH, np.int64))):
+        ids |= dict(zip(of[at].tolist(), zip(*(x.tolist() for x in lines._set_ids(rows_, sizes, sums)))))
+    assert ids[0] == ids[2] and ids[0][0] == ids[1][0] and ids[0][1] != ids[1][1]
+    assert ids[3][1] == ids[4][1] and len({x[1] for x in ids.values()}) == 4
+
+
+def test_second_hashes_count_a_shingle_once():
+    rng = np.random.default_rng(5)
+    words = [" ".join(f"w{k}" for k in rng.integers(0, 3, rng.integers(1, 60))) for _ in range(300)]
+    raw = [w.encode() for w in words]
+    of, _, n, first, second = lines.shingle_lines(*lines._joined(raw), True)
+    sets = [{tuple(w.split()[j : j + 5]) for j in range(max(1, len(w.split()) - 4))} for w in words]
+    ids = {}
+    for at, rows_, sizes, sums in lines.token_sets(n, first, second, lines.places_of(np.zeros(lines.SKETCH, np.int64))):
+        for k, m, pair in zip(of[at].tolist(), sizes.tolist(), zip(*(x.tolist() for x in lines._set_ids(rows_, sizes, sums)))):
+            ids[k] = pair
+            assert m == len(sets[k])
+    by_set = {}
+    for k, s in enumerate(sets):
+        by_set.setdefault(frozenset(s), set()).add(ids[k])
+    assert all(len(x) == 1 for x in by_set.values()) and len(set(ids.values())) == len(by_set) and len({a for a, _ in ids.values()}) == len({b for _, b in ids.values()})
+
+
+def test_lines_of_a_long_document_go_in_linear_time(spark):
+    import time
+
+    text = "\n".join(["the same words in every line"] * 700_000 + ["and a last one of its own"])
+    docs = spark.createDataFrame([(1, text), (2, "the same words in every line\nmore")], "doc_id long, text string")
+    lines.dedup_lines(docs.where("doc_id = 2")).collect()
+    began = time.perf_counter()
+    found = {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()}
+    assert time.perf_counter() - began < 20
+    assert found == {1: "the same words in every line\nand a last one of its own", 2: "more"}
+
+
 @pytest.mark.parametrize("buckets", [1, 64])
 def test_lines_dealt_by_size(spark, monkeypatch, buckets):
     """Small buckets, a list dealt to many tasks, and lines that every part of the input has."""
