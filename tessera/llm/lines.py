@@ -47,6 +47,7 @@ BAND = 1.26  # above DOWN / UP, so similar sets are in the same or in adjacent b
 BUCKETS_PER_PARTITION, BUCKET_BYTES, TASK_BYTES = 2, 1 << 24, 1 << 26
 PART_BYTES = 1 << 22
 LONG_WORD = 256
+PAIRS = 1 << 18  # pairs of short lists tested at once
 NOBODY = -(1 << 63)
 
 
@@ -356,11 +357,14 @@ def candidates(blobs: list[bytes], list_cap: int = LIST_CAP) -> Iterator[pa.Reco
     lengths = np.diff(starts, append=len(token))
     pairs = []
     for m in np.unique(lengths[(lengths > 1) & (lengths <= list_cap)]).tolist():
-        begin = starts[lengths == m]
+        all_begin = starts[lengths == m]
         i, j = np.triu_indices(m, 1)
-        a, b = (begin[:, None] + i).reshape(-1), (begin[:, None] + j).reshape(-1)
-        ok = _pass_filters(size[a], idx[a], size[b], idx[b])
-        pairs.append(np.stack([cls[a[ok]], cls[b[ok]]], axis=1))
+        step = max(1, PAIRS // len(i))
+        for lo in range(0, len(all_begin), step):
+            begin = all_begin[lo : lo + step]
+            a, b = (begin[:, None] + i).reshape(-1), (begin[:, None] + j).reshape(-1)
+            ok = _pass_filters(size[a], idx[a], size[b], idx[b])
+            pairs.append(np.stack([cls[a[ok]], cls[b[ok]]], axis=1))
     if pairs and len(pairs := np.unique(np.concatenate(pairs), axis=0)):
         yield _found(2, pairs[:, 0], pairs[:, 1], 0, 0, 0)
     for k in np.flatnonzero(lengths > list_cap):
