@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.operators.filters import confident
 from tessera.operators.generate import flat_points
 from tessera.operators.matching import last_per_key
+from tessera.sources.ranged import scan
 
 ANNOTATION = (
     "video_id string, question string, label string, count int, two_fps_timestamps array<double>, points array<array<struct<x:double,y:double>>>, "
@@ -105,25 +106,9 @@ def unprocessed(df: DataFrame, done: DataFrame, key: str, most: int | None = Non
     return rows if most is None else rows.orderBy(ord_).limit(most)
 
 
-def zip_entries(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".mp4", ".avi", ".mov")) -> DataFrame:
-    """(archive, name, content) of the entries of zip archives with these suffixes; a broken archive has none."""
-    import io
-    import zipfile
-
-    import pyarrow as pa
-
-    def entries(batches):  # noqa: ANN001, ANN202
-        for batch in batches:
-            for archive, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
-                        for name in sorted(z.namelist()):
-                            if name.lower().endswith(suffixes):
-                                yield pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([name]), pa.array([z.read(name)], pa.binary())], ["archive", "name", "content"])
-                except zipfile.BadZipFile:
-                    continue
-
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content").mapInArrow(entries, "archive string, name string, content binary")
+def zip_entries(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".mp4", ".avi", ".mov"), range_bytes: int | None = None) -> DataFrame:
+    """(archive, name, content) of the entries of zip archives with these suffixes, each archive read by many tasks; a broken archive has none."""
+    return scan(spark, "zip_members", path, entries=",".join(suffixes), rangeBytes=range_bytes)
 
 
 def split_dataset(spark: SparkSession, folder: str) -> DataFrame:
@@ -142,20 +127,9 @@ def _partitioned(spark: SparkSession, folder: str) -> bool:
     return any(x.getPath().getName().startswith("split=") for x in files.listStatus(at))
 
 
-def stored_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """.npy files of vectors as rows (file, ord, embedding); each file is one array."""
-    import io
-
-    import numpy as np
-    import pyarrow as pa
-
-    def rows(batches):  # noqa: ANN001, ANN202
-        for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                a = np.atleast_2d(np.load(io.BytesIO(content), allow_pickle=False)).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(a)), pa.array(range(len(a)), pa.int64()), pa.array(a.tolist(), pa.list_(pa.float32()))], ["file", "ord", "embedding"])
-
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content").mapInArrow(rows, "file string, ord long, embedding array<float>")
+def stored_vectors(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
+    """.npy files of vectors as rows (file, ord, embedding); a file is one array, read by many tasks."""
+    return scan(spark, "npy_rows", path, rangeBytes=range_bytes)
 
 
 def frames(spark: SparkSession, folder: str, glob: str = "*.{png,jpg,jpeg}", every: int = 1, content: bool = False) -> DataFrame:

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import io
 import json
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,13 +49,10 @@ def training_lines(df: DataFrame, path: str, key: str, title: str) -> None:
 
 
 def vectors(df: DataFrame, path: str, by: str, vector: str = "embedding") -> None:
-    """K4: a Parquet table of vectors and their columns, and for small ones <path>.npy with the vectors in order of `by`."""
-    df.write.mode("overwrite").parquet(path)
-    saved = df.sparkSession.read.parquet(path)
-    if saved.limit(MOST_EXPORTED + 1).count() <= MOST_EXPORTED:
-        out = io.BytesIO()
-        np.save(out, np.array([r[0] for r in _exported(saved.orderBy(by).select(vector))], np.float32))
-        put_file(df.sparkSession, f"{path}.npy", out.getvalue())
+    """K4: a Parquet table of vectors and their columns in order of `by`, and <path>.npy with the vectors; see ranged.write_npy()."""
+    from tessera.sources.ranged import write_npy
+
+    write_npy(df, f"{path}.npy", path, by, vector)
 
 
 def annotation_export(points: DataFrame, folder: str) -> None:
