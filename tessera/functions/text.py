@@ -214,6 +214,20 @@ def chat_text(messages: Column) -> Column:
     return F.array_join(F.transform(messages, lambda m: F.concat(F.initcap(m.role), F.lit(": "), m.content)), "\n")
 
 
+def common_length(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, all of a's places at once: bit i of `open_` says that the table's row doesn't
+    rise at a's i-th word."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    whole = (1 << len(a)) - 1
+    open_ = whole
+    for y in b:
+        hit = open_ & places.get(y, 0)
+        open_ = (open_ + hit | open_ - hit) & whole
+    return len(a) - open_.bit_count()
+
+
 def rouge_l(df, candidate: str, reference: str, name: str = "rouge_l", stem=None):  # noqa: ANN001, ANN201
     """Df with the ROUGE-L F1 of two texts: twice their longest common subsequence of words (a-z and 0-9) over the sum of their lengths,
     0 without words. stem: a function applied to each word, none by default."""
@@ -226,12 +240,7 @@ def rouge_l(df, candidate: str, reference: str, name: str = "rouge_l", stem=None
         return [stem(w) for w in found] if stem else found
 
     def score(a: list[str], b: list[str]) -> float:
-        row = [0] * (len(b) + 1)
-        for x in a:
-            diagonal = 0
-            for j, y in enumerate(b, 1):
-                diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-        return 2 * row[-1] / (len(a) + len(b)) if a and b else 0.0
+        return 2 * common_length(a, b) / (len(a) + len(b)) if a and b else 0.0
 
     def scored(batches):  # noqa: ANN001, ANN202
         for batch in batches:
@@ -243,20 +252,59 @@ def rouge_l(df, candidate: str, reference: str, name: str = "rouge_l", stem=None
 
 
 def bleu(candidate: Column, reference: Column, n: int = 1) -> Column:
-    """Sentence BLEU up to n-grams, with an epsilon of 0.1 for orders without a match; 0 without any common word."""
-    def grams(words: Column, k: int) -> Column:
-        places = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - (k - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.array_join(F.slice(words, i, k), " "))
+    """Sentence BLEU up to n-grams, with an epsilon of 0.1 for orders without a match; 0 without any common word. For short texts; ngram_hits()
+    counts by aggregation."""
 
-    split = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda t: t != "")
-    a, b, logs, first = split(candidate), split(reference), F.lit(0.0), None
     def common(x: Column, y: Column) -> Column:
         return F.aggregate(F.array_distinct(x), F.lit(0), lambda s, g: s + F.least(F.size(F.filter(x, lambda t: t == g)), F.size(F.filter(y, lambda t: t == g))))
 
-    for k in range(1, n + 1):
-        x, y = grams(a, k), grams(b, k)
-        hits = common(x, y)
-        first = hits if first is None else first
-        logs = logs + F.log(F.greatest(hits.cast("double"), F.lit(0.1)) / F.greatest(F.size(x), F.lit(1)))
-    short = F.when(F.size(a) > F.size(b), 0.0).otherwise(1 - F.size(b) / F.greatest(F.size(a), F.lit(1)))
-    return F.when(first > 0, F.exp(logs / n + short)).otherwise(0.0)
+    a, b = blank_words(candidate), blank_words(reference)
+    hits = [common(grams(a, k), grams(b, k)) for k in range(1, n + 1)]
+    return bleu_of(hits, [F.size(grams(a, k)) for k in range(1, n + 1)], F.size(a), F.size(b))
+
+
+def blank_words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")
+
+
+def grams(words: Column, k: int) -> Column:
+    """Runs of k words, joined by spaces."""
+    places = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - (k - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.array_join(F.slice(words, i, k), " "))
+
+
+def bleu_of(hits: list[Column], sizes: list[Column], length: Column, wanted: Column) -> Column:
+    """BLEU of n-gram hits and numbers of n-grams by order, and the lengths of candidate and reference."""
+    logs = sum((F.log(F.greatest(h.cast("double"), F.lit(0.1)) / F.greatest(m, F.lit(1))) for h, m in zip(hits, sizes)), F.lit(0.0))
+    short = F.when(length > wanted, 0.0).otherwise(1 - wanted / F.greatest(length, F.lit(1)))
+    return F.when(hits[0] > 0, F.exp(logs / len(hits) + short)).otherwise(0.0)
+
+
+def ngram_hits(pairs, key: str, candidate: str, reference: str, n: int = 4):  # noqa: ANN001, ANN201
+    """By key, for each order k up to n, hits_k (n-grams of the candidate found in the reference, each as often as it is there), size_k, and the
+    lengths in words. N-grams are counted by hash aggregation, so the work is linear in the texts; key is one row's own. Null texts have no words."""
+    sides = [pairs.select(F.col(key).alias("_key"), blank_words(F.coalesce(F.col(c), F.lit(""))).alias("_w"), F.lit(k == 0).alias("_own")) for k, c in enumerate((candidate, reference))]
+    words = sides[0].union(sides[1])
+    each = [words.select("_key", "_own", F.lit(k).alias("_k"), F.explode(grams(F.col("_w"), k)).alias("_gram")) for k in range(1, n + 1)]
+    rows = each[0]
+    for x in each[1:]:
+        rows = rows.union(x)
+    counts = rows.groupBy("_key", "_k", "_gram").agg(F.count_if("_own").alias("_a"), F.count_if(~F.col("_own")).alias("_b"))
+    by = counts.groupBy("_key").agg(*[F.sum(F.when(F.col("_k") == k, F.least("_a", "_b")).otherwise(0)).alias(f"hits_{k}") for k in range(1, n + 1)], *[F.sum(F.when(F.col("_k") == k, F.col("_a")).otherwise(0)).alias(f"size_{k}") for k in range(1, n + 1)], F.sum(F.when(F.col("_k") == 1, F.col("_b")).otherwise(0)).alias("wanted"))
+    keys = pairs.select(F.col(key).alias("_key"))  # pairs without words too
+    a, b = keys.alias("a"), by.alias("b")
+    zero = [F.coalesce(F.col(f"b.{c}"), F.lit(0).cast("long")).alias(c) for c in by.columns if c != "_key"]
+    return a.join(b, F.col("a._key").eqNullSafe(F.col("b._key")), "left").select(F.col("a._key").alias(key), *zero)
+
+
+def sentence_bleu(hits, key: str, orders: tuple[int, ...] = (1, 4)):  # noqa: ANN001, ANN201
+    """(key, bleu_1, bleu_4, ..) of ngram_hits(), as bleu() gives them."""
+    up = lambda name, n: [F.col(f"{name}_{k}") for k in range(1, n + 1)]
+    return hits.select(key, *[bleu_of(up("hits", n), up("size", n), F.col("size_1"), F.col("wanted")).alias(f"bleu_{n}") for n in orders])
+
+
+def corpus_bleu(hits, orders: tuple[int, ...] = (1, 4)):  # noqa: ANN001, ANN201
+    """One row: BLEU of the sums over all pairs of ngram_hits()."""
+    names = [c for c in hits.columns if c.startswith(("hits_", "size_")) or c == "wanted"]
+    total = hits.agg(F.count("*").alias("pairs"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
+    return sentence_bleu(total, "pairs", orders)

@@ -1,7 +1,7 @@
 """Annotators (X1, X3, X4 as a boundary): a protocol for models that label frames, and an operator that runs them over Arrow batches.
 
 An annotator is made once in each worker process by its factory. A batch that fails is tried again row by row, a row that fails
-again up to `retries` times, as long as the task's budget of failed calls lasts, so that a model that is down doesn't cost a retry a row. No
+again up to `retries` times. After `budget` failed calls in a row the model counts as down, and the task's other rows are not tried. No
 row is lost: what failed has an error.
 """
 
@@ -34,6 +34,22 @@ class Annotator:
         return [self.annotate_frame(row) for row in rows]
 
 
+class Copier(Annotator):
+    """Gives a row's own x, y and label, as sure as its y is high: a stand-in for a model, and a check of its boundary."""
+
+    def annotate_frame(self, row: dict) -> list[dict]:
+        return [{"x": row["x"], "y": row["y"], "label": row["label"], "confidence": row["y"] / 100}]
+
+
+class Picky(Annotator):
+    """Fails on rows whose source is error; else two points, one on the row's and one ten beside it."""
+
+    def annotate_frame(self, row: dict) -> list[dict]:
+        if row["source"] == "error":
+            raise ValueError("no frame")
+        return [{"x": row["x"] + 1, "y": row["y"], "label": row["label"], "confidence": 0.6}, {"x": row["x"] + 10, "y": row["y"], "label": row["label"], "confidence": 0.4}]
+
+
 _made: dict[str, Annotator] = {}
 
 
@@ -44,7 +60,7 @@ def _point(p: dict) -> dict:
 
 class _Runner:
     def __init__(self, tool: Annotator, retries: int, budget: int, pause: float) -> None:
-        self.tool, self.retries, self.left, self.pause = tool, retries, budget, pause
+        self.tool, self.retries, self.budget, self.left, self.pause = tool, retries, budget, budget, pause
 
     def rows(self, rows: list[dict]) -> list[tuple[list[dict] | None, str | None, int]]:
         """(points, error, calls) of each row."""
@@ -52,7 +68,9 @@ class _Runner:
             found = self.tool.annotate_batch(rows)
             if len(found) != len(rows):
                 raise ValueError(f"{len(found)} results for {len(rows)} rows")
-            return [([_point(p) for p in f], None, 1) for f in found]
+            found = [([_point(p) for p in f], None, 1) for f in found]
+            self.left = self.budget
+            return found
         except Exception:  # noqa: BLE001  whatever a model raises
             self.left -= 1
         return [self.row(r) for r in rows]
@@ -64,7 +82,9 @@ class _Runner:
                 return None, f"not tried, too many failures: {error}".rstrip(": "), calls
             try:
                 calls += 1
-                return [_point(p) for p in self.tool.annotate_frame(row)], None, calls
+                found = [_point(p) for p in self.tool.annotate_frame(row)]
+                self.left = self.budget
+                return found, None, calls
             except Exception as e:  # noqa: BLE001
                 error, self.left = f"{type(e).__name__}: {e}", self.left - 1
                 time.sleep(self.pause * 2**attempt)
@@ -74,7 +94,7 @@ class _Runner:
 def annotated(frames: DataFrame, factory: Callable[[], Annotator], name: str, columns: list[str], retries: int = RETRIES, budget: int = BUDGET, batch: int = BATCH, pause: float = 0.0) -> DataFrame:
     """Frames with annotator, points, error and calls; the annotator sees `columns`. Points are null where there is an error.
 
-    budget: failed calls of a task after which rows are not tried again; pause: seconds before the first retry, doubled for each
+    budget: failed calls of a task, none good between them, after which its rows are not tried; pause: seconds before the first retry, doubled for each
     further one. A factory that fails fails the task, since nothing could be annotated."""
     kept = frames.drop("annotator", "points", "error", "calls")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema]
@@ -83,7 +103,7 @@ def annotated(frames: DataFrame, factory: Callable[[], Annotator], name: str, co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _made:
             _made[name] = factory()
-        runner = _Runner(_made[name], retries, budget, pause)
+        runner = _Runner(_made[name], retries, budget, pause)  # a budget for each task
         for big in batches:
             for lo in range(0, big.num_rows, batch):
                 part = big.slice(lo, batch)
@@ -101,11 +121,12 @@ def merged(rows: DataFrame, by: list[str], reach: float = 0.1, least: float = 0.
     rows: those of annotated(), several annotators in union. Returns (*by, points, annotators, errors)."""
     from pyspark.sql import Window
 
-    each = rows.select(*by, "annotator", F.posexplode("points").alias("place", "p")).select(*by, "annotator", "place", "p.*").where("confidence >= 0")
-    rank = F.row_number().over(Window.partitionBy(*by, "label").orderBy("annotator", "place"))
-    lists = each.withColumn("ord", rank).groupBy(*by, "label").agg(F.collect_list(F.struct("x", "y", "label", "confidence", "annotator", "ord")).alias("p"))
-    kept = lists.select(*by, F.explode(sequential_dedup(F.col("p"), reach, least)).alias("p"))
-    points = kept.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct((-F.col("p.confidence")).alias("_c"), F.col("p.label").alias("label"), F.col("p.ord").alias("ord"), F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.col("p.confidence").alias("confidence"), F.col("p.annotator").alias("annotator")))).alias("points"))
+    each = rows.select(*by, "annotator", F.posexplode("points").alias("_place", "_p")).where("_p.confidence >= 0").withColumn("_label", F.col("_p.label"))
+    rank = F.row_number().over(Window.partitionBy(*by, "_label").orderBy("annotator", "_place"))
+    one = F.struct("_p.x", "_p.y", "_p.label", "_p.confidence", F.col("annotator"), F.col("_rank").alias("ord"))
+    lists = each.withColumn("_rank", rank).groupBy(*by, "_label").agg(F.collect_list(one).alias("p"))
+    kept = lists.select(*by, F.explode(sequential_dedup(F.col("p"), reach, least)).alias("_p"))
+    points = kept.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct((-F.col("_p.confidence")).alias("_c"), *[F.col(f"_p.{c}").alias(c) for c in ("label", "ord", "x", "y", "confidence", "annotator")]))).alias("points"))
     sums = rows.groupBy(*by).agg(F.count_if(F.col("error").isNull()).alias("annotators"), F.count_if(F.col("error").isNotNull()).alias("errors"))
     a, b = sums.alias("a"), points.alias("b")
     same = F.lit(True)

@@ -73,27 +73,37 @@ def dataset_statistics(df: DataFrame, split: str, video: str, frame: str, kind:
     return a.join(b, F.col(f"a.{split}").eqNullSafe(F.col(f"b.{split}"))).select(f"a.{split}", "n", "videos", "frames", (F.col("n") / F.col("frames")).alias("rows_per_frame"), "mode")
 
 
-RANGES = 1024
+RANGES, STEP = 1024, 32
 
 
-def percentiles(df: DataFrame, value: str, by: list[str], shares: dict[str, float]) -> DataFrame:
-    """Exact percentiles with linear interpolation: (*by, n, and one column each), nulls left out.
-
-    Values are counted, dealt to RANGES equal ranges of each group and ranked within these, so no buffer or task holds
-    the values of a group."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
-    ends = counts.groupBy(*by).agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.sum("_c").alias("n"))
+def value_ranges(counts: DataFrame, by: list[str]) -> DataFrame:
+    """counts (*by, _v, _c), distinct values and their numbers, with n, the sum of _c in the group, and _r, a range of values: about a
+    RANGES-th of the group's *distinct values* each, cut at the quantiles of a mergeable sketch, however the values are spread."""
+    cuts = [k / RANGES for k in range(1, RANGES)]
+    ends = counts.groupBy(*by).agg(F.percentile_approx("_v", F.array(*map(F.lit, cuts)), F.lit(16 * RANGES)).alias("_cuts"), F.sum("_c").alias("n"))
+    ends = ends.withColumn("_coarse", F.transform(F.sequence(F.lit(1), F.lit(RANGES // STEP - 1)), lambda k: F.element_at("_cuts", k * STEP)))
     a, b = counts.alias("a"), ends.alias("b")
     same = F.lit(True)
     for k in by:
         same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    below = lambda c: F.size(F.filter(c, lambda e: e < F.col("_v")))
+    rows = a.join(b, same).withColumn("_k", below("_coarse"))
+    place = F.col("_k") * STEP + below(F.slice("_cuts", F.col("_k") * STEP + 1, F.lit(STEP - 1)))
+    return rows.select(*[F.col(f"a.{k}").alias(k) for k in by], "_v", "_c", "n", place.alias("_r"))
+
+
+def percentiles(df: DataFrame, value: str, by: list[str], shares: dict[str, float]) -> DataFrame:
+    """Exact percentiles with linear interpolation: (*by, n, and one column each), nulls left out.
+
+    Values are counted, dealt to value_ranges() and ranked within these, so no buffer or task holds the values of a group."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
     keys = [F.col(f"a.{k}").alias(k) for k in by]
-    place = F.when(F.col("_b") > F.col("_a"), F.least(F.floor((F.col("_v") - F.col("_a")) / (F.col("_b") - F.col("_a")) * RANGES), F.lit(RANGES - 1))).otherwise(0)
-    rows = a.join(b, same).select(*keys, "_v", "_c", "n", place.alias("_r"))
+    rows = value_ranges(counts, by)
     sizes = rows.groupBy(*by, "_r").agg(F.sum("_c").alias("_k"))
     before = F.coalesce(F.sum("_k").over(Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     within = F.sum("_c").over(Window.partitionBy(*by, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
     c, d = rows.withColumn("_in", within).alias("a"), sizes.withColumn("_before", before).alias("b")
+    same = F.lit(True)
     for k in by + ["_r"]:
         same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
     ranked = c.join(d, same).select(*keys, "_v", "n", (F.col("_in") + F.col("_before")).alias("_upto"))

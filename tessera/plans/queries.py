@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import points as P
 from tessera.functions import rewards as RW
 from tessera.functions import text as T
-from tessera.operators import agreement, generate, matching, metrics, sampling, search, stats
+from tessera.operators import agreement, annotate, cells, generate, grid, matching, metrics, sampling, search, stats
+from tessera.operators.cut import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -170,8 +171,11 @@ def _frames(spark, d):
 
 @query()
 def greedy_match(spark, d):
-    f = _frames(spark, d).withColumn("pairs", matching.greedy_pairs(F.col("l"), F.col("r"), 20.0)).where(F.size("pairs") > 0)
-    return f.select("user_id", "day", F.posexplode("pairs").alias("place", "pair")).select("user_id", "day", "place", F.col("pair.l").alias("l"), F.col("pair.r").alias("r"), F.round("pair.score", 6).alias("score"))
+    p = points(spark, d)
+    of = lambda s: grid.placed(p.where(F.col("source") == s), ["user_id", "day"])
+    found = grid.greedy_rows(of("click"), of("view"), ["user_id", "day"], 20.0)
+    place = F.row_number().over(Window.partitionBy("user_id", "day").orderBy("l")) - 1
+    return found.select("user_id", "day", place.alias("place"), "l", "r", F.round("score", 6).alias("score"))
 
 
 @query()
@@ -182,9 +186,18 @@ def consensus(spark, d):
 
 @query()
 def nms_dedup(spark, d):
-    p = points(spark, d).groupBy("user_id", "label").agg(F.collect_list(F.struct((F.col("value") / 100).alias("confidence"), "ord", "x", "y")).alias("p"))
-    kept = p.withColumn("p", matching.sequential_dedup(F.col("p"), 10.0, 0.1))
-    return kept.select("user_id", "label", F.explode("p").alias("q")).select("user_id", "label", F.col("q.ord").alias("ord"))
+    p = points(spark, d).withColumn("confidence", F.col("value") / 100)
+    return grid.sequential_dedup_rows(p.select("user_id", "label", "confidence", "ord", "x", "y"), ["user_id", "label"], 10.0, 0.1).select("user_id", "label", "ord")
+
+
+@query()
+def merged_annotators(spark, d):
+    """Z3: two annotators of each event, one of which fails on errors, their points merged by user and day."""
+    frames = points(spark, d).select("ord", "source", "user_id", "label", "x", "y")
+    rows = annotate.annotated(frames, annotate.Copier, "copier", ["x", "y", "label"]).unionByName(annotate.annotated(frames, annotate.Picky, "picky", ["source", "x", "y", "label"]))
+    found = annotate.merged(rows, ["ord"], reach=3.0)
+    first = F.get("points", F.lit(0))
+    return found.select("ord", "annotators", "errors", F.size("points").alias("n"), first.annotator.alias("annotator"), F.round(first.x, 6).alias("x"), F.round(first.confidence, 6).alias("confidence"))
 
 
 # classification and pointing
@@ -415,6 +428,13 @@ def knn_euclid(spark, d):
     return _nearest(spark, d, "euclidean")
 
 
+@query(_knn("-list_distance(e, f)"))
+def knn_cells(spark, d):
+    e = load(spark, d, "embeddings").select("vec_id", "embedding")
+    index = cells.CellIndex.build(e, shared_path(spark, "cells"))
+    return rounded(index.search(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")))
+
+
 @query("SELECT label, (i - 1)::INT AS place, round(avg(embedding[i]::DOUBLE), 6) AS v FROM embeddings, range(1, 65) t(i) GROUP BY label, i")
 def vector_pool_mean(spark, d):
     return rounded(stats.pooled(load(spark, d, "embeddings"), "label", "embedding"))
@@ -422,6 +442,40 @@ def vector_pool_mean(spark, d):
 
 # text
 
+TURNS_SQL = """t AS (SELECT a.conv_id, a.turn, coalesce(a.text, '') AS said, coalesce(b.text, '') AS wanted FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+w AS (SELECT conv_id, turn, true AS own, list_filter(string_split_regex(lower(said), '\\s+'), lambda x: x <> '') AS ws FROM t UNION ALL SELECT conv_id, turn, false, list_filter(string_split_regex(lower(wanted), '\\s+'), lambda x: x <> '') FROM t),
+g AS (SELECT conv_id, turn, own, k, array_to_string(ws[i:i + k - 1], ' ') AS gram FROM (SELECT conv_id, turn, own, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, 5) r(k))),
+c AS (SELECT conv_id, turn, k, gram, count_if(own) AS a, count_if(NOT own) AS b FROM g GROUP BY ALL),
+s AS (SELECT conv_id, turn, k, sum(least(a, b)) AS hits, sum(a) AS size, sum(b) AS b FROM c GROUP BY ALL),
+h AS (SELECT conv_id, turn, coalesce(max(hits) FILTER (k = 1), 0)::BIGINT AS h1, coalesce(max(hits) FILTER (k = 2), 0)::BIGINT AS h2, coalesce(max(hits) FILTER (k = 3), 0)::BIGINT AS h3, coalesce(max(hits) FILTER (k = 4), 0)::BIGINT AS h4,
+coalesce(max(size) FILTER (k = 1), 0)::BIGINT AS s1, coalesce(max(size) FILTER (k = 2), 0)::BIGINT AS s2, coalesce(max(size) FILTER (k = 3), 0)::BIGINT AS s3, coalesce(max(size) FILTER (k = 4), 0)::BIGINT AS s4, coalesce(max(b) FILTER (k = 1), 0)::BIGINT AS r FROM t LEFT JOIN s USING (conv_id, turn) GROUP BY conv_id, turn)"""
+_LOG = lambda k: f"ln(greatest(h{k}::DOUBLE, 0.1) / greatest(s{k}, 1))"
+_SHORT = "CASE WHEN s1 > r THEN 0.0 ELSE 1 - r::DOUBLE / greatest(s1, 1) END"
+BLEU_SQL = f"""round(CASE WHEN h1 > 0 THEN exp({_LOG(1)} + {_SHORT}) ELSE 0.0 END, 6)::DOUBLE AS bleu_1,
+round(CASE WHEN h1 > 0 THEN exp(({_LOG(1)} + {_LOG(2)} + {_LOG(3)} + {_LOG(4)}) / 4 + {_SHORT}) ELSE 0.0 END, 6)::DOUBLE AS bleu_4"""
+
+
+def turns(spark, d):
+    """Each turn's text beside the next one's."""
+    c = load(spark, d, "conversations")
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("wanted"))
+    return c.select("conv_id", "turn", F.col("text").alias("said")).join(after, ["conv_id", "turn"]).withColumn("key", F.struct("conv_id", "turn"))
+
+
+@query(f"WITH {TURNS_SQL} SELECT conv_id, turn, {BLEU_SQL} FROM h")
+def bleu_by_turn(spark, d):
+    return rounded(T.sentence_bleu(T.ngram_hits(turns(spark, d), "key", "said", "wanted"), "key").select("key.*", "bleu_1", "bleu_4"))
+
+
+@query(f"""WITH {TURNS_SQL}, x AS (SELECT count(*) AS pairs, {', '.join(f'sum({c})::BIGINT AS {c}' for c in ('h1', 'h2', 'h3', 'h4', 's1', 's2', 's3', 's4', 'r'))} FROM h) SELECT pairs, {BLEU_SQL} FROM x""")
+def bleu_of_corpus(spark, d):
+    return rounded(T.corpus_bleu(T.ngram_hits(turns(spark, d), "key", "said", "wanted")))
+
+
+@query()
+def rouge_by_turn(spark, d):
+    return rounded(T.rouge_l(turns(spark, d).drop("key"), "said", "wanted").drop("said", "wanted"))
+
 
 @query("""WITH w AS (SELECT item_id, unnest(string_split_regex(text, '\\s+')) AS word, generate_subscripts(string_split_regex(text, '\\s+'), 1) AS p FROM benchmark), c AS (SELECT word, count(*) AS n, min((item_id, p)) AS f FROM w WHERE word <> '' GROUP BY word HAVING count(*) >= 2)
 SELECT word, n, row_number() OVER (ORDER BY n DESC, f) + 3 AS id FROM c""")
