@@ -9,9 +9,11 @@ words. The probabilities of all words and one unseen word per tail class add up
 
 Weights are learned with truncated backpropagation (windows of WINDOW tokens, the state carried from
 window to window). One task begins them, on SAMPLE_DOCS training texts; then every training row is
-learned from, in ROUNDS rounds: each row belongs to one round, the tasks of a round learn from their rows
-of it, from the same weights, and what they learned is averaged by their tokens. A text of any length goes
-through its lane window by window. When scoring, the state is carried across windows to the end of each document.
+learned from, in ROUNDS rounds: each row belongs by a hash to one round and to one of as many parts as PART_TOKENS training
+tokens ask for, a round's rows of a part are learned from in the order of that hash, all parts from the same weights, and what
+they learned is averaged by their tokens, in whole numbers. So weights depend on the rows alone, not on how many tasks or cores
+there are. A text of any length goes through its lane window by window. When scoring, the state is carried across windows to
+the end of each document.
 
 The TOP most frequent words are broadcast (a bound of a few megabytes). Other words of a document are
 joined with the counts on the word, so nothing that grows with the corpus reaches one task or the driver.
@@ -25,6 +27,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +42,7 @@ HEAD, CLASS_WORDS, TAIL, TOP = 4096, 64, 32, 1 << 18
 HEAD_CLASSES = HEAD // CLASS_WORDS
 HIDDEN, WINDOW, STREAMS, EPOCHS, RATE = 32, 24, 48, 4, 0.01
 SAMPLE_DOCS, SAMPLE_BYTES = 1500, 1 << 16
-ROUNDS, ROUND_RATE, STEP_TOKENS, WEIGHT_PARTS, TASKS_PER_CORE = 4, 0.002, 4096, 64, 2
+ROUNDS, ROUND_RATE, STEP_TOKENS, WEIGHT_PARTS, PART_TOKENS = 4, 0.002, 4096, 64, 1 << 21
 COUNTER_CAP = 200_000
 LANES, SCORED_WINDOW = 256, 32
 OUT_ROWS = 1024  # of class logits at a time, which stay in a core's cache
@@ -473,7 +476,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     v = vocabulary(counts)
     ids = ModelIds(zip(v.words[:HEAD], range(HEAD)))
     weights, adam = begin(training, ids, new_weights(v))
-    weights = train_rounds(training, ids, weights, adam)
+    weights = train_rounds(training, ids, weights, adam, v.tokens)
     shared = spark.sparkContext.broadcast((v, weights))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -506,38 +509,46 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
 
 def _sum_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of whole numbers, which no order of addition changes."""
     totals: dict[int, tuple] = {}
     for batch in batches:
         for part, n, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "n", "w"))):
-            tokens, total = totals.get(part, (0, 0.0))
-            totals[part] = (tokens + n, total + n * np.frombuffer(raw, "<f4").astype(np.float64))
+            tokens, total = totals.get(part, (0, 0))
+            totals[part] = (tokens + n, total + np.frombuffer(raw, "<i8"))
     if totals:
-        means = [(total / n).astype("<f4").tobytes() for n, total in totals.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(totals, pa.int32()), pa.array([n for n, _ in totals.values()], pa.int64()), pa.array(means, pa.binary())], ["part", "n", "w"])
+        yield pa.RecordBatch.from_arrays([pa.array(totals, pa.int32()), pa.array([n for n, _ in totals.values()], pa.int64()), pa.array([x.tobytes() for _, x in totals.values()], pa.binary())], ["part", "n", "w"])
 
 
-def train_rounds(training: DataFrame, ids: ModelIds, w: dict, adam: Adam) -> dict[str, np.ndarray]:
-    """Weights learned from all rows of training (doc_id, text), beginning with w and the moments of adam.
+WEIGHT_BITS = 6  # weights lie between -64 and 64
 
-    A task sends the weights in WEIGHT_PARTS parts that are averaged apart, so the driver gets one set of weights a round."""
+
+def train_rounds(training: DataFrame, ids: ModelIds, w: dict, adam: Adam, tokens: int, part_tokens: int = PART_TOKENS) -> dict[str, np.ndarray]:
+    """Weights learned from all rows of training (doc_id, text), of so many tokens, beginning with w and the moments of adam.
+
+    A part's weights are sent in WEIGHT_PARTS slices that are averaged apart, so the driver gets one set of weights a round."""
     spark = training.sparkSession
     turn = F.floor(key_crc() / FOLDS) % ROUNDS
-    tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    parts = max(1, -(-tokens // part_tokens))
+    scale = 2.0 ** min(40, 62 - WEIGHT_BITS - max(1, tokens).bit_length())
+    rows = training.select(turn.alias("turn"), "text", F.xxhash64("doc_id", "text").alias("h")).withColumn("part", F.pmod(F.xxhash64("h"), F.lit(parts)))
     schema = "part int, n long, w binary"
     for r in range(ROUNDS):
         shared, rate = spark.sparkContext.broadcast((ids, w, adam)), ROUND_RATE * (1 - r / ROUNDS)
 
         def learned(batches: Iterator[pa.RecordBatch], shared=shared, rate=rate) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            ids, w, adam = copy.deepcopy(shared.value)
-            n = train_stream(w, adam, (ids.of(t.as_py()) for b in batches for t in b.column("text")), rate)
-            if n:
-                parts = np.array_split(np.concatenate([a.reshape(-1) for a in w.values()]), WEIGHT_PARTS)
-                yield pa.RecordBatch.from_arrays([pa.array(range(WEIGHT_PARTS), pa.int32()), pa.array([n] * WEIGHT_PARTS, pa.int64()), pa.array([p.astype("<f4").tobytes() for p in parts], pa.binary())], ["part", "n", "w"])
-
-        sent = training.where(turn == r).select("text").coalesce(tasks).mapInArrow(learned, schema)
-        means = sorted(sent.repartition("part").mapInArrow(_sum_weights, schema).collect())
-        if means:
-            w = _unflattened(b"".join(bytes(m.w) for m in means), w)
+            sorted_rows = (row for b in batches for row in zip(b.column("part").to_pylist(), b.column("text")))
+            for _, own in groupby(sorted_rows, key=lambda row: row[0]):
+                ids, w, adam = copy.deepcopy(shared.value)
+                n = train_stream(w, adam, (ids.of(t.as_py()) for _, t in own), rate)
+                flat = np.concatenate([a.reshape(-1) for a in w.values()]).astype(np.float64)
+                whole = np.rint(np.clip(flat, -(1 << WEIGHT_BITS), 1 << WEIGHT_BITS) * scale).astype(np.int64) * n
+                slices = np.array_split(whole, WEIGHT_PARTS)
+                yield pa.RecordBatch.from_arrays([pa.array(range(WEIGHT_PARTS), pa.int32()), pa.array([n] * WEIGHT_PARTS, pa.int64()), pa.array([x.astype("<i8").tobytes() for x in slices], pa.binary())], ["part", "n", "w"])
+
+        sent = rows.where(F.col("turn") == r).select("part", "h", "text").repartition(parts, "part").sortWithinPartitions("part", "h", "text").select("part", "text").mapInArrow(learned, schema)
+        sums = sorted(sent.repartition("part").mapInArrow(_sum_weights, schema).collect())
+        if sums:
+            w = _unflattened(b"".join((np.frombuffer(m.w, "<i8") / (m.n * scale)).astype("<f4").tobytes() for m in sums), w)
     return w
 
 

@@ -883,6 +883,13 @@ def test_very_long_texts(kind, tool):
     assert seconds < (25 if tool == "pieces" else 10) and mb < 500  # its lattice is walked character by character
 
 
+def test_scores_do_not_depend_on_how_rows_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(lm.train_rounds, "__defaults__", (20_000,))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    found = [{r.doc_id: r.score for r in lm.lm_scores(docs.repartition(n)).collect()} for n in (1, 7)]
+    assert found[0] == pytest.approx(found[1], rel=1e-6)
+
+
 # Pipeline
 
 
