@@ -10,16 +10,17 @@ last three before the first gives the original back.
 
 Segments carry the loss mask: (text, loss) pairs whose texts concatenate to the formatted string; the mask
 covers assistant texts and nothing between them. A conversation is one output string, so its turns are
-gathered by conversation; place in the conversation and role changes come from window
-functions over the same partitioning, without a second shuffle.
+gathered by conversation, as structs in an array that is sorted; the places where the role changes cut it into
+blocks. Each step is linear in the number of turns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
+from tessera.operators.stats import computed_once
 
 OPEN, COLON, BETWEEN, CLOSE = "### ", ": ", "<sep/>", "</turn>\n"
 TRAINED_ROLE = "assistant"
@@ -41,7 +42,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """(conv_id, formatted, segments) from turns (conv_id, turn, role, text).
 
     Null roles and texts count as empty. Turns with one number follow the order of role and text. Null turns come
-    first; rows without conv_id form one conversation. Other columns are ignored.
+    first; rows without conv_id form one conversation. Other columns are ignored; an empty table gives none.
     """
     rows = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"),
@@ -49,20 +50,26 @@ def format_chats(turns: DataFrame) -> DataFrame:
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    by_turn = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = rows.withColumns({"at": F.row_number().over(by_turn), "before": F.lag("role").over(by_turn)})
-    head = F.concat(F.lit(OPEN), escape(F.col("role"), role=True), F.lit(COLON))
-    lead = F.when(F.col("before").isNull(), head).when(F.col("before") == F.col("role"), F.lit(BETWEEN)).otherwise(F.concat(F.lit(CLOSE), head))
-    turn = F.struct("at", lead.alias("lead"), escape(F.col("text")).alias("text"), (F.col("role") == TRAINED_ROLE).alias("loss"))
-    chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    pairs = F.flatten(
-        F.transform(
-            "turns",
-            lambda t: F.array(F.struct(t.lead.alias("text"), F.lit(False).alias("loss")), F.struct(t.text.alias("text"), t.loss.alias("loss"))),
-        )
-    )
+    sorted_ = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    # each array is a column of its own, computed once a conversation and not once an element
+    changes = lambda i: (i == 1) | (F.get("turns", i - 1).role != F.get("turns", i - 2).role)
+    cut = computed_once(sorted_, F.col("conv_id"), F.col("turns"), F.filter(F.sequence(F.lit(1), F.size("turns")), changes).alias("starts"))
+
+    def block(start: Column, k: Column) -> Column:
+        """Turns of one role that follow each other."""
+        size = F.coalesce(F.get("starts", k + 1), F.size("turns") + 1) - start
+        return F.struct(F.get("turns", start - 1).role.alias("role"), F.transform(F.slice("turns", start, size), lambda t: t.text).alias("texts"))
+
+    merged = computed_once(cut, F.col("conv_id"), F.transform("starts", block).alias("blocks"))
+
+    def segments(b: Column, k: Column) -> Column:
+        head = F.concat(F.when(k > 0, F.lit(CLOSE)).otherwise(F.lit("")), F.lit(OPEN), escape(b.role, role=True), F.lit(COLON))
+        lead = lambda j: F.struct(F.when(j == 0, head).otherwise(F.lit(BETWEEN)).alias("text"), F.lit(False).alias("loss"))
+        return F.flatten(F.transform(b.texts, lambda t, j: F.array(lead(j), F.struct(escape(t).alias("text"), (b.role == TRAINED_ROLE).alias("loss")))))
+
+    pairs = F.flatten(F.transform("blocks", segments))
     last = F.array(F.struct(F.lit(CLOSE).alias("text"), F.lit(False).alias("loss")))
-    chats = chats.select("conv_id", F.concat(pairs, last).alias("segments"))
+    chats = computed_once(merged, F.col("conv_id"), F.concat(pairs, last).alias("segments"))
     return chats.select("conv_id", F.array_join(F.transform("segments", lambda s: s.text), "").alias("formatted"), "segments")
 
 
@@ -83,7 +90,7 @@ def loss_text(segments: Column) -> Column:
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Formats all conversations and one of control strings, and reads turns and loss text back."""
+    """Formats all conversations and one of control strings, and reads turns and loss text back. An empty table gives that one alone."""
     said = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations")

@@ -890,6 +890,18 @@ def test_scores_do_not_depend_on_how_rows_are_dealt(spark, monkeypatch):
     assert found[0] == pytest.approx(found[1], rel=1e-6)
 
 
+def test_a_long_conversation(spark):
+    import time
+
+    rows = [(1, k, "user" if k % 5 else "assistant", f"text {k} # <") for k in range(20_000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    chat.format_chats(turns.limit(10)).collect()
+    began = time.perf_counter()
+    (r,) = chat.format_chats(turns).select("formatted", chat.loss_text(F.col("segments")).alias("loss"), F.size(chat.parse_turns(F.col("formatted"))).alias("n")).collect()
+    assert time.perf_counter() - began < 30
+    assert r.n == 20_000 and r.loss == "".join(f"text {k} # <" for k in range(0, 20_000, 5))
+
+
 # Pipeline
 
 
