@@ -71,6 +71,33 @@ def multilabel_metrics(df: DataFrame, truth: str = "truth", predicted: str = "pr
     return means.withColumn("f1", 2 * a * b / (a + b + F.lit(1e-8)))
 
 
+TINY = 1e-8  # what F1 adds to its divisor
+
+
+def task_metrics(df: DataFrame, task: str = "task", truth: str = "truth", predicted: str = "predicted") -> DataFrame:
+    """By task (task, n, accuracy, precision, recall, f1) of rows with one true and one predicted class: precision is the mean over the classes
+    predicted, recall the mean over those that occur, 0 without any; F1 is of these two. Rows without a true class go."""
+    rows = df.where(F.col(truth).isNotNull()).select(F.col(task).alias("task"), F.col(truth).alias("t"), F.col(predicted).alias("p"))
+    totals = rows.groupBy("task").agg(F.count("*").alias("n"), F.avg(F.coalesce(F.col("t") == F.col("p"), F.lit(False)).cast("double")).alias("accuracy"))
+    hit = F.coalesce(F.col("t") == F.col("p"), F.lit(False))
+    sides = rows.select("task", F.inline(F.array(F.struct(F.col("t").alias("c"), F.lit(True).alias("is_truth"), hit.alias("hit")), F.struct(F.col("p").alias("c"), F.lit(False).alias("is_truth"), hit.alias("hit")))))
+    by_class = sides.where("c is not null").groupBy("task", "c").agg(F.count_if("is_truth").alias("real"), F.count_if(~F.col("is_truth")).alias("said"), F.count_if(F.col("is_truth") & F.col("hit")).alias("hits"))
+    means = by_class.groupBy("task").agg(F.coalesce(F.avg(F.try_divide("hits", "said")), F.lit(0.0)).alias("precision"), F.coalesce(F.avg(F.try_divide("hits", "real")), F.lit(0.0)).alias("recall"))
+    a, b = totals.alias("a"), means.alias("b")
+    out = a.join(b, F.col("a.task").eqNullSafe(F.col("b.task"))).select("a.task", "n", "accuracy", "precision", "recall")
+    return out.withColumn("f1", 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + F.lit(TINY)))
+
+
+def multilabel_task_metrics(df: DataFrame, task: str = "task", truth: str = "truth", predicted: str = "predicted") -> DataFrame:
+    """The same columns for rows with arrays of labels: means over rows of precision and recall, and the share of equal sets as accuracy."""
+    hits = F.size(F.array_intersect(predicted, truth))
+    same = (F.size(F.array_except(predicted, truth)) == 0) & (F.size(F.array_except(truth, predicted)) == 0)
+    share = lambda c: hits / (F.size(F.array_distinct(c)) + F.lit(TINY))
+    rows = df.where(F.col(truth).isNotNull() & F.col(predicted).isNotNull())
+    out = rows.groupBy(F.col(task).alias("task")).agg(F.count("*").alias("n"), F.avg(same.cast("double")).alias("accuracy"), F.avg(share(predicted)).alias("precision"), F.avg(share(truth)).alias("recall"))
+    return out.withColumn("f1", 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + F.lit(TINY)))
+
+
 def by_group_and_total(df: DataFrame, group: str, correct: str = "correct") -> DataFrame:
     """Accuracy by group and over all (group null), by rollup in one pass."""
     return df.rollup(group).agg(F.count("*").alias("n"), F.count_if(correct).alias("n_correct"), F.avg(F.col(correct).cast("double")).alias("accuracy"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.points import clock_span, point_tag, zone_point
+from tessera.functions.points import clock_span, labelled_points, point_tag, zone_point
 from tessera.functions.text import display_name, fill, pick
 from tessera.operators.filters import NO_PRIMARY, second_instrument, visible_instrument
 from tessera.operators.generate import messages, route_task
@@ -144,3 +144,15 @@ def segment_samples(segments: DataFrame) -> DataFrame:
 def task_samples(df: DataFrame, kind: str) -> DataFrame:
     """Rows with an image and messages, and their task; kinds without a task go."""
     return df.where("image is not null and size(messages) > 0").withColumn("task_type", route_task(F.lower(kind))).where("task_type is not null")
+
+
+def spatial_samples(df: DataFrame) -> DataFrame:
+    """(image, messages, video_id, frame_id, task_type, points) of rows (image, messages, video_id, frame_id, annotation_type): those with an
+    image and messages whose annotation type names instruments or anatomy. messages is text, arrays as JSON; points are the labelled points in the
+    assistant's messages, in order, none where messages were text already."""
+    kind = df.schema["messages"].dataType.simpleString()
+    there, text = (F.col("messages") != "", F.col("messages")) if kind == "string" else (F.size("messages") > 0, F.to_json("messages"))
+    said = F.lit("") if kind == "string" else F.array_join(F.transform(F.filter("messages", lambda m: m.role == "assistant"), lambda m: m.content), "\n")
+    rows = df.where(F.col("image").isNotNull() & (F.col("image") != "") & there)
+    rows = rows.select("image", text.alias("messages"), F.coalesce("video_id", F.lit("")).alias("video_id"), F.coalesce("frame_id", F.lit("")).alias("frame_id"), route_task(F.lower("annotation_type")).alias("task_type"), labelled_points(said).alias("points"))
+    return rows.where("task_type in ('instrument', 'anatomy')")

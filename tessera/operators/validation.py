@@ -17,7 +17,7 @@ from tessera.operators.stats import computed_once, percentiles
 PAIR_KEYS, RATER_KEYS = 5, 3
 
 
-def truth_by_frame(truth: DataFrame, annotations: DataFrame, first: int | None = 100, fps: int = 2) -> DataFrame:
+def truth_by_frame(truth: DataFrame, annotations: DataFrame, first: int | None = None, fps: int = 2) -> DataFrame:
     """Truth (video_id, frame, ord, ..) with found, the annotations (label, category, x, y) of its frame in order.
 
     An annotation belongs to frame int(ts * fps). Frames without annotations go; first: only the first frames by ord."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions import points as P
 from tessera.functions import rewards as RW
 from tessera.functions import text as T
-from tessera.operators import agreement, annotate, cells, generate, grid, matching, metrics, sampling, search, stats
+from tessera.operators import agreement, annotate, cells, generate, grid, matching, metrics, samples, sampling, search, stats
 from tessera.operators.cut import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -268,19 +268,77 @@ def extract_points(spark, d):
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.size("p") > 0).alias("tagged"), F.sum(F.get("p", F.lit(0)).x).alias("sum_x"))
 
 
-REWARDS_SQL = f"""WITH {TAGS_SQL}, r AS (SELECT t.ord, t.source, p.label, t.x, t.y, t.text || ' seen by a ' || t.source AS s, t.text LIKE '<point%' AS tagged, abs(t.y - t.y * 9 // 10) < 0.1 AS near FROM t JOIN points p USING (ord)),
+def _rewards_sql(script: bool) -> str:
+    empty = 0.0 if script else 0.5
+    form = "CASE WHEN n BETWEEN 10 AND 200 THEN (tagged::INT + 1) / 2 ELSE tagged::INT END" if script else "(tagged::INT + CASE WHEN n BETWEEN 10 AND 200 THEN 1 WHEN n < 5 OR n > 500 THEN 0 ELSE 0.5 END) / 2"
+    return f"""WITH {TAGS_SQL}, r AS (SELECT t.ord, t.text || ' seen by a ' || t.source AS s, t.text LIKE '<point%' AS tagged, abs(t.y - t.y * 9 // 10) < 0.1 AS near FROM t JOIN points p USING (ord)),
 w AS (SELECT *, len(list_filter(string_split_regex(s, '\\s+'), lambda x: x <> '')) AS n FROM r),
-c AS (SELECT ord, (tagged AND near)::INT::DOUBLE AS pointing, 1.0::DOUBLE AS phase, 0.5::DOUBLE AS step, 1.0::DOUBLE AS instrument, (tagged::INT + CASE WHEN n BETWEEN 10 AND 200 THEN 1 WHEN n < 5 OR n > 500 THEN 0 ELSE 0.5 END)::DOUBLE / 2 AS format FROM w)
-SELECT *, round(0.3 * pointing + 0.2 * phase + 0.2 * step + 0.2 * instrument + 0.1 * format, 6)::DOUBLE AS total FROM c"""
+c AS (SELECT ord, (tagged AND near)::INT::DOUBLE AS pointing, CASE ord % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 ELSE {empty} END::DOUBLE AS phase, CASE ord % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 ELSE {empty} END::DOUBLE AS step,
+CASE ord % 5 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 WHEN 2 THEN 0.5 ELSE 1.0 / 3 END::DOUBLE AS instrument, ({form})::DOUBLE AS format FROM w)
+SELECT ord, pointing, phase, step, round(instrument, 6)::DOUBLE AS instrument, format, round(0.3 * pointing + 0.2 * phase + 0.2 * step + 0.2 * instrument + 0.1 * format, 6)::DOUBLE AS total FROM c"""
 
 
-@query(REWARDS_SQL)
-def rewards(spark, d):
+def _rewarded(spark, d, variant):
+    """Phases that are named, missing or empty, steps likewise, and lists of instruments of which all, some or none are named."""
     rows = tags(spark, d).select("ord", F.concat(F.col("predicted"), F.lit(" seen by a "), "source").alias("text"), F.array(F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "label")).alias("points"), "source")
-    parts = RW.rewards(F.col("text"), F.col("points"), F.col("source"), F.lit(""), F.array("source"))
+    o, source, none = F.col("ord"), F.col("source"), F.array().cast("array<string>")
+    phase = F.when(o % 3 == 0, source).when(o % 3 == 1, "no such phase").otherwise("")
+    step = F.when(o % 4 == 0, "SEEN_by").when(o % 4 == 1, "gone")
+    names = F.when(o % 5 == 0, none).when(o % 5 == 1, F.array(source)).when(o % 5 == 2, F.array(source, F.lit("absent"))).otherwise(F.array(F.lit("absent"), F.lit("seen_by"), F.lit("gone")))
+    parts = RW.rewards(F.col("text"), F.col("points"), phase, step, names, variant)
     return rounded(rows.select("ord", *[c.alias(k) for k, c in parts.items()]))
 
 
+@query(_rewards_sql(False))
+def rewards(spark, d):
+    return _rewarded(spark, d, "class")
+
+
+@query(_rewards_sql(True))
+def rewards_script(spark, d):
+    return _rewarded(spark, d, "script")
+
+
+TASKS_SQL = """r AS (SELECT 'length' AS task, CASE WHEN n_chars > 1500 THEN 'long' WHEN n_chars > 300 THEN 'mid' ELSE 'short' END AS truth, CASE WHEN doc_id % 7 < 5 THEN 'long' WHEN doc_id % 7 = 5 THEN NULL ELSE 'none' END AS predicted FROM documents
+UNION ALL SELECT 'lang', lang, CASE WHEN doc_id % 3 = 0 THEN 'en' ELSE lang END FROM documents)"""
+
+
+@query(f"""WITH {TASKS_SQL}, k AS (SELECT * FROM r WHERE truth IS NOT NULL), t AS (SELECT task, count(*) AS n, avg(coalesce(truth = predicted, false)::INT) AS accuracy FROM k GROUP BY task),
+s AS (SELECT task, truth AS c, 1 AS real, 0 AS said, coalesce(truth = predicted, false)::INT AS hit FROM k UNION ALL SELECT task, predicted, 0, 1, 0 FROM k WHERE predicted IS NOT NULL),
+c AS (SELECT task, c, sum(real) AS real, sum(said) AS said, sum(hit) AS hits FROM s GROUP BY ALL),
+m AS (SELECT task, avg(hits / said) FILTER (said > 0) AS precision, avg(hits / real) FILTER (real > 0) AS recall FROM c GROUP BY task)
+SELECT task, n, round(accuracy, 6)::DOUBLE AS accuracy, round(precision, 6)::DOUBLE AS precision, round(recall, 6)::DOUBLE AS recall, round(2 * precision * recall / (precision + recall + 1e-8), 6)::DOUBLE AS f1 FROM t JOIN m USING (task)""")
+def task_metrics(spark, d):
+    docs, n, k = load(spark, d, "documents"), F.col("n_chars"), F.col("doc_id") % 7
+    first = docs.select(F.lit("length").alias("task"), F.when(n > 1500, "long").when(n > 300, "mid").otherwise("short").alias("truth"), F.when(k < 5, "long").when(k == 6, "none").alias("predicted"))
+    second = docs.select(F.lit("lang").alias("task"), F.col("lang").alias("truth"), F.when(F.col("doc_id") % 3 == 0, "en").otherwise(F.col("lang")).alias("predicted"))
+    return rounded(metrics.task_metrics(first.union(second)))
+
+
+@query("""WITH r AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE lang END AS task, list_distinct(string_split(source || ',' || lang, ',')) AS truth, list_distinct([lang, 'web', 'x' || (doc_id % 3)]) AS predicted FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL),
+h AS (SELECT *, len(list_intersect(truth, predicted)) AS hits, len(truth) AS t, len(predicted) AS p FROM r), m AS (SELECT task, count(*) AS n, avg((hits = t AND hits = p)::INT) AS accuracy, avg(hits / (p + 1e-8)) AS precision, avg(hits / (t + 1e-8)) AS recall FROM h GROUP BY task)
+SELECT task, n, round(accuracy, 6)::DOUBLE AS accuracy, round(precision, 6)::DOUBLE AS precision, round(recall, 6)::DOUBLE AS recall, round(2 * precision * recall / (precision + recall + 1e-8), 6)::DOUBLE AS f1 FROM m""")
+def multilabel_task_metrics(spark, d):
+    docs = load(spark, d, "documents").where("source is not null and lang is not null")
+    task = F.when(F.col("doc_id") % 2 == 0, "even").otherwise(F.col("lang"))
+    predicted = F.array("lang", F.lit("web"), F.concat(F.lit("x"), F.col("doc_id") % 3))
+    return rounded(metrics.multilabel_task_metrics(docs.select(task.alias("task"), F.array("source", "lang").alias("truth"), predicted.alias("predicted"))))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, role, text, CASE conv_id % 3 WHEN 0 THEN 'Instrument_pointing' WHEN 1 THEN 'anatomy' ELSE 'phase' END AS kind FROM conversations),
+g AS (SELECT conv_id, any_value(kind) AS kind, count_if(role = 'assistant')::BIGINT AS n FROM c GROUP BY conv_id)
+SELECT conv_id::VARCHAR AS frame_id, '' AS video_id, CASE WHEN kind LIKE 'Instr%' THEN 'instrument' ELSE 'anatomy' END AS task_type, n AS n_points, (n * (conv_id % 90))::DOUBLE AS sum_x FROM g WHERE kind <> 'phase' AND conv_id % 4 <> 0""")
+def spatial_samples(spark, d):
+    """Each assistant's turn is given a tagged point."""
+    c = load(spark, d, "conversations")
+    tag = F.when(F.col("role") == "assistant", F.concat(F.lit("<point x='"), F.col("conv_id") % 90, F.lit("' y='5'>drill</point>"))).otherwise(F.lit("?"))
+    chats = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", tag.alias("content")))).alias("messages"))
+    kind = F.when(F.col("conv_id") % 3 == 0, "Instrument_pointing").when(F.col("conv_id") % 3 == 1, "anatomy").otherwise("phase")
+    rows = chats.select(F.when(F.col("conv_id") % 4 != 0, "a.png").alias("image"), "messages", F.lit(None).cast("string").alias("video_id"), F.col("conv_id").cast("string").alias("frame_id"), kind.alias("annotation_type"))
+    found = samples.spatial_samples(rows)
+    return found.select("frame_id", "video_id", "task_type", F.size("points").cast("long").alias("n_points"), F.aggregate("points", F.lit(0.0), lambda s, p: s + p.x).alias("sum_x"))
+
+
 # statistics
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.filters import confident
@@ -58,7 +58,11 @@ def ground_truth(spark: SparkSession, glob: str, kind: str) -> DataFrame:
     """CSV files of a video each, "steps" or "instruments"; the video is the number in the file name, empty strings are null."""
     schema = {"steps": STEPS, "instruments": INSTRUMENTS}[kind]
     full = schema + ", video int, ord long"
-    df = _or_empty(spark, lambda: spark.read.schema(schema).option("header", True).csv(glob).withColumns({"video": F.regexp_extract(F.col("_metadata.file_path"), r"(\d+)\.csv$", 1).cast("int"), "ord": F.monotonically_increasing_id()}), full)
+    df = _or_empty(spark, lambda: spark.read.schema(schema).option("header", True).csv(glob).withColumns({"video": F.regexp_extract(F.col("_metadata.file_path"), r"(\d+)\.csv$", 1).cast("int"), "_at": F.monotonically_increasing_id()}), full)
+    if "_at" in df.columns:
+        # ids grow within a file, but files are dealt to tasks by size: the order is that of videos, then of lines
+        line = F.row_number().over(Window.partitionBy("video").orderBy("_at"))
+        df = df.withColumn("ord", F.coalesce("video", F.lit(0)).cast("long") * (1 << 32) + line).drop("_at")
     return df.select(*[F.nullif(F.col(f.name), F.lit("")).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f.name) for f in df.schema])
 
 
@@ -139,8 +143,6 @@ def frames(spark: SparkSession, folder: str, glob: str = "*.{png,jpg,jpeg}", eve
     rows = df.select("path", F.element_at(parts, -2).alias("video"), F.regexp_extract("path", r"(\d+)\.[^.]*$", 1).try_cast("int").alias("frame"), *(["content"] if content else []))
     if every == 1:
         return rows
-    from pyspark.sql import Window
-
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy("video").orderBy("path"))).where((F.col("_r") - 1) % every == 0).drop("_r")
 
 
