@@ -81,7 +81,8 @@ def tracking_samples(points: DataFrame, by: str = "video_id", time: str = "ts",
 
 def leading(points: Column, most: dict[str, int]) -> Column:
     """The first points of each category, category by category (2 instruments and 3 anatomy, say)."""
-    return F.concat(*[F.slice(F.filter(points, lambda p, c=c: p.category == c), 1, n) for c, n in most.items()])
+    of = lambda c: F.filter(points, lambda p: p.category == c)  # noqa: E731  a lambda of two parameters would get the place
+    return F.concat(*[F.slice(of(c), 1, n) for c, n in most.items()])
 
 
 def scene_samples(points: DataFrame, most: dict[str, int], headings: dict[str, str], question: str) -> DataFrame:
