@@ -545,7 +545,7 @@ def train_rounds(training: DataFrame, ids: ModelIds, w: dict, adam: Adam, tokens
                 slices = np.array_split(whole, WEIGHT_PARTS)
                 yield pa.RecordBatch.from_arrays([pa.array(range(WEIGHT_PARTS), pa.int32()), pa.array([n] * WEIGHT_PARTS, pa.int64()), pa.array([x.astype("<i8").tobytes() for x in slices], pa.binary())], ["part", "n", "w"])
 
-        sent = rows.where(F.col("turn") == r).select("part", "h", "text").repartition(parts, "part").sortWithinPartitions("part", "h", "text").select("part", "text").mapInArrow(learned, schema)
+        sent = rows.where(F.col("turn") == r).select("part", "h", "text").repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "h", "text").select("part", "text").mapInArrow(learned, schema)
         sums = sorted(sent.repartition("part").mapInArrow(_sum_weights, schema).collect())
         if sums:
             w = _unflattened(b"".join((np.frombuffer(m.w, "<i8") / (m.n * scale)).astype("<f4").tobytes() for m in sums), w)
