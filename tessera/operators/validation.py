@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions.points import distance, labelled_points, zone
 from tessera.operators.agreement import category_overlap, cohens_kappa, fleiss_kappa, krippendorff_alpha, spatial_agreement
 from tessera.operators.filters import enough_overlap, visible_instrument
-from tessera.operators.matching import first_per_key, pairwise_overlap
+from tessera.operators.matching import first_per_key
 from tessera.operators.metrics import per_class
 from tessera.operators.stats import computed_once, percentiles
 
@@ -103,8 +103,12 @@ def agreement_report(points: DataFrame, sources: list[str], keys: list[str], dig
     points: (source, *keys, ord, label, category, x, y). The first row of each source and key counts."""
     parts, value = [], lambda c: F.round(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), digits)
     spatial = ("mean_distance", "std_distance", "within_10", "within_15", "zone_agreement", "label_match")
-    for a, b in combinations(sources, 2):
-        both = pairwise_overlap(points, a, b, keys, ["label", "x", "y"])
+    # one aggregation for all pairs: by key the first row of each source
+    first = lambda s: F.min_by(F.when(F.col("source") == s, F.struct("label", "x", "y")), F.when(F.col("source") == s, F.col("ord")))
+    wide = points.where(F.col("source").isin(*sources)).groupBy(*keys).agg(*[first(s).alias(f"_{k}") for k, s in enumerate(sources)])
+    for (i, a), (j, b) in combinations(enumerate(sources), 2):
+        there = wide.where(F.col(f"_{i}").isNotNull() & F.col(f"_{j}").isNotNull())
+        both = there.select(*keys, *[F.col(f"_{k}.{c}").alias(f"{c}_{side}") for side, k in (("a", i), ("b", j)) for c in ("label", "x", "y")])
         row = cohens_kappa(both).join(spatial_agreement(both).drop("n"))
         gate = lambda c: enough_overlap(F.col("n"), value(c), PAIR_KEYS).alias(c)
         parts.append(row.select(F.lit(f"{a}_vs_{b}").alias("what"), F.col("n").alias("overlap"), (F.col("n") < PAIR_KEYS).alias("insufficient"), gate("kappa"), *map(gate, spatial)))
