@@ -141,7 +141,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFra
     hit_items (item_ids with an occurring window) in place of any columns of these names.
 
     A null text has no words; items without words are never hit; a null item_id is left out of
-    hit_items. Repeated rows come back repeated. Without items nothing is hit.
+    hit_items. Repeated rows come back repeated. Without items nothing is hit. Texts of any length are scanned whole; a task holds one
+    text's words.
     """
     spark, kept = docs.sparkSession, docs.drop(*HITS)
     blocks = _blocks(benchmark, n)

@@ -384,7 +384,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     words of one language) in place of any columns of these names.
 
     A null text, or one without a letter, is "und" with score 0. Only the text decides. Of languages with equal shares the
-    first in order wins. Repeated rows come back repeated; without training rows all texts are "und".
+    first in order wins. Repeated rows come back repeated; without training rows all texts are "und". Texts of any length are labelled whole, a
+    segment at a time; an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model.parts())
     kept = docs.drop(*PREDICTED)

@@ -466,7 +466,8 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per document.
 
     A null text counts as empty (one token, the end); a null doc_id counts as empty text in the fold. Repeated
-    rows come back repeated. Without training rows every word is unknown and scores are finite.
+    rows come back repeated. Without training rows every word is unknown and scores are finite; an empty table gives no rows. Texts of any length
+    are learned from and scored whole. Other columns are ignored, so none can clash.
     """
     spark = docs.sparkSession
     fold = key_crc() % FOLDS

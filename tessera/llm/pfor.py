@@ -263,7 +263,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID
     """Writes the ids of docs (doc_id, text), in ascending order of doc_id, and returns the table of segments.
 
     Rows without doc_id come first; rows with one doc_id follow the order of their texts. A null text
-    counts as empty and has the end id only.
+    counts as empty and has the end id only. Texts of any length are encoded whole. Other columns are ignored, so none can clash; an
+    empty table gives an empty one.
     """
     end = np.array([end_id], np.uint32)
 
