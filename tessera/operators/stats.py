@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.cut import cut
+
 
 def computed_once(df: DataFrame, *columns: Column) -> DataFrame:
     """df.select(columns), with costly expressions evaluated once a row: a generator of one row stands between them and
@@ -81,6 +83,8 @@ def value_ranges(counts: DataFrame, by: list[str]) -> DataFrame:
     RANGES-th of the group's *distinct values* each, cut at the quantiles of a mergeable sketch, however the values are spread."""
     cuts = [k / RANGES for k in range(1, RANGES)]
     ends = counts.groupBy(*by).agg(F.percentile_approx("_v", F.array(*map(F.lit, cuts)), F.lit(16 * RANGES)).alias("_cuts"), F.sum("_c").alias("n"))
+    # a sketch depends on the order in which its parts arrive, so it's made once: all that use the ranges must see the same cuts
+    ends = cut(ends)
     ends = ends.withColumn("_coarse", F.transform(F.sequence(F.lit(1), F.lit(RANGES // STEP - 1)), lambda k: F.element_at("_cuts", k * STEP)))
     a, b = counts.alias("a"), ends.alias("b")
     same = F.lit(True)

@@ -32,6 +32,13 @@ def test_ranges_of_heavy_tails(spark):
             assert found[g][name] == pytest.approx(float(np.quantile(own, q)), rel=1e-12)
 
 
+def test_ranges_are_cut_once(spark):
+    """Sketches merged in another order give other cuts, so the ranks within ranges and those before them must not have a sketch each."""
+    df = spark.range(200).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("v"))
+    plan = stats.percentiles(df, "v", ["g"], {"p50": 0.5})._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile_approx" not in plan
+
+
 # Spatial matching
 
 
