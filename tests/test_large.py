@@ -6,11 +6,14 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera import catalog
 from tessera.functions import text as T
+from tessera.functions.vectors import similarity
 from tessera.operators import cells, grid, matching, search, stats
 
 SF = "/root/testdata/sf0.01"
@@ -106,6 +109,52 @@ def test_sequential_dedup_rows(spark):
     assert {(r.g, r.ord) for r in grid.sequential_dedup_rows(df, ["g"], 0.8, 0.3).collect()} == wanted
 
 
+# Top-k search
+
+
+def plain_top_k(index, queries, k, metric):
+    """All pairs, scored by column expressions."""
+    pairs = index.select("vec_id", F.col("embedding").alias("v")).crossJoin(queries.select("query_id", F.col("embedding").alias("q")))
+    scored = pairs.select("query_id", "vec_id", similarity(F.col("q"), F.col("v"), metric).alias("similarity"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine", "dot"])
+def test_top_k_of_odd_vectors(spark, monkeypatch, metric):
+    """Copies, near copies, vectors of nothing, null, other lengths, components that are null, tiny, huge or not finite; many blocks and tiles."""
+    monkeypatch.setattr(search, "BLOCK_BYTES", 8 * 6 * 100)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(700, 6)).astype(np.float32).astype(float)
+    x[100:180] = x[7]
+    x[180:200] = x[7] + rng.choice([0, 1e-16, 1e-15], size=(20, 6))
+    x[200:210] = 0
+    x[210:215] *= 1e-170
+    x[215:220] *= 1e170
+    x[220, 2], x[221, 3], x[222, 0] = math.nan, math.inf, -math.inf
+    vectors = [*x.tolist(), None, [1.0, None, 0.0, 0.0, 0.0, 0.0], [1.0, 2.0], [2.0, 2.5], [], *(-x[:5]).tolist()]
+    index = spark.createDataFrame([(1000 - i if i % 2 else i, v) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    queries = index.where("vec_id % 10 = 0 or vec_id between 204 and 225 or vec_id < 12 or vec_id > 690 and vec_id < 710 or vec_id between 770 and 800").withColumnRenamed("vec_id", "query_id")
+    found, wanted = (sorted((r.query_id, r["rank"], r.vec_id, repr(r.similarity)) for r in df.collect()) for df in (search.top_k_join(index, queries, 5, metric), plain_top_k(index, queries, 5, metric)))
+    assert len(found) == 5 * queries.count() and found == wanted
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine", "dot"])
+def test_top_k_of_many_pairs(spark, metric):
+    """48 million pairs, which column expressions score at a few million a second."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(24_000, 32)).astype(np.float32)
+    index = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": [*x]})).repartition(4)
+    queries = index.where("vec_id % 12 = 0").withColumnRenamed("vec_id", "query_id")
+    began = time.perf_counter()
+    found = search.top_k_join(index, queries, 3, metric).toPandas().sort_values(["query_id", "rank"])
+    assert time.perf_counter() - began < 25
+    y = x.astype(float)
+    scores = {"dot": y[::12] @ y.T, "cosine": (y / np.sqrt((y * y).sum(1))[:, None])[::12] @ (y / np.sqrt((y * y).sum(1))[:, None]).T, "euclidean": 2 * y[::12] @ y.T - (y * y).sum(1)}[metric]
+    best = np.argpartition(-scores, 3, axis=1)[:, :3]
+    assert [set(g) for g in found["vec_id"].to_numpy().reshape(-1, 3).tolist()] == [set(g) for g in best.tolist()]
+
+
 # Cells of vectors
 
 
