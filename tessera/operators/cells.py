@@ -14,10 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import similarity
+from tessera.operators.cut import cut
+from tessera.operators.search import best_of_blocks, plain_vector, ranked, rows_a_block
 
 SAMPLE, STEPS, MOST_CELLS, FIRST = 20_000, 8, 1024, 3
 SLACK = 1e-9  # relative, for rounding of bounds
@@ -90,15 +91,27 @@ class CellIndex:
         first = cells.select("metric").first()
         return cls(spark.read.parquet(f"{path}/rows").drop("away"), cells.drop("metric"), first.metric if first else "euclidean", key, vector)
 
-    def _bounds(self, queries: DataFrame, query_key: str) -> DataFrame:
-        """(query_key, _q, cell, n, bound, place): by query the cells, the most promising first."""
-        held = self.cells.orderBy("cell").collect()  # MOST_CELLS rows
+    def _blocks(self, held: list, length: int) -> tuple[dict[int, int], dict[int, int]]:
+        """By cell its first block and how many it has: small cells share a block of rows_a_block(), large ones have several."""
+        first, parts, block, room = {}, {}, 0, 0
+        for r in held:
+            need = -(-r.n // rows_a_block(length))
+            if need > 1 or r.n > room:
+                block, room = block + 1, rows_a_block(length)
+            first[r.cell], parts[r.cell] = block, need
+            block, room = block + need - 1, 0 if need > 1 else room - r.n
+        return first, parts
+
+    def _wanted(self, queries: DataFrame, query_key: str, held: list, blocks: tuple, first: int, rest: bool) -> DataFrame:
+        """(query_key, _q, _rb, _cells, _met): by query and block the cells to scan there, and how many rows they have. These are the first most
+        promising cells; if rest, the others whose bound reaches _least, the k-th similarity so far, or all if that is null."""
         ids, n, radius = (np.array([r[c] for r in held]) for c in ("cell", "n", "radius"))
         c = np.array([r.centroid for r in held])
         metric = self.metric
-        kind = dict(queries.dtypes)[query_key]
+        kind, vector = dict(queries.dtypes)[query_key], dict(queries.dtypes)["_q"]
+        start, parts = (np.array([b[r.cell] for r in held]) for b in blocks)
 
-        def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for lo in range(0, batch.num_rows, 64):
                     part = batch.slice(lo, 64)
@@ -109,37 +122,51 @@ class CellIndex:
                         most = -np.maximum(0, np.sqrt(((q[:, None] - c) ** 2).sum(2)) - radius)
                     else:
                         most = q @ c.T + np.sqrt((q * q).sum(1))[:, None] * radius
-                    order = np.argsort(-most, axis=1, kind="stable")
-                    m = order.shape[1]
-                    take = pa.array(np.repeat(np.arange(len(part)), m))
-                    flat = order.reshape(-1)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(query_key).take(take), part.column("_q").take(take), pa.array(ids[flat], pa.int32()), pa.array(n[flat], pa.int64()), pa.array(np.take_along_axis(most, order, 1).reshape(-1)), pa.array(np.tile(np.arange(m, dtype=np.int32), len(part)))],
-                        [query_key, "_q", "cell", "n", "bound", "place"],
-                    )
-
-        return queries.mapInArrow(bound, f"`{query_key}` {kind}, _q array<double>, cell int, n long, bound double, place int")
+                    place = np.argsort(np.argsort(-most, axis=1, kind="stable"), axis=1)
+                    take = place < first
+                    if rest:
+                        least = part.column("_least").to_numpy(zero_copy_only=False).astype(np.float64)  # null as NaN
+                        take = ~take & ~(most + SLACK * (1 + np.abs(most)) < least[:, None])
+                    i, j = np.nonzero(take)
+                    copies = parts[j]  # a large cell is scanned in each of its blocks, and counted in its first
+                    nth = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+                    i, j = np.repeat(i, copies), np.repeat(j, copies)
+                    block, rows = start[j] + nth, np.where(nth == 0, n[j], 0)
+                    order = np.lexsort((block, i))
+                    i, j, block, rows = i[order], j[order], block[order], rows[order]
+                    begins = np.flatnonzero((np.diff(i, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+                    own = pa.array(i[begins])
+                    cells = pa.ListArray.from_arrays(pa.array(np.append(begins, len(i)), pa.int32()), pa.array(ids[j], pa.int32()))
+                    met = np.add.reduceat(rows, begins) if len(begins) else rows
+                    yield pa.RecordBatch.from_arrays([part.column(query_key).take(own), part.column("_q").take(own), pa.array(block[begins], pa.int32()), cells, pa.array(met, pa.int64())], [query_key, "_q", "_rb", "_cells", "_met"])
+
+        return queries.mapInArrow(lists, f"`{query_key}` {kind}, _q {vector}, _rb int, _cells array<int>, _met long")
 
     def search(self, queries: DataFrame, k: int = 5, query_key: str = "query_id", vector: str = "embedding", first: int = FIRST) -> DataFrame:
-        """(query_key, key, similarity, rank), ties by key. `scanned` then has the number of rows that queries met and of all."""
-        from tessera.operators.cut import cut
+        """(query_key, key, similarity, rank), ties by key. `scanned` then has the number of rows that queries met and of all.
 
-        queries = queries.select(query_key, F.col(vector).cast("array<double>").alias("_q"))
-        bounds = cut(self._bounds(queries, query_key))
-        order = Window.partitionBy(query_key).orderBy(F.desc("similarity"), self.key)
-
-        def met(cells: DataFrame) -> DataFrame:
-            wanted = [r.cell for r in cells.select("cell").distinct().collect()]  # MOST_CELLS at most; row groups of others are skipped
+        Rows are scanned in blocks of whole cells (a large cell by parts), to each of which go the queries that want any of its cells."""
+        spark = self.rows.sparkSession
+        queries = queries.select(query_key, plain_vector(queries, vector).alias("_q"))
+        held = self.cells.orderBy("cell").collect()  # MOST_CELLS rows
+        length = len(held[0].centroid) if held else 1
+        blocks = self._blocks(held, length)
+        asked = queries.count()
+        n_queries = max(1, -(-asked // rows_a_block(length)))
+        places = spark.createDataFrame([(r.cell, blocks[0][r.cell], blocks[1][r.cell]) for r in held], "cell int, _first int, _parts int")
+
+        def met(lists: DataFrame) -> DataFrame:
+            wanted = [r.cell for r in lists.select(F.explode("_cells").alias("cell")).distinct().collect()]  # MOST_CELLS at most; row groups of others are skipped
             rows = self.rows.where(F.col("cell").isin(wanted)) if wanted else self.rows.limit(0)
-            pairs = cells.join(rows, "cell").select(query_key, F.col(self.key), similarity(F.col("_q"), F.col(self.vector), self.metric).alias("similarity"))
-            return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            rows = rows.join(F.broadcast(places), "cell").withColumn("_rb", (F.col("_first") + F.pmod(F.xxhash64(self.key, self.vector), F.col("_parts"))).cast("int"))
+            rows = rows.select(self.key, F.col(self.vector).alias("_v"), F.col("cell").alias("_cell"), "_rb", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("_qb"))
+            lists = lists.withColumn("_qb", F.pmod(F.xxhash64(query_key, "_q"), F.lit(n_queries)).cast("int"))
+            return best_of_blocks(lists, rows, k, self.metric, query_key, self.key)
 
-        some = cut(met(bounds.where(F.col("place") < first)))
+        most = self._wanted(queries, query_key, held, blocks, first, False)
+        some = cut(ranked(met(most), k, query_key, self.key))
         last = some.where(F.col("rank") == k).select(query_key, F.col("similarity").alias("_least"))
-        slack = SLACK * (1 + F.abs(F.col("bound")))
-        more = bounds.join(last, query_key, "left").where((F.col("place") >= first) & (F.col("_least").isNull() | (F.col("bound") + slack >= F.col("_least"))))
-        more = cut(more.select(*bounds.columns))
-        share = bounds.where(F.col("place") < first).union(more).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("met"))
-        self.scanned = share.crossJoin(bounds.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all_rows")))  # one row each
-        both = some.union(met(more)).drop("rank")
-        return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query_key, self.key, "similarity", "rank")
+        more = self._wanted(queries.join(last, query_key, "left"), query_key, held, blocks, first, True)
+        share = most.union(more).agg(F.coalesce(F.sum("_met"), F.lit(0)).alias("met"))
+        self.scanned = share.withColumn("all_rows", F.lit(asked * sum(r.n for r in held)).cast("long"))  # one row
+        return ranked(some.drop("rank").union(met(more)), k, query_key, self.key)
