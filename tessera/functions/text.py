@@ -280,21 +280,59 @@ def bleu_of(hits: list[Column], sizes: list[Column], length: Column, wanted: Col
     return F.when(hits[0] > 0, F.exp(logs / len(hits) + short)).otherwise(0.0)
 
 
+def _gram_counts(words, ends, n: int):  # noqa: ANN001, ANN202
+    """By pair of texts the counts of ngram_hits(), in its order. words: codes of the words of text after text, candidate and reference by turns;
+    ends: where each text ends."""
+    import numpy as np
+
+    sizes = np.diff(ends, prepend=0)
+    rows, text = len(ends) // 2, np.repeat(np.arange(len(ends)), sizes)
+    left = np.repeat(ends, sizes) - np.arange(len(words))  # words to the end of the text
+    span = int(words.max(initial=0)) + 1
+    at, gram = np.arange(len(words)), text // 2  # places where a k-gram begins, and its number, which tells the pair too
+    hits, size = np.zeros((n, rows), np.int64), np.zeros((n, rows), np.int64)
+    for k in range(1, n + 1):
+        inside = left[at] >= k
+        at = at[inside]
+        found, gram = np.unique(gram[inside] * span + words[at + k - 1], return_inverse=True)
+        own = text[at] % 2 == 0
+        both = np.minimum(np.bincount(gram[own], minlength=len(found)), np.bincount(gram[~own], minlength=len(found)))
+        pair = np.zeros(len(found), np.int64)
+        pair[gram] = text[at] // 2
+        hits[k - 1] = np.bincount(pair, both, minlength=rows).astype(np.int64)
+        size[k - 1] = np.maximum(sizes[::2] - (k - 1), 0)
+    return [*hits, *size, sizes[1::2]]
+
+
+GRAM_WORDS = 1 << 19  # words of pairs at a time; a pair is never cut
+
+
 def ngram_hits(pairs, key: str, candidate: str, reference: str, n: int = 4):  # noqa: ANN001, ANN201
     """By key, for each order k up to n, hits_k (n-grams of the candidate found in the reference, each as often as it is there), size_k, and the
-    lengths in words. N-grams are counted by hash aggregation, so the work is linear in the texts; key is one row's own. Null texts have no words."""
-    sides = [pairs.select(F.col(key).alias("_key"), blank_words(F.coalesce(F.col(c), F.lit(""))).alias("_w"), F.lit(k == 0).alias("_own")) for k, c in enumerate((candidate, reference))]
-    words = sides[0].union(sides[1])
-    each = [words.select("_key", "_own", F.lit(k).alias("_k"), F.explode(grams(F.col("_w"), k)).alias("_gram")) for k in range(1, n + 1)]
-    rows = each[0]
-    for x in each[1:]:
-        rows = rows.union(x)
-    counts = rows.groupBy("_key", "_k", "_gram").agg(F.count_if("_own").alias("_a"), F.count_if(~F.col("_own")).alias("_b"))
-    by = counts.groupBy("_key").agg(*[F.sum(F.when(F.col("_k") == k, F.least("_a", "_b")).otherwise(0)).alias(f"hits_{k}") for k in range(1, n + 1)], *[F.sum(F.when(F.col("_k") == k, F.col("_a")).otherwise(0)).alias(f"size_{k}") for k in range(1, n + 1)], F.sum(F.when(F.col("_k") == 1, F.col("_b")).otherwise(0)).alias("wanted"))
-    keys = pairs.select(F.col(key).alias("_key"))  # pairs without words too
-    a, b = keys.alias("a"), by.alias("b")
-    zero = [F.coalesce(F.col(f"b.{c}"), F.lit(0).cast("long")).alias(c) for c in by.columns if c != "_key"]
-    return a.join(b, F.col("a._key").eqNullSafe(F.col("b._key")), "left").select(F.col("a._key").alias(key), *zero)
+    lengths in words. Key is one row's own. Each row is counted where it lies, by sorting numbers of n-grams, with no shuffle; null texts have no words."""
+    import numpy as np
+    import pyarrow as pa
+
+    names = [f"hits_{k}" for k in range(1, n + 1)] + [f"size_{k}" for k in range(1, n + 1)] + ["wanted"]
+
+    def counted(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            sides = [batch.column(c) for c in ("_a", "_b")]
+            upto = np.cumsum(sum(c.value_lengths().to_numpy() for c in sides).astype(np.int64))
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(upto, GRAM_WORDS + (upto[lo - 1] if lo else 0), side="right")))
+                a, b = (c.slice(lo, hi - lo) for c in sides)
+                turns = pa.array(np.arange(2 * (hi - lo)).reshape(2, -1).T.ravel())  # candidate and reference by turns
+                texts = pa.concat_arrays([a, b]).take(turns)
+                codes = texts.flatten().dictionary_encode().indices.to_numpy().astype(np.int64)
+                counts = _gram_counts(codes, np.cumsum(texts.value_lengths().to_numpy().astype(np.int64)), n)
+                yield pa.RecordBatch.from_arrays([batch.column(key).slice(lo, hi - lo), *[pa.array(c, pa.int64()) for c in counts]], [key, *names])
+                lo = hi
+
+    words = [blank_words(F.coalesce(F.col(c), F.lit(""))).alias(name) for c, name in ((candidate, "_a"), (reference, "_b"))]
+    kind = dict(pairs.dtypes)[key]
+    return pairs.select(key, *words).mapInArrow(counted, ", ".join([f"`{key}` {kind}", *[f"{c} long" for c in names]]))
 
 
 def sentence_bleu(hits, key: str, orders: tuple[int, ...] = (1, 4)):  # noqa: ANN001, ANN201

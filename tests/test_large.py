@@ -4,6 +4,7 @@ import math
 import random
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -230,6 +231,19 @@ def test_bleu_by_aggregation(spark):
     assert 0 < T.corpus_bleu(T.ngram_hits(long, "k", "x", "y")).first().bleu_4 < 1
 
 
+def test_ngrams_are_counted_in_place(spark, monkeypatch):
+    """Counts by Counter, rows cut into pieces of any size, and no exchange or buffer of n-grams."""
+    monkeypatch.setattr(T, "GRAM_WORDS", 40)
+    rng = random.Random(6)
+    texts = [(k, *(" ".join(rng.choices("abcd", k=rng.choice([0, 1, 3, 4, 9, 70]))) for _ in range(2))) for k in range(200)]
+    hits = T.ngram_hits(spark.createDataFrame(texts, "k long, x string, y string"), "k", "x", "y", 3)
+    grams = lambda t, n: Counter(zip(*(t.split()[j:] for j in range(n))))
+    wanted = {k: (*((grams(x, n) & grams(y, n)).total() for n in (1, 2, 3)), *(grams(x, n).total() for n in (1, 2, 3)), len(y.split())) for k, x, y in texts}
+    assert {r[0]: tuple(r[1:]) for r in hits.collect()} == wanted
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+
+
 # Merged annotators
 
 
