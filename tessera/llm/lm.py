@@ -22,6 +22,7 @@ joined with the counts on the word, so nothing that grows with the corpus reache
 from __future__ import annotations
 
 import copy
+import heapq
 import math
 import zlib
 from collections import Counter
@@ -42,10 +43,10 @@ HEAD, CLASS_WORDS, TAIL, TOP = 4096, 64, 32, 1 << 18
 HEAD_CLASSES = HEAD // CLASS_WORDS
 HIDDEN, WINDOW, STREAMS, EPOCHS, RATE = 32, 24, 48, 4, 0.01
 SAMPLE_DOCS, SAMPLE_BYTES = 1500, 1 << 16
-ROUNDS, ROUND_RATE, STEP_TOKENS, WEIGHT_PARTS, PART_TOKENS = 4, 0.002, 4096, 64, 1 << 21
+ROUNDS, ROUND_RATE, STEP_TOKENS, WEIGHT_PARTS, PART_TOKENS, LONG_TOKENS = 4, 0.002, 4096, 64, 1 << 23, 2048
 COUNTER_CAP = 200_000
 LANES, SCORED_WINDOW = 256, 32
-OUT_ROWS = 1024  # of class logits at a time, which stay in a core's cache
+OUT_ROWS, STEP_WEIGHTS = 512, 1 << 14  # rows of class logits, and weights of a step, at a time: they stay in a core's cache
 FOLDS, HELD_OUT_FOLD = 7, 2
 NEVER = np.float32(-1e9)
 
@@ -101,20 +102,6 @@ class Lookup(dict):
         return -1 - tail_class(word)
 
 
-class ModelIds(dict):
-    """Word to its id in the network: its place in the head, or HEAD and its tail class."""
-
-    def __missing__(self, word: bytes) -> int:
-        return HEAD + tail_class(word)
-
-    def of(self, text: bytes) -> np.ndarray:
-        """Ids of a text and its end."""
-        words = text.lower().split()
-        out = np.zeros(len(words) + 1, np.int32)
-        out[:-1] = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
-        return out
-
-
 def vocabulary(counts: DataFrame) -> Vocabulary:
     by_tail = {r.tail: (r.n, r.d) for r in counts.where(F.col("word") != F.lit(END)).groupBy("tail").agg(F.sum("c").alias("n"), F.count("*").alias("d")).collect()}
     ends = counts.where(F.col("word") == F.lit(END)).agg(F.sum("c")).first()[0] or 0
@@ -154,56 +141,74 @@ def new_weights(v: Vocabulary) -> dict[str, np.ndarray]:
     return {k: np.ascontiguousarray(w, dtype=np.float32) for k, w in weights.items()}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
-    np.exp(np.minimum(x, 60, out=x), out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
+def _softmax(x: np.ndarray, target: np.ndarray, share: float, ones: np.ndarray) -> tuple[np.ndarray, float]:
+    """Of logits x (n, classes): x becomes e, such that r[:, None] * e is the gradient of share times the summed loss at target; (r, the loss).
 
-
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """Softmax by rows, in place. Rows are summed by a product with ones, which is faster than along short rows."""
+    Rows are summed by a product with ones, which is faster than along short rows, and not divided one by one."""
+    rows = np.arange(len(x))
     peak = x.max()
     if peak > 60:  # else no sum overflows
         x -= x.max(axis=1, keepdims=True)
+    at = x[rows, target]
     np.exp(x, out=x)
-    x *= np.reciprocal(np.maximum(x @ np.ones(x.shape[1], x.dtype), 1e-30))[:, None]
-    return x
+    total = np.maximum(x @ ones, 1e-30)
+    x[rows, target] -= total
+    return share / total, float((np.log(total) - at).sum())
+
+
+def _by_gate(u: np.ndarray) -> np.ndarray:
+    """(HIDDEN, 3 * HIDDEN) as (3, HIDDEN, HIDDEN), so that what a gate computes lies together."""
+    return np.ascontiguousarray(u.reshape(HIDDEN, 3, HIDDEN).transpose(1, 0, 2))
 
 
 def run_states(w: dict, x: np.ndarray, h: np.ndarray, keep: np.ndarray | None = None, tape: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """States after each of x (T, B), from h (B, HIDDEN). keep (T, B): 0 where a text starts anew."""
-    drive, out = w["x"][x], np.empty((*x.shape, HIDDEN), np.float32)
+    """States after each of x (T, B), from h (B, HIDDEN). keep (T, B): 0 where a text starts anew.
+
+    tape gets the states before, the gates (3, T, B, HIDDEN) and what the states add to the third before its gate."""
+    sign = np.array([-1, -1, -2], w["u"].dtype)  # exp(-a) in sigmoids, exp(-2a) in tanh
+    u = _by_gate(w["u"]) * sign[:, None, None]
+    gates = np.take(w["x"].reshape(-1, HIDDEN), x.astype(np.intp) * 3 + np.arange(3)[:, None, None], axis=0)
+    gates *= sign[:, None, None, None]
+    out = np.empty((*x.shape, HIDDEN), gates.dtype)
+    befores, pulls = (np.empty_like(out) for _ in range(2)) if tape is not None else (None, None)
+    pull, part = np.empty((3, len(h), HIDDEN), gates.dtype), np.empty((len(h), HIDDEN), gates.dtype)
+    whole = None if keep is None else keep.all(axis=1).tolist()
     for t in range(len(x)):
-        if keep is not None:
+        if whole is not None and not whole[t]:
             h = h * keep[t][:, None]
-        pull = h @ w["u"]
-        zr = _sigmoid(drive[t, :, : 2 * HIDDEN] + pull[:, : 2 * HIDDEN])
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        n = r * pull[:, 2 * HIDDEN :]
-        n += drive[t, :, 2 * HIDDEN :]
-        n += n
-        n = _sigmoid(n)
-        n += n
+        np.matmul(h, u, out=pull)
+        zr, n = gates[:2, t], gates[2, t]
+        zr += pull[:2]
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        n += np.multiply(zr[1], pull[2], out=part)
+        np.exp(n, out=n)
+        n += 1
+        np.divide(2, n, out=n)
         n -= 1
+        if tape is not None:
+            befores[t], pulls[t] = h, pull[2]
         new = np.subtract(h, n, out=out[t])
-        new *= z
+        new *= zr[0]
         new += n
-        if tape is not None:
-            tape.append((h, pull, z, r, n))
         h = new
+    if tape is not None:
+        pulls *= gates.dtype.type(-0.5)
+        tape += [befores, gates, pulls]
     return out, h
 
 
-def _picked(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
+def _picked(logits: np.ndarray, target: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """log softmax of logits (changed in place) at target, row by row."""
     at = logits[np.arange(len(target)), target]
     peak = logits.max()
     if peak > 60:  # else no sum overflows
         logits -= peak
-        at = at - peak
+        at -= peak
     np.exp(logits, out=logits)
-    return at - np.log(np.maximum(logits @ np.ones(logits.shape[1], logits.dtype), 1e-30))
+    at -= np.log(np.maximum(logits @ ones, 1e-30))
+    return at
 
 
 def _by_class(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -213,64 +218,100 @@ def _by_class(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return cls, order, np.searchsorted(cls[order], np.arange(HEAD_CLASSES + 1))
 
 
+def _with_ones(states: np.ndarray) -> np.ndarray:
+    out = np.ones((len(states), HIDDEN + 1), states.dtype)
+    out[:, :HIDDEN] = states
+    return out
+
+
+def _by_rows(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Weights with the bias as their last row, for states with a last column of ones."""
+    return np.concatenate([weights, bias[..., None, :]], axis=-2)
+
+
 def log_probs(w: dict, states: np.ndarray, y: np.ndarray) -> np.ndarray:
     """log p of the classes and head words y (n) after states (n, HIDDEN); of tail words the class only."""
     cls, order, starts = _by_class(y)
-    out = np.empty(len(y), states.dtype)
+    states, ones = _with_ones(states), np.ones(HEAD_CLASSES + TAIL, states.dtype)
+    out, classes, words = np.empty(len(y), states.dtype), _by_rows(w["class"], w["class_bias"]), _by_rows(w["word"], w["word_bias"])
+    logits = np.empty((min(OUT_ROWS, len(y)), HEAD_CLASSES + TAIL), states.dtype)
     for lo in range(0, len(y), OUT_ROWS):
         at = slice(lo, lo + OUT_ROWS)
-        logits = states[at] @ w["class"]
-        logits += w["class_bias"]
-        out[at] = _picked(logits, cls[at])
-    for k in range(HEAD_CLASSES):
-        if starts[k] < starts[k + 1]:
-            at = order[starts[k] : starts[k + 1]]
-            logits = states[at] @ w["word"][k]
-            logits += w["word_bias"][k]
-            out[at] += _picked(logits, y[at] % CLASS_WORDS)
+        s = states[at]
+        out[at] = _picked(np.matmul(s, classes, out=logits[: len(s)]), cls[at], ones)
+    head = order[: starts[-1]]
+    if len(head):
+        s, e = np.take(states, head, axis=0), np.empty((len(head), CLASS_WORDS), states.dtype)
+        for k in np.flatnonzero(np.diff(starts)).tolist():
+            at = slice(starts[k], starts[k + 1])
+            np.matmul(s[at], words[k], out=e[at])
+        out[head] += _picked(e, y[head] % CLASS_WORDS, ones[:CLASS_WORDS])
     return out
 
 
 def output_gradients(w: dict, states: np.ndarray, y: np.ndarray) -> tuple[dict, float]:
-    """Gradients of the mean loss at y after states, "states" among them, and the loss."""
+    """Gradients of the mean loss at y after states, "states" among them, and the loss.
+
+    The states' last column is one, so that biases are rows of the weights."""
     cls, order, starts = _by_class(y)
-    rows, loss = np.arange(len(y)), 0.0
-    share, ones = states.dtype.type(1 / len(y)), np.ones(len(y), states.dtype)
-    grads = {k: np.zeros_like(w[k]) for k in ("class", "class_bias", "word", "word_bias")}
-    grads["states"] = np.empty_like(states)
+    loss, share = 0.0, states.dtype.type(1 / max(1, len(y)))
+    states, up = _with_ones(states), np.empty_like(states)
+    classes, ones = _by_rows(w["class"], w["class_bias"]), np.ones(HEAD_CLASSES + TAIL, states.dtype)
+    g_class, g_word = np.zeros_like(classes), np.zeros((HEAD_CLASSES, HIDDEN + 1, CLASS_WORDS), states.dtype)
+    logits = np.empty((min(OUT_ROWS, len(y)), HEAD_CLASSES + TAIL), states.dtype)
     for lo in range(0, len(y), OUT_ROWS):
         at = slice(lo, lo + OUT_ROWS)
-        s, target = states[at], cls[at]
-        p = s @ w["class"]
-        p += w["class_bias"]
-        _softmax(p)
-        picked = p[rows[: len(p)], target]
-        loss -= np.log(np.maximum(picked, 1e-30)).sum()
-        p[rows[: len(p)], target] = picked - 1
-        p *= share
-        grads["class"] += s.T @ p
-        grads["class_bias"] += ones[: len(p)] @ p
-        np.matmul(p, w["class"].T, out=grads["states"][at])
-    by_class, targets, up = states[order], y[order] % CLASS_WORDS, np.zeros_like(states)
-    for k in np.flatnonzero(np.diff(starts)).tolist():
-        at = slice(starts[k], starts[k + 1])
-        s, target, rows = by_class[at], targets[at], np.arange(starts[k + 1] - starts[k])
-        q = s @ w["word"][k]
-        q += w["word_bias"][k]
-        _softmax(q)
-        picked = q[rows, target]
-        loss -= np.log(np.maximum(picked, 1e-30)).sum()
-        q[rows, target] = picked - 1
-        q *= share
-        np.matmul(s.T, q, out=grads["word"][k])
-        np.matmul(ones[: len(q)], q, out=grads["word_bias"][k])
-        np.matmul(q, w["word"][k].T, out=up[at])
-    grads["states"][order] += up
-    return grads, float(loss) / len(y)
+        s = states[at]
+        e = np.matmul(s, classes, out=logits[: len(s)])
+        r, lost = _softmax(e, cls[at], share, ones)
+        loss += lost
+        r = r[:, None]
+        g_class += (s * r).T @ e
+        np.matmul(e, w["class"].T, out=up[at])
+        up[at] *= r
+    head = order[: starts[-1]]
+    if len(head):
+        s, words = np.take(states, head, axis=0), _by_rows(w["word"], w["word_bias"])
+        e, back, used = np.empty((len(head), CLASS_WORDS), s.dtype), np.empty((len(head), HIDDEN), s.dtype), np.flatnonzero(np.diff(starts)).tolist()
+        spans = [(k, slice(starts[k], starts[k + 1])) for k in used]
+        for k, at in spans:
+            np.matmul(s[at], words[k], out=e[at])
+        r, lost = _softmax(e, y[head] % CLASS_WORDS, share, ones[:CLASS_WORDS])
+        loss += lost
+        s *= r[:, None]
+        for k, at in spans:
+            np.matmul(s[at].T, e[at], out=g_word[k])
+            np.matmul(e[at], w["word"][k].T, out=back[at])
+        back *= r[:, None]
+        up[head] += back
+    grads = {"class": g_class[:HIDDEN], "class_bias": g_class[HIDDEN], "word": g_word[:, :HIDDEN], "word_bias": g_word[:, HIDDEN], "states": up}
+    return grads, loss / max(1, len(y))
+
+
+RANKS = 16
+
+
+def _sums_by_id(x: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """rows (3, n, HIDDEN) summed by their ids x, as (size, 3 * HIDDEN): the first RANKS of each id's rows together for all ids, more of them id by id."""
+    out = np.zeros((size, 3, HIDDEN), rows.dtype)
+    order = np.argsort(x.astype(np.uint16) if size <= 1 << 16 else x, kind="stable")
+    x = x[order]
+    starts = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+    n = np.diff(np.append(starts, len(x)))
+    most = np.argsort(-n, kind="stable")
+    starts, n = starts[most], n[most]
+    sums = np.take(rows, order[starts], axis=1)
+    for rank in range(1, min(RANKS, int(n[0]))):
+        own = starts[: np.searchsorted(-n, -rank)]  # ids with more rows than rank
+        sums[:, : len(own)] += np.take(rows, order[own + rank], axis=1)
+    for k in range(np.searchsorted(-n, -RANKS)):
+        sums[:, k] += np.take(rows, order[starts[k] + RANKS : starts[k] + n[k]], axis=1).sum(axis=1)
+    out[x[starts]] = sums.transpose(1, 0, 2)
+    return out.reshape(size, 3 * HIDDEN)
 
 
 def window_gradients(w: dict, x: np.ndarray, y: np.ndarray, h: np.ndarray, keep: np.ndarray, there: np.ndarray | None = None) -> tuple[dict, np.ndarray, float]:
-    """Gradients of the mean loss over a window, backpropagated to its start; the last state; the loss.
+    """Gradients of the mean loss over x, backpropagated to the start of each WINDOW of it; the last state; the loss.
 
     there (T, B): which places hold a token, all if None."""
     tape: list = []
@@ -282,33 +323,39 @@ def window_gradients(w: dict, x: np.ndarray, y: np.ndarray, h: np.ndarray, keep:
         g, loss = output_gradients(w, states[there], y[there])
         up = np.zeros_like(states)
         up[there] = g.pop("states")
-    g["u"], drive = np.zeros_like(w["u"]), np.empty((*x.shape, 3 * HIDDEN), np.float32)
-    dh, whole = np.zeros_like(h), keep.all(axis=1)
+    befores, gates, pulls = tape
+    back = np.ascontiguousarray(_by_gate(w["u"]).transpose(0, 2, 1))
+    drive, reset, into = np.empty_like(gates), np.empty_like(states), np.empty((3, *h.shape), states.dtype)
+    dh, whole = np.zeros_like(states[0]), keep.all(axis=1).tolist()
     for t in range(len(x) - 1, -1, -1):
-        before, pull, z, r, n = tape[t]
+        z, r, n = gates[:, t]
+        dz, dr, dn = drive[:, t]
+        if (t + 1) % WINDOW == 0:
+            dh[:] = 0
         dh += up[t]
-        into, open_ = drive[t], 1 - z
-        dz, dr, dn = into[:, :HIDDEN], into[:, HIDDEN : 2 * HIDDEN], into[:, 2 * HIDDEN :]
-        np.multiply(dh, open_, out=dn)
-        dn *= 1 - n * n
-        np.subtract(before, n, out=dz)
-        open_ *= z
-        dz *= open_
+        np.subtract(1, z, out=dr)
+        np.subtract(befores[t], n, out=dz)
+        dz *= z
+        dz *= dr
         dz *= dh
-        np.multiply(dn, pull[:, 2 * HIDDEN :], out=dr)
-        dr *= r
-        dr *= 1 - r
-        dpull = into.copy()
-        dpull[:, 2 * HIDDEN :] *= r
-        g["u"] += before.T @ dpull
+        np.multiply(n, n, out=dn)
+        np.subtract(1, dn, out=dn)
+        dn *= dr
+        dn *= dh
+        dpull = np.multiply(dn, r, out=reset[t])
+        np.subtract(1, r, out=dr)
+        dr *= pulls[t]
+        dr *= dpull
         dh *= z
-        dh += dpull @ w["u"].T
+        np.matmul(drive[:2, t], back[:2], out=into[:2])
+        np.matmul(dpull, back[2], out=into[2])
+        for part in into:
+            dh += part
         if t and not whole[t]:
             dh *= keep[t][:, None]
-    g["x"] = np.zeros_like(w["x"])
-    order = np.argsort(x.reshape(-1), kind="stable")
-    ids, starts = np.unique(x.reshape(-1)[order], return_index=True)
-    g["x"][ids] = np.add.reduceat(drive.reshape(-1, 3 * HIDDEN)[order], starts, axis=0)
+    before = befores.reshape(-1, HIDDEN).T
+    g["u"] = np.concatenate([before @ d.reshape(-1, HIDDEN) for d in (*drive[:2], reset)], axis=1)
+    g["x"] = _sums_by_id(x.reshape(-1), drive.reshape(3, -1, HIDDEN), len(w["x"]))
     return g, last, loss
 
 
@@ -326,20 +373,23 @@ class Adam:
         rate *= math.sqrt(1 - 0.999**self.steps) / (1 - 0.9**self.steps)
         scale = min(1.0, 1.0 / (norm + 1e-9))
         for k, a in g.items():
-            first, second = self.first[k], self.second[k]
-            if scale < 1:
-                a *= a.dtype.type(scale)
-            first *= 0.9
-            first += 0.1 * a
-            a *= a
-            a *= 0.001
-            second *= 0.999
-            second += a
-            step = np.sqrt(second, out=a)  # the gradient isn't needed any more
-            step += 1e-8
-            np.divide(first, step, out=step)
-            step *= rate
-            w[k] -= step
+            flat = [np.reshape(x, -1) for x in (a, self.first[k], self.second[k], w[k])]
+            for lo in range(0, a.size, STEP_WEIGHTS):
+                a, first, second, own = (x[lo : lo + STEP_WEIGHTS] for x in flat)
+                if scale < 1:
+                    a *= a.dtype.type(scale)
+                first *= 0.9
+                second *= 0.999
+                part = 0.1 * a
+                first += part
+                np.multiply(a, a, out=part)
+                part *= 0.001
+                second += part
+                np.sqrt(second, out=part)
+                part += 1e-8
+                np.divide(first, part, out=part)
+                part *= rate
+                own -= part
 
 
 def train(w: dict, texts: list[np.ndarray], adam: Adam | None = None) -> list[float]:
@@ -370,96 +420,106 @@ def train(w: dict, texts: list[np.ndarray], adam: Adam | None = None) -> list[fl
 def train_stream(w: dict, adam: Adam, texts: Iterator[np.ndarray], rate: float) -> int:
     """Learns in place from each token of texts once, LANES texts side by side; the number of tokens.
 
-    A lane takes the next text when its own ends; windows are summed up to STEP_TOKENS tokens a step."""
+    A lane takes the next text when its own ends. A step takes as many windows as make STEP_TOKENS tokens or more."""
     rests, last = [np.zeros(0, np.int32)] * LANES, np.zeros(LANES, np.int32)
-    h, total, held, summed = np.zeros((LANES, HIDDEN), np.float32), 0, 0, {}
+    h, total = np.zeros((LANES, HIDDEN), np.float32), 0
     while True:
-        y, n = np.zeros((WINDOW, len(rests)), np.int32), np.zeros(len(rests), np.int64)
+        span = WINDOW * -(-STEP_TOKENS // (WINDOW * max(1, len(rests))))
+        lanes, n = np.zeros((len(rests), span), np.int32), np.zeros(len(rests), np.int64)
         for j, rest in enumerate(rests):
-            while n[j] < WINDOW and (len(rest) or (rest := next(texts, None)) is not None):
-                part = rest[: WINDOW - n[j]]
-                y[n[j] : n[j] + len(part), j] = part
-                n[j] += len(part)
+            lane, held = lanes[j], 0
+            while held < span and (len(rest) or (rest := next(texts, None)) is not None):
+                part = rest[: span - held]
+                lane[held : held + len(part)] = part
+                held += len(part)
                 rest = rest[len(part) :]
-            rests[j] = np.zeros(0, np.int32) if rest is None else rest
+            n[j], rests[j] = held, np.zeros(0, np.int32) if rest is None else rest
         active = np.flatnonzero(n)
-        if len(active):
-            y, n, last, h, rests = y[: n.max(), active], n[active], last[active], h[active], [rests[j] for j in active]
-            x = np.concatenate([last[None], y[:-1]])
-            last = y[-1]
-            there = np.arange(len(y))[:, None] < n
-            g, h, _ = window_gradients(w, x, y, h, (x != 0).astype(np.float32), None if there.all() else there)
-            new = int(n.sum())
-            total, held = total + new, held + new
-            for k, a in g.items():  # the mean over all tokens held
-                if k in summed:
-                    summed[k] += (a - summed[k]) * np.float32(new / held)
-                else:
-                    summed[k] = a
-        if held and (held >= STEP_TOKENS or not len(active)):
-            adam.step(w, summed, rate)
-            held, summed = 0, {}
         if not len(active):
             return total
+        y, n, last, h, rests = np.ascontiguousarray(lanes[active, : n.max()].T), n[active], last[active], h[active], [rests[j] for j in active]
+        x = np.concatenate([last[None], y[:-1]])
+        last = y[-1]
+        there = np.arange(len(y))[:, None] < n
+        g, h, _ = window_gradients(w, x, y, h, (x != 0).astype(np.float32), None if there.all() else there)
+        adam.step(w, g, rate)
+        total += int(n.sum())
 
 
 def score_texts(w: dict, texts: list[np.ndarray]) -> np.ndarray:
-    """Sum of log p (natural) over each text of ids, the state carried through the whole text."""
-    total = np.zeros(len(texts))
+    """Sum of log p (natural) over each text of ids, the state carried through the whole text.
+
+    Texts are dealt to LANES lanes, the longest first, each to the lane with the fewest tokens so far; a lane's texts follow
+    each other, and as each ends with the end's id 0, what comes before a text's first word is 0 too."""
+    if not texts:
+        return np.zeros(0)
     sizes = np.array([len(t) for t in texts])
-    order = np.argsort(-sizes, kind="stable")
-    for lo in range(0, len(texts), LANES):
-        lane = order[lo : lo + LANES]
-        n, most = sizes[lane], int(sizes[lane[0]])
-        h = np.zeros((len(lane), HIDDEN), np.float32)
-        for t in range(0, most, SCORED_WINDOW):
-            active = int(np.searchsorted(-n, -t, side="left"))
-            span = min(SCORED_WINDOW, most - t)
-            y = np.zeros((span, active), np.int32)
-            x = np.zeros((span, active), np.int32)
-            for j in range(active):
-                part = texts[lane[j]][max(t - 1, 0) : t + span]
-                if t:
-                    x[: len(part[:span]), j] = part[:span]
-                    y[: len(part) - 1, j] = part[1:]
-                else:
-                    x[1 : len(part), j] = part[: span - 1][: len(part) - 1]
-                    y[: len(part), j] = part
-            states, h = run_states(w, x, h[:active])
-            there = np.arange(t, t + span)[:, None] < n[None, :active]
-            found = np.zeros(there.shape, np.float64)
-            found[there] = log_probs(w, states[there], y[there])
-            total[lane[:active]] += found.sum(axis=0)
+    lanes: list[list[int]] = [[] for _ in range(min(LANES, len(texts)))]
+    least = [(0, j) for j in range(len(lanes))]
+    for k in np.argsort(-sizes, kind="stable").tolist():
+        held, j = least[0]
+        lanes[j].append(k)
+        heapq.heapreplace(least, (held + int(sizes[k]), j))
+    held = np.zeros(len(lanes), np.int64)
+    for n, j in least:
+        held[j] = n
+    lane_order = np.argsort(-held, kind="stable")
+    order, held = [k for j in lane_order.tolist() for k in lanes[j]], held[lane_order]
+    y = np.concatenate([texts[k] for k in order])
+    x = np.append(y.dtype.type(0), y[:-1])
+    logs, starts, h = np.empty(len(y), np.float32), np.cumsum(held) - held, np.zeros((len(lanes), HIDDEN), np.float32)
+    for t in range(0, int(held[0]), SCORED_WINDOW):
+        active = int(np.searchsorted(-held, -t, side="left"))
+        steps = np.arange(t, min(t + SCORED_WINDOW, int(held[0])))[:, None]
+        there = steps < held[:active]
+        at = np.where(there, starts[:active] + steps, 0)
+        before = x[at]
+        states, h = run_states(w, before, h[:active], before != 0)
+        if there.all():
+            logs[at.reshape(-1)] = log_probs(w, states.reshape(-1, HIDDEN), y[at.reshape(-1)])
+        else:
+            logs[at[there]] = log_probs(w, states[there], y[at[there]])
+    total = np.empty(len(texts))
+    sizes = sizes[order]
+    total[order] = np.add.reduceat(logs, np.cumsum(sizes) - sizes, dtype=np.float64)
     return total
 
 
-def score_batch(lookup: Lookup, v: Vocabulary, w: dict, texts: list[bytes]) -> dict[str, list]:
-    """What a batch yields by document, without the counts of words outside the vocabulary."""
-    ids, out = [], {k: [] for k in ("n_tokens", "known", "base", "model", "rare", "rare_n")}
+def encode_batch(lookup: Lookup, v: Vocabulary, texts: Iterator[bytes]) -> dict[str, list]:
+    """What a batch yields by document before the network: the network's ids, and sums without the counts of words outside the vocabulary."""
+    out = {k: [] for k in ("n_tokens", "known", "base", "model", "rare", "rare_n", "ids")}
     for text in texts:
         words = text.lower().split()
-        at = np.fromiter(map(lookup.__getitem__, words), np.int32, len(words))
-        at = np.append(at, 0)
-        missing = at < 0
-        top = at[~missing]
-        model = at.copy()
-        model[~missing] = v.model_id[top]
-        model[missing] = HEAD - 1 - at[missing]
-        tail = model[model >= HEAD] - HEAD
-        ids.append(model)
-        rare = Counter(words[i] for i in np.flatnonzero(missing))
+        at = np.zeros(len(words) + 1, np.int32)
+        at[:-1] = np.fromiter(map(lookup.__getitem__, words), np.int32, len(words))
+        ids = np.where(at < 0, HEAD - 1 - at, v.model_id[at]).astype(np.uint16)
+        missing = np.flatnonzero(at < 0)
+        top = at[at >= 0] if len(missing) else at
+        rare = Counter([words[i] for i in missing.tolist()])
         out["n_tokens"].append(len(at))
         out["known"].append(int((v.counts[top] > 0).sum()))
         out["base"].append(float(v.log_count[top].sum()))
-        out["model"].append(float(v.log_count[top[top >= HEAD]].sum() - v.tail_norm[tail].sum()))
+        out["model"].append(float(v.log_count[top[top >= HEAD]].sum() - v.tail_norm[ids[ids >= HEAD] - HEAD].sum()))
         out["rare"].append(list(rare))
         out["rare_n"].append(list(rare.values()))
-    scored = score_texts(w, ids) / math.log(10)
-    out["model"] = [a + b for a, b in zip(out["model"], scored.tolist())]
+        out["ids"].append(ids)
     return out
 
 
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, rare array<binary>, rare_n array<long>"
+def score_batch(lookup: Lookup, v: Vocabulary, w: dict, texts: list[bytes]) -> dict[str, list]:
+    """encode_batch() with the network's scores added to "model"."""
+    out = encode_batch(lookup, v, texts)
+    out["model"] = [a + b for a, b in zip(out["model"], (score_texts(w, out["ids"]) / math.log(10)).tolist())]
+    return out
+
+
+KEPT = "row long, doc_id long, held_out boolean, turn int, h long, bytes long"
+ENCODED = f"{KEPT}, n_tokens long, known long, base double, model double, rare array<binary>, rare_n array<long>, ids binary"
+ENCODED_ROWS, SCORED_TOKENS = 2048, 1 << 23
+
+
+def _ids(raw: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(raw.as_buffer(), "<u2")
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
@@ -470,35 +530,35 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     are learned from and scored whole. Other columns are ignored, so none can clash.
     """
     spark = docs.sparkSession
-    fold = key_crc() % FOLDS
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold == HELD_OUT_FOLD).alias("held_out"), text_bytes().alias("text"))
-    training = docs.where("not held_out")
-    counts = materialize(word_counts(training.select("text")), "words")
+    fold, turn = key_crc() % FOLDS, F.floor(key_crc() / FOLDS) % ROUNDS
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold == HELD_OUT_FOLD).alias("held_out"), turn.cast("int").alias("turn"), text_bytes().alias("text"))
+    counts = materialize(word_counts(docs.where("not held_out").select("text")), "words")
     v = vocabulary(counts)
-    ids = ModelIds(zip(v.words[:HEAD], range(HEAD)))
-    weights, adam = begin(training, ids, new_weights(v))
-    weights = train_rounds(training, ids, weights, adam, v.tokens)
-    shared = spark.sparkContext.broadcast((v, weights))
+    coded = materialize(_encoded(docs, v), "ids")
+    training = coded.where("not held_out").select("turn", "h", "doc_id", "bytes", "n_tokens", "ids")
+    weights = train_rounds(training, *begin(training, new_weights(v)), v.tokens)
+    shared = spark.sparkContext.broadcast(weights)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, w = shared.value
-        lookup = Lookup(zip(v.words, range(len(v.words))))
-        row = TaskContext.get().partitionId() << 33
-        for big in batches:
-            for lo in range(0, big.num_rows, 8 * LANES):
-                batch = big.slice(lo, 8 * LANES)
-                out = score_batch(lookup, v, w, batch.column("text").to_pylist())
-                rows = pa.array(range(row, row + batch.num_rows), pa.int64())
-                row += batch.num_rows
-                types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
-                columns = [pa.array(x, t) for x, t in zip(out.values(), types)]
-                yield pa.RecordBatch.from_arrays([rows, batch.column("doc_id"), batch.column("held_out"), *columns], [c.split()[0] for c in SCORED.split(", ")])
-
-    found = materialize(docs.mapInArrow(scored, SCORED), "scored")
-    rare = found.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.rare_n").alias("n"))
+        for batch in batches:
+            columns = dict(zip(batch.schema.names, batch.columns))
+            ids, model = [_ids(raw) for raw in columns.pop("ids")], columns["model"].to_numpy().copy()
+            ends = np.cumsum([len(x) for x in ids])
+            while len(ids):  # SCORED_TOKENS or a little more at a time, a longer text alone
+                done = len(ends) - len(ids)
+                n = int(np.searchsorted(ends, (ends[done - 1] if done else 0) + SCORED_TOKENS)) + 1 - done
+                model[done : done + n] += score_texts(shared.value, ids[:n]) / math.log(10)
+                ids = ids[n:]
+            columns["model"] = pa.array(model)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    kept = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "model"]
+    found = coded.select(*kept, "ids")
+    found = materialize(found.mapInArrow(scored, found.drop("ids").schema), "scored")
+    rare = coded.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.rare_n").alias("n"))
     rare = rare.join(counts.select("word", "c"), "word").groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("gain"))
     base = F.col("base") + F.coalesce("gain", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(v.tokens + v.distinct + 1))
-    return found.drop("rare", "rare_n").join(rare, "row", "left").select(
+    return found.join(rare, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
@@ -509,6 +569,28 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     )
 
 
+def _encoded(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """ENCODED: each row's text as the network's ids, which training and scoring read instead of the text."""
+    shared = docs.sparkSession.sparkContext.broadcast(v)
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        lookup = Lookup(zip(v.words, range(len(v.words))))
+        row = TaskContext.get().partitionId() << 33
+        types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary())
+        for big in batches:
+            for lo in range(0, big.num_rows, ENCODED_ROWS):
+                batch = big.slice(lo, ENCODED_ROWS)
+                out = encode_batch(lookup, v, (t.as_py() for t in batch.column("text")))
+                out["ids"] = [x.astype("<u2").tobytes() for x in out["ids"]]
+                rows = pa.array(range(row, row + batch.num_rows), pa.int64())
+                row += batch.num_rows
+                kept = [batch.column(c) for c in ("doc_id", "held_out", "turn", "h", "bytes")]
+                yield pa.RecordBatch.from_arrays([rows, *kept, *[pa.array(x, t) for x, t in zip(out.values(), types)]], [c.split()[0] for c in ENCODED.split(", ")])
+
+    return docs.select("doc_id", "held_out", "turn", F.xxhash64("doc_id", "text").alias("h"), F.length("text").cast("long").alias("bytes"), "text").mapInArrow(encoded, ENCODED)
+
+
 def _sum_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of whole numbers, which no order of addition changes."""
     totals: dict[int, tuple] = {}
@@ -523,45 +605,47 @@ def _sum_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 WEIGHT_BITS = 6  # weights lie between -64 and 64
 
 
-def train_rounds(training: DataFrame, ids: ModelIds, w: dict, adam: Adam, tokens: int, part_tokens: int = PART_TOKENS) -> dict[str, np.ndarray]:
-    """Weights learned from all rows of training (doc_id, text), of so many tokens, beginning with w and the moments of adam.
+def train_rounds(training: DataFrame, w: dict, adam: Adam, tokens: int, part_tokens: int = PART_TOKENS) -> dict[str, np.ndarray]:
+    """Weights learned from all rows of training (turn, h, n_tokens, ids), of so many tokens, beginning with w and the moments of adam.
 
+    A part's texts of more than LONG_TOKENS come first, the longest before the others, lest at the end a few lanes go on alone.
     A part's weights are sent in WEIGHT_PARTS slices that are averaged apart, so the driver gets one set of weights a round."""
     spark = training.sparkSession
-    turn = F.floor(key_crc() / FOLDS) % ROUNDS
     parts = max(1, -(-tokens // part_tokens))
     scale = 2.0 ** min(40, 62 - WEIGHT_BITS - max(1, tokens).bit_length())
-    rows = training.select(turn.alias("turn"), "text", F.xxhash64("doc_id", "text").alias("h")).withColumn("part", F.pmod(F.xxhash64("h"), F.lit(parts)))
+    long = F.when(F.col("n_tokens") > LONG_TOKENS, -F.col("n_tokens")).otherwise(0)
+    rows = training.select("turn", F.pmod(F.xxhash64("h"), F.lit(parts)).cast("int").alias("part"), long.alias("long"), "h", "ids")
     schema = "part int, n long, w binary"
     for r in range(ROUNDS):
-        shared, rate = spark.sparkContext.broadcast((ids, w, adam)), ROUND_RATE * (1 - r / ROUNDS)
+        shared, rate = spark.sparkContext.broadcast((w, adam)), ROUND_RATE * (1 - r / ROUNDS)
 
         def learned(batches: Iterator[pa.RecordBatch], shared=shared, rate=rate) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            sorted_rows = (row for b in batches for row in zip(b.column("part").to_pylist(), b.column("text")))
+            sorted_rows = (row for b in batches for row in zip(b.column("part").to_pylist(), b.column("ids")))
             for _, own in groupby(sorted_rows, key=lambda row: row[0]):
-                ids, w, adam = copy.deepcopy(shared.value)
-                n = train_stream(w, adam, (ids.of(t.as_py()) for _, t in own), rate)
+                w, adam = copy.deepcopy(shared.value)
+                n = train_stream(w, adam, (_ids(raw) for _, raw in own), rate)
                 flat = np.concatenate([a.reshape(-1) for a in w.values()]).astype(np.float64)
                 whole = np.rint(np.clip(flat, -(1 << WEIGHT_BITS), 1 << WEIGHT_BITS) * scale).astype(np.int64) * n
                 slices = np.array_split(whole, WEIGHT_PARTS)
                 yield pa.RecordBatch.from_arrays([pa.array(range(WEIGHT_PARTS), pa.int32()), pa.array([n] * WEIGHT_PARTS, pa.int64()), pa.array([x.astype("<i8").tobytes() for x in slices], pa.binary())], ["part", "n", "w"])
 
-        sent = rows.where(F.col("turn") == r).select("part", "h", "text").repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "h", "text").select("part", "text").mapInArrow(learned, schema)
+        own = rows.where(F.col("turn") == r).drop("turn")
+        sent = own.repartitionById(parts, "part").sortWithinPartitions("part", "long", "h", "ids").select("part", "ids").mapInArrow(learned, schema)
         sums = sorted(sent.repartition("part").mapInArrow(_sum_weights, schema).collect())
         if sums:
             w = _unflattened(b"".join((np.frombuffer(m.w, "<i8") / (m.n * scale)).astype("<f4").tobytes() for m in sums), w)
     return w
 
 
-def begin(training: DataFrame, ids: ModelIds, w: dict) -> tuple[dict, Adam]:
+def begin(training: DataFrame, w: dict) -> tuple[dict, Adam]:
     """Weights and moments that one task learns from _sample(), whatever the size of training, so a lost executor only
     repeats it."""
-    shared = training.sparkSession.sparkContext.broadcast((ids, w))
+    shared = training.sparkSession.sparkContext.broadcast(w)
 
     def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, w = copy.deepcopy(shared.value)
+        w = copy.deepcopy(shared.value)
         adam = Adam(w)
-        train(w, [ids.of(t.as_py()) for b in batches for t in b.column("text")], adam)
+        train(w, [_ids(raw) for b in batches for raw in b.column("ids")], adam)
         blobs = [np.concatenate([a.reshape(-1) for a in x.values()]).astype("<f4").tobytes() for x in (w, adam.first, adam.second)]
         yield pa.RecordBatch.from_arrays([pa.array([0, 1, 2], pa.int32()), pa.array([adam.steps] * 3, pa.int64()), pa.array(blobs, pa.binary())], ["part", "steps", "w"])
 
@@ -579,10 +663,10 @@ def _unflattened(raw: bytes, like: dict) -> dict[str, np.ndarray]:
 
 
 def _sample(training: DataFrame) -> DataFrame:
-    """(text): SAMPLE_DOCS training texts of at most SAMPLE_BYTES, the smallest by a hash of the row, in its order."""
-    rows = training.where(F.length("text") <= SAMPLE_BYTES).withColumn("h", F.xxhash64("doc_id", "text"))
+    """(ids): SAMPLE_DOCS training texts of at most SAMPLE_BYTES, the smallest by a hash of the row, in its order."""
+    rows = training.where(F.col("bytes") <= SAMPLE_BYTES)
     least = rows.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
-    return rows.where(F.col("h") <= F.lit(least)).orderBy("h", "doc_id").limit(SAMPLE_DOCS).select("text")
+    return rows.where(F.col("h") <= F.lit(least)).orderBy("h", "doc_id").limit(SAMPLE_DOCS).select("ids")
 
 
 def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -249,6 +249,33 @@ def test_lm_gradients_of_some_places():
     assert all(np.allclose(both[k], (5 * alone[0][k] + 2 * alone[1][k]) / 7, atol=1e-5) for k in both)
 
 
+def test_lm_windows_of_a_step_are_learned_from_together(monkeypatch):
+    w = lm.new_weights(small_model())
+    rng = np.random.default_rng(9)
+    x, y = rng.integers(1, 4100, (60, 4)), rng.integers(1, 4100, (60, 4))
+    together, last, _ = lm.window_gradients(w, x, y, np.zeros((4, lm.HIDDEN), np.float32), np.ones((60, 4), np.float32))
+    h, summed = np.zeros((4, lm.HIDDEN), np.float32), {}
+    for lo in range(0, 60, lm.WINDOW):
+        at = slice(lo, lo + lm.WINDOW)
+        g, h, _ = lm.window_gradients(w, x[at], y[at], h, np.ones(x[at].shape, np.float32))
+        summed = {k: summed.get(k, 0) + a * (len(x[at]) / 60) for k, a in g.items()}
+    assert np.allclose(last, h, atol=1e-5) and all(np.allclose(together[k], summed[k], atol=1e-5) for k in summed)
+
+    calls, one = [], lm.window_gradients
+    monkeypatch.setattr(lm, "window_gradients", lambda *a: calls.append(1) or one(*a))
+    text = np.append(rng.integers(1, 4100, 40_000), 0).astype(np.int32)
+    assert lm.train_stream(w, lm.Adam(w), iter([text]), 0.002) == len(text)
+    assert len(calls) <= len(text) // lm.STEP_TOKENS + 2  # 1,667 passes over all weights before
+
+
+def test_lm_sums_by_id():
+    rng = np.random.default_rng(10)
+    x, rows = np.minimum(rng.zipf(1.3, 3000), 90).astype(np.int32), rng.normal(0, 1, (3, 3000, lm.HIDDEN)).astype(np.float32)
+    want = np.zeros((100, 3, lm.HIDDEN))
+    np.add.at(want, x, rows.transpose(1, 0, 2))
+    assert np.allclose(lm._sums_by_id(x, rows, 100), want.reshape(100, -1), atol=1e-3)
+
+
 def test_lm_learns_from_texts_beyond_the_sample(spark):
     text = " ".join(f"word{i % 37}" for i in range(12_000))
     assert len(text) > lm.SAMPLE_BYTES
