@@ -25,13 +25,13 @@ import copy
 import heapq
 import math
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +44,7 @@ HEAD_CLASSES = HEAD // CLASS_WORDS
 HIDDEN, WINDOW, STREAMS, EPOCHS, RATE = 32, 24, 48, 4, 0.01
 SAMPLE_DOCS, SAMPLE_BYTES = 1500, 1 << 16
 ROUNDS, ROUND_RATE, STEP_TOKENS, WEIGHT_PARTS, PART_TOKENS, LONG_TOKENS = 4, 0.002, 4096, 64, 1 << 23, 2048
-COUNTER_CAP = 200_000
+PIECE_BYTES = 1 << 25
 LANES, SCORED_WINDOW = 256, 32
 OUT_ROWS, STEP_WEIGHTS = 512, 1 << 14  # rows of class logits, and weights of a step, at a time: they stay in a core's cache
 FOLDS, HELD_OUT_FOLD = 7, 2
@@ -55,21 +55,38 @@ def tail_class(word: bytes) -> int:
     return zlib.crc32(word.rstrip(b".,;:!?)\"'")[-3:]) % TAIL
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def flush() -> pa.RecordBatch:
-        words = list(counts)
-        out = [pa.array(words, pa.binary()), pa.array(map(tail_class, words), pa.int32()), pa.array(counts.values(), pa.int64())]
-        counts.clear()
-        return pa.RecordBatch.from_arrays(out, ["word", "tail", "n"])
-
-    counts: Counter = Counter()
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in pieces whose texts hold PIECE_BYTES at most, or one row."""
     for batch in batches:
-        for text in batch.column("text"):
-            counts.update(text.as_py().lower().split())
-            counts[END] += 1
-            if len(counts) > COUNTER_CAP:
-                yield flush()
-    yield flush()
+        ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False), dtype=np.int64)
+        lo = 0
+        while lo < len(ends):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PIECE_BYTES, side="right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts (binary, no nulls), A-Z lower-cased, and where each text's begin and end among them."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.Array.from_buffers(pa.string(), len(texts), texts.buffers(), offset=texts.offset)))
+    words, bounds = lists.flatten(), lists.offsets.to_numpy()
+    full = pc.binary_length(words).to_numpy() > 0  # white space at the ends of a text leaves empty ones
+    return words.filter(pa.array(full)), np.append(0, np.cumsum(full))[bounds - bounds[0]]
+
+
+def _as_binary(words: pa.Array) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(words), words.buffers(), offset=words.offset)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ends = 0
+    for piece in _pieces(batches):
+        found = pc.value_counts(_words(piece.column("text"))[0])
+        words, n = _as_binary(found.field("values")), found.field("counts").cast(pa.int64())
+        yield pa.RecordBatch.from_arrays([words, pa.array(map(tail_class, words.to_pylist()), pa.int32()), n], ["word", "tail", "n"])
+        ends += piece.num_rows
+    if ends:
+        yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([tail_class(END)], pa.int32()), pa.array([ends], pa.int64())], ["word", "tail", "n"])
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -95,11 +112,15 @@ class Vocabulary:
         self.model_id = np.where(ids < HEAD, ids, HEAD + self.tails).astype(np.int32)
 
 
-class Lookup(dict):
-    """Word to its place in the vocabulary, or -1 - tail class."""
+class Lookup:
+    """Places of words in the vocabulary, -1 for others. Made from pairs of a word and its place, in the order of places from 0."""
 
-    def __missing__(self, word: bytes) -> int:
-        return -1 - tail_class(word)
+    def __init__(self, places: Iterable[tuple[bytes, int]]) -> None:
+        words = pa.array([word for word, _ in places], pa.binary())
+        self.words = pa.Array.from_buffers(pa.string(), len(words), words.buffers())
+
+    def of(self, words: pa.Array) -> np.ndarray:
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy()
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -485,37 +506,49 @@ def score_texts(w: dict, texts: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def encode_batch(lookup: Lookup, v: Vocabulary, texts: Iterator[bytes]) -> dict[str, list]:
-    """What a batch yields by document before the network: the network's ids, and sums without the counts of words outside the vocabulary."""
-    out = {k: [] for k in ("n_tokens", "known", "base", "model", "rare", "rare_n", "ids")}
-    for text in texts:
-        words = text.lower().split()
-        at = np.zeros(len(words) + 1, np.int32)
-        at[:-1] = np.fromiter(map(lookup.__getitem__, words), np.int32, len(words))
-        ids = np.where(at < 0, HEAD - 1 - at, v.model_id[at]).astype(np.uint16)
-        missing = np.flatnonzero(at < 0)
-        top = at[at >= 0] if len(missing) else at
-        rare = Counter([words[i] for i in missing.tolist()])
-        out["n_tokens"].append(len(at))
-        out["known"].append(int((v.counts[top] > 0).sum()))
-        out["base"].append(float(v.log_count[top].sum()))
-        out["model"].append(float(v.log_count[top[top >= HEAD]].sum() - v.tail_norm[ids[ids >= HEAD] - HEAD].sum()))
-        out["rare"].append(list(rare))
-        out["rare_n"].append(list(rare.values()))
-        out["ids"].append(ids)
-    return out
+def encode_batch(lookup: Lookup, v: Vocabulary, texts: pa.Array) -> dict[str, list]:
+    """What a batch (texts binary) yields by document before the network: the network's ids, and sums without the counts of words outside the vocabulary."""
+    words, bounds = _words(texts)
+    starts = bounds[:-1] + np.arange(len(texts))
+    found, is_word = lookup.of(words), np.ones(len(words) + len(texts), bool)
+    is_word[bounds[1:] + np.arange(len(texts))] = False
+    at = np.zeros(len(is_word), np.int32)  # ends have place 0
+    at[is_word] = found
+    missing = np.flatnonzero(found < 0)
+    ids, others = v.model_id[at].astype(np.uint16), pc.dictionary_encode(words.take(pa.array(missing)))
+    distinct, codes = _as_binary(others.dictionary), others.indices.to_numpy()
+    outside = at < 0
+    ids[outside] = np.array([HEAD + tail_class(x) for x in distinct.to_pylist()], np.uint16)[codes]
+    log_count, tail = np.where(outside, 0.0, v.log_count[at]), ids >= HEAD
+    model = np.where(tail, log_count, 0.0)
+    model[tail] -= v.tail_norm[ids[tail] - HEAD]
+    doc = np.searchsorted(bounds, missing, side="right") - 1
+    pairs, n = np.unique(doc * max(1, len(distinct)) + codes, return_counts=True)
+    lists = np.searchsorted(pairs, np.arange(len(texts) + 1) * max(1, len(distinct))).astype(np.int32)
+    rare = distinct.take(pa.array(pairs % max(1, len(distinct))))
+    sums = (np.add.reduceat(x, starts) if len(texts) else np.zeros(0) for x in ((~outside & (v.counts[at] > 0)).astype(np.int64), log_count, model))
+    known, base, model = sums
+    return {
+        "n_tokens": np.diff(bounds) + 1,
+        "known": known,
+        "base": base,
+        "model": model,
+        "rare": pa.ListArray.from_arrays(pa.array(lists), rare),
+        "rare_n": pa.ListArray.from_arrays(pa.array(lists), pa.array(n.astype(np.int64))),
+        "ids": np.split(ids, starts[1:])[: len(texts)],
+    }
 
 
 def score_batch(lookup: Lookup, v: Vocabulary, w: dict, texts: list[bytes]) -> dict[str, list]:
     """encode_batch() with the network's scores added to "model"."""
-    out = encode_batch(lookup, v, texts)
-    out["model"] = [a + b for a, b in zip(out["model"], (score_texts(w, out["ids"]) / math.log(10)).tolist())]
+    out = encode_batch(lookup, v, pa.array(texts, pa.binary()))
+    out["model"] = out["model"] + score_texts(w, out["ids"]) / math.log(10)
     return out
 
 
 KEPT = "row long, doc_id long, held_out boolean, turn int, h long, bytes long"
 ENCODED = f"{KEPT}, n_tokens long, known long, base double, model double, rare array<binary>, rare_n array<long>, ids binary"
-ENCODED_ROWS, SCORED_TOKENS = 2048, 1 << 23
+SCORED_TOKENS = 1 << 23
 
 
 def _ids(raw: pa.Scalar) -> np.ndarray:
@@ -578,15 +611,13 @@ def _encoded(docs: DataFrame, v: Vocabulary) -> DataFrame:
         lookup = Lookup(zip(v.words, range(len(v.words))))
         row = TaskContext.get().partitionId() << 33
         types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary())
-        for big in batches:
-            for lo in range(0, big.num_rows, ENCODED_ROWS):
-                batch = big.slice(lo, ENCODED_ROWS)
-                out = encode_batch(lookup, v, (t.as_py() for t in batch.column("text")))
-                out["ids"] = [x.astype("<u2").tobytes() for x in out["ids"]]
-                rows = pa.array(range(row, row + batch.num_rows), pa.int64())
-                row += batch.num_rows
-                kept = [batch.column(c) for c in ("doc_id", "held_out", "turn", "h", "bytes")]
-                yield pa.RecordBatch.from_arrays([rows, *kept, *[pa.array(x, t) for x, t in zip(out.values(), types)]], [c.split()[0] for c in ENCODED.split(", ")])
+        for piece in _pieces(batches):
+            out = encode_batch(lookup, v, piece.column("text"))
+            out["ids"] = [x.astype("<u2").tobytes() for x in out["ids"]]
+            rows = pa.array(range(row, row + piece.num_rows), pa.int64())
+            row += piece.num_rows
+            kept = [piece.column(c) for c in ("doc_id", "held_out", "turn", "h", "bytes")]
+            yield pa.RecordBatch.from_arrays([rows, *kept, *[pa.array(x, t) if not isinstance(x, pa.Array) else x for x, t in zip(out.values(), types)]], [c.split()[0] for c in ENCODED.split(", ")])
 
     return docs.select("doc_id", "held_out", "turn", F.xxhash64("doc_id", "text").alias("h"), F.length("text").cast("long").alias("bytes"), "text").mapInArrow(encoded, ENCODED)
 
