@@ -43,7 +43,7 @@ HEAD, CLASS_WORDS, TAIL, TOP = 4096, 64, 32, 1 << 18
 HEAD_CLASSES = HEAD // CLASS_WORDS
 HIDDEN, WINDOW, STREAMS, EPOCHS, RATE = 32, 24, 48, 4, 0.01
 SAMPLE_DOCS, SAMPLE_BYTES = 1500, 1 << 16
-ROUNDS, ROUND_RATE, STEP_TOKENS, WEIGHT_PARTS, PART_TOKENS, LONG_TOKENS = 4, 0.002, 4096, 64, 1 << 23, 2048
+ROUNDS, ROUND_RATE, STEP_TOKENS, WEIGHT_PARTS, PART_TOKENS, LONG_TOKENS = 4, 0.002, 4096, 64, 1 << 21, 2048
 PIECE_BYTES = 1 << 25
 LANES, SCORED_WINDOW = 256, 32
 OUT_ROWS, STEP_WEIGHTS = 512, 1 << 14  # rows of class logits, and weights of a step, at a time: they stay in a core's cache

@@ -268,6 +268,21 @@ def test_lm_windows_of_a_step_are_learned_from_together(monkeypatch):
     assert len(calls) <= len(text) // lm.STEP_TOKENS + 2  # 1,667 passes over all weights before
 
 
+def test_lm_words_by_arrow():
+    texts = [b"", b" \t ", b"  A b\n\x0b\x0cc\x1cD \x00 e\r", "É à\u0085X The tHe".encode(), b"zq zq zqq A", b"\n"]
+    words, bounds = lm._words(pa.array([b"not this", *texts], pa.binary())[1:])
+    found = lm._as_binary(words).to_pylist()
+    assert [found[a:b] for a, b in zip(bounds, bounds[1:])] == [t.lower().split() for t in texts]
+    v = small_model()
+    out = lm.encode_batch(lm.Lookup(zip([lm.END, b"a", b"the"], range(3))), v, pa.array(texts, pa.binary()))
+    assert out["known"].tolist() == [1, 1, 2, 3, 2, 1]  # the end is known
+    assert [dict(zip(a, b)) for a, b in zip(out["rare"].to_pylist(), out["rare_n"].to_pylist())] == [
+        dict(Counter(x for x in t.lower().split() if x not in (b"a", b"the"))) for t in texts
+    ]
+    places = {b"a": 1, b"the": 2}
+    assert [x.tolist() for x in out["ids"]] == [[places.get(x, lm.HEAD + lm.tail_class(x)) for x in t.lower().split()] + [0] for t in texts]
+
+
 def test_lm_sums_by_id():
     rng = np.random.default_rng(10)
     x, rows = np.minimum(rng.zipf(1.3, 3000), 90).astype(np.int32), rng.normal(0, 1, (3, 3000, lm.HIDDEN)).astype(np.float32)
