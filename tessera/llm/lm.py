@@ -10,10 +10,10 @@ words. The probabilities of all words and one unseen word per tail class add up
 Weights are learned with truncated backpropagation (windows of WINDOW tokens, the state carried from
 window to window). One task begins them, on SAMPLE_DOCS training texts; then every training row is
 learned from, in ROUNDS rounds: each row belongs by a hash to one round and to one of as many parts as PART_TOKENS training
-tokens ask for, a round's rows of a part are learned from in the order of that hash, all parts from the same weights, and what
+tokens ask for, a round's rows of a part are learned from in the order of that hash, those of more than LONG_TOKENS tokens first, all parts from the same weights, and what
 they learned is averaged by their tokens, in whole numbers. So weights depend on the rows alone, not on how many tasks or cores
 there are. A text of any length goes through its lane window by window. When scoring, the state is carried across windows to
-the end of each document.
+the end of each document. Texts become ids once, in a table that learning and scoring read.
 
 The TOP most frequent words are broadcast (a bound of a few megabytes). Other words of a document are
 joined with the counts on the word, so nothing that grows with the corpus reaches one task or the driver.
